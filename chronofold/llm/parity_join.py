@@ -89,31 +89,51 @@ def _digest(s: np.ndarray) -> int:
     return int(x >> np.uint64(1)) | 1
 
 
+def dense_sketch(s: np.ndarray) -> bytes:
+    """Parity bits of the set in a sketch of two to four bits an element; half the bits follow by folding."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((bw.mix64(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(x: bytes, y: bytes) -> int:
+    """Differing bits of two dense sketches, folded to the same width: never more than the sets' symmetric difference."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def set_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """doc_id, n_shingles and the set's identity (null for the empty set) of every row."""
+    """doc_id, n_shingles, the set's identity (null for the empty set) and its dense sketch, for every row."""
 
     def run(batches):
         for b in batches:
-            sizes, ids = [], []
-            for s in _sets(b, 1, n):
-                sizes.append(len(s))
-                ids.append(_digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                sizes, ids, sketches = [], [], []
+                for s in _sets(part, 1, n):
+                    sizes.append(len(s))
+                    ids.append(_digest(s) if len(s) else None)
+                    sketches.append(dense_sketch(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
 
 
 def _entries(docs: DataFrame, text_col: str, n: int, percent: int, buckets: int) -> DataFrame:
-    """Segments of all sets, packed by bucket: fingerprint, set, how many may be left aside, band."""
+    """Segments of all sets, packed by bucket: fingerprints (32 bits beside the bucket), and how many follow for each set."""
     bands = size_bands(percent)
+    row = np.dtype([("set", "<i8"), ("spare", "<i4"), ("space", "<i2"), ("entries", "<i4")])
 
     def run(batches):
         lows = np.array([b[0] for b in bands])
         for batch in batches:
-            step = 2000
-            for at in range(0, batch.num_rows, step):
-                part, seen = batch.slice(at, step), set()
-                keys, owner, spare, space = [], [], [], []
+            for start in range(0, batch.num_rows, 4000):
+                part, seen = batch.slice(start, 4000), set()
+                keys, owner = [], []
                 for s in _sets(part, 0, n):
                     who = _digest(s)
                     if not len(s) or who in seen:
@@ -124,42 +144,42 @@ def _entries(docs: DataFrame, text_col: str, n: int, percent: int, buckets: int)
                         if not bands[i][0] <= len(s) <= bands[i][1]:
                             continue
                         k, left = sparse_segments(s, i, bands[i][1], percent)
-                        where = i
-                        if left <= 0:  # rare: too many elements fell together; every element is then a segment
-                            keys.append(k), owner.append(who), spare.append(left), space.append(i)
-                            k = bw.mix64(s ^ bw.mix64(np.array([(i + 1) << 50], np.uint64)))
-                            left, where = len(s) - _largest_difference(len(s) + min(bands[i][1], partners_up_to(len(s), percent)), percent), i + 1000
-                        keys.append(k), owner.append(who), spare.append(left), space.append(where)
+                        keys.append(k), owner.append((who, left, i, 0))
+                        if left <= 0:  # rare: too many elements fell together; every element is then a segment too
+                            keys.append(bw.mix64(s ^ bw.mix64(np.array([(i + 1) << 50], np.uint64))))
+                            owner.append((who, len(s) - _largest_difference(len(s) + min(bands[i][1], partners_up_to(len(s), percent)), percent), i + 1000, 0))
                 if not keys:
                     continue
-                lens = [len(k) for k in keys]
-                key = np.concatenate(keys)
-                own, left, where = (np.repeat(np.array(x, t), lens) for x, t in ((owner, np.int64), (spare, np.int32), (space, np.int32)))
-                bucket = (key >> np.uint64(40)) % np.uint64(buckets)
+                key, own = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bucket, key, own, left, where = bucket[order], key[order], own[order], left[order], where[order]
+                bucket, low, own = bucket[order], key[order].astype(np.uint32), own[order]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = np.r_[cut[1:], len(bucket)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut].astype(np.int64))] + [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (key, own, left, where)],
-                    names=["bucket", "keys", "owners", "spares", "spaces"],
-                )
+                table, packed = np.array(owner, row), []
+                for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
+                    first = np.flatnonzero(np.r_[True, own[a + 1 : b] != own[a : b - 1]])
+                    mine = table[own[a:b][first]]
+                    mine["entries"] = np.diff(np.r_[first, b - a])
+                    packed.append((low[a:b].tobytes(), mine.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())], names=["bucket", "keys", "owners"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, keys binary, owners binary, spares binary, spaces binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, keys binary, owners binary")
 
 
 def _match_bucket(common: int):
     """Pairs of sets that share an uncommon segment, and the members of common segments."""
-
-    def run(table: pa.Table) -> pa.Table:
-        def whole(name, kind):
-            return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-
-        key, own, left, where = whole("keys", np.uint64), whole("owners", np.int64), whole("spares", np.int32), whole("spaces", np.int32)
+    row = np.dtype([("set", "<i8"), ("spare", "<i4"), ("space", "<i2"), ("entries", "<i4")])
+
+    def run(key, table):
+        bucket = key[0].as_py()
+        key = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
+        owners = np.concatenate([np.frombuffer(x, row) for x in table.column("owners").to_pylist()])
+        who = np.repeat(np.arange(len(owners)), owners["entries"])
+        own = owners["set"][who]
         order = np.lexsort((own, key))
-        key, own, left, where = key[order], own[order], left[order], where[order]
-        keep = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])] if len(key) else np.zeros(0, bool)
-        key, own, left, where = key[keep], own[keep], left[keep], where[keep]
+        key, own, who = key[order], own[order], who[order]
+        keep = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]  # copies of a set count once
+        key, own, who = key[keep], own[keep], who[keep]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[first, len(key)])
         pairs = []
@@ -170,56 +190,68 @@ def _match_bucket(common: int):
                 pairs.append(np.stack([own[(at[:, None] + i).ravel()], own[(at[:, None] + j).ravel()]], 1))
         pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         big = np.repeat(n > common, n)
-        m, c = len(pair), int(big.sum())
+        m = len(pair)
         return pa.table(
             {
                 "a": pa.array(np.r_[pair[:, 0], own[big]], pa.int64()),
-                "b": pa.array(np.r_[pair[:, 1], key[big].view(np.int64)], pa.int64()),
-                "space": pa.array(np.r_[np.full(m, -1, np.int32), where[big]], pa.int32()),
-                "spare": pa.array(np.r_[np.zeros(m, np.int32), left[big]], pa.int32()),
+                "b": pa.array(np.r_[pair[:, 1], (bucket << 32) + key[big].astype(np.int64)], pa.int64()),
+                "space": pa.array(np.r_[np.full(m, -1, np.int32), owners["space"][who[big]].astype(np.int32)], pa.int32()),
+                "spare": pa.array(np.r_[np.zeros(m, np.int32), owners["spare"][who[big]]], pa.int32()),
             }
         )
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """Pairs (u < v) of set identities whose whole sets reach the similarity."""
-    wanted = pairs.select(F.col("u").alias("set_id")).unionByName(pairs.select(F.col("v").alias("set_id"))).distinct()
-    row = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set_id").select("doc_id")
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (u, v, and the documents du, dv that hold the sets) those whose whole sets reach the similarity.
+
+    Every pair's two sets meet in one place; a set is built once for all its pairs in a task.
+    """
 
     def to_sets(batches):
+        last, element = None, b""
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids, raw = [], []
-                for s in _sets(part, 0, n):
-                    if len(s):
-                        ids.append(_digest(s))
-                        raw.append(s.tobytes())
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["set_id", "elements"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(row, "doc_id", "left_semi").select("text")
-    elements = written(chosen.mapInArrow(to_sets, "set_id long, elements binary"), "sets").dropDuplicates(["set_id"])
+                keep, raw = [], []
+                texts, wanted = part.column(0), part.column(1).to_pylist()
+                change = [i for i in range(part.num_rows) if not (texts[i].equals(texts[i - 1]) if i else texts[0].as_py() == last)]
+                fresh = dict(zip(change, _sets(pa.RecordBatch.from_arrays([texts.take(pa.array(change, pa.int64()))], names=["text"]), 0, n), strict=True))
+                for i in range(part.num_rows):
+                    if i in fresh:
+                        element, digest = fresh[i].tobytes(), _digest(fresh[i])
+                        known = digest
+                    elif i == 0:
+                        known = seen
+                    keep.append(known == wanted[i])
+                    if keep[-1]:
+                        raw.append(element)
+                if part.num_rows:
+                    last, seen = texts[part.num_rows - 1].as_py(), known
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(2).filter(mask), part.column(3).filter(mask), part.column(1).filter(mask), pa.array(raw, pa.binary())], names=["u", "v", "set_id", "elements"])
 
     def check(batches):
+        before = None
         for b in batches:
+            us, vs, ids, elements = (b.column(i) for i in range(4))
+            us, vs, ids = us.to_pylist(), vs.to_pylist(), ids.to_pylist()
             good = []
-            for x, y in zip(b.column("ea"), b.column("eb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    good.append(False)
-                    continue
-                both = np.sort(np.concatenate([p, q]))
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(100 * same >= percent * (len(p) + len(q) - same))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], names=["u", "v"])
-
-    left = elements.select(F.col("set_id").alias("u"), F.col("elements").alias("ea"))
-    right = elements.select(F.col("set_id").alias("v"), F.col("elements").alias("eb"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "ea", "eb").mapInArrow(check, "u long, v long")
+            for i in range(b.num_rows):
+                pair, s = (us[i], vs[i]), np.frombuffer(elements[i].as_buffer(), np.uint64)
+                if before is not None and before[0] == pair and before[1] != ids[i]:
+                    both = np.sort(np.concatenate([before[2], s]))
+                    same = int((both[1:] == both[:-1]).sum())
+                    if 100 * same >= percent * (len(both) - same):
+                        good.append(pair)
+                before = pair, ids[i], s
+            before = before and (before[0], before[1], before[2].copy())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([x for _, x in good], pa.int64())], names=["u", "v"])
+
+    legs = pairs.select(F.col("du").alias("doc_id"), F.col("u").alias("set_id"), "u", "v").unionByName(pairs.select(F.col("dv").alias("doc_id"), F.col("v").alias("set_id"), "u", "v"))
+    sets = docs.join(legs, "doc_id").select("text", "set_id", "u", "v").mapInArrow(to_sets, "u long, v long, set_id long, elements binary")
+    return sets.repartition("u", "v").sortWithinPartitions("u", "v", "set_id").mapInArrow(check, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, common: int = COMMON, star_rounds: int = 2) -> DataFrame:
@@ -239,43 +271,66 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(set_table(docs, "doc_id", "text", n), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET_ENTRIES) + 1)
-    found = written(_entries(docs.where("doc_id is not null"), "text", n, percent, buckets).groupBy("bucket").applyInArrow(_match_bucket(common), "a long, b long, space int, spare int"), "found")
-    size = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    docs = docs.where("doc_id is not null")
+    found = written(_entries(docs, "text", n, percent, buckets).groupBy("bucket").applyInArrow(_match_bucket(common), "a long, b long, space int, spare int"), "found")
+    size = written(sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "classes")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        one, two = size.select(F.col("set_id").alias("u"), F.col("n").alias("nu")), size.select(F.col("set_id").alias("v"), F.col("n").alias("nv"))
-        return pairs.join(one, "u").join(two, "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v")
-
-    cold = found.where("space < 0").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    def possible(batches):
+        for b in batches:
+            nu, nv, x, y = (b.column(i).to_pylist() for i in range(4, 8))
+            mask = pa.array([hamming(p, q) <= _largest_difference(i + j, percent) for i, j, p, q in zip(nu, nv, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(mask) for i in range(4)], names=["u", "v", "du", "dv"])
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Pairs u, v with their documents; sizes and dense sketches rule out most that can't be similar."""
+        one, two = (size.select(F.col("set_id").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+        sized = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(one, "u").join(two, "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+        return written(sized.select("u", "v", "du", "dv", "nu", "nv", "su", "sv").mapInArrow(possible, "u long, v long, du long, dv long"), "pairs")
+
+    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs whose ends no chain of links joins yet."""
+        one, two = (comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+        both = pairs.join(one, "u", "left").join(two, "v", "left")
+        return both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(pairs.columns)
+
+    cold = found.where("space < 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # sets without enough uncommon segments of their own, with all their common ones
     hot = found.where("space >= 0").select(F.col("a").alias("set_id"), F.col("b").alias("key"), "space", "spare")
     short = hot.groupBy("set_id", "space").agg(F.count("*").alias("c"), F.max("spare").alias("s")).where("c >= s").select("set_id", "space")
     hot = written(hot.join(short, ["set_id", "space"]).select("set_id", "key"), "common")
     centre = hot.groupBy("key").agg(F.min("set_id").alias("c"))
-    star = hot.join(centre, "key").where("set_id <> c").select(F.least("set_id", "c").alias("u"), F.greatest("set_id", "c").alias("v")).distinct()
-    tried = written(sized(cold.unionByName(star).distinct()), "pairs")
-    edges = written(_verified(tried, docs, sets, "text", n, percent), "links")
-    comp = components(edges)
+    star = hot.join(centre, "key").where("set_id <> c").select(F.col("set_id").alias("u"), F.col("c").alias("v"))
+    open_ = candidates(cold.unionByName(star))
+    edges, comp = None, None
+    # one pair for each set first; what that leaves apart, after a second round of the same, in full
+    for i in range(3):
+        if i < 2:
+            one = open_.groupBy("v").agg(F.min_by(F.struct("u", "v", "du", "dv"), "u").alias("p")).select("p.*")
+        else:
+            one = open_
+        new = written(_verified(one, docs, n, percent), "links")
+        edges = new if edges is None else edges.unionByName(new)
+        comp = components(edges)
+        if i < 2:
+            open_ = written(apart(open_, comp).join(one, ["u", "v"], "left_anti"), "pairs")
+            if open_.isEmpty():
+                break
     for i in range(star_rounds + 1):
         label = hot.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
         mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("set_id", F.xxhash64("set_id", F.lit(i))).alias("c")).where("lo <> hi")
         rest = label.join(mixed, "key")
         if i < star_rounds:  # other centres
             heart = label.select("key", F.col("set_id").alias("c"), F.col("root").alias("c_root"))
-            more = rest.join(heart, ["key", "c"]).where("root <> c_root").select(F.least("set_id", "c").alias("u"), F.greatest("set_id", "c").alias("v"))
+            more = rest.join(heart, ["key", "c"]).where("root <> c_root").select(F.col("set_id").alias("u"), F.col("c").alias("v"))
         else:  # every pair of a common segment that no chain of links joins yet
             other = rest.select("key", F.col("set_id").alias("o"), F.col("root").alias("o_root"))
             more = rest.join(other, "key").where("set_id < o and root <> o_root").select(F.col("set_id").alias("u"), F.col("o").alias("v"))
-        more = written(sized(more.distinct()).join(tried, ["u", "v"], "left_anti"), "pairs")
+        more = candidates(more)
         if more.isEmpty():
-            if i < star_rounds:
-                continue
-            break
-        tried = tried.unionByName(more)
-        new = written(_verified(more, docs, sets, "text", n, percent), "links")
-        edges = edges.unionByName(new)
+            continue
+        edges = edges.unionByName(written(_verified(more, docs, n, percent), "links"))
         comp = components(edges)
     whose = size.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = whose.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = whose.join(least, "root").select("set_id", "component_id")
-    return sets.join(label, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sets.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
