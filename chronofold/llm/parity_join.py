@@ -11,9 +11,10 @@ are fingerprinted by XOR of 64-bit codes, and equal fingerprints are joined.
 Segments shared by many sets (passages, boilerplate, groups of near copies)
 are left aside for every set that has more than d segments of its own that few
 others share: one of those must agree already.  Only sets made up of common
-segments go on to the second step, which checks them against a few centres a
-segment, and then all pairs that are still in different components.
-Candidates are verified on the whole sets.
+segments go on to the second step.  Sets that common segments connect form
+families; a family is cut into blocks, and each pair of blocks is compared in
+one place by its sketches, closest first, skipping what links already join.
+All candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from .storage import written
 COMMON = 12
 #: Entries that a bucket of the segment join gets on average.
 BUCKET_ENTRIES = 1_000_000
+#: Sets, and bytes of their elements, that a block of a family holds on average.
+BLOCK_SETS = 1024
+BLOCK_BYTES = 16_000_000
 
 
 def partners_up_to(n: int, percent: int) -> int:
@@ -254,7 +258,91 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return sets.repartition("u", "v").sortWithinPartitions("u", "v", "set_id").mapInArrow(check, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, common: int = COMMON, star_rounds: int = 2) -> DataFrame:
+def _set_elements(texts: DataFrame, n: int) -> DataFrame:
+    """set_id and elements of every text."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                found = [s for s in _sets(b.slice(at, 500), 0, n) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["set_id", "elements"])
+
+    return texts.select("text").mapInArrow(run, "set_id long, elements binary").dropDuplicates(["set_id"])
+
+
+def _link_family(ids: list[int], roots: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Verified links that join all of a family's similar sets that can be joined, without links inside a known component.
+
+    side: 0 and 1 for the two blocks, -1 where one block is compared with itself.
+    """
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    size = np.array([len(s) for s in sets])
+    label = np.array(roots)
+    sketches = [np.frombuffer(dense_sketch(s), np.uint64) for s in sets]
+    width = np.array([len(x) for x in sketches])
+    near = []
+    for w in np.unique(width):
+        for w2 in (w, 2 * w):
+            one, two = np.flatnonzero(width == w), np.flatnonzero(width == w2)
+            if not len(one) or not len(two):
+                continue
+            p, q = np.stack([sketches[i] for i in one]), np.stack([sketches[i] for i in two])
+            q = q if w2 == w else q[:, :w] ^ q[:, w:]
+            for i, x in zip(one, p, strict=True):
+                ok = (two > i if w2 == w else two >= 0) & (label[two] != label[i]) & (100 * np.minimum(size[two], size[i]) >= percent * np.maximum(size[two], size[i]))
+                if side[i] >= 0:
+                    ok &= side[two] != side[i]
+                js = np.flatnonzero(ok)
+                if len(js):
+                    apart = np.bitwise_count(q[js] ^ x).sum(1, dtype=np.int64)
+                    good = apart <= (size[two[js]] + size[i]) * (100 - percent) // (100 + percent)
+                    near.append(np.stack([apart[good], np.full(good.sum(), i), two[js][good]], 1))
+    links = []
+    if near:
+        near = np.concatenate(near)
+        for _, i, j in near[np.argsort(near[:, 0], kind="stable")]:
+            a, b = root(roots[i]), root(roots[j])
+            if a == b:
+                continue
+            both = np.sort(np.concatenate([sets[i], sets[j]]))
+            same = int((both[1:] == both[:-1]).sum())
+            if 100 * same >= percent * (len(both) - same):
+                parent[max(a, b)] = min(a, b)
+                links.append((ids[i], ids[j]))
+    return links
+
+
+def _family_links(members: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) inside families; members: set_id, n, root (component so far), family."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    # small families share a bucket, large ones are cut into blocks of which every pair meets once
+    rows = members.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.when(F.col("blocks") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(parts)))
+    rows = rows.select("set_id", "root", "family", "own", (F.col("blocks") > 1).alias("cut"), group.alias("place"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(key, table):
+        out = []
+        family = table.column("family").to_numpy()
+        ids, roots, own = (table.column(c).to_pylist() for c in ("set_id", "root", "own"))
+        raw, lo, hi = table.column("elements"), key[2].as_py(), key[3].as_py()
+        for f in np.unique(family):
+            at = np.flatnonzero(family == f)
+            side = np.array([-1 if lo == hi else int(own[i] == hi) for i in at])
+            out += _link_family([ids[i] for i in at], [roots[i] for i in at], side, [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in at], percent)
+        return pa.table({"u": pa.array([min(x) for x in out], pa.int64()), "v": pa.array([max(x) for x in out], pa.int64())})
+
+    return rows.join(elements, "set_id").groupBy("place", "cut", "lo", "hi").applyInArrow(run, "u long, v long")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, common: int = COMMON) -> DataFrame:
     """Near-duplicate classes: texts are linked when 100 * |A and B| >= percent * |A or B| over their sets of word n-grams.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased.
@@ -298,38 +386,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = found.where("space >= 0").select(F.col("a").alias("set_id"), F.col("b").alias("key"), "space", "spare")
     short = hot.groupBy("set_id", "space").agg(F.count("*").alias("c"), F.max("spare").alias("s")).where("c >= s").select("set_id", "space")
     hot = written(hot.join(short, ["set_id", "space"]).select("set_id", "key"), "common")
-    centre = hot.groupBy("key").agg(F.min("set_id").alias("c"))
-    star = hot.join(centre, "key").where("set_id <> c").select(F.col("set_id").alias("u"), F.col("c").alias("v"))
-    open_ = candidates(cold.unionByName(star))
-    edges, comp = None, None
+    open_ = candidates(cold)
+    first = hot.join(hot.groupBy("key").agg(F.min("set_id").alias("v")), "key").select(F.col("set_id").alias("u"), "v")
+    family = components(first).unionByName(hot.select(F.col("set_id").alias("node"), F.col("set_id").alias("root"))).groupBy("node").agg(F.min("root").alias("family"))
+    family = written(family.join(size.select(F.col("set_id").alias("node"), "doc_id", "n"), "node"), "families")
+    # the texts of all sets that have a candidate or a family, once
+    wanted = open_.select(F.col("du").alias("doc_id")).unionByName(open_.select(F.col("dv").alias("doc_id"))).unionByName(family.select("doc_id")).distinct()
+    texts = written(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     # one pair for each set first; what that leaves apart, after a second round of the same, in full
+    edges, comp = None, None
     for i in range(3):
-        if i < 2:
-            one = open_.groupBy("v").agg(F.min_by(F.struct("u", "v", "du", "dv"), "u").alias("p")).select("p.*")
-        else:
-            one = open_
-        new = written(_verified(one, docs, n, percent), "links")
+        one = open_.groupBy("v").agg(F.min_by(F.struct("u", "v", "du", "dv"), "u").alias("p")).select("p.*") if i < 2 else open_
+        new = written(_verified(one, texts, n, percent), "links")
         edges = new if edges is None else edges.unionByName(new)
         comp = components(edges)
         if i < 2:
             open_ = written(apart(open_, comp).join(one, ["u", "v"], "left_anti"), "pairs")
             if open_.isEmpty():
                 break
-    for i in range(star_rounds + 1):
-        label = hot.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
-        mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("set_id", F.xxhash64("set_id", F.lit(i))).alias("c")).where("lo <> hi")
-        rest = label.join(mixed, "key")
-        if i < star_rounds:  # other centres
-            heart = label.select("key", F.col("set_id").alias("c"), F.col("root").alias("c_root"))
-            more = rest.join(heart, ["key", "c"]).where("root <> c_root").select(F.col("set_id").alias("u"), F.col("c").alias("v"))
-        else:  # every pair of a common segment that no chain of links joins yet
-            other = rest.select("key", F.col("set_id").alias("o"), F.col("root").alias("o_root"))
-            more = rest.join(other, "key").where("set_id < o and root <> o_root").select(F.col("set_id").alias("u"), F.col("o").alias("v"))
-        more = candidates(more)
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(written(_verified(more, docs, n, percent), "links"))
-        comp = components(edges)
+    members = family.join(comp, "node", "left").select(F.col("node").alias("set_id"), "n", F.coalesce("root", "node").alias("root"), "family")
+    chosen = texts.join(family.select("doc_id"), "doc_id", "left_semi")
+    more = written(_family_links(members, _set_elements(chosen, n), percent), "links")
+    comp = components(edges.unionByName(more))
     whose = size.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = whose.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = whose.join(least, "root").select("set_id", "component_id")
