@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 #: The splitting pattern of the vocabulary's own pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that a chunk holds on average.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 10_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -45,7 +46,6 @@ class Vocabulary:
         spec = json.loads(text)
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = {k.encode(): v for k, v in added.items()}
-        self.find = regex.compile("|".join([*(regex.escape(x) for x in sorted(added, key=len, reverse=True))] + [PATTERN])).findall if added else regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.plain = regex.compile(PATTERN).findall
         value = {c: b for b, c in enumerate(byte_symbols())}
@@ -59,16 +59,22 @@ class Vocabulary:
         self.piece_at = np.r_[0, np.cumsum(self.piece_len)]
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens; where the two Unicode versions may differ, by the library's own splitter."""
+        if any(map(newer, set(text))):
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return self.plain(text)
+
     def words(self, text: str) -> list[str]:
         """The words of a text; strings of special tokens are words of their own, found before all else."""
         if self.cut is None or not any(x.decode() in text for x in self.special):
-            return self.plain(text)
+            return self.split(text)
         out = []
         for part in self.cut.split(text):
             if part.encode() in self.special:
                 out.append(part)
             elif part:
-                out += self.plain(part)
+                out += self.split(part)
         return out
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -80,6 +86,12 @@ class Vocabulary:
         return raw.decode("utf-8", "replace").encode()
 
 
+@functools.lru_cache(1 << 16)
+def newer(character: str) -> bool:
+    """True for characters that were assigned late or not at all, on whose class Unicode versions may differ."""
+    return character > "\u024f" and unicodedata.ucd_3_2_0.category(character) == "Cn"
+
+
 @functools.lru_cache(1)
 def _vocabulary(text: str) -> Vocabulary:
     import os
@@ -111,20 +123,92 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
 
-def _sorted_texts(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
 def word_ids(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """chunk, bucket, ids: the ids of every chunk's distinct words, encoded once each; see encode_decode."""
     return _replies(_chunked(docs, id_col, text_col), docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path)))
 
 
-def _distinct_words(table: pa.Table, vocabulary: Vocabulary) -> list[str]:
-    found: dict[str, None] = {}
-    for text in table.column("text").to_pylist():
-        found.update(dict.fromkeys(vocabulary.words(text)))
-    return list(found)
+class Split:
+    """The words of a chunk's texts.
+
+    A space between two characters that aren't white space always starts a
+    word, so texts are cut there first and each distinct piece is split once.
+    Texts in which white space meets such a cut, or with special tokens, are
+    split as a whole.
+    """
+
+    def __init__(self, texts: list[str], vocabulary: Vocabulary):
+        self.pieces: list[tuple[str, list[str]] | None] = []
+        self.whole: dict[int, list[str]] = {}
+        heads: set[str] = set()
+        tails: set[str] = set()
+        special = [x.decode() for x in vocabulary.special]
+        for i, text in enumerate(texts):
+            if any(x in text for x in special):
+                self.whole[i] = vocabulary.words(text)
+                self.pieces.append(None)
+                continue
+            parts = text.split(" ")
+            head = parts.pop(0)
+            heads.add(head)
+            tails.update(parts)
+            self.pieces.append((head, parts))
+        odd_head = {p for p in heads if p and p[-1].isspace()}
+        odd = {p for p in tails if not p or p[0].isspace() or p[-1].isspace()}
+        if any(map(newer, set().union(*heads, *tails))):
+            odd_head |= {p for p in heads if any(map(newer, p))}
+            odd |= {p for p in tails if any(map(newer, p))}
+        for i, piece in enumerate(self.pieces):
+            if piece and (piece[0] in odd_head or (odd and not odd.isdisjoint(piece[1]))):
+                self.whole[i] = vocabulary.split(texts[i])
+                self.pieces[i] = None
+        plain = vocabulary.plain
+        self.heads = {p: plain(p) for p in heads - odd_head}
+        self.tails = {p: plain(" " + p) for p in tails - odd}
+
+    def words(self) -> list[str]:
+        """All distinct words, sorted."""
+        found: set[str] = set()
+        for part in (self.heads, self.tails, self.whole):
+            for w in part.values():
+                found.update(w)
+        return sorted(found)
+
+    def token_ids(self, words: list[str], flat: np.ndarray, at: np.ndarray, size: np.ndarray):
+        """Ids of every text in order, from the words' ids flat[at : at + size]."""
+        index = dict(zip(words, range(len(words)), strict=True))
+        lists = [*self.heads.values(), *self.tails.values()]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        w = np.fromiter((index[x] for ws in lists for x in ws), np.int64, int(n.sum()))
+        piece_flat = gather(flat, at[w], size[w])
+        ends = np.r_[0, np.cumsum(size[w])][np.r_[0, np.cumsum(n)]]
+        head = dict(zip(self.heads, range(len(self.heads)), strict=True))
+        tail = dict(zip(self.tails, range(len(self.heads), len(lists)), strict=True))
+        start, long = ends[:-1], np.diff(ends)
+        for i, piece in enumerate(self.pieces):
+            if piece is None:
+                w = np.fromiter(map(index.__getitem__, self.whole[i]), np.int64, len(self.whole[i]))
+                yield gather(flat, at[w], size[w])
+            else:
+                p = np.empty(len(piece[1]) + 1, np.int64)
+                p[0] = head[piece[0]]
+                p[1:] = np.fromiter(map(tail.__getitem__, piece[1]), np.int64, len(piece[1]))
+                yield gather(piece_flat, start[p], long[p])
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays behind one another, with their byte lengths, compressed."""
+    raw = [a.tobytes() for a in arrays]
+    head = np.array([len(raw), *map(len, raw)], "<i8").tobytes()
+    body = b"".join([head, *raw])
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    body = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(body, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.r_[0, np.cumsum(np.frombuffer(body, "<i8", n, 8))]
+    return [body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
@@ -142,35 +226,38 @@ def _replies(rows: DataFrame, shared) -> DataFrame:
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(key, table):
-        words = sorted(_distinct_words(table, _vocabulary(shared.value)))
+        words = Split(table.column("text").to_pylist(), _vocabulary(shared.value)).words()
         out = {"chunk": [], "bucket": [], "words": []}
         if words:
             bucket = _bucket_of(words, buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
             for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+                raw = [words[i].encode() for i in order[a:b]]
                 out["chunk"].append(key[0].as_py())
                 out["bucket"].append(int(bucket[order[a]]))
-                out["words"].append([words[i] for i in order[a:b]])
-        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("words", pa.list_(pa.string()))]))
+                out["words"].append(_pack(np.fromiter(map(len, raw), np.int32, len(raw)), np.frombuffer(b"".join(raw), np.uint8)))
+        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())]))
 
     def answer(key, table):
-        lists = table.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
+        lists = []
+        for packed in table.column("words").to_pylist():
+            sizes, raw = _unpack(packed)
+            offsets = np.r_[0, np.cumsum(np.frombuffer(sizes, np.int32))].astype(np.int32)
+            lists.append(pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
+        coded = pa.concat_arrays(lists).dictionary_encode()
         ids = _vocabulary(shared.value).encode(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat, at = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum())), np.cumsum(size) - size
-        which, offsets = coded.indices.to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+        which, offsets = coded.indices.to_numpy(), np.r_[0, np.cumsum([len(x) for x in lists])]
         out = []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             w = which[a:b]
-            out.append((size[w].astype(np.int32).tobytes(), gather(flat, at[w], size[w]).tobytes()))
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "sizes": pa.array([x for x, _ in out], pa.binary()), "ids": pa.array([x for _, x in out], pa.binary())})
+            out.append(_pack(size[w].astype(np.int32), gather(flat, at[w], size[w])))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": pa.array(out, pa.binary())})
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk long, bucket long, words array<string>")
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, sizes binary, ids binary")
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk long, bucket long, words binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, ids binary")
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -191,24 +278,19 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def assemble(left, right):
         vocabulary = _vocabulary(shared.value)
-        texts = left.column("text").to_pylist()
-        words = sorted(_distinct_words(left, vocabulary))
+        split = Split(left.column("text").to_pylist(), vocabulary)
+        words = split.words()
         flat, at, size = np.zeros(0, np.int32), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         if words:
-            bucket = _bucket_of(words, buckets)
-            order = np.argsort(bucket, kind="stable")  # the order in which the words were sent
-            reply = right.sort_by("bucket")
-            got = np.concatenate([np.frombuffer(x, np.int32) for x in reply.column("sizes").to_pylist()]).astype(np.int64)
-            flat = np.concatenate([np.frombuffer(x, np.int32) for x in reply.column("ids").to_pylist()])
+            order = np.argsort(_bucket_of(words, buckets), kind="stable")  # the order in which the words were sent
+            reply = [_unpack(x) for x in right.sort_by("bucket").column("ids").to_pylist()]
+            got = np.concatenate([np.frombuffer(x, np.int32) for x, _ in reply]).astype(np.int64)
+            flat = np.concatenate([np.frombuffer(x, np.int32) for _, x in reply])
             if len(got) != len(words):
                 raise RuntimeError("a chunk's words and their ids differ in number")
             size[order], at[order] = got, np.cumsum(got) - got
-        index = {w: i for i, w in enumerate(words)}
         out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if keep_ids else {})
-        for text in texts:
-            found = vocabulary.words(text)
-            w = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-            ids = gather(flat, at[w], size[w])
+        for ids in split.token_ids(words, flat, at, size):
             decoded = vocabulary.decode(ids)
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
