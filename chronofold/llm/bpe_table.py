@@ -10,7 +10,9 @@ whose size is that of the vocabulary, and concatenates the pieces.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import hashlib
 import json
 import unicodedata
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 #: The splitting pattern of the vocabulary's own pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that a chunk holds on average.
-CHUNK_BYTES = 10_000_000
+CHUNK_BYTES = 16_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -128,6 +130,20 @@ def word_ids(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
     return _replies(_chunked(docs, id_col, text_col), docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path)))
 
 
+#: Marks that are words of their own after letters; an apostrophe isn't one of them.
+_MARKS = tuple(".,;:!?")
+
+
+@contextlib.contextmanager
+def _no_cycles():
+    """Millions of strings without cycles: the collector would only walk over them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class Split:
     """The words of a chunk's texts.
 
@@ -138,7 +154,7 @@ class Split:
     """
 
     def __init__(self, texts: list[str], vocabulary: Vocabulary):
-        self.pieces: list[tuple[str, list[str]] | None] = []
+        self.texts = texts
         self.whole: dict[int, list[str]] = {}
         heads: set[str] = set()
         tails: set[str] = set()
@@ -146,25 +162,36 @@ class Split:
         for i, text in enumerate(texts):
             if any(x in text for x in special):
                 self.whole[i] = vocabulary.words(text)
-                self.pieces.append(None)
                 continue
             parts = text.split(" ")
-            head = parts.pop(0)
-            heads.add(head)
+            heads.add(parts[0])
+            parts[0] = parts[-1] if len(parts) > 1 else ""
             tails.update(parts)
-            self.pieces.append((head, parts))
+        tails.discard("")
         odd_head = {p for p in heads if p and p[-1].isspace()}
-        odd = {p for p in tails if not p or p[0].isspace() or p[-1].isspace()}
+        odd = {p for p in tails if p[0].isspace() or p[-1].isspace()}
         if any(map(newer, set().union(*heads, *tails))):
             odd_head |= {p for p in heads if any(map(newer, p))}
             odd |= {p for p in tails if any(map(newer, p))}
-        for i, piece in enumerate(self.pieces):
-            if piece and (piece[0] in odd_head or (odd and not odd.isdisjoint(piece[1]))):
-                self.whole[i] = vocabulary.split(texts[i])
-                self.pieces[i] = None
-        plain = vocabulary.plain
-        self.heads = {p: plain(p) for p in heads - odd_head}
-        self.tails = {p: plain(" " + p) for p in tails - odd}
+        for i, text in enumerate(texts):
+            if i in self.whole:
+                continue
+            if "  " in text or text.endswith(" "):
+                self.whole[i] = vocabulary.split(text)
+            elif odd or odd_head:
+                parts = text.split(" ")
+                if parts[0] in odd_head or not odd.isdisjoint(parts[1:]):
+                    self.whole[i] = vocabulary.split(text)
+
+        def plain(space: str, p: str) -> list[str]:
+            if p.isalpha():  # letters, and letters before one mark, are most of the pieces
+                return [space + p]
+            if p[-1:] in _MARKS and p[:-1].isalpha():
+                return [space + p[:-1], p[-1]]
+            return vocabulary.plain(space + p)
+
+        self.heads = {p: plain("", p) for p in heads - odd_head}
+        self.tails = {p: plain(" ", p) for p in tails - odd}
 
     def words(self) -> list[str]:
         """All distinct words, sorted."""
@@ -185,14 +212,15 @@ class Split:
         head = dict(zip(self.heads, range(len(self.heads)), strict=True))
         tail = dict(zip(self.tails, range(len(self.heads), len(lists)), strict=True))
         start, long = ends[:-1], np.diff(ends)
-        for i, piece in enumerate(self.pieces):
-            if piece is None:
+        for i, text in enumerate(self.texts):
+            if i in self.whole:
                 w = np.fromiter(map(index.__getitem__, self.whole[i]), np.int64, len(self.whole[i]))
                 yield gather(flat, at[w], size[w])
             else:
-                p = np.empty(len(piece[1]) + 1, np.int64)
-                p[0] = head[piece[0]]
-                p[1:] = np.fromiter(map(tail.__getitem__, piece[1]), np.int64, len(piece[1]))
+                parts = text.split(" ")
+                p = np.empty(len(parts), np.int64)
+                p[0] = head[parts[0]]
+                p[1:] = np.fromiter(map(tail.__getitem__, parts[1:]), np.int64, len(parts) - 1)
                 yield gather(piece_flat, start[p], long[p])
 
 
@@ -201,7 +229,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     raw = [a.tobytes() for a in arrays]
     head = np.array([len(raw), *map(len, raw)], "<i8").tobytes()
     body = b"".join([head, *raw])
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=4).compress(body, asbytes=True)
 
 
 def _unpack(packed: bytes) -> list[bytes]:
@@ -225,6 +253,7 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
 def _replies(rows: DataFrame, shared) -> DataFrame:
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @_no_cycles()
     def ask(key, table):
         words = Split(table.column("text").to_pylist(), _vocabulary(shared.value)).words()
         out = {"chunk": [], "bucket": [], "words": []}
@@ -239,6 +268,7 @@ def _replies(rows: DataFrame, shared) -> DataFrame:
                 out["words"].append(_pack(np.fromiter(map(len, raw), np.int32, len(raw)), np.frombuffer(b"".join(raw), np.uint8)))
         return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())]))
 
+    @_no_cycles()
     def answer(key, table):
         lists = []
         for packed in table.column("words").to_pylist():
@@ -276,6 +306,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     rows = _chunked(docs, id_col, text_col)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @_no_cycles()
     def assemble(left, right):
         vocabulary = _vocabulary(shared.value)
         split = Split(left.column("text").to_pylist(), vocabulary)
