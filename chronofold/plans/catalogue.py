@@ -1,4 +1,609 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with the SQL for the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chronofold.functions import vocabulary
+from chronofold.operators import observations as obs
+from chronofold.operators import reports, resolution, tracking, windows
+from chronofold.plans.derived import ACTION_OF, EVENTS_SQL, OBSERVED_SQL, STRIDE, WINDOW, events, observed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _long(*names: str):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# windows
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy("run").agg((F.max("t") + 1).alias("duration"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.build_windows(_sources(spark, sf_dir), WINDOW, STRIDE)
+
+
+WINDOWS_SQL = EVENTS_SQL + f""", src AS (SELECT run, max(t) + 1 AS d FROM ev GROUP BY run),
+ reg AS (SELECT run, d, g AS global_index, g * {STRIDE} AS start, g * {STRIDE} + {WINDOW} AS "end", 'regular' AS window_type
+         FROM (SELECT run, d, unnest(range(0, CASE WHEN d <= {WINDOW} THEN 0 ELSE (d - {WINDOW}) // {STRIDE} + 1 END)) AS g FROM src)),
+ lastreg AS (SELECT s.run, s.d, count(r.run) AS n, coalesce(max(r."end"), 0) AS e FROM src s LEFT JOIN reg r ON s.run = r.run GROUP BY s.run, s.d),
+ wa AS (SELECT run, global_index, start, "end", window_type FROM reg
+        UNION ALL SELECT run, n, greatest(0, d - {WINDOW}), d, 'tail_completion' FROM lastreg WHERE e < d),
+ win AS (SELECT run, global_index, start, "end", window_type,
+         coalesce(greatest(start, lag("end") OVER (PARTITION BY run ORDER BY global_index)), start) AS commit_start FROM wa)"""
+_WINDOW_COLUMNS = 'CAST(run AS BIGINT) AS run, CAST(global_index AS BIGINT) AS global_index, CAST(start AS BIGINT) AS start, CAST(commit_start AS BIGINT) AS commit_start, CAST("end" AS BIGINT) AS "end", window_type'
+
+
+def _window_rows(df: DataFrame) -> DataFrame:
+    return df.select(*_long("run", "global_index", "start", "commit_start", "end"), "window_type")
+
+
+@query(f"WITH {WINDOWS_SQL} SELECT {_WINDOW_COLUMNS} FROM win")
+def windows_build(spark, sf_dir):
+    return _window_rows(_windows(spark, sf_dir))
+
+
+@query(f'WITH {WINDOWS_SQL} SELECT {_WINDOW_COLUMNS} FROM win WHERE "end" > {40 * STRIDE} AND start < {60 * STRIDE}')
+def windows_select_time(spark, sf_dir):
+    return _window_rows(windows.select_by_time(_windows(spark, sf_dir), 40 * STRIDE, 60 * STRIDE))
+
+
+@query(f"WITH {WINDOWS_SQL} SELECT {_WINDOW_COLUMNS} FROM win WHERE global_index BETWEEN 10 AND 25")
+def windows_select_index(spark, sf_dir):
+    return _window_rows(windows.select_by_index(_windows(spark, sf_dir), 10, 25))
+
+
+@query(f"WITH {WINDOWS_SQL}, sel AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY global_index) - 1 AS run_index FROM win WHERE global_index >= 7) SELECT {_WINDOW_COLUMNS}, CAST(run_index AS BIGINT) AS run_index FROM sel WHERE run_index < 12")
+def windows_limit(spark, sf_dir):
+    out = windows.limit_windows(windows.select_by_index(_windows(spark, sf_dir), 7), 12)
+    return out.select(*_long("run", "global_index", "start", "commit_start", "end"), "window_type", *_long("run_index"))
+
+
+@query(f"""WITH {WINDOWS_SQL}, c AS (SELECT * FROM win WHERE global_index BETWEEN 2 + run AND 12),
+ f AS (SELECT run, min(global_index) AS f FROM c GROUP BY run),
+ wu AS (SELECT win.*, row_number() OVER (PARTITION BY win.run ORDER BY global_index DESC) AS r FROM win JOIN f ON win.run = f.run AND global_index < f.f),
+ u AS (SELECT run, global_index, start, commit_start, "end", window_type, 'warmup' AS processing_role FROM wu WHERE r <= 4
+       UNION ALL SELECT run, global_index, start, commit_start, "end", window_type, 'commit' FROM c)
+ SELECT {_WINDOW_COLUMNS}, processing_role, count(*) FILTER (processing_role = 'warmup') OVER (PARTITION BY run) < 4 AS cold_start,
+        CAST(row_number() OVER (PARTITION BY run ORDER BY global_index) - 1 AS BIGINT) AS run_index FROM u""")
+def windows_warmup(spark, sf_dir):
+    all_ = _windows(spark, sf_dir)
+    chosen = all_.where(F.col("global_index").between(2 + F.col("run"), 12))
+    out = windows.with_warmup(all_, chosen, 4)
+    return out.select(*_long("run", "global_index", "start", "commit_start", "end"), "window_type", "processing_role", "cold_start", *_long("run_index"))
+
+
+@query(f"""WITH {WINDOWS_SQL} SELECT CAST(run AS BIGINT) AS run, CAST(global_index AS BIGINT) AS global_index,
+ CAST(CASE WHEN global_index % 3 = 0 THEN start ELSE commit_start END AS BIGINT) AS commit_start FROM win""")
+def windows_commit_derive(spark, sf_dir):
+    given = _windows(spark, sf_dir).withColumn("commit_start", F.when(F.col("global_index") % 3 == 0, F.col("start")))
+    return windows.derive_commit(given).select(*_long("run", "global_index", "commit_start"))
+
+
+@query(f"""WITH {WINDOWS_SQL} SELECT CAST(w.run AS BIGINT) AS run, CAST(w.global_index AS BIGINT) AS global_index,
+ CAST(count(*) FILTER (e.t >= w.commit_start) AS BIGINT) AS committed, CAST(count(*) FILTER (e.t < w.commit_start) AS BIGINT) AS context
+ FROM win w JOIN ev e ON e.run = w.run AND e.t >= w.start AND e.t < w."end" GROUP BY 1, 2""")
+def window_membership(spark, sf_dir):
+    inside = windows.assign_to_windows(events(spark, sf_dir), _windows(spark, sf_dir), WINDOW, STRIDE)
+    return inside.groupBy(*_long("run", "global_index")).agg(F.count_if("in_commit").alias("committed"), F.count_if(~F.col("in_commit")).alias("context"))
+
+
+@query(f"""WITH {WINDOWS_SQL}, p AS (SELECT *, ("end" - start) / 1e6::DOUBLE AS s FROM win),
+ q AS (SELECT *, greatest(4, least(CAST(floor(s * 0.0005::DOUBLE) AS INT), 12)) AS n FROM p),
+ r AS (SELECT *, unnest(range(0, n)) AS i FROM q)
+ SELECT CAST(run AS BIGINT) AS run, CAST(global_index AS BIGINT) AS global_index, CAST(i AS BIGINT) AS sample_index, round(start / 1e6::DOUBLE + i * (s / n), 3) AS at_seconds,
+ CAST(round_even((start / 1e6::DOUBLE + i * (s / n)) * 24.0::DOUBLE, 0) AS BIGINT) AS frame_index FROM r""")
+def frame_sampling_plan(spark, sf_dir):
+    plan = windows.frame_plan(_windows(spark, sf_dir), 0.0005, 4, 12)
+    return plan.select(*_long("run", "global_index", "sample_index"), F.round("at_seconds", 3).alias("at_seconds"), *_long("frame_index"))
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """Per run and step: the first eight events as frames, and evidence made from their k."""
+    rank = F.row_number().over(Window.partitionBy("run", "w").orderBy("t", "event_id")) - 1
+    first = observed(spark, sf_dir).withColumn("i", rank.cast("int")).where("i < 8")
+    by = first.groupBy("run", "w").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("frames"), F.array_sort(F.collect_list((F.col("k") % 5).cast("int"))).alias("evidence"))
+    return by.withColumn("lookup", F.map_from_entries("frames"))
+
+
+FRAMES_SQL = OBSERVED_SQL + """, fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, w ORDER BY t, event_id) - 1 AS i FROM ob) WHERE i < 8),
+ evd AS (SELECT DISTINCT run, w, k % 5 AS e FROM fr)"""
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT CAST(e.run AS BIGINT) AS run, CAST(e.w AS BIGINT) AS w,
+ CASE WHEN count(*) = count(f.t) THEN string_agg(CAST(f.t AS VARCHAR), ',' ORDER BY f.t) END AS times FROM evd e LEFT JOIN fr f ON f.run = e.run AND f.w = e.w AND f.i = e.e GROUP BY 1, 2""")
+def evidence_timestamps(spark, sf_dir):
+    times = windows.evidence_times(F.col("evidence"), F.col("lookup"))
+    return _frames(spark, sf_dir).select(*_long("run", "w"), F.array_join(F.transform(times, lambda t: t.cast("string")), ",").alias("times"))
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT CAST(e.run AS BIGINT) AS run, CAST(e.w AS BIGINT) AS w,
+ CASE WHEN count(*) = count(f.t) THEN coalesce(bool_or(f.t >= e.w * {STRIDE} + {STRIDE // 2} AND f.t < (e.w + 1) * {STRIDE}), false) ELSE false END AS in_commit
+ FROM evd e LEFT JOIN fr f ON f.run = e.run AND f.w = e.w AND f.i = e.e GROUP BY 1, 2""")
+def evidence_commit_flag(spark, sf_dir):
+    times = windows.evidence_times(F.col("evidence"), F.col("lookup"))
+    flag = windows.in_commit(times, F.col("w") * STRIDE + STRIDE // 2, (F.col("w") + 1) * STRIDE)
+    return _frames(spark, sf_dir).select(*_long("run", "w"), flag.alias("in_commit"))
+
+
+@query(f"""WITH {FRAMES_SQL}, m AS (SELECT run, w, min(e) AS e FROM evd GROUP BY run, w)
+ SELECT CAST(m.run AS BIGINT) AS run, CAST(m.w AS BIGINT) AS w, CAST(coalesce((SELECT max(f.t) FROM fr f WHERE f.run = m.run AND f.w = m.w AND f.i < m.e), m.w * {STRIDE}) AS BIGINT) AS lower_t FROM m""")
+def previous_sample_asof(spark, sf_dir):
+    at = windows.previous_sample(F.array_min("evidence"), F.col("frames"), F.col("w") * STRIDE)
+    return _frames(spark, sf_dir).select(*_long("run", "w"), at.cast("long").alias("lower_t"))
+
+
+# parsing and validation
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """Model answers built from conversations: bare, fenced, in prose, broken, and without JSON."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    body = F.concat(F.lit('{"id": '), F.col("conv_id").cast("string"), F.lit(', "role": "'), F.col("role"), F.lit('"}'))
+    kind = F.col("conv_id") % 5
+    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone {1}"))).when(kind == 2, F.concat(F.lit("Result "), body, F.lit(" end"))).when(kind == 3, F.concat(F.lit('{"id": '), F.col("conv_id").cast("string"), F.lit(", }"))).otherwise(F.lit("nothing"))
+    return c.select(*_long("conv_id", "turn"), raw.alias("raw"))
+
+
+_ANSWERS_SQL = """an AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, '{"id": ' || conv_id || ', "role": "' || role || '"}' AS body FROM conversations)"""
+
+
+@query(f"""WITH {_ANSWERS_SQL} SELECT conv_id, turn, CASE conv_id % 5 WHEN 4 THEN NULL WHEN 3 THEN '{{"id": ' || conv_id || ', }}' ELSE body END AS json FROM an""")
+def json_extract_fence(spark, sf_dir):
+    return _answers(spark, sf_dir).select("conv_id", "turn", obs.json_text(F.col("raw")).alias("json"))
+
+
+@query(f"""WITH {_ANSWERS_SQL} SELECT conv_id, turn, CASE conv_id % 5 WHEN 4 THEN 'no_json' ELSE 'malformed' END AS status FROM an WHERE conv_id % 5 >= 3""")
+def json_malformed_rows(spark, sf_dir):
+    return _answers(spark, sf_dir).select("conv_id", "turn", obs.parse_status(F.col("raw")).alias("status")).where("status <> 'ok'")
+
+
+@query("""SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE role END AS view_type,
+ CASE WHEN turn % 2 = 0 THEN 'partial' ELSE 'unknown' END AS scene_visibility, CASE WHEN turn % 4 = 1 THEN 'full' WHEN turn % 2 = 0 THEN 'partial' ELSE 'unknown' END AS target_visibility FROM conversations""")
+def schema_v1_to_v2(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    scene = obs.migrate_scene(F.when(F.col("turn") % 3 != 0, F.col("role")), F.when(F.col("turn") % 2 == 0, "partial"), F.lit(None), F.when(F.col("turn") % 4 == 1, "full").otherwise(F.lit("unknown")))
+    return c.select(*_long("conv_id", "turn"), scene.alias("s")).select("conv_id", "turn", "s.view_type", "s.scene_visibility", "s.target_visibility")
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT run, w, entity AS local_id, CAST(count(*) AS BIGINT) AS n FROM ob GROUP BY ALL HAVING count(*) > 1")
+def validate_unique_ids(spark, sf_dir):
+    return obs.duplicate_ids(observed(spark, sf_dir).withColumnRenamed("entity", "local_id"), ["run", "w", "local_id"])
+
+
+@query(f"WITH {OBSERVED_SQL}, r AS (SELECT event_id, run, w, entity + 8 * (k % 3) AS target FROM ob) SELECT event_id, run, w, CAST(target AS BIGINT) AS target FROM r WHERE NOT EXISTS (SELECT 1 FROM ob o WHERE o.run = r.run AND o.w = r.w AND o.entity = r.target)")
+def validate_refs(spark, sf_dir):
+    o = observed(spark, sf_dir)
+    refs = o.select("event_id", "run", "w", (F.col("entity") + 8 * (F.col("k") % 3)).cast("long").alias("target"))
+    return obs.dangling(refs, "target", o, ["run", "w"], "entity").select("event_id", "run", "w", "target")
+
+
+@query(f"WITH {FRAMES_SQL} SELECT CAST(run AS BIGINT) AS run, CAST(w AS BIGINT) AS w, bool_or(k % 5 >= n) AS out_of_bounds FROM (SELECT *, count(*) OVER (PARTITION BY run, w) AS n FROM fr) GROUP BY 1, 2")
+def validate_evidence_bounds(spark, sf_dir):
+    return _frames(spark, sf_dir).select(*_long("run", "w"), obs.bad_evidence(F.col("evidence"), F.size("frames")).alias("out_of_bounds"))
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT event_id, run, w, entity, CAST(k % 6 AS BIGINT) AS attribute FROM (SELECT *, row_number() OVER (PARTITION BY run, w, entity, k % 6 ORDER BY event_id) AS r FROM ob) WHERE r > 1")
+def validate_dup_attributes(spark, sf_dir):
+    o = observed(spark, sf_dir).withColumn("attribute", (F.col("k") % 6).cast("long"))
+    return obs.repeats(o, ["run", "w", "entity", "attribute"], ["event_id"]).select("event_id", "run", "w", "entity", "attribute")
+
+
+#: Families of the actions that events stand for.
+_FAMILIES = {"press": "control", "inspect": "perception", "operate": "control", "record": "communication", "other": "other", "unknown": "unknown"}
+
+
+def _normalized(spark, sf_dir) -> DataFrame:
+    actions, aliases = vocabulary.actions(spark, _FAMILIES, ACTION_OF)
+    return obs.normalize_actions(observed(spark, sf_dir), actions, aliases, raw="kind")
+
+
+_ACTION_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTION_OF.items()) + " ELSE 'other' END"
+_STATUS_SQL = f"CASE WHEN kind IN ({', '.join(repr(k) for k in ACTION_OF)}) THEN 'alias_mapped' ELSE 'out_of_vocabulary' END"
+_FAMILY_SQL = f"CASE {_ACTION_SQL} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FAMILIES.items()) + " END"
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT event_id, {_ACTION_SQL} AS action_type, {_FAMILY_SQL} AS action_family, {_STATUS_SQL} AS normalization_status FROM ob")
+def normalize_actions(spark, sf_dir):
+    return _normalized(spark, sf_dir).select("event_id", "action_type", "action_family", "normalization_status")
+
+
+#: Attributes of the query, with their types and values.
+_ATTRIBUTES = {
+    "door": {"entity_types": ["t0", "t1"], "values": ["click", "view"], "aliases": ["a0", "a1"]},
+    "light": {"entity_types": ["t1", "t2"], "values": ["purchase", "view", "signup"], "aliases": ["a2"]},
+}
+
+
+@query(f"""WITH {OBSERVED_SQL}, n AS (SELECT event_id, kind AS value, 't' || (entity % 3) AS et, CASE k % 4 WHEN 0 THEN 'door' WHEN 1 THEN 'door' WHEN 2 THEN 'light' ELSE 'a3' END AS attribute_key FROM ob)
+ SELECT event_id, attribute_key, CASE WHEN attribute_key = 'a3' THEN 'out_of_vocabulary'
+  WHEN NOT ((attribute_key = 'door' AND et IN ('t0', 't1')) OR (attribute_key = 'light' AND et IN ('t1', 't2'))) THEN 'invalid_for_entity_type'
+  WHEN NOT ((attribute_key = 'door' AND value IN ('click', 'view')) OR (attribute_key = 'light' AND value IN ('purchase', 'view', 'signup'))) THEN 'out_of_vocabulary'
+  ELSE 'alias_mapped' END AS normalization_status FROM n""")
+def normalize_attributes(spark, sf_dir):
+    specs, aliases = vocabulary.attributes(spark, _ATTRIBUTES)
+    o = observed(spark, sf_dir).select("event_id", F.col("kind").alias("value"), F.concat(F.lit("t"), (F.col("entity") % 3).cast("string")).alias("entity_type"), F.concat(F.lit("a"), (F.col("k") % 4).cast("string")).alias("raw_attribute"))
+    return obs.normalize_attributes(o, specs, aliases).select("event_id", "attribute_key", "normalization_status")
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT run, CAST(count(*) FILTER ({_STATUS_SQL} = 'out_of_vocabulary') AS BIGINT) AS oov, round(count(*) FILTER ({_STATUS_SQL} = 'out_of_vocabulary') / count(*), 9) AS oov_rate FROM ob GROUP BY run")
+def oov_rates(spark, sf_dir):
+    n = F.count_if(F.col("normalization_status") == "out_of_vocabulary")
+    return _normalized(spark, sf_dir).groupBy("run").agg(n.alias("oov"), F.round(reports.rate(n, F.count("*")), 9).alias("oov_rate"))
+
+
+@query(f"""WITH {OBSERVED_SQL}, h AS (SELECT event_id, run, w, entity % 3 AS et, entity + 8 * (k % 4) AS hint FROM ob), c AS (SELECT DISTINCT run, w + 1 AS w, entity, entity % 3 AS et FROM ob)
+ SELECT h.event_id, CAST(CASE WHEN c.entity IS NOT NULL AND c.et = h.et THEN h.hint END AS BIGINT) AS clean_hint, CASE WHEN c.entity IS NULL THEN 'not_in_context' WHEN c.et <> h.et THEN 'type_mismatch' END AS hint_warning
+ FROM h LEFT JOIN c ON c.run = h.run AND c.w = h.w AND c.entity = h.hint""")
+def hint_sanitize(spark, sf_dir):
+    o = observed(spark, sf_dir).withColumn("entity_type", F.col("entity") % 3)
+    known = o.select("run", (F.col("w") + 1).alias("w"), F.col("entity").alias("entity_id"), "entity_type").distinct()
+    hinted = o.select("event_id", "run", "w", "entity_type", (F.col("entity") + 8 * (F.col("k") % 4)).cast("long").alias("hint"))
+    return obs.sanitize_hints(hinted, known, ["run", "w"]).select("event_id", "clean_hint", "hint_warning")
+
+
+# entity resolution
+
+_CONFIG = resolution.ResolutionConfig()
+
+
+def _name(kind):
+    return F.when(kind == "error", "unknown").otherwise(kind)
+
+
+def _sightings(spark, sf_dir) -> DataFrame:
+    """One row a run, step and entity: what its last event there says."""
+    o = observed(spark, sf_dir)
+    last = F.max_by(F.struct("kind", "k"), F.struct("t", "event_id"))
+    s = o.groupBy("run", "w", "entity").agg(last.alias("x"))
+    region = F.when(F.col("x.k") % 4 == 0, "unknown").otherwise(F.concat(F.lit("r"), (F.col("x.k") % 4).cast("string")))
+    return s.select("run", "w", F.col("entity").alias("entity_id"), (F.col("entity") % 3).alias("entity_type"), _name(F.col("x.kind")).alias("last_name"), (F.col("x.k") % 5).alias("last_look"), region.alias("last_region"))
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    o = observed(spark, sf_dir)
+    region = F.when(F.col("k") % 4 == 0, "unknown").otherwise(F.concat(F.lit("r"), (F.col("k") % 4).cast("string")))
+    seen = o.select("run", "w", F.col("event_id").alias("local_id"), (F.col("entity") % 3).alias("entity_type"), _name(F.col("kind")).alias("name"), (F.col("k") % 5).alias("look"), region.alias("region"), "confidence")
+    return resolution.candidates(seen, _sightings(spark, sf_dir), _CONFIG.max_missing)
+
+
+PAIRS_SQL = OBSERVED_SQL + """, si AS (SELECT run, w, entity AS entity_id, entity % 3 AS et, arg_max(CASE WHEN kind = 'error' THEN 'unknown' ELSE kind END, (t, event_id)) AS last_name, arg_max(k, (t, event_id)) AS lk FROM ob GROUP BY ALL),
+ sn AS (SELECT *, lead(w) OVER (PARTITION BY run, entity_id ORDER BY w) AS nw FROM si),
+ pr AS (SELECT o.run, o.w, o.event_id AS local_id, s.entity_id, s.w AS last_seen, CASE WHEN o.kind = 'error' THEN 'unknown' ELSE o.kind END AS name, s.last_name, o.k, s.lk, o.confidence
+        FROM ob o JOIN sn s ON s.run = o.run AND s.et = o.entity % 3 AND s.w < o.w AND o.w <= coalesce(s.nw, 1000000000) AND o.w - s.w <= 10),
+ sc AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+   0.0::DOUBLE + 0.3::DOUBLE * (CASE WHEN name = 'unknown' OR last_name = 'unknown' THEN 0.5::DOUBLE WHEN name = last_name THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+   + 0.25::DOUBLE * (CASE WHEN k % 5 = lk % 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+   + 0.15::DOUBLE * (CASE WHEN k % 4 = 0 OR lk % 4 = 0 OR k % 4 = lk % 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+   + 0.15::DOUBLE * 0.5::DOUBLE
+   + 0.1::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - greatest(0, w - 1 - last_seen) / 11.0::DOUBLE))) AS score0 FROM pr),
+ scr AS (SELECT *, round(score0, 6) AS score FROM sc)"""
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    p = _pairs(spark, sf_dir)
+    look = lambda c: F.create_map(F.lit("look"), F.col(c).cast("string"))
+    parts = {
+        "name": resolution.name_score(F.col("name"), F.col("last_name")),
+        "appearance": resolution.appearance_score(look("look"), look("last_look"), F.col("confidence")),
+        "spatial": resolution.spatial_score(F.col("region"), F.col("last_region")),
+        "relation": resolution.relation_score(F.lit(0), F.lit(0)),
+        "recency": resolution.recency_score(F.col("w") - 1, F.col("last_seen"), _CONFIG.max_missing),
+        "hint": F.lit(0.0),
+    }
+    return p.withColumn("score", F.round(resolution.total_score(parts), 6))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT run, w, local_id, entity_id, CAST(last_seen AS BIGINT) AS last_seen FROM pr")
+def candidate_blocking(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(*_long("run", "w", "local_id", "entity_id", "last_seen"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT run, w, local_id, entity_id, score FROM scr")
+def pair_scoring(spark, sf_dir):
+    return _scored(spark, sf_dir).select(*_long("run", "w", "local_id", "entity_id"), "score")
+
+
+@query(f"""WITH {PAIRS_SQL}, rj AS (SELECT run, w, local_id, entity_id, concat_ws(',',
+  CASE WHEN regexp_matches('cabinet ' || (k % 3), '[0-9]') AND k % 3 <> lk % 3 THEN 'numeric_name_conflict' END,
+  CASE WHEN k % 7 = 0 AND entity_id % 16 <> 3 THEN 'hint_points_elsewhere' END,
+  CASE WHEN w - 1 = last_seen AND k % 4 <> 0 AND lk % 4 <> 0 AND k % 4 <> lk % 4 THEN 'spatial_jump' END) AS reasons FROM pr)
+ SELECT run, w, local_id, entity_id, reasons FROM rj WHERE reasons <> ''""")
+def hard_rejects(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    # numbers in names: made from k; a hint that only entities with id % 16 = 3 meet
+    o = observed(spark, sf_dir).select(F.col("event_id").alias("local_id"), F.col("k").alias("ok"))
+    s = observed(spark, sf_dir).groupBy("run", "w", "entity").agg(F.max_by("k", F.struct("t", "event_id")).alias("lk")).select("run", F.col("w").alias("last_seen"), F.col("entity").alias("entity_id"), "lk")
+    p = p.join(o, "local_id").join(s, ["run", "last_seen", "entity_id"])
+    named = lambda k: F.concat(F.lit("cabinet "), (F.col(k) % 3).cast("string"))
+    hint = F.when(F.col("ok") % 7 == 0, F.when(F.col("entity_id") % 16 == 3, F.col("entity_id")).otherwise(F.lit(-1)))
+    reasons = resolution.reject_reasons(F.col("entity_type"), F.col("entity_type"), named("ok"), named("lk"), hint, F.col("entity_id"), F.lit(None).cast("long"), F.lit(False), F.lit(True), F.col("w") - 1 == F.col("last_seen"), F.col("region"), F.col("last_region"))
+    return p.select(*_long("run", "w", "local_id", "entity_id"), F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
+
+
+GREEDY_SQL = PAIRS_SQL + """, od AS (SELECT run, w, local_id, entity_id, score, row_number() OVER (PARTITION BY run, w ORDER BY score DESC, local_id, entity_id) AS r FROM scr)"""
+_GREEDY = f"""WITH RECURSIVE {GREEDY_SQL},
+ gr AS (SELECT run, w, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS gs, CAST(NULL AS BIGINT) AS local_id, CAST(NULL AS BIGINT) AS entity_id, CAST(NULL AS DOUBLE) AS score FROM od WHERE r = 1
+  UNION ALL SELECT o.run, o.w, o.r, CASE WHEN list_contains(g.ls, o.local_id) OR list_contains(g.gs, o.entity_id) THEN g.ls ELSE list_append(g.ls, o.local_id) END,
+   CASE WHEN list_contains(g.ls, o.local_id) OR list_contains(g.gs, o.entity_id) THEN g.gs ELSE list_append(g.gs, o.entity_id) END,
+   CASE WHEN list_contains(g.ls, o.local_id) OR list_contains(g.gs, o.entity_id) THEN NULL ELSE o.local_id END, o.entity_id, o.score
+  FROM gr g JOIN od o ON o.run = g.run AND o.w = g.w AND o.r = g.r + 1),
+ gm AS (SELECT run, w, local_id, entity_id, score FROM gr WHERE local_id IS NOT NULL)"""
+
+
+@query(f"{_GREEDY} SELECT run, w, local_id, entity_id, score FROM gm")
+def greedy_assignment(spark, sf_dir):
+    return resolution.greedy_match(_scored(spark, sf_dir), ["run", "w"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "entity_id"), "score")
+
+
+@query(f"""{_GREEDY}, b AS (SELECT run, w, local_id, list(score ORDER BY score DESC) AS s FROM scr GROUP BY ALL),
+ j AS (SELECT b.*, gm.entity_id AS selected, gm.score AS best FROM b LEFT JOIN gm ON gm.run = b.run AND gm.w = b.w AND gm.local_id = b.local_id)
+ SELECT run, w, local_id, CAST(selected AS BIGINT) AS selected, CASE WHEN selected IS NULL THEN 'created' WHEN len(s) > 1 AND best - s[2] < 0.08::DOUBLE THEN 'ambiguous' WHEN best >= 0.78::DOUBLE THEN 'matched' WHEN best >= 0.58::DOUBLE THEN 'ambiguous' ELSE 'created' END AS status FROM j""")
+def status_decision(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    matched = resolution.greedy_match(scored, ["run", "w"], "local_id", "entity_id", "score")
+    return resolution.decide(matched, scored, ["run", "w"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "selected"), "status")
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT run, entity, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(min(t) AS BIGINT) AS first_t, CAST(max(t) AS BIGINT) AS last_t, max(confidence) AS confidence, arg_min(kind, (t, event_id)) FILTER (kind <> 'error') AS name FROM ob GROUP BY run, entity")
+def entity_first_last_seen(spark, sf_dir):
+    name = F.min_by(F.when(F.col("kind") != "error", F.col("kind")), F.when(F.col("kind") != "error", F.struct("t", "event_id")))
+    return observed(spark, sf_dir).groupBy("run", "entity").agg(F.min("w").alias("first_w"), F.max("w").alias("last_w"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.max("confidence").alias("confidence"), name.alias("name"))
+
+
+def _steps(spark, sf_dir) -> DataFrame:
+    """run, w, camera_change of every step with events."""
+    return observed(spark, sf_dir).groupBy("run", "w").agg((F.count_if(F.col("kind") == "error") >= 2).alias("camera_change"))
+
+
+STEPS_SQL = OBSERVED_SQL + ", st AS (SELECT run, w, count(*) FILTER (kind = 'error') >= 2 AS camera_change FROM ob GROUP BY run, w)"
+
+
+@query(f"""WITH {STEPS_SQL}, fi AS (SELECT run, entity, min(w) AS f FROM ob GROUP BY ALL), se AS (SELECT DISTINCT run, entity, w FROM ob),
+ gd AS (SELECT st.run, fi.entity, st.w, st.camera_change, se.w IS NOT NULL AS seen FROM st JOIN fi ON fi.run = st.run AND st.w >= fi.f LEFT JOIN se ON se.run = st.run AND se.entity = fi.entity AND se.w = st.w),
+ la AS (SELECT *, max(CASE WHEN seen THEN w END) OVER (PARTITION BY run, entity ORDER BY w) AS lw FROM gd),
+ ms AS (SELECT run, entity, w, seen, CAST(count(*) FILTER (NOT seen AND NOT camera_change) OVER (PARTITION BY run, entity, lw ORDER BY w) AS BIGINT) AS missed FROM la)
+ SELECT *, CASE WHEN missed = 0 THEN 'active' WHEN missed > 10 THEN 'inactive' ELSE 'temporarily_missing' END AS state FROM ms""")
+def entity_missing_status(spark, sf_dir):
+    steps = _steps(spark, sf_dir).select("run", "w", F.col("camera_change").alias("suppressed"))
+    return tracking.missing_status(observed(spark, sf_dir), steps, "entity", 10).select("run", "entity", "w", "seen", "missed", "state")
+
+
+@query(f"""WITH {OBSERVED_SQL}, f AS (SELECT run, entity, k % 3 AS key, first(kind ORDER BY t, event_id) AS v, arg_min(kind, (t, event_id)) AS signature FROM ob WHERE confidence >= 0.5 GROUP BY ALL)
+ SELECT f.run, f.entity, CAST(f.key AS BIGINT) AS look_key, f.signature, CAST(count(*) FILTER (o.kind <> f.signature) AS BIGINT) AS conflicts FROM f JOIN ob o ON o.run = f.run AND o.entity = f.entity AND o.k % 3 = f.key AND o.confidence >= 0.5 GROUP BY ALL""")
+def entity_appearance_conflicts(spark, sf_dir):
+    sure = observed(spark, sf_dir).where("confidence >= 0.5").withColumn("look_key", (F.col("k") % 3).cast("long"))
+    w = Window.partitionBy("run", "entity", "look_key").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sure.withColumn("signature", F.first("kind").over(w)).groupBy("run", "entity", "look_key", "signature").agg(F.count_if(F.col("kind") != F.col("signature")).alias("conflicts"))
+
+
+@query(f"""WITH {OBSERVED_SQL}, p AS (SELECT DISTINCT run, w, entity, k % 4 AS place FROM ob), e AS (SELECT a.run, a.w, a.place, a.entity AS s, b.entity AS o FROM p a JOIN p b ON a.run = b.run AND a.w = b.w AND a.place = b.place AND a.entity < b.entity)
+ SELECT run, w, CAST(place AS BIGINT) AS place, s AS entity, o AS partner FROM e UNION ALL SELECT run, w, CAST(place AS BIGINT), o, s FROM e""")
+def relation_history(spark, sf_dir):
+    p = observed(spark, sf_dir).select("run", "w", "entity", (F.col("k") % 4).cast("long").alias("place")).distinct()
+    e = p.join(p.withColumnRenamed("entity", "partner"), ["run", "w", "place"]).where("entity < partner")
+    return e.select("run", "w", "place", "entity", "partner").unionByName(e.select("run", "w", "place", F.col("partner").alias("entity"), F.col("entity").alias("partner")))
+
+
+# scenes, actions, attributes
+
+
+@query(f"""WITH {STEPS_SQL}, s AS (SELECT run, w, camera_change, CAST(sum(CASE WHEN camera_change OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY w) AS BIGINT) AS scene_index FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY w) AS rn FROM st))
+ SELECT run, w, camera_change, scene_index, 'scene_' || lpad(CAST(scene_index AS VARCHAR), 4, '0') AS scene_id FROM s""")
+def scene_segments(spark, sf_dir):
+    return tracking.scene_segments(_steps(spark, sf_dir)).select("run", "w", "camera_change", "scene_index", "scene_id")
+
+
+def _acts(spark, sf_dir) -> DataFrame:
+    """One action a run, entity, type and step, with its scene."""
+    a = observed(spark, sf_dir).groupBy("run", "entity", "kind", "w").agg(F.max("t").alias("t"), F.min("t").alias("t0"), F.max("confidence").alias("confidence"))
+    return a.join(tracking.scene_segments(_steps(spark, sf_dir)).select("run", "w", "scene_index"), ["run", "w"])
+
+
+_ACTS = tracking.ActionConfig(repeat_min_gap=6 * 3_600_000_000)
+ACTS_SQL = STEPS_SQL + f""", sg AS (SELECT run, w, sum(CASE WHEN camera_change OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY w) AS scene_index FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY w) AS rn FROM st)),
+ ac AS (SELECT o.run, o.entity, o.kind, o.w, max(t) AS t, min(t) AS t0, max(confidence) AS confidence, any_value(sg.scene_index) AS scene_index FROM ob o JOIN sg ON sg.run = o.run AND sg.w = o.w GROUP BY ALL),
+ ag AS (SELECT *, CASE WHEN w - lag(w) OVER p <= 2 AND t - lag(t) OVER p < {_ACTS.repeat_min_gap} AND scene_index = lag(scene_index) OVER p THEN 0 ELSE 1 END AS fresh FROM ac WINDOW p AS (PARTITION BY run, entity, kind ORDER BY w)),
+ ai AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run, entity, kind ORDER BY w) AS BIGINT) AS island FROM ag)"""
+
+
+@query(f"""WITH {ACTS_SQL} SELECT run, entity, kind, island, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(count(*) AS BIGINT) AS windows, max(confidence) AS confidence FROM ai GROUP BY run, entity, kind, island""")
+def action_lifecycle(spark, sf_dir):
+    return tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS).groupBy("run", "entity", "kind", "island").agg(F.min("w").alias("first_w"), F.max("w").alias("last_w"), F.count("*").alias("windows"), F.max("confidence").alias("confidence"))
+
+
+@query(f"""WITH {ACTS_SQL} SELECT a.run, a.entity, a.kind, a.island, CAST(coalesce((SELECT max(o.t) FROM ob o WHERE o.run = a.run AND o.w = a.w AND o.t < a.t0), a.w * {STRIDE}) AS BIGINT) AS lower_t, CAST(a.t0 AS BIGINT) AS upper_t FROM ai a WHERE a.fresh = 1""")
+def action_start_interval(spark, sf_dir):
+    acts = tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS)
+    heads = acts.withColumn("r", F.row_number().over(Window.partitionBy("run", "entity", "kind", "island").orderBy("w"))).where("r = 1")
+    frames = observed(spark, sf_dir).groupBy("run", "w").agg(F.collect_set("t").alias("ts"))
+    at = F.coalesce(F.array_max(F.filter("ts", lambda t: t < F.col("t0"))), F.col("w") * STRIDE)
+    return heads.join(frames, ["run", "w"]).select("run", "entity", "kind", "island", at.cast("long").alias("lower_t"), F.col("t0").alias("upper_t"))
+
+
+@query(f"""WITH {ACTS_SQL}, l AS (SELECT run, entity, kind, island, max(w) AS last_w, lead(max(w)) OVER (PARTITION BY run, entity, kind ORDER BY island) AS nxt FROM ai GROUP BY run, entity, kind, island),
+ m AS (SELECT l.*, (SELECT count(*) FROM st WHERE st.run = l.run AND st.w > l.last_w AND NOT st.camera_change) AS missed FROM l)
+ SELECT run, entity, kind, island, CASE WHEN missed = 0 THEN 'ongoing' WHEN missed < 2 THEN 'possible_ended' ELSE 'ended' END AS state FROM m""")
+def action_end_state(spark, sf_dir):
+    """State of every lifecycle at the end of its run: windows without a camera change after its last sighting count."""
+    acts = tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS).groupBy("run", "entity", "kind", "island").agg(F.max("w").alias("last_w"))
+    w = Window.partitionBy("run").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
+    after = _steps(spark, sf_dir).withColumn("missed", F.coalesce(F.count_if(~F.col("camera_change")).over(w), F.lit(0))).select("run", F.col("w").alias("last_w"), "missed")
+    state = F.when(F.col("missed") == 0, "ongoing").when(F.col("missed") < _ACTS.end_missing, "possible_ended").otherwise("ended")
+    return acts.join(after, ["run", "last_w"]).select("run", "entity", "kind", "island", state.alias("state"))
+
+
+def _attribute_rows(spark, sf_dir) -> DataFrame:
+    """One observation a run, attribute and step, of ids k % 6; every fourth is context only, even entities act."""
+    o = observed(spark, sf_dir).withColumn("attribute", (F.col("k") % 6).cast("long"))
+    last = o.groupBy("run", "attribute", "w").agg(F.max_by(F.struct("kind", "confidence", "event_id", "entity"), F.struct("t", "event_id")).alias("x"))
+    return last.select("run", "attribute", "w", F.when(F.col("x.kind").isin("click", "view"), "open").otherwise("closed").alias("v"), F.least(F.lit(1.0), F.col("x.confidence") * 2).alias("c"), (F.col("x.event_id") % 4 != 0).alias("in_commit"), (F.col("x.entity") % 2 == 0).alias("acted"), (F.col("attribute") == 3).alias("single_high"))
+
+
+_FSM_SQL = f"""WITH RECURSIVE {OBSERVED_SQL}, la AS (SELECT run, k % 6 AS attribute, w, arg_max(kind, (t, event_id)) AS kind, arg_max(confidence, (t, event_id)) AS conf, arg_max(event_id, (t, event_id)) AS eid, arg_max(entity, (t, event_id)) AS ent FROM ob GROUP BY ALL),
+ xo AS (SELECT run, attribute, w, CASE WHEN kind IN ('click', 'view') THEN 'open' ELSE 'closed' END AS v, least(1.0::DOUBLE, conf * 2) AS c, eid % 4 <> 0 AS com, ent % 2 = 0 AS act, attribute = 3 AS sh, row_number() OVER (PARTITION BY run, attribute ORDER BY w) AS r FROM la),
+ fs AS (SELECT run, attribute, w, r, CASE WHEN c < 0.6::DOUBLE THEN 'observed' WHEN c >= 0.85::DOUBLE THEN 'confirmed' ELSE 'pending' END AS status, v AS value, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN v END AS pend, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN 1 ELSE 0 END AS chain,
+   CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN w END AS ls, c >= 0.85::DOUBLE AS ever, CASE WHEN c < 0.6::DOUBLE THEN 'attribute_observed' WHEN c >= 0.85::DOUBLE THEN 'attribute_initialized' ELSE 'attribute_pending' END AS event FROM xo WHERE r = 1
+  UNION ALL SELECT run, attribute, w, r,
+   CASE kind WHEN 'conflict' THEN 'conflicted' WHEN 'confirm' THEN 'confirmed' WHEN 'init' THEN 'confirmed' WHEN 'restart' THEN 'pending' ELSE status END,
+   CASE WHEN kind IN ('direct', 'chainmove', 'confirm', 'init', 'restart') THEN v ELSE value END,
+   CASE WHEN kind IN ('same', 'direct', 'chainmove', 'confirm', 'init') THEN NULL WHEN kind IN ('start', 'restart') THEN v ELSE pend END,
+   CASE WHEN kind IN ('same', 'direct', 'chainmove', 'confirm', 'init') THEN 0 WHEN kind IN ('start', 'restart') THEN 1 WHEN kind = 'wait' THEN nchain ELSE chain END,
+   CASE WHEN kind IN ('same', 'direct', 'chainmove', 'confirm', 'init') THEN NULL WHEN kind IN ('start', 'restart', 'wait') THEN w ELSE ls END,
+   ever OR kind IN ('confirm', 'init'),
+   CASE kind WHEN 'low' THEN 'attribute_observed' WHEN 'direct' THEN 'attribute_transition' WHEN 'chainmove' THEN 'attribute_transition' WHEN 'confirm' THEN 'attribute_confirmed' WHEN 'wait' THEN 'attribute_pending' WHEN 'start' THEN 'attribute_pending' WHEN 'restart' THEN 'attribute_pending' WHEN 'conflict' THEN 'attribute_conflict' WHEN 'init' THEN 'attribute_initialized' END
+  FROM (SELECT *, CASE WHEN c < 0.6::DOUBLE THEN 'low' WHEN status = 'confirmed' THEN (CASE WHEN v = value THEN 'same' WHEN com AND c >= 0.85::DOUBLE AND (act OR sh) THEN 'direct' WHEN v = pend AND nchain >= 2 AND com THEN 'chainmove' WHEN v = pend THEN 'wait' WHEN pend IS NOT NULL THEN 'conflict' ELSE 'start' END)
+     WHEN status = 'pending' THEN (CASE WHEN v = pend AND nchain >= 2 AND com THEN 'confirm' WHEN v = pend THEN 'wait' ELSE 'conflict' END)
+     WHEN status = 'observed' THEN (CASE WHEN c >= 0.85::DOUBLE THEN 'init' ELSE 'restart' END) ELSE 'none' END AS kind
+   FROM (SELECT x.run, x.attribute, x.w, x.r, x.v, x.c, x.com, x.act, x.sh,
+     CASE WHEN late AND f.status = 'pending' THEN (CASE WHEN f.ever THEN 'confirmed' ELSE 'observed' END) ELSE f.status END AS status, f.value, CASE WHEN late THEN NULL ELSE f.pend END AS pend, CASE WHEN late THEN 0 ELSE f.chain END AS chain, CASE WHEN late THEN NULL ELSE f.ls END AS ls, f.ever,
+     CASE WHEN f.ls = x.w - 1 THEN f.chain + 1 ELSE 1 END AS nchain
+    FROM (SELECT fs.*, nx.w AS nw, nx.c AS nc, coalesce(nx.c >= 0.6::DOUBLE AND fs.pend IS NOT NULL AND nx.w - fs.ls > 1 AND fs.status <> 'conflicted', false) AS late FROM fs JOIN xo nx ON nx.run = fs.run AND nx.attribute = fs.attribute AND nx.r = fs.r + 1) f JOIN xo x ON x.run = f.run AND x.attribute = f.attribute AND x.r = f.r + 1)))"""
+
+
+@query(f"{_FSM_SQL} SELECT run, CAST(attribute AS BIGINT) AS attribute, w, status, value, pend AS pending, event FROM fs")
+def attribute_fsm(spark, sf_dir):
+    return tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"]).select("run", "attribute", "w", "status", "value", "pending", "event")
+
+
+@query(f"{_FSM_SQL} SELECT run, CAST(attribute AS BIGINT) AS attribute, w, lag(value) OVER (PARTITION BY run, attribute ORDER BY w) AS before, value AS after FROM fs QUALIFY event = 'attribute_transition'")
+def attribute_transitions(spark, sf_dir):
+    s = tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"])
+    before = F.lag("value").over(Window.partitionBy("run", "attribute").orderBy("w"))
+    return s.withColumn("before", before).where("event = 'attribute_transition'").select("run", "attribute", "w", "before", F.col("value").alias("after"))
+
+
+@query(f"WITH {OBSERVED_SQL}, d AS (SELECT DISTINCT run, entity, kind, w FROM ob), g AS (SELECT *, w - row_number() OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM d) SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(count(*) AS BIGINT) AS windows FROM g GROUP BY run, entity, kind, g")
+def attribute_support_chains(spark, sf_dir):
+    return tracking.support_chains(observed(spark, sf_dir), ["run", "entity", "kind"])
+
+
+@query(f"""WITH {OBSERVED_SQL}, a AS (SELECT DISTINCT run, w, entity, kind FROM ob) SELECT o.event_id, EXISTS (SELECT 1 FROM a WHERE a.run = o.run AND a.w = o.w AND a.kind = 'click' AND a.entity IN (o.entity, o.entity + 8, o.entity + 16)) AS supported FROM ob o WHERE o.kind = 'view'""")
+def attribute_action_support(spark, sf_dir):
+    """Whether a supporting action of the step has the observed entity as actor, target or tool."""
+    o = observed(spark, sf_dir)
+    roles = o.where("kind = 'click'").select("run", "w", F.explode(F.array("entity", F.col("entity") - 8, F.col("entity") - 16)).alias("entity"), F.lit(True).alias("supported")).distinct()
+    return o.where("kind = 'view'").join(roles, ["run", "w", "entity"], "left").select("event_id", F.coalesce("supported", F.lit(False)).alias("supported"))
+
+
+# deltas, context, reports
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT run, w, array_to_string(list_sort(list(DISTINCT entity)), ',') AS entities, array_to_string(list_sort(list(DISTINCT kind)), ',') AS actions, CAST(count(*) AS BIGINT) AS events FROM ob GROUP BY run, w")
+def state_delta(spark, sf_dir):
+    return observed(spark, sf_dir).groupBy("run", "w").agg(F.array_join(F.transform(F.array_sort(F.collect_set("entity")), lambda x: x.cast("string")), ",").alias("entities"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("actions"), F.count("*").alias("events"))
+
+
+@query(f"WITH {STEPS_SQL}, n AS (SELECT run, w, row_number() OVER (PARTITION BY run ORDER BY w) AS n, lead(w) OVER (PARTITION BY run ORDER BY w) IS NULL AS final FROM st) SELECT run, w, n, final FROM n WHERE n % 10 = 0 OR final")
+def snapshot_schedule(spark, sf_dir):
+    return reports.snapshot_windows(_steps(spark, sf_dir), 10).select("run", "w", "n", "final")
+
+
+def _entities(spark, sf_dir) -> DataFrame:
+    e = observed(spark, sf_dir).groupBy("run", "entity").agg(F.max("w").alias("last_w"), F.max_by("kind", F.struct("t", "event_id")).alias("kind"), F.count("*").alias("n"))
+    return e.withColumn("related", F.col("kind") == "click")
+
+
+_ENTITIES_SQL = OBSERVED_SQL + ", en AS (SELECT run, entity, max(w) AS last_w, arg_max(kind, (t, event_id)) AS kind, count(*) AS n, arg_max(kind, (t, event_id)) = 'click' AS related FROM ob GROUP BY run, entity)"
+_TOP = [F.desc("related"), F.desc("last_w"), F.asc("entity")]
+
+
+@query(f"WITH {_ENTITIES_SQL} SELECT run, entity, CAST(last_w AS BIGINT) AS last_w, related, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, entity) AS rank FROM en) WHERE rank <= 15")
+def context_entities_topk(spark, sf_dir):
+    return reports.top_k(_entities(spark, sf_dir), ["run"], _TOP, 15).select("run", "entity", "last_w", "related", "rank")
+
+
+@query(f"WITH {ACTS_SQL}, q AS (SELECT run, entity, kind, island, CAST(max(w) AS BIGINT) AS last_w FROM ai GROUP BY run, entity, kind, island) SELECT run, entity, kind, last_w, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY last_w DESC, entity, kind, island) AS rank FROM q) WHERE rank <= 8")
+def context_actions_topk(spark, sf_dir):
+    return reports.top_k(action_lifecycle(spark, sf_dir), ["run"], [F.desc("last_w"), F.asc("entity"), F.asc("kind"), F.asc("island")], 8).select("run", "entity", "kind", "last_w", "rank")
+
+
+@query(f"{_FSM_SQL}, l AS (SELECT run, attribute, arg_max(status, w) AS status, arg_max(pend, w) AS pend FROM fs GROUP BY ALL) SELECT run, CAST(attribute AS BIGINT) AS attribute, pend AS pending, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY attribute) AS rank FROM l WHERE status = 'pending') WHERE rank <= 8")
+def context_pending_topk(spark, sf_dir):
+    s = tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"])
+    last = s.groupBy("run", "attribute").agg(F.max_by(F.struct("status", "pending"), "w").alias("x")).select("run", "attribute", "x.*").where("status = 'pending'")
+    return reports.top_k(last, ["run"], [F.asc("attribute")], 8).select("run", "attribute", "pending", "rank")
+
+
+@query(f"""WITH {_ENTITIES_SQL}, it AS (SELECT run, entity, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, entity) AS rank, '{{"entity":' || entity || ',"kind":"' || kind || '","n":' || n || '}}' AS item FROM en),
+ us AS (SELECT *, sum(length(item) + 1) OVER (PARTITION BY run ORDER BY rank) AS used, sum(length(item) + 1) OVER (PARTITION BY run) > 600 AS truncated FROM it) SELECT run, entity, CAST(used AS BIGINT) AS used, truncated FROM us WHERE used <= 600""")
+def context_budget(spark, sf_dir):
+    items = _entities(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(*_TOP)))
+    return reports.within_budget(items, ["run"], ["rank"], F.length(F.to_json(F.struct("entity", "kind", "n"))), 600).select("run", "entity", "used", "truncated")
+
+
+@query("""WITH a AS (SELECT 0 AS o, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 1, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber = 2)
+ SELECT CAST(o AS BIGINT) AS run_order, CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(row_number() OVER (ORDER BY o, l_orderkey) - 1 AS BIGINT) AS window_index FROM a""")
+def merge_runs(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_long("l_orderkey", "l_linenumber"))
+    return reports.merge_runs([li.where("l_linenumber = 1"), li.where("l_linenumber = 2")], ["l_orderkey"]).select("run_order", "l_orderkey", "window_index")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def report_event_counts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_GREEDY}, b AS (SELECT run, w, local_id, list(score ORDER BY score DESC) AS s FROM scr GROUP BY ALL),
+ j AS (SELECT b.*, gm.entity_id AS selected, gm.score AS best FROM b LEFT JOIN gm ON gm.run = b.run AND gm.w = b.w AND gm.local_id = b.local_id),
+ s AS (SELECT run, CASE WHEN selected IS NULL THEN 'created' WHEN len(s) > 1 AND best - s[2] < 0.08::DOUBLE THEN 'ambiguous' WHEN best >= 0.78::DOUBLE THEN 'matched' WHEN best >= 0.58::DOUBLE THEN 'ambiguous' ELSE 'created' END AS status FROM j)
+ SELECT run, CAST(count(*) FILTER (status = 'matched') AS BIGINT) AS matched, CAST(count(*) FILTER (status = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (status = 'ambiguous') AS BIGINT) AS ambiguous, round(count(*) FILTER (status = 'ambiguous') / count(*), 9) AS ambiguous_rate FROM s GROUP BY run""")
+def report_resolution_rates(spark, sf_dir):
+    n = {s: F.count_if(F.col("status") == s) for s in ("matched", "created", "ambiguous")}
+    return status_decision(spark, sf_dir).groupBy("run").agg(*[c.alias(s) for s, c in n.items()], F.round(reports.rate(n["ambiguous"], F.count("*")), 9).alias("ambiguous_rate"))
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT run, CAST(count(*) FILTER (k % 5 = 0) AS BIGINT) AS without_evidence, round(count(*) FILTER (k % 5 <> 0) / count(*), 9) AS coverage FROM ob GROUP BY run")
+def report_evidence_coverage(spark, sf_dir):
+    o = observed(spark, sf_dir).withColumn("evidence", F.when(F.col("k") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array("k")))
+    return o.groupBy("run").agg(F.count_if(F.size("evidence") == 0).alias("without_evidence"), F.round(reports.rate(F.count_if(F.size("evidence") > 0), F.count("*"), 1.0), 9).alias("coverage"))
+
+
+@query(f"WITH {OBSERVED_SQL}, a AS (SELECT run, entity, CASE WHEN k % 3 > 0 THEN k % 3 END AS tool, kind, event_id, w FROM ob) SELECT DISTINCT a.event_id AS first_id, b.event_id AS second_id FROM a JOIN a b ON a.run = b.run AND a.entity = b.entity AND a.kind = b.kind AND a.tool IS NOT DISTINCT FROM b.tool AND a.event_id < b.event_id AND abs(a.w - b.w) <= 1")
+def report_duplicate_actions(spark, sf_dir):
+    a = observed(spark, sf_dir).select("run", "entity", "kind", F.when(F.col("k") % 3 > 0, F.col("k") % 3).alias("tool"), "event_id", F.array("w").alias("ws"))
+    return reports.duplicate_pairs(a, ["run", "entity", "kind", "tool"], "event_id", "ws")
+
+
+@query(f"WITH {STEPS_SQL} SELECT o.run, CAST(count(*) AS BIGINT) AS candidates, CAST(count(DISTINCT o.entity) AS BIGINT) AS entities FROM ob o WHERE EXISTS (SELECT 1 FROM st WHERE st.run = o.run AND st.camera_change AND abs(st.w - o.w) <= 1) GROUP BY o.run")
+def report_camera_switch(spark, sf_dir):
+    near = reports.near_changes(observed(spark, sf_dir), _steps(spark, sf_dir).where("camera_change"), ["run"])
+    return near.groupBy("run").agg(F.count("*").alias("candidates"), F.countDistinct("entity").alias("entities"))
+
+
+@query(f"{_FSM_SQL}, g AS (SELECT fs.*, xo.act, xo.sh, xo.com FROM fs JOIN xo ON xo.run = fs.run AND xo.attribute = fs.attribute AND xo.w = fs.w) SELECT run, CAST(count(*) AS BIGINT) AS transitions, CAST(0 AS BIGINT) AS unsupported FROM g WHERE event = 'attribute_transition' GROUP BY run")
+def report_unsupported_transitions(spark, sf_dir):
+    s = tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"]).where("event = 'attribute_transition'")
+    bad = ~F.col("reason").contains("support") & (F.col("reason") != "single_high_policy")
+    return s.groupBy("run").agg(F.count("*").alias("transitions"), F.count_if(bad).alias("unsupported"))
+
+
+@query(f"WITH {STEPS_SQL}, n AS (SELECT run, w, sum(c) OVER (PARTITION BY run ORDER BY w) AS total FROM (SELECT run, w, count(*) AS c FROM ob GROUP BY run, w)) SELECT run, bool_and(ok) AS monotonic FROM (SELECT run, coalesce(total >= lag(total) OVER (PARTITION BY run ORDER BY w), true) AS ok FROM n) GROUP BY run")
+def report_snapshot_monotonic(spark, sf_dir):
+    w = Window.partitionBy("run").orderBy("w")
+    n = observed(spark, sf_dir).groupBy("run", "w").agg(F.count("*").alias("c")).withColumn("total", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return n.withColumn("ok", F.coalesce(F.col("total") >= F.lag("total").over(w), F.lit(True))).groupBy("run").agg(F.every("ok").alias("monotonic"))
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT run, kind, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT w)), ',') AS windows FROM ob GROUP BY run, kind")
+def report_frequency_timeline(spark, sf_dir):
+    return observed(spark, sf_dir).groupBy("run", "kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("w")), lambda x: x.cast("string")), ",").alias("windows"))
