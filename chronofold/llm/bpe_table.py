@@ -10,7 +10,6 @@ whose size is that of the vocabulary, and concatenates the pieces.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import gc
 import hashlib
@@ -134,14 +133,17 @@ def word_ids(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
 _MARKS = tuple(".,;:!?")
 
 
-@contextlib.contextmanager
-def _no_cycles():
-    """Millions of strings without cycles: the collector would only walk over them."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
+def _no_cycles(f):
+    """f without the cycle collector, which would only walk over millions of strings."""
+
+    def run(left, right):
+        gc.disable()
+        try:
+            return f(left, right)
+        finally:
+            gc.enable()
+
+    return run
 
 
 class Split:
@@ -253,7 +255,6 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
 def _replies(rows: DataFrame, shared) -> DataFrame:
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    @_no_cycles()
     def ask(key, table):
         words = Split(table.column("text").to_pylist(), _vocabulary(shared.value)).words()
         out = {"chunk": [], "bucket": [], "words": []}
@@ -268,7 +269,6 @@ def _replies(rows: DataFrame, shared) -> DataFrame:
                 out["words"].append(_pack(np.fromiter(map(len, raw), np.int32, len(raw)), np.frombuffer(b"".join(raw), np.uint8)))
         return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())]))
 
-    @_no_cycles()
     def answer(key, table):
         lists = []
         for packed in table.column("words").to_pylist():
@@ -286,8 +286,8 @@ def _replies(rows: DataFrame, shared) -> DataFrame:
             out.append(_pack(size[w].astype(np.int32), gather(flat, at[w], size[w])))
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": pa.array(out, pa.binary())})
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk long, bucket long, words binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, ids binary")
+    asked = rows.groupBy("chunk").applyInArrow(_no_cycles(ask), "chunk long, bucket long, words binary")
+    return asked.groupBy("bucket").applyInArrow(_no_cycles(answer), "chunk long, bucket long, ids binary")
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -306,7 +306,6 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     rows = _chunked(docs, id_col, text_col)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @_no_cycles()
     def assemble(left, right):
         vocabulary = _vocabulary(shared.value)
         split = Split(left.column("text").to_pylist(), vocabulary)
@@ -333,4 +332,4 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         return pa.table({"doc_id": left.column("doc_id")} | {k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return rows.groupBy("chunk").cogroup(_replies(rows, shared).groupBy("chunk")).applyInArrow(assemble, schema)
+    return rows.groupBy("chunk").cogroup(_replies(rows, shared).groupBy("chunk")).applyInArrow(_no_cycles(assemble), schema)
