@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from chronofold.functions import vocabulary
 from chronofold.operators import observations as obs
 from chronofold.operators import reports, resolution, tracking, windows
+from chronofold.streaming.replay import replay
 from chronofold.plans.derived import ACTION_OF, EVENTS_SQL, OBSERVED_SQL, STRIDE, WINDOW, events, observed
 
 QUERIES: dict = {}
@@ -607,3 +608,16 @@ def report_snapshot_monotonic(spark, sf_dir):
 @query(f"WITH {OBSERVED_SQL} SELECT run, kind, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT w)), ',') AS windows FROM ob GROUP BY run, kind")
 def report_frequency_timeline(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("run", "kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("w")), lambda x: x.cast("string")), ",").alias("windows"))
+
+
+@query(None)
+def replay_events(spark, sf_dir):
+    """The fold over all runs: every step is a window, every entity of it an observation."""
+    o = observed(spark, sf_dir).groupBy("run", "w", "entity").agg(F.max("confidence").alias("confidence"), F.max_by("kind", F.struct("t", "event_id")).alias("kind"))
+    text = F.col("entity").cast("string")
+    entity = F.struct(text.alias("local_id"), F.concat(F.lit("type"), (F.col("entity") % 3).cast("string")).alias("type"), F.concat(F.lit("user "), text).alias("name"), "confidence", F.array(F.lit(0)).alias("evidence"))
+    action = F.struct(text.alias("local_id"), text.alias("actor"), F.col("kind").alias("type"), "confidence", F.array(F.lit(0)).alias("evidence"))
+    by = o.groupBy("run", "w").agg(F.array_sort(F.collect_list(entity)).alias("entities"), F.array_sort(F.collect_list(action)).alias("actions"))
+    start = F.col("w") * 3.0
+    payload = F.to_json(F.struct(start.alias("start"), start.alias("commit_start"), (start + 3).alias("end"), F.array(start).alias("frames"), "entities", "actions"))
+    return replay(by.select("run", "w", payload.alias("payload")))

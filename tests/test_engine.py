@@ -1,0 +1,86 @@
+"""The fold, its replay in batch and as a stream."""
+
+import json
+
+from chronofold.operators.engine import EngineConfig, fold_window, new_state
+from chronofold.streaming.replay import replay, stream_replay
+
+
+def entity(local, kind="device", name="cabinet 4", confidence=0.95, **more):
+    return {"local_id": local, "type": kind, "name": name, "confidence": confidence, "evidence": [0], **more}
+
+
+def window(w, entities, **more):
+    return {"w": w, "start": 3.0 * w, "commit_start": 3.0 * w, "end": 3.0 * w + 3, "frames": [3.0 * w, 3.0 * w + 1, 3.0 * w + 2], "entities": entities, **more}
+
+
+CONFIG = EngineConfig(supporting={"door": {"open": ["open"]}})
+ONE = window(0, [entity("d"), entity("p", "person", "worker")], attributes=[{"entity": "d", "key": "door", "value": "closed", "confidence": 0.9, "evidence": [0]}])
+TWO = window(1, [entity("d"), entity("p", "person", "worker")], actions=[{"local_id": "a", "actor": "p", "type": "open", "target": "d", "confidence": 0.9, "evidence": [1]}], attributes=[{"entity": "d", "key": "door", "value": "open", "confidence": 0.9, "evidence": [2]}])
+
+
+def run(*windows, config=CONFIG):
+    state, events = new_state(), []
+    for w in windows:
+        state, more = fold_window(state, w, config)
+        events += more
+    return state, events
+
+
+def test_two_windows_give_one_transition_and_stable_ids():
+    state, events = run(ONE, TWO)
+    assert [e["event_type"] for e in events] == ["scene_started", "entity_created", "entity_created", "attribute_initialized", "entity_matched", "entity_matched", "action_started", "attribute_transition"]
+    assert sorted(state["entities"]) == ["device_0001", "person_0001"]
+    assert events[-1] | {"event_id": ""} == {"event_id": "", "event_type": "attribute_transition", "w": 1, "entity_id": "device_0001", "key": "door", "after": "open", "before": "closed", "confidence": 0.9, "reason": "high_confidence_with_action_support"}
+
+
+def test_score_text_keeps_the_order_of_the_sum():
+    _, events = run(ONE, TWO)
+    assert events[4]["reason"] == "confident_match score=0.8212"
+
+
+def test_gap_infers_nothing():
+    state, events = run(ONE, {"w": 1, "entities": None})
+    assert events[-1]["event_type"] == "observation_gap"
+    assert all(e["missing"] == 0 for e in state["entities"].values())
+
+
+def test_failure_keeps_the_state():
+    before, _ = run(ONE)
+    bad = window(1, [entity("d")], actions=[{"local_id": "a", "actor": "d", "type": "open", "confidence": 0.9, "evidence": [9]}])
+    after, events = fold_window(before, bad, CONFIG)
+    assert after == before and events[0]["event_type"] == "state_update_error"
+
+
+def test_missing_action_ends_after_two_windows():
+    _, events = run(ONE, TWO, window(2, [entity("d")]), window(3, [entity("d")]))
+    kinds = [e["event_type"] for e in events]
+    assert kinds.index("action_possible_ended") < kinds.index("action_ended")
+
+
+def test_camera_change_keeps_entities_and_starts_a_scene():
+    state, events = run(ONE, window(1, [entity("x")], camera_change=True), window(2, [entity("d"), entity("p", "person", "worker")]))
+    assert state["scenes"] == 2 and sorted(state["entities"]) == ["device_0001", "person_0001"]
+    assert "entity_temporarily_missing" not in [e["event_type"] for e in events]
+
+
+def test_numbers_in_names_are_never_matched():
+    state, _ = run(ONE, window(1, [entity("d", name="cabinet 5")]))
+    assert "device_0002" in state["entities"]
+
+
+def test_order_of_observations_does_not_matter():
+    swapped = ONE | {"entities": ONE["entities"][::-1]}
+    assert run(ONE, TWO) == run(swapped, TWO)
+
+
+def test_batch_and_stream_agree(spark, tmp_path):
+    rows = [(r, w["w"], json.dumps(w)) for r in (1, 2, 3) for w in (ONE, TWO)]
+    df = spark.createDataFrame(rows, "run long, w long, payload string")
+    batch = sorted(replay(df, CONFIG).collect())
+    assert len(batch) == 3 * 8
+    df.repartition(3).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    done = stream_replay(stream, CONFIG).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    done.awaitTermination(120)
+    assert sorted(spark.table("replayed").collect()) == batch
