@@ -525,12 +525,15 @@ def _entities(spark, sf_dir) -> DataFrame:
 
 
 _ENTITIES_SQL = OBSERVED_SQL + ", en AS (SELECT run, entity, max(w) AS last_w, arg_max(kind, (t, event_id)) AS kind, count(*) AS n, arg_max(kind, (t, event_id)) = 'click' AS related FROM ob GROUP BY run, entity)"
-_TOP = [F.desc("related"), F.desc("last_w"), F.asc("entity")]
+
+
+def _top() -> list:
+    return [F.desc("related"), F.desc("last_w"), F.asc("entity")]
 
 
 @query(f"WITH {_ENTITIES_SQL} SELECT run, entity, CAST(last_w AS BIGINT) AS last_w, related, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, entity) AS rank FROM en) WHERE rank <= 15")
 def context_entities_topk(spark, sf_dir):
-    return reports.top_k(_entities(spark, sf_dir), ["run"], _TOP, 15).select("run", "entity", "last_w", "related", "rank")
+    return reports.top_k(_entities(spark, sf_dir), ["run"], _top(), 15).select("run", "entity", "last_w", "related", "rank")
 
 
 @query(f"WITH {ACTS_SQL}, q AS (SELECT run, entity, kind, island, CAST(max(w) AS BIGINT) AS last_w FROM ai GROUP BY run, entity, kind, island) SELECT run, entity, kind, last_w, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY last_w DESC, entity, kind, island) AS rank FROM q) WHERE rank <= 8")
@@ -548,7 +551,7 @@ def context_pending_topk(spark, sf_dir):
 @query(f"""WITH {_ENTITIES_SQL}, it AS (SELECT run, entity, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, entity) AS rank, '{{"entity":' || entity || ',"kind":"' || kind || '","n":' || n || '}}' AS item FROM en),
  us AS (SELECT *, sum(length(item) + 1) OVER (PARTITION BY run ORDER BY rank) AS used, sum(length(item) + 1) OVER (PARTITION BY run) > 600 AS truncated FROM it) SELECT run, entity, CAST(used AS BIGINT) AS used, truncated FROM us WHERE used <= 600""")
 def context_budget(spark, sf_dir):
-    items = _entities(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(*_TOP)))
+    items = _entities(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(*_top())))
     return reports.within_budget(items, ["run"], ["rank"], F.length(F.to_json(F.struct("entity", "kind", "n"))), 600).select("run", "entity", "used", "truncated")
 
 
