@@ -9,7 +9,9 @@ chunked transfer framing off.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 
 import pyarrow as pa
@@ -101,7 +103,7 @@ def page_records(page_id: int | None, row: str, url: str | None, payload: bytes,
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0, segment: int = SEGMENT_BYTES) -> None:
-    """Write a record per row into archive files under path, through Spark's own text writer.
+    """Write a record per row into gzip archive files under path, through Spark's own text writer.
 
     Of rows with equal payloads of at least least_bytes bytes those with the
     smallest page_id are responses, the others revisit it; null ids come last
@@ -128,31 +130,33 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     # the bytes go to the file as they are: a cast from binary to string doesn't touch them
     records = rows.select("sha", "page_id", "url", "html", "response").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
-def parse_archive(data: bytes):
-    """(headers with lower-case names, block) of every record of an archive file."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            if bytes(view[at:]).strip():
-                raise WarcError("the file ends inside a header")
+def open_archive(content: bytes):
+    """A binary stream of an archive file, gzip (of any number of members) or plain; it is inflated while it is read."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) if content[:2] == b"\x1f\x8b" else raw
+
+
+def parse_archive(stream):
+    """(headers with lower-case names, block) of every record of an archive stream."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            if first.strip() or stream.read().strip():
+                raise WarcError("a record doesn't start with its version")
             return
-        lines = data[at:end].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise WarcError("a record doesn't start with its version")
         headers = {}
-        for line in lines[1:]:
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\n"):
+                raise WarcError("the file ends inside a header")
             name, _, value = line.partition(b":")
             headers[name.strip().lower().decode()] = value.strip().decode()
         n = int(headers.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        block = stream.read(n)
+        if len(block) != n or stream.read(4) != b"\r\n\r\n":
             raise WarcError("a record has another length")
         yield headers, block
-        at = end + 8 + n
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +171,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows, size = [], 0
-                for h, block in parse_archive(content.as_buffer().to_pybytes()):
+                for h, block in parse_archive(open_archive(content.as_buffer().to_pybytes())):
                     refers = h.get("warc-refers-to", "")
                     rows.append(
                         (h.get("warc-type"), h.get("warc-record-id"), number(h.get("x-page-id")), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
