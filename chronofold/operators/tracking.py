@@ -37,6 +37,15 @@ def scene_segments(windows: DataFrame, change: str = "camera_change", run: str =
     return windows.withColumn("scene_index", index).withColumn("scene_id", F.format_string("scene_%04d", "scene_index"))
 
 
+def closeup_visibility(windows: DataFrame, visible: DataFrame) -> DataFrame:
+    """What a close-up makes of the entities that were visible when it began: partial or not_visible.
+
+    windows: run, w, close_up, target_partial; visible: run, w and the entity's columns.
+    """
+    value = F.when(F.col("target_partial"), "partial").otherwise("not_visible")
+    return visible.join(windows.where("close_up"), ["run", "w"]).withColumn("visibility", value).drop("close_up", "target_partial")
+
+
 def action_islands(actions: DataFrame, key: list[str], config: ActionConfig = ActionConfig(), order: str = "w") -> DataFrame:
     """actions with the number of their lifecycle within the key.
 
@@ -135,7 +144,7 @@ def attribute_step(acc: Column, x: Column, config: AttributeConfig = AttributeCo
 
 
 def attribute_states(observations: DataFrame, key: list[str], config: AttributeConfig = AttributeConfig()) -> DataFrame:
-    """Events of every key in window order: key, w, status, value, pending, event, reason.
+    """Events of every key in window order: key, w, status, value, pending, last_support, event, reason.
 
     observations: key columns, w, v, c, in_commit, acted, single_high; at most
     one a key and window.  The fold runs over one key's history at a time.
@@ -147,4 +156,16 @@ def attribute_states(observations: DataFrame, key: list[str], config: AttributeC
         return F.transform(F.array(attribute_step(acc["s"], x, config)), lambda s: F.struct(s.alias("s"), F.concat(acc["log"], F.array(F.struct(x["w"].alias("w"), s.alias("s")))).alias("log")))[0]
 
     folded = observations.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, step)["log"].alias("log"))
-    return folded.select(*key, F.explode("log").alias("e")).select(*key, "e.w", "e.s.status", "e.s.value", "e.s.pending", "e.s.event", "e.s.reason")
+    return folded.select(*key, F.explode("log").alias("e")).select(*key, "e.w", "e.s.status", "e.s.value", "e.s.pending", "e.s.last_support", "e.s.event", "e.s.reason")
+
+
+def expired_pending(states: DataFrame, observations: DataFrame, key: list[str], config: AttributeConfig = AttributeConfig()) -> DataFrame:
+    """Pending values that the next observation finds unsupported for longer than the gap: key, w (of that observation), pending, status (before).
+
+    states and observations as in attribute_states; low confidence expires nothing, nor does a conflict.
+    """
+    w = Window.partitionBy(*key).orderBy("w")
+    rows = states.join(observations.select(*key, "w", "c"), [*key, "w"])
+    rows = rows.withColumn("next_w", F.lead("w").over(w)).withColumn("next_c", F.lead("c").over(w))
+    late = F.col("pending").isNotNull() & (F.col("status") != "conflicted") & (F.col("next_c") >= config.medium) & (F.col("next_w") - F.col("last_support") > config.max_pending_gap)
+    return rows.where(late).select(*key, F.col("next_w").alias("w"), "pending", "status")

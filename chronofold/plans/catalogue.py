@@ -414,6 +414,14 @@ def scene_segments(spark, sf_dir):
     return tracking.scene_segments(_steps(spark, sf_dir)).select("run", "w", "camera_change", "scene_index", "scene_id")
 
 
+@query(f"WITH {STEPS_SQL} SELECT DISTINCT st.run, st.w, ob.entity, CASE WHEN st.w % 2 = 0 THEN 'partial' ELSE 'not_visible' END AS visibility FROM st JOIN ob ON ob.run = st.run AND ob.w = st.w - 1 WHERE st.camera_change")
+def scene_visibility(spark, sf_dir):
+    """Steps with a camera change are close-ups; even ones show their target in part."""
+    steps = _steps(spark, sf_dir).select("run", "w", F.col("camera_change").alias("close_up"), (F.col("w") % 2 == 0).alias("target_partial"))
+    visible = observed(spark, sf_dir).select("run", (F.col("w") + 1).alias("w"), "entity").distinct()
+    return tracking.closeup_visibility(steps, visible).select("run", "w", "entity", "visibility")
+
+
 def _acts(spark, sf_dir) -> DataFrame:
     """One action a run, entity, type and step, with its scene."""
     a = observed(spark, sf_dir).groupBy("run", "entity", "kind", "w").agg(F.max("t").alias("t"), F.min("t").alias("t0"), F.max("confidence").alias("confidence"))
@@ -493,6 +501,13 @@ def attribute_transitions(spark, sf_dir):
     return s.withColumn("before", before).where("event = 'attribute_transition'").select("run", "attribute", "w", "before", F.col("value").alias("after"))
 
 
+@query(f"""{_FSM_SQL} SELECT fs.run, CAST(fs.attribute AS BIGINT) AS attribute, nx.w, fs.pend AS pending, fs.status FROM fs JOIN xo nx ON nx.run = fs.run AND nx.attribute = fs.attribute AND nx.r = fs.r + 1
+ WHERE fs.pend IS NOT NULL AND fs.status <> 'conflicted' AND nx.c >= 0.6::DOUBLE AND nx.w - fs.ls > 1""")
+def attribute_pending_expiry(spark, sf_dir):
+    rows = _attribute_rows(spark, sf_dir)
+    return tracking.expired_pending(tracking.attribute_states(rows, ["run", "attribute"]), rows, ["run", "attribute"]).select("run", "attribute", "w", "pending", "status")
+
+
 @query(f"WITH {OBSERVED_SQL}, d AS (SELECT DISTINCT run, entity, kind, w FROM ob), g AS (SELECT *, w - row_number() OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM d) SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(count(*) AS BIGINT) AS windows FROM g GROUP BY run, entity, kind, g")
 def attribute_support_chains(spark, sf_dir):
     return tracking.support_chains(observed(spark, sf_dir), ["run", "entity", "kind"])
