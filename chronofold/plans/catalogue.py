@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from chronofold.functions import vocabulary
 from chronofold.operators import observations as obs
 from chronofold.operators import reports, resolution, tracking, windows
-from chronofold.streaming.replay import replay
+from chronofold.streaming.replay import final_state, replay, stream_against_batch
 from chronofold.plans.derived import ACTION_OF, EVENTS_SQL, OBSERVED_SQL, STRIDE, WINDOW, events, observed
 
 QUERIES: dict = {}
@@ -628,9 +628,8 @@ def report_frequency_timeline(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("run", "kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("w")), lambda x: x.cast("string")), ",").alias("windows"))
 
 
-@query(None)
-def replay_events(spark, sf_dir):
-    """The fold over all runs: every step is a window, every entity of it an observation."""
+def _payloads(spark, sf_dir):
+    """Every step is a window, every entity of it an observation; a step without events is a gap, with a null payload."""
     o = observed(spark, sf_dir).groupBy("run", "w", "entity").agg(F.max("confidence").alias("confidence"), F.max_by("kind", F.struct("t", "event_id")).alias("kind"))
     text = F.col("entity").cast("string")
     entity = F.struct(text.alias("local_id"), F.concat(F.lit("type"), (F.col("entity") % 3).cast("string")).alias("type"), F.concat(F.lit("user "), text).alias("name"), "confidence", F.array(F.lit(0)).alias("evidence"))
@@ -638,4 +637,23 @@ def replay_events(spark, sf_dir):
     by = o.groupBy("run", "w").agg(F.array_sort(F.collect_list(entity)).alias("entities"), F.array_sort(F.collect_list(action)).alias("actions"))
     start = F.col("w") * 3.0
     payload = F.to_json(F.struct(start.alias("start"), start.alias("commit_start"), (start + 3).alias("end"), F.array(start).alias("frames"), "entities", "actions"))
-    return replay(by.select("run", "w", payload.alias("payload")))
+    steps = o.groupBy("run").agg(F.max("w").alias("last")).select("run", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("w"))
+    return steps.join(by.select("run", "w", payload.alias("payload")), ["run", "w"], "left")
+
+
+@query(None)
+def replay_events(spark, sf_dir):
+    """The fold over all runs, its events."""
+    return replay(_payloads(spark, sf_dir))
+
+
+@query(None)
+def replay_final_state(spark, sf_dir):
+    """The fold over all runs, the entities and actions that are left."""
+    return final_state(_payloads(spark, sf_dir))
+
+
+@query(None)
+def stream_equals_batch(spark, sf_dir):
+    """The fold as a stream against the fold in batch, by run."""
+    return stream_against_batch(_payloads(spark, sf_dir))

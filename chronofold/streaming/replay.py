@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.operators.engine import EngineConfig, fold_window, new_state
+from chronofold.operators.engine import EngineConfig, fold_window, missing_of, new_state
+from chronofold.sources.scratch import scratch_folder
 
 EVENT_SCHEMA = "run long, w long, event_id string, event_type string, entity_id string, action_id string, scene_id string, key string, before string, after string, reason string"
 _FIELDS = [x.split()[0] for x in EVENT_SCHEMA.split(", ")]
+STATE_SCHEMA = "run long, kind string, id string, type string, life string, first_w long, last_w long, missed long, confidence double, attributes string"
 
 
 def _window(w: int, payload: str | None) -> dict:
@@ -29,18 +31,41 @@ def _rows(run: int, events: list[dict]) -> list[tuple]:
     return [tuple({"run": run, **e}.get(f) for f in _FIELDS) for e in events]
 
 
+def _ordered(windows: DataFrame) -> DataFrame:
+    """One payload a run and window, of repeated windows the greatest."""
+    return windows.groupBy(F.col("run").cast("long").alias("run"), F.col("w").cast("long").alias("w")).agg(F.max("payload").alias("payload"))
+
+
+def _folded(pdf: pd.DataFrame, config: EngineConfig):
+    """The state and the events after each window."""
+    state = new_state()
+    for w, payload in pdf.sort_values("w")[["w", "payload"]].itertuples(index=False):
+        state, events = fold_window(state, _window(w, payload), config)
+        yield state, events
+
+
 def replay(windows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Events of every run; of repeated windows the greatest payload counts, null payloads are gaps."""
-    rows = windows.groupBy(F.col("run").cast("long").alias("run"), F.col("w").cast("long").alias("w")).agg(F.max("payload").alias("payload"))
 
     def fold(key, pdf):
-        state, out = new_state(), []
-        for w, payload in pdf.sort_values("w")[["w", "payload"]].itertuples(index=False):
-            state, events = fold_window(state, _window(w, payload), config)
-            out += _rows(int(key[0]), events)
-        return pd.DataFrame(out, columns=_FIELDS)
+        return pd.DataFrame([r for _, events in _folded(pdf, config) for r in _rows(int(key[0]), events)], columns=_FIELDS)
 
-    return rows.groupBy("run").applyInPandas(fold, EVENT_SCHEMA)
+    return _ordered(windows).groupBy("run").applyInPandas(fold, EVENT_SCHEMA)
+
+
+def final_state(windows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Entities and actions of every run after its last window; attributes as JSON of key, value and status."""
+
+    def fold(key, pdf):
+        run, state = int(key[0]), new_state()
+        for state, _ in _folded(pdf, config):
+            pass
+        out = [(run, "entity", i, e["type"], e["life"], e["first_seen"], e["last_seen"], missing_of(state, e), e["confidence"],
+                json.dumps({k: [a["value"], a["status"]] for k, a in e["attributes"].items()}, sort_keys=True)) for i, e in state["entities"].items()]
+        out += [(run, "action", i, x["key"][1], x["life"], x["first_w"], x["last_w"], x["missed"], x["confidence"], None) for i, x in state["actions"].items()]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in STATE_SCHEMA.split(", ")])
+
+    return _ordered(windows).groupBy("run").applyInPandas(fold, STATE_SCHEMA)
 
 
 def stream_replay(windows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -48,7 +73,8 @@ def stream_replay(windows: DataFrame, config: EngineConfig = EngineConfig()) ->
 
     A run's windows may arrive in any order within the stream: those that come
     early wait in the state until the ones before them are there; windows that
-    were folded already are ignored.
+    were folded already are ignored.  Windows are numbered from 0 without holes:
+    a gap is a window with a null payload, not a window left out.
     """
 
     def fold(key, frames, state):
@@ -69,3 +95,24 @@ def stream_replay(windows: DataFrame, config: EngineConfig = EngineConfig()) ->
 
     rows = windows.select(F.col("run").cast("long").alias("run"), F.col("w").cast("long").alias("w"), "payload")
     return rows.groupBy("run").applyInPandasWithState(fold, EVENT_SCHEMA, "held string", "append", "NoTimeout")
+
+
+def stream_against_batch(windows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Events that the stream and the batch fold give for the same windows, by run: in both, only in one.
+
+    The windows, and what the stream writes, lie in the shared scratch folder.
+    """
+    spark, folder = windows.sparkSession, scratch_folder(windows.sparkSession, "stream")
+    _ordered(windows).write.parquet(f"{folder}/in")
+    stored = spark.read.parquet(f"{folder}/in")
+    stream = stream_replay(spark.readStream.schema(stored.schema).parquet(f"{folder}/in"), config)
+    job = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    streamed = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/out")
+    both = replay(stored, config).withColumn("b", F.lit(1)).unionByName(streamed.withColumn("b", F.lit(-1)))
+    per = both.groupBy(*_FIELDS).agg(F.sum("b").alias("over"), F.sum(F.when(F.col("b") > 0, 1).otherwise(0)).alias("n"))
+    return per.groupBy("run").agg(
+        F.sum("n").alias("batch_events"),
+        F.sum(F.greatest("over", F.lit(0))).alias("only_batch"),
+        F.sum(F.greatest(-F.col("over"), F.lit(0))).alias("only_stream"),
+    )

@@ -2,8 +2,9 @@
 
 import json
 
-from chronofold.operators.engine import EngineConfig, fold_window, new_state
-from chronofold.streaming.replay import replay, stream_replay
+from chronofold.operators.engine import EngineConfig, fold_window, missing_of, new_state
+from chronofold.plans.catalogue import QUERIES
+from chronofold.streaming.replay import final_state, replay, stream_replay
 
 
 def entity(local, kind="device", name="cabinet 4", confidence=0.95, **more):
@@ -84,3 +85,23 @@ def test_batch_and_stream_agree(spark, tmp_path):
     done = stream_replay(stream, CONFIG).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination(120)
     assert sorted(spark.table("replayed").collect()) == batch
+
+
+def test_missed_windows_are_counted_while_asleep():
+    quiet = [window(w, []) for w in range(1, 30)]
+    state, _ = run(ONE, *quiet, window(30, [], camera_change=True), window(31, []))
+    assert state["awake"] == [] and [missing_of(state, e) for e in state["entities"].values()] == [30, 30]
+    assert {e["life"] for e in state["entities"].values()} == {"inactive"}
+
+
+def test_final_state(spark):
+    df = spark.createDataFrame([(1, w["w"], json.dumps(w)) for w in (ONE, TWO)] + [(1, 2, None)], "run long, w long, payload string")
+    got = {r.id: r for r in final_state(df, CONFIG).collect()}
+    assert sorted(got) == ["action_000001", "device_0001", "person_0001"]
+    assert json.loads(got["device_0001"].attributes) == {"door": ["open", "confirmed"]} and got["device_0001"].missed == 0
+    assert final_state(df.limit(0), CONFIG).collect() == []
+
+
+def test_stream_equals_batch_on_the_tables(spark):
+    rows = QUERIES["stream_equals_batch"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.batch_events > 0 and r.only_batch == r.only_stream == 0 for r in rows)
