@@ -302,10 +302,10 @@ PAIRS_SQL = OBSERVED_SQL + """, si AS (SELECT run, w, entity AS entity_id, entit
 
 def _scored(spark, sf_dir) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    look = lambda c: F.create_map(F.lit("look"), F.col(c).cast("string"))
+    look = lambda c: [F.col(c).cast("string")]
     parts = {
         "name": resolution.name_score(F.col("name"), F.col("last_name")),
-        "appearance": resolution.appearance_score(look("look"), look("last_look"), F.col("confidence")),
+        "appearance": resolution.appearance_columns_score(look("look"), look("last_look"), F.col("confidence")),
         "spatial": resolution.spatial_score(F.col("region"), F.col("last_region")),
         "relation": resolution.relation_score(F.lit(0), F.lit(0)),
         "recency": resolution.recency_score(F.col("w") - 1, F.col("last_seen"), _CONFIG.max_missing),
@@ -353,7 +353,8 @@ _GREEDY = f"""WITH RECURSIVE {GREEDY_SQL},
 
 @query(f"{_GREEDY} SELECT run, w, local_id, entity_id, score FROM gm")
 def greedy_assignment(spark, sf_dir):
-    return resolution.greedy_match(_scored(spark, sf_dir), ["run", "w"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "entity_id"), "score")
+    # types never meet, so each is matched on its own
+    return resolution.greedy_match(_scored(spark, sf_dir), ["run", "w", "entity_type"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "entity_id"), "score")
 
 
 @query(f"""{_GREEDY}, b AS (SELECT run, w, local_id, list(score ORDER BY score DESC) AS s FROM scr GROUP BY ALL),
@@ -361,8 +362,8 @@ def greedy_assignment(spark, sf_dir):
  SELECT run, w, local_id, CAST(selected AS BIGINT) AS selected, CASE WHEN selected IS NULL THEN 'created' WHEN len(s) > 1 AND best - s[2] < 0.08::DOUBLE THEN 'ambiguous' WHEN best >= 0.78::DOUBLE THEN 'matched' WHEN best >= 0.58::DOUBLE THEN 'ambiguous' ELSE 'created' END AS status FROM j""")
 def status_decision(spark, sf_dir):
     scored = _scored(spark, sf_dir)
-    matched = resolution.greedy_match(scored, ["run", "w"], "local_id", "entity_id", "score")
-    return resolution.decide(matched, scored, ["run", "w"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "selected"), "status")
+    matched = resolution.greedy_match(scored, ["run", "w", "entity_type"], "local_id", "entity_id", "score")
+    return resolution.decide(matched, scored, ["run", "w", "entity_type"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "selected"), "status")
 
 
 @query(f"WITH {OBSERVED_SQL} SELECT run, entity, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(min(t) AS BIGINT) AS first_t, CAST(max(t) AS BIGINT) AS last_t, max(confidence) AS confidence, arg_min(kind, (t, event_id)) FILTER (kind <> 'error') AS name FROM ob GROUP BY run, entity")

@@ -32,8 +32,14 @@ def _rows(run: int, events: list[dict]) -> list[tuple]:
 
 
 def _ordered(windows: DataFrame) -> DataFrame:
-    """One payload a run and window, of repeated windows the greatest."""
-    return windows.groupBy(F.col("run").cast("long").alias("run"), F.col("w").cast("long").alias("w")).agg(F.max("payload").alias("payload"))
+    """One payload a run and window, of repeated windows the greatest.
+
+    Runs are dealt over a stated number of partitions: the fold costs far more
+    than its bytes tell, so partitions mustn't be merged for being small.
+    """
+    runs = max(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * windows.sparkSession.sparkContext.defaultParallelism)
+    one = windows.select(F.col("run").cast("long").alias("run"), F.col("w").cast("long").alias("w"), "payload").repartition(runs, "run")
+    return one.groupBy("run", "w").agg(F.max("payload").alias("payload"))
 
 
 def _folded(pdf: pd.DataFrame, config: EngineConfig):
