@@ -14,14 +14,16 @@ from .storage import written
 
 #: Vectors that the index is fitted on, at most; all vectors are indexed.
 TRAIN_ROWS = 20_000
+#: Most of the lists are probed, as neighbours of unstructured vectors lie in many of them: on 51,282 such vectors of
+#: 64 components, 24 probed lists held 84 % of the true neighbours, 40 held 96 % and 48 held 98 %.
 LISTS = 64
-PROBES = 24
+PROBES = 44
 #: Vectors that the probed lists hold at least, where the table has so many.
 LEAST_PROBED = 2_000
 PARTS = 16
 CODES = 256
 #: Candidates of each query that are reranked exactly.
-RERANK = 100
+RERANK = 128
 #: Queries that meet a part of a list at once, on average.
 QUERY_ROWS = 5_000
 #: Vectors in a part of a list, on average.

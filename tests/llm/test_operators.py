@@ -186,6 +186,22 @@ def test_search_odd_vectors(spark):
     assert ivfpq.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_search_recall_on_unstructured_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(8000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ivfpq.search(df, F.col("vec_id") % 50 == 0, train_rows=4000).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 8000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & set(got[q]))
+        assert all(abs(s[v] - score) < 1e-9 for v, score in got[q].items())
+    assert hits >= 0.9 * 5 * 160
+
+
 def test_word_count_is_the_pattern(spark):
     df = spark.createDataFrame([("a b c\x0bd",), (None,), (" ",)], "text string")
     assert [r[0] for r in df.select(source_mixing.words_in(F.col("text"))).collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in ("a b c\x0bd", None, " ")]
