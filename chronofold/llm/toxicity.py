@@ -1,145 +1,208 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of word sequences, one of toxic and one of ordinary texts, are
-counted over all labelled training texts.  A word is predicted from the class of
-the word before it (words are hashed into a few dozen classes).  Each model
-interpolates discounted counts with its continuation counts, and these with
-continuation counts of both kinds of texts together, so that a rare word says
-nothing by itself.  A text's score compares its length-normalised
-log-likelihoods; a logistic curve fitted on a bounded sample of training texts
-that were left out of the counts turns it into a probability.
+Two models of word pairs, one of toxic and one of ordinary texts, are counted
+over all labelled training texts.  Pairs (word before, word) are counted by
+64-bit hashes in a Spark table that grows with the corpus, each pair once a
+text.  Each model interpolates discounted pair counts with its continuation
+counts (how many words a word follows), and these with continuation counts of
+both kinds of texts together.  Texts are scored in chunks: the distinct pairs
+and words of a chunk are joined to the counts and go back to it.  A text's score
+compares its length-normalised log-likelihoods; a logistic curve fitted on a
+bounded sample of training texts, each scored with its own counts taken off,
+turns it into a probability.
 """
 
 from __future__ import annotations
 
-import io
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .bpe_table import _pack, _unpack
 from .language_mixture import held_out
 from .storage import written
 
-#: Word hashes and classes of the word before, as powers of two: the model's fixed size.
-WORD_BITS = 18
-CONTEXT_BITS = 3
-DISCOUNT = 2.0
+DISCOUNT = 0.9
 #: Labelled texts that the curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
-#: Share of the training texts kept for the curve: those whose id's crc32 mod 5 is this.
-CALIBRATION_FOLD = 1
-_SLICES = 64
-FEATURES = ("ratio", "peak", "loglen")
-
-
-def _cells(column: pa.Array):
-    """For runs of rows of some megabytes: the rows' offsets into the words, the words' hashes and their cells (context, word)."""
-    step = 2000
-    for at in range(0, len(column), step):
-        data, offsets = bw.buffers(column.slice(at, step))
-        hashes, first = bw.word_hashes(data, offsets, bw.nonletter_table(), bw.lower_table())
-        word = (hashes & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-        context = np.zeros(len(word), np.int64)
-        context[1:] = (hashes[:-1] >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-        starts = first[:-1][np.diff(first) > 0]
-        context[starts] = 0  # the class of a text's beginning
-        # each pair counts once a text: a word that is repeated a hundred times says no more
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        cell = np.unique((row << (WORD_BITS + CONTEXT_BITS)) | (context << WORD_BITS) | word)
-        first = np.searchsorted(cell, np.arange(len(first)) << (WORD_BITS + CONTEXT_BITS))
-        yield at, first, cell & ((1 << (WORD_BITS + CONTEXT_BITS)) - 1)
-
-
-def count_cells(rows: DataFrame) -> DataFrame:
-    """slice, counts: for toxic and ordinary texts, in how many each word follows each class; rows have text and toxic (0/1)."""
-    size = 1 << (WORD_BITS + CONTEXT_BITS)
+#: Bytes of text in a chunk, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 8 << 20
+#: Means over a text's pairs of the log-ratio and of what is above 1, 2 and 3, and of the continuation models' log-ratio and what is above 1 and 2.
+FEATURES = ("ratio", "peak1", "peak2", "peak3", "lower", "lower1", "lower2")
+#: What is counted of a word: as the word before, its pairs and kinds of pairs in ordinary and toxic texts; as a word, the kinds of words before it in ordinary, toxic and all texts.
+_UNIT = ("total0", "total1", "kinds0", "kinds1", "before0", "before1", "before")
+
+
+def _chunks(column: pa.Array):
+    """(first row, rows, vocabulary, words as indices into it, the rows' numbers of words) of runs of rows."""
+    data, offsets = bw.buffers(column)
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        hashes, first = bw.word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], bw.nonletter_table(), bw.lower_table())
+        vocabulary, words = np.unique(hashes, return_inverse=True)
+        yield at, to - at, vocabulary, words.astype(np.int32), np.diff(first).astype(np.int32)
+        at = to
+
+
+class Pairs:
+    """Distinct pairs of a chunk, and of each of its texts: a pair counts once a text, as a word that is repeated a hundred times says no more."""
+
+    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray):
+        self.hashes = np.r_[np.uint64(0), vocabulary]  # 0 is a text's beginning
+        words, base = words.astype(np.int64) + 1, len(self.hashes)
+        row, before = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(words), np.int64)
+        before[1:] = words[:-1]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+        codes, place = np.unique(before * base + words, return_inverse=True)
+        self.before, self.word = codes // base, codes % base
+        cells = np.unique(row * max(len(codes), 1) + place)
+        self.first = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(len(codes), 1))
+        self.cells = cells % max(len(codes), 1)
+
+    def keys(self) -> np.ndarray:
+        """64-bit hashes of the pairs."""
+        with np.errstate(over="ignore"):
+            return bw.mix64(bw.mix64(self.hashes[self.before] + np.uint64(1)) + self.hashes[self.word])
+
+
+def count_pairs(rows: DataFrame) -> DataFrame:
+    """key, before, word, n0, n1: in how many ordinary and toxic texts each word follows each word; rows have text and toxic (0/1)."""
 
     def run(batches):
-        total = np.zeros((2, size), np.int32)
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for at, first, cell in _cells(b.column(0)):
-                n = len(first) - 1
-                mine = np.repeat(toxic[at : at + n], np.diff(first))
-                for c in (0, 1):
-                    part, times = np.unique(cell[mine == bool(c)], return_counts=True)
-                    total[c][part] += times.astype(np.int32)
-        for i in range(_SLICES):
-            part = total.reshape(2, _SLICES, -1)[:, i]
-            at = np.flatnonzero(part.ravel()).astype(np.int32)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part.ravel()[at].tobytes()], pa.binary())], names=["slice", "cells", "times"])
-
-    def add(key, table):
-        total = np.zeros(2 * size // _SLICES, np.int64)
-        for at, n in zip(table.column("cells").to_pylist(), table.column("times").to_pylist(), strict=True):
-            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
-        at = np.flatnonzero(total).astype(np.int32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([at.tobytes()], pa.binary()), "times": pa.array([total[at].tobytes()], pa.binary())})
-
-    return rows.mapInArrow(run, "slice int, cells binary, times binary").groupBy("slice").applyInArrow(add, "slice int, cells binary, times binary")
-
-
-def log_ratios(counts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """log P(word | class, toxic) - log P(word | class, ordinary) for every cell, from counts [2, classes, words]."""
-    kinds = (counts > 0).sum(1).astype(np.float64)  # classes that a word follows: [2, words]
-    both = (counts.sum(0) > 0).sum(0).astype(np.float64)
-    shared = (both + 0.5) / (both.sum() + 0.5 * len(both))
+            for at, n, *coded in _chunks(b.column(0)):
+                p = Pairs(*coded)
+                mine = np.repeat(toxic[at : at + n], np.diff(p.first))
+                times = [np.bincount(p.cells[mine == c], minlength=len(p.word)) for c in (False, True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (p.keys(), p.hashes[p.before], p.hashes[p.word], *times)], names=["key", "before", "word", "n0", "n1"])
+
+    return rows.mapInArrow(run, "key long, before long, word long, n0 long, n1 long").groupBy("key", "before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def count_units(pairs: DataFrame) -> DataFrame:
+    """word and what is counted of it: see _UNIT."""
+    seen = [(F.col(n) > 0).cast("long") for n in ("n0", "n1")]
+    zero = F.lit(0).cast("long")
+    left = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"), F.sum(seen[0]).alias("kinds0"), F.sum(seen[1]).alias("kinds1"))
+    right = pairs.groupBy("word").agg(F.sum(seen[0]).alias("before0"), F.sum(seen[1]).alias("before1"), F.count("*").alias("before"))
+    both = left.select("word", *_UNIT[:4], *[zero.alias(x) for x in _UNIT[4:]]).unionByName(right.select("word", *[zero.alias(x) for x in _UNIT[:4]], *_UNIT[4:]))
+    return both.groupBy("word").agg(*[F.sum(x).alias(x) for x in _UNIT])
+
+
+def log_ratios(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """log P(word | word before, toxic) - log P(word | word before, ordinary) of pairs.
+
+    n: [2, pairs] counts; before: [4, pairs], word: [3, pairs], the first four
+    and last three of _UNIT for the pair's words; totals: of all words the kinds
+    of pairs in ordinary, toxic and all texts, and the words with such pairs.
+    """
+    shared = (word[2] + 0.5) / (totals[2] + 0.5 * (totals[5] + 1))  # one more for all words never seen
     out = []
     for c in (0, 1):
-        total = max(kinds[c].sum(), 1.0)
-        own = np.maximum(kinds[c] - discount, 0) / total
-        lower = own + (1 - own.sum()) * shared
-        n = np.maximum(counts[c].sum(1, keepdims=True).astype(np.float64), 1)
-        own = np.maximum(counts[c] - discount, 0) / n
-        out.append(np.log(own + (1 - own.sum(1, keepdims=True)) * lower).astype(np.float32))
+        every = max(float(totals[c]), 1.0)
+        lower = np.maximum(word[c] - discount, 0) / every + (discount * totals[3 + c] / every if totals[c] > 0 else 1.0) * shared
+        total = np.maximum(before[c], 1)
+        out.append(np.log(np.where(before[c] > 0, np.maximum(n[c] - discount, 0) / total + discount * before[2 + c] / total * lower, lower)))
     return out[1] - out[0]
 
 
-def fit_ratios(rows: DataFrame) -> np.ndarray:
-    """The model's table, float16; what reaches the driver is bounded by the table's fixed size."""
-    size = 1 << (WORD_BITS + CONTEXT_BITS)
-    counts = np.zeros((_SLICES, 2, size // _SLICES), np.int32)
-    for i, at, n in count_cells(rows).toLocalIterator():
-        counts[i].reshape(-1)[np.frombuffer(at, np.int32)] = np.minimum(np.frombuffer(n, np.int64), np.iinfo(np.int32).max)
-    counts = np.ascontiguousarray(counts.transpose(1, 0, 2)).reshape(2, 1 << CONTEXT_BITS, 1 << WORD_BITS)
-    return log_ratios(counts).astype(np.float16)
+def without_own(kind: int, n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """The arguments of log_ratios for the pairs of one text of a kind (1 is toxic), as if it hadn't been counted; left and right number the pairs' words."""
+    n, before, word, totals = n.copy(), before.copy(), word.copy(), totals.copy()
+    last, only = n[kind] == 1, n.sum(0) == 1
+    n[kind] -= 1
+    _, left = np.unique(left, return_inverse=True)
+    at, right = np.unique(right, return_index=True, return_inverse=True)[1:]
+    before[kind] -= np.bincount(left)[left]
+    before[2 + kind] -= np.bincount(left, last)[left].astype(np.int64)
+    for i, gone in ((kind, last), (2, only)):
+        had = word[i][at] > 0
+        word[i] -= np.bincount(right, gone)[right].astype(np.int64)
+        totals[i] -= gone.sum()
+        totals[3 + i] -= (had & (word[i][at] == 0)).sum()
+    return n, before, word, totals
 
 
-def text_features(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs without the text, with the mean log-ratio of the words, the mean of the positive outliers, and the log length."""
-    packed = io.BytesIO()
-    np.save(packed, table)
-    shared = docs.sparkSession.sparkContext.broadcast(packed.getvalue())
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    rows = docs.select(text_col, *[f"`{f.name}`" for f in kept])
+def summaries(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """[features, pairs]: what FEATURES are means of, from the arguments of log_ratios."""
+    value, lower = log_ratios(n, before, word, totals), log_ratios(np.zeros_like(n), np.zeros_like(before), word, totals)
+    return np.stack([value, *[np.maximum(value - x, 0) for x in (1, 2, 3)], lower, *[np.maximum(lower - x, 0) for x in (1, 2)]])
 
-    def run(batches):
-        ratio = np.load(io.BytesIO(shared.value)).reshape(-1)
+
+def text_features(rows: DataFrame, pairs: DataFrame, units: DataFrame, sample: dict[int, int]) -> DataFrame:
+    """doc_id, FEATURES and loglen of every row (doc_id, text); the same as own, without its own counts, where sample has its id (with its label)."""
+    spark = rows.sparkSession
+    found = units.agg(*[F.sum(x) for x in _UNIT[4:]], *[F.count_if(F.col(x) > 0) for x in _UNIT[4:]]).first()
+    totals = np.array([x or 0 for x in found], np.int64)
+    shared = spark.sparkContext.broadcast(sample)
+
+    def code(batches):
+        at = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for first, n, *coded in _chunks(b.column(1)):
+                ids = pa.array([b.column(0).slice(first, n).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(*coded)], pa.binary())], names=["chunk", "ids", "packed"])
+                at += 1
+
+    def unpacked(packed):
+        vocabulary, words, sizes = _unpack(packed)
+        return Pairs(np.frombuffer(vocabulary, np.uint64), np.frombuffer(words, np.int32), np.frombuffer(sizes, np.int32))
+
+    def ask(batches):
         for b in batches:
-            mean, peak, size = np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for at, first, cell in _cells(b.column(0)):
-                n = np.diff(first)
-                value = np.r_[0.0, np.cumsum(ratio[cell], dtype=np.float64)]
-                strong = np.r_[0.0, np.cumsum(np.maximum(ratio[cell].astype(np.float64) - 1.0, 0))]
-                here = slice(at, at + len(n))
-                mean[here] = (value[first[1:]] - value[first[:-1]]) / np.maximum(n, 1)
-                peak[here] = (strong[first[1:]] - strong[first[:-1]]) / np.maximum(n, 1)
-                size[here] = np.log1p(n)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(mean), pa.array(peak), pa.array(size)], names=[*b.schema.names[1:], *FEATURES])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, f"{schema}, ratio double, peak double, loglen double")
-
-
-def design(ratio: np.ndarray, peak: np.ndarray, loglen: np.ndarray) -> np.ndarray:
-    """Columns of the curve: the normalised ratios, also as totals on a square-root scale, which short and long texts share."""
+            for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("packed").to_pylist(), strict=True):
+                p = unpacked(packed)
+                for of_pairs, keys in ((True, p.keys()), (False, p.hashes)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk)), pa.array(np.full(len(keys), of_pairs)), pa.array(keys.view(np.int64))], names=["chunk", "of_pairs", "key"])
+
+    def gathered(right, of_pairs, keys, width):
+        """The counts [width, keys] that came back for keys; 0 where nothing was counted."""
+        part = right.filter(pa.compute.equal(right.column("of_pairs"), of_pairs))
+        got, order, out = part.column("key").to_numpy().view(np.uint64), np.argsort(keys), np.zeros((width, len(keys)), np.int64)
+        if len(got):
+            place = order[np.searchsorted(keys, got, sorter=order)]
+            flat = part.column("counts").combine_chunks()
+            flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+            out[:, place] = flat.flatten().to_numpy().reshape(-1, width).T
+        return out
+
+    def assemble(left, right):
+        out = {"doc_id": [], "found": [], "loglen": [], "own": []}
+        for ids, packed in zip(left.column("ids").to_pylist(), left.column("packed").to_pylist(), strict=True):
+            p = unpacked(packed)
+            n, unit = gathered(right, True, p.keys(), 2), gathered(right, False, p.hashes, len(_UNIT))
+            value = summaries(n, unit[:4, p.before], unit[4:, p.word], totals)
+            for i, doc in enumerate(ids):
+                cells, kind, own = p.cells[p.first[i] : p.first[i + 1]], shared.value.get(doc), None
+                mean = (lambda x: x.mean(1)) if len(cells) else (lambda x: np.zeros(len(FEATURES)))
+                if kind is not None:
+                    a, b = p.before[cells], p.word[cells]
+                    own = mean(summaries(*without_own(kind, n[:, cells], unit[:4, a], unit[4:, b], totals, a, b)))
+                for x, v in zip(out, (doc, mean(value[:, cells]), math.log1p(len(cells)), own), strict=True):
+                    out[x].append(v)
+        kinds = {"doc_id": pa.int64(), "loglen": pa.float64()}
+        return pa.table({x: pa.array(v, kinds.get(x, pa.list_(pa.float64()))) for x, v in out.items()})
+
+    coded = written(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "coded")
+    asked = coded.mapInArrow(ask, "chunk long, of_pairs boolean, key long")
+    # always by merging, so that the plan is the same at every size
+    known = pairs.select(F.lit(True).alias("of_pairs"), "key", F.array("n0", "n1").alias("counts")).unionByName(units.select(F.lit(False).alias("of_pairs"), F.col("word").alias("key"), F.array(*_UNIT).alias("counts")))
+    replies = asked.hint("merge").join(known.hint("merge"), ["of_pairs", "key"])
+    return coded.groupBy("chunk").cogroup(replies.select("chunk", "of_pairs", "key", "counts").groupBy("chunk")).applyInArrow(assemble, "doc_id long, found array<double>, loglen double, own array<double>")
+
+
+def design(found: np.ndarray, loglen: np.ndarray) -> np.ndarray:
+    """Columns of the curve from found [texts, features]: the means, also as totals on a square-root scale, which short and long texts share."""
     root = np.sqrt(np.expm1(loglen))
-    return np.stack([np.ones_like(ratio), ratio * 100, peak * 100, ratio * root, peak * root, loglen], 1)
+    return np.concatenate([np.ones((len(loglen), 1)), found * 100, found * root[:, None], loglen[:, None]], 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,24 +235,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     # always by merging, so that the plan is the same at every size
-    train = rows.where("doc_id is not null").where((fold != 0) & (fold != CALIBRATION_FOLD)).join(marks.hint("merge"), "doc_id").select("text", "toxic")
-    table = fit_ratios(train)
-    features = written(text_features(rows, table), "toxicity")
-    sample = features.where(fold == CALIBRATION_FOLD).join(marks, "doc_id").orderBy(F.xxhash64("doc_id", "ratio")).limit(CALIBRATION_ROWS)
-    found = np.array([tuple(map(float, x)) for x in sample.select(*FEATURES, "toxic").collect()], float).reshape(-1, 4)
-    y = found[:, 3]
+    train = rows.where("doc_id is not null").where(fold != 0).join(marks.hint("merge"), "doc_id")
+    pairs = written(count_pairs(train.select("text", "toxic")), "pairs")
+    units = written(count_units(pairs), "units")
+    chosen = rows.select("doc_id").where(fold != 0).distinct().join(marks.hint("merge"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    sample = {int(i): int(c) for i, c in chosen.select("doc_id", "toxic").collect()}
+    features = written(text_features(rows, pairs, units, sample), "toxicity")
+    own = features.where("own is not null").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "own", "loglen").limit(CALIBRATION_ROWS)
+    found = np.array([(*own_, size, kind) for own_, size, kind in own.select("own", "loglen", "toxic").collect()], float).reshape(-1, len(FEATURES) + 2)
+    y = found[:, -1]
     if len(set(y)) < 2:
         n, k = marks.where(fold != 0).agg(F.count("*"), F.sum("toxic")).first()
         score = F.lit(float(k or 0) / n if n else 0.0)
     else:
-        w, mean, scale = fit_logistic(design(*found[:, :3].T), y)
+        w, mean, scale = fit_logistic(design(found[:, :-2], found[:, -2]), y)
         w = w / scale
         w[0] -= float((w * mean)[1:].sum())
-        ratio, peak, root = F.col("ratio"), F.col("peak"), F.sqrt(F.expm1("loglen"))
-        terms = [F.lit(1.0), ratio * 100, peak * 100, ratio * root, peak * root, F.col("loglen")]
+        means, root = [F.col("found")[i] for i in range(len(FEATURES))], F.sqrt(F.expm1("loglen"))
+        terms = [F.lit(1.0), *[x * 100 for x in means], *[x * root for x in means], F.col("loglen")]
         z = sum((F.lit(float(a)) * t for a, t in zip(w, terms, strict=True)), F.lit(0.0))
         score = 1 / (1 + F.exp(-z))
-    return features.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "ratio")
+    return features.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("found")[0].alias("ratio"))
 
 
 def accuracy(truth: np.ndarray, score: np.ndarray) -> tuple[float, float]:
