@@ -21,8 +21,6 @@ from . import bytewords as bw
 
 #: Hash buckets of the n-grams, as a power of two.
 BITS = 16
-#: Most languages that a text is taken to mix.
-MOST_LANGUAGES = 3
 ROUNDS = 12
 #: Weight of a word's log-likelihood: the n-grams of a word overlap and aren't independent.
 TEMPER = 0.5
@@ -114,19 +112,34 @@ def mixtures(like: np.ndarray, offsets: np.ndarray, active: np.ndarray, rounds:
     return share, total
 
 
-def select_languages(like: np.ndarray, offsets: np.ndarray, most: int = MOST_LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the chosen language set of each text, and the number of languages in it."""
+def select_languages(like: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the chosen language set of each text, and the number of languages in it.
+
+    Sets of every size up to all languages count.  A text leaves early only when
+    none of the larger sets can win: no mixture is likelier than every word in its
+    own best language.
+    """
     n, langs = np.diff(offsets), like.shape[1]
-    share, _ = mixtures(like, offsets, np.ones((len(n), langs), bool))
-    rank = np.argsort(-share, 1, kind="stable")
+    all_share, all_total = mixtures(like, offsets, np.ones((len(n), langs), bool))
+    rank = np.argsort(-all_share, 1, kind="stable")
+    most, penalty = np.add.reduceat(like.max(1), offsets[:-1]), 0.5 * np.log(n) + np.log(langs)
     best, choice, number = np.full(len(n), -np.inf), np.zeros((len(n), langs)), np.zeros(len(n), np.int64)
-    for k in range(1, min(most, langs) + 1):
-        active = np.zeros((len(n), langs), bool)
-        np.put_along_axis(active, rank[:, :k], True, 1)
-        got, total = mixtures(like, offsets, active)
-        total = total - (k - 1) * (0.5 * np.log(n) + np.log(langs))
-        better = total > best
-        best[better], choice[better], number[better] = total[better], got[better], k
+    for k in range(1, langs + 1):
+        open_ = np.flatnonzero(most - (k - 1) * penalty > best - 1e-9 * (1 + np.abs(most)))
+        if not len(open_):
+            break
+        if k == langs:
+            got, total = all_share[open_], all_total[open_]
+        else:
+            active = np.zeros((len(open_), langs), bool)
+            np.put_along_axis(active, rank[open_, :k], True, 1)
+            mine = np.zeros(len(n), bool)
+            mine[open_] = True
+            got, total = mixtures(like[np.repeat(mine, n)], np.r_[0, np.cumsum(n[open_])], active)
+        total = total - (k - 1) * penalty[open_]
+        better = total > best[open_]
+        at = open_[better]
+        best[at], choice[at], number[at] = total[better], got[better], k
     return choice, number
 
 

@@ -250,3 +250,28 @@ def test_toxicity_learns_from_every_fold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, df).collect()}
     assert all(got[10_000 + f] > 0.9 for f in range(1, 5)), got
+
+
+def test_texts_of_more_than_three_languages():
+    rng = np.random.default_rng(8)
+    like = np.full((100, 6), -30.0)
+    for j in range(5):
+        like[20 * j : 20 * j + 20, j] = -5.0
+    share, number = language_mixture.select_languages(like, np.array([0, 80, 100]))
+    assert number.tolist() == [4, 1]
+    np.testing.assert_allclose(share[0], [0.25] * 4 + [0, 0], atol=1e-6)
+    # against every size of set tried for every text
+    offsets = np.r_[0, np.cumsum(rng.integers(1, 40, 200))]
+    like = -rng.gamma(2.0, 8.0, (offsets[-1], 5))
+    got, sizes = language_mixture.select_languages(like, offsets)
+    n = np.diff(offsets)
+    rank = np.argsort(-language_mixture.mixtures(like, offsets, np.ones((200, 5), bool))[0], 1, kind="stable")
+    tried = []
+    for k in range(1, 6):
+        active = np.zeros((200, 5), bool)
+        np.put_along_axis(active, rank[:, :k], True, 1)
+        shares, total = language_mixture.mixtures(like, offsets, active)
+        tried.append((total - (k - 1) * (0.5 * np.log(n) + np.log(5)), shares))
+    want = np.argmax([x for x, _ in tried], 0)
+    assert sizes.tolist() == (want + 1).tolist() and sizes.max() > 3
+    np.testing.assert_allclose(got, np.stack([x for _, x in tried])[want, np.arange(200)], atol=1e-9)
