@@ -630,14 +630,37 @@ def report_frequency_timeline(spark, sf_dir):
 
 
 def _payloads(spark, sf_dir):
-    """Every step is a window, every entity of it an observation; a step without events is a gap, with a null payload."""
-    o = observed(spark, sf_dir).groupBy("run", "w", "entity").agg(F.max("confidence").alias("confidence"), F.max_by("kind", F.struct("t", "event_id")).alias("kind"))
-    text = F.col("entity").cast("string")
-    entity = F.struct(text.alias("local_id"), F.concat(F.lit("type"), (F.col("entity") % 3).cast("string")).alias("type"), F.concat(F.lit("user "), text).alias("name"), "confidence", F.array(F.lit(0)).alias("evidence"))
-    action = F.struct(text.alias("local_id"), text.alias("actor"), F.col("kind").alias("type"), "confidence", F.array(F.lit(0)).alias("evidence"))
-    by = o.groupBy("run", "w").agg(F.array_sort(F.collect_list(entity)).alias("entities"), F.array_sort(F.collect_list(action)).alias("actions"))
+    """Every step is a window's commit part; a step without events is a gap, with a null payload.
+
+    All events of the step are frames, behind one frame of the context before it,
+    which is all the evidence of context-only attributes.  Camera changes,
+    regions, looks, attributes, targets and tools are those of the other queries.
+    """
+    place = F.row_number().over(Window.partitionBy("run", "w").orderBy("t", "event_id"))
+    o = observed(spark, sf_dir).withColumn("i", place.cast("int")).withColumn("attribute", F.col("k") % 6)
+    text = lambda c: c.cast("string")
+    last = F.max_by(F.struct("kind", "k", "event_id", "confidence"), F.struct("t", "event_id")).alias("x")
+    seen = [F.max("confidence").alias("confidence"), F.array_sort(F.collect_list("i")).alias("evidence"), last]
+    me, k = F.col("entity"), F.col("x.k")
+    kind = F.concat(F.lit("type"), text(me % 3))
+    region = F.when(k % 4 == 0, "unknown").otherwise(F.concat(F.lit("r"), text(k % 4)))
+    # every seventh names an entity of the fold: its own, another or one that isn't there
+    hint = F.when(k % 7 == 0, F.concat(kind, F.lit("_"), F.lpad(text(F.floor(me / 24) + 1), 4, "0")))
+    entity = F.struct(text(me).alias("local_id"), kind.alias("type"), F.concat(F.lit("user "), text(me)).alias("name"), F.create_map(F.lit("look"), text(k % 5)).alias("appearance"), region.alias("region"), hint.alias("hint"), "confidence", "evidence")
+    action = F.struct(F.concat_ws(" ", text(me), "kind").alias("local_id"), text(me).alias("actor"), F.col("kind").alias("type"), F.when(k % 3 > 0, text(me + 8)).alias("target"), F.when(k % 3 == 2, text(me + 16)).alias("tool"), "confidence", "evidence")
+    context = F.col("x.event_id") % 4 == 0
+    attribute = F.struct(text(me).alias("entity"), text(F.col("attribute")).alias("key"), F.col("x.kind").alias("value"), F.least(F.lit(1.0), F.col("x.confidence") * 2).alias("confidence"), F.when(context, F.array(F.lit(0))).otherwise(F.col("evidence")).alias("evidence"))
     start = F.col("w") * 3.0
-    payload = F.to_json(F.struct(start.alias("start"), start.alias("commit_start"), (start + 3).alias("end"), F.array(start).alias("frames"), "entities", "actions"))
+    listed = lambda keys, row, name: o.groupBy("run", "w", *keys).agg(*seen).groupBy("run", "w").agg(F.array_sort(F.collect_list(F.to_json(row))).alias(name))
+    by = o.groupBy("run", "w").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t / (STRIDE / 3)).alias("times"))
+    for keys, row, name in ((["entity"], entity, "entities"), (["entity", "kind"], action, "actions"), (["entity", "attribute"], attribute, "attributes")):
+        by = by.join(listed(keys, row, name), ["run", "w"])
+    by = by.join(_steps(spark, sf_dir), ["run", "w"])
+    view = F.when(F.col("camera_change"), "closeup").otherwise("overview")
+    head = F.to_json(F.struct((start - 3).alias("start"), start.alias("commit_start"), (start + 3).alias("end"), F.concat(F.array(start - 1.5), "times").alias("frames"), "camera_change", view.alias("view")))
+    lists = [F.concat(F.lit(f', "{x}": ['), F.concat_ws(",", x), F.lit("]")) for x in ("entities", "actions", "attributes")]
+    payload = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("head")), *lists, F.lit("}"))
+    by = by.withColumn("head", head)
     steps = o.groupBy("run").agg(F.max("w").alias("last")).select("run", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("w"))
     return steps.join(by.select("run", "w", payload.alias("payload")), ["run", "w"], "left")
 

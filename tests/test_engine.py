@@ -105,3 +105,9 @@ def test_final_state(spark):
 def test_stream_equals_batch_on_the_tables(spark):
     rows = QUERIES["stream_equals_batch"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.batch_events > 0 and r.only_batch == r.only_stream == 0 for r in rows)
+
+
+def test_replay_uses_scenes_attributes_and_context(spark):
+    kinds = {r.event_type for r in QUERIES["replay_events"](spark, "/root/testdata/sf0.001").select("event_type").distinct().collect()}
+    assert {"scene_changed", "attribute_pending", "attribute_initialized", "attribute_pending_expired"} <= kinds
+    assert "state_update_error" not in kinds
