@@ -6,28 +6,27 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import written
 
-#: Vectors that the index is fitted on, at most; all vectors are indexed.
+#: Vectors that the index is fitted on, about and at most; all vectors are indexed.
 TRAIN_ROWS = 20_000
-#: Most of the lists are probed, as neighbours of unstructured vectors lie in many of them: on 51,282 such vectors of
-#: 64 components, 24 probed lists held 84 % of the true neighbours, 40 held 96 % and 48 held 98 %.
-LISTS = 64
-PROBES = 44
-#: Vectors that the probed lists hold at least, where the table has so many.
-LEAST_PROBED = 2_000
+#: Lists grow as the square root of the table, up to one for so many fitted vectors.
+ROWS_A_LIST = 40
+#: Share of the neighbours of fitted vectors, among the fitted ones, that the probed lists hold: few lists do where
+#: vectors form clusters, most are needed where they are unstructured.
+PROBED_SHARE = 0.975
 PARTS = 16
 CODES = 256
 #: Candidates of each query that are reranked exactly.
 RERANK = 128
-#: Queries that meet a part of a list at once, on average.
-QUERY_ROWS = 5_000
-#: Vectors in a part of a list, on average.
-PART_ROWS = 20_000
+#: Queries and coded vectors that meet in one place, at most about.
+QUERY_ROWS = 50_000
+SLAB_ROWS = 1_000_000
 SEED = 7
 
 
@@ -50,18 +49,35 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = SEED) -> np.ndar
 
 
 class Index:
-    """What is fitted: coarse centroids and the codebooks of the residuals' parts.  Its size doesn't depend on the table's."""
+    """What is fitted: coarse centroids and the codebooks of the residuals' parts, and how many lists to probe."""
 
-    def __init__(self, x: np.ndarray, lists: int = LISTS, parts: int = PARTS, codes: int = CODES, seed: int = SEED):
+    def __init__(self, x: np.ndarray, lists: int, parts: int = PARTS, codes: int = CODES, probes: int | None = None, seed: int = SEED):
         self.dim = x.shape[1]
         self.coarse = kmeans(x, lists, seed=seed)
         rest = x - self.coarse[self.nearest(x)]
         self.cuts = np.linspace(0, self.dim, min(parts, self.dim) + 1).astype(int)
         self.books = [kmeans(rest[:, a:b], codes, seed=seed + 1 + a) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        self.probes = min(probes or self.needed(x), len(self.coarse))
+
+    def needed(self, x: np.ndarray, queries: int = 500, k: int = 5, share: float = PROBED_SHARE) -> int:
+        """Lists to probe so that they hold that share of the k nearest other rows of some of x's rows."""
+        some = np.random.default_rng(SEED).permutation(len(x))[:queries]
+        if len(x) <= k:
+            return len(self.coarse)
+        like = x[some] @ x.T
+        like[np.arange(len(some)), some] = -np.inf
+        near = np.argpartition(-like, k, 1)[:, :k]
+        place = np.empty((len(some), len(self.coarse)), np.int64)
+        np.put_along_axis(place, self.order(x[some]), np.arange(len(self.coarse))[None], 1)
+        return int(np.quantile(np.take_along_axis(place, self.nearest(x)[near], 1), share)) + 1
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return ((self.coarse * self.coarse).sum(1) - 2 * x @ self.coarse.T).argmin(1)
 
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All lists, nearest first."""
+        return np.argsort((self.coarse * self.coarse).sum(1) - 2 * q @ self.coarse.T, 1, kind="stable")
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = self.nearest(x)
         rest = x - self.coarse[near]
@@ -70,27 +86,27 @@ class Index:
             code[:, j] = ((self.books[j] ** 2).sum(1) - 2 * rest[:, a:b] @ self.books[j].T).argmin(1)
         return near, code
 
-    def probes(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort((self.coarse * self.coarse).sum(1) - 2 * q @ self.coarse.T, 1, kind="stable")
-
-    def distances(self, q: np.ndarray, near: int, code: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances [queries, codes] from per-part tables of the queries' residuals."""
-        rest = q - self.coarse[near]
-        total = np.zeros((len(q), len(code)))
+    def own_terms(self, near: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What of a coded vector's distance is the same for all queries: |residual|^2 + 2 centroid * residual, from tables."""
+        total = np.zeros(len(near))
         for j, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
-            table = ((rest[:, None, a:b] - self.books[j][None]) ** 2).sum(2)
-            total += table[:, code[:, j]]
+            table = (self.books[j] ** 2).sum(1) + 2 * self.coarse[:, a:b] @ self.books[j].T
+            total += table[near, code[:, j]]
         return total
 
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Asymmetric tables of queries: for every part [queries, codes], -2 query * codebook row."""
+        return [(-2 * q[:, a:b] @ book.T).astype(np.float32) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
+
     def pack(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, coarse=self.coarse, cuts=self.cuts, **{f"b{j}": b for j, b in enumerate(self.books)})
+        np.savez(out, coarse=self.coarse, cuts=self.cuts, probes=self.probes, **{f"b{j}": b for j, b in enumerate(self.books)})
         return out.getvalue()
 
     @classmethod
     def unpack(cls, raw: bytes) -> Index:
         self, z = cls.__new__(cls), np.load(io.BytesIO(raw))
-        self.coarse, self.cuts = z["coarse"], z["cuts"]
+        self.coarse, self.cuts, self.probes = z["coarse"], z["cuts"], int(z["probes"])
         self.dim, self.books = self.coarse.shape[1], [z[f"b{j}"] for j in range(len(self.cuts) - 1)]
         return self
 
@@ -99,95 +115,138 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def search(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, probes: int = PROBES, rerank: int = RERANK, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The k nearest rows by cosine, the query's own id excepted, for every row for which `queries` holds.
+def prepared(batches):
+    """Of rows (key, vec_id, v, is_query) those with a finite vector that isn't zero, with norm and dim.
+
+    Vectors are multiplied by a power of two that brings their largest component
+    near 1: exact, and sums of squares neither overflow nor vanish.
+    """
+    for b in batches:
+        v = b.column(2)
+        dims = np.array([-1 if n is None else n for n in pa.compute.list_value_length(v).to_pylist()])
+        for dim in np.unique(dims[dims > 0]):
+            at = np.flatnonzero(dims == dim)
+            x = v.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy().reshape(-1, dim)
+            fine = np.isfinite(x).all(1) & (x != 0).any(1)
+            at, x = at[fine], x[fine]
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+            part = b.take(pa.array(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, part.column(3), pa.array(np.sqrt((x * x).sum(1))), pa.array(np.full(len(x), dim), pa.int32())], names=["key", "vec_id", "v", "is_query", "norm", "dim"])
+
+
+def best_coded(index: Index, keys: np.ndarray, ids: np.ndarray, lists: np.ndarray, code: np.ndarray, who: np.ndarray, q: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, coded row, distance): the rerank nearest of each query among the coded vectors of its probed lists, by tables.
+
+    Equal distances go to the smaller id; a query's own key takes no part.
+    """
+    order = np.lexsort((ids, lists))
+    keys, ids, lists, code = keys[order], ids[order], lists[order], code[order]
+    own = index.own_terms(lists, code).astype(np.float32)
+    first = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+    spans = list(zip(lists[first], first, np.r_[first[1:], len(lists)], strict=True))
+    columns = [np.ascontiguousarray(code[:, j]) for j in range(code.shape[1])]
+    out = []
+    step = max(1, 4_000_000 // len(ids))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        probed = np.zeros((len(part), len(index.coarse)), bool)
+        np.put_along_axis(probed, index.order(part)[:, : index.probes], True, 1)
+        tables = index.tables(part)
+        base = ((part[:, None] - index.coarse[None]) ** 2).sum(2).astype(np.float32)
+        d = np.full((len(part), len(ids)), np.inf, np.float32)
+        for list_, a, b in spans:
+            mine = np.flatnonzero(probed[:, list_])
+            if len(mine):
+                total = base[mine, list_][:, None] + own[None, a:b]
+                for table, column in zip(tables, columns, strict=True):
+                    total += table[mine][:, column[a:b]]
+                d[mine, a:b] = total
+        d[who[at : at + step, None] == keys[None]] = np.inf
+        for i, row in enumerate(d):
+            best = np.flatnonzero(row < np.inf)
+            if len(best) > rerank:
+                limit = np.partition(row, rerank - 1)[rerank - 1]
+                below, equal = np.flatnonzero(row < limit), np.flatnonzero(row == limit)
+                if len(equal) > rerank - len(below):
+                    equal = equal[np.argsort(ids[equal], kind="stable")[: rerank - len(below)]]
+                best = np.r_[below, equal]
+            out.append((np.full(len(best), who[at + i]), order[best], row[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def search(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, probes: int | None = None, rerank: int = RERANK, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The k nearest rows by cosine, the query's own row excepted, for every row for which `queries` holds.
 
     Returns query_id, rank (from 1), vec_id, score (cosine of the original
     vectors in double precision), ties to the smaller vec_id.  Vectors that are
-    null or zero, that hold a null or non-finite component, or whose length
-    isn't the most frequent one take no part; nor do null ids.  Of repeated ids the
-    greatest vector counts.  Fewer candidates give fewer rows; empty tables give
-    empty results.  The index is fitted on at most train_rows vectors and is
-    all that is broadcast; all vectors are indexed.
+    null, empty or zero or that hold a null or non-finite component take no
+    part, nor do null ids.  Vectors are compared with those of their own length;
+    each length has its own index.  Rows with repeated ids are rows of their
+    own, as queries (their answers then share a query_id) and as candidates.
+    Fewer candidates give fewer rows; empty tables give empty results.  Other
+    columns are ignored.  An index is fitted on at most train_rows vectors and
+    is all that is broadcast; all vectors are indexed.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    fine = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), queries.alias("is_query"), norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    rows = rows.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query"), F.max_by("norm", "v").alias("norm"))
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    dim, total = int(dims[0]), int(dims[1])
-    rows = written(rows.where(F.size("v") == dim), "vectors")
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(SEED))).limit(train_rows).select(F.transform("v", lambda x: x / F.col("norm"))).collect()])
-    index = spark.sparkContext.broadcast(Index(sample, lists).pack())
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    rows = written(rows.mapInArrow(prepared, "key long, vec_id long, v array<double>, is_query boolean, norm double, dim int"), "vectors")
+    found = None
+    for dim, total, asked in rows.groupBy("dim").agg(F.count("*"), F.count_if("is_query")).orderBy("dim").collect():
+        if asked and total > 1:
+            mine = _search_length(rows.where(F.col("dim") == dim), dim, total, asked, k, lists, probes, rerank, train_rows)
+            found = mine if found is None else found.unionByName(mine)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _units(rows: DataFrame, dim: int) -> np.ndarray:
+    """The vectors of a bounded number of rows at the driver, of length 1."""
+    table = rows.select("v", "norm").toArrow()
+    return table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim) / table.column("norm").to_numpy()[:, None]
+
+
+def _search_length(rows: DataFrame, dim: int, total: int, asked: int, k: int, lists: int | None, probes: int | None, rerank: int, train_rows: int) -> DataFrame:
+    spark = rows.sparkSession
+    # a threshold on the hash first, so that no partition sends more than its share to the driver
+    place = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30))
+    sample = rows.where(place < int(min(1.0, 1.1 * train_rows / total) * (1 << 30))).orderBy(place, "v").limit(train_rows)
+    x = _units(sample, dim)
+    if not len(x):
+        x = _units(rows.orderBy("vec_id", "v").limit(1), dim)
+    index = spark.sparkContext.broadcast(Index(x, lists or max(1, min(int(total**0.5), len(x) // ROWS_A_LIST)), probes=probes).pack())
+    slabs = -(-total // SLAB_ROWS)
+    # as many groups of queries as keep their number bounded, and at least enough to give all cores work
+    groups = max(-(-asked // QUERY_ROWS), min(-(-asked // 64), -(-2 * spark.sparkContext.defaultParallelism // slabs)))
 
     def code(batches):
         fitted = Index.unpack(index.value)
         for b in batches:
-            x = _matrix(b.column(1), dim) / b.column(3).to_numpy()[:, None]
-            near, c = fitted.encode(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32()), pa.array([r.tobytes() for r in c], pa.binary())], names=["vec_id", "list", "code"])
-
-    coded = written(rows.select("vec_id", "v", "is_query", "norm").mapInArrow(code, "vec_id long, list int, code binary"), "codes")
-    # one count for each list: as many rows as lists
-    sizes = {r[0]: r[1] for r in coded.groupBy("list").count().collect()}
-    parts = {i: -(-n // PART_ROWS) for i, n in sizes.items()}
-    enough = min(LEAST_PROBED, total)
+            near, c = fitted.encode(_matrix(b.column(2), dim) / b.column(3).to_numpy()[:, None])
+            packed = pa.Array.from_buffers(pa.binary(c.shape[1]), len(c), [None, pa.py_buffer(np.ascontiguousarray(c))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int32()), packed], names=["key", "vec_id", "list", "code"])
 
-    asking = rows.where("is_query").select("vec_id", "v", "norm")
-    groups = -(-asking.count() * probes // (lists * QUERY_ROWS)) or 1
-
-    def ask(batches):
-        fitted = Index.unpack(index.value)
-        count = np.array([sizes.get(i, 0) for i in range(len(fitted.coarse))])
-        for b in batches:
-            q = _matrix(b.column(1), dim) / b.column(2).to_numpy()[:, None]
-            out = []
-            for i, x, order in zip(b.column(0).to_pylist(), q, fitted.probes(q), strict=True):
-                stop = max(probes, int(np.searchsorted(np.cumsum(count[order]), enough)) + 1)
-                out += [(i, int(c), p, x.tobytes()) for c in order[:stop] for p in range(parts.get(int(c), 0))]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["query_id", "list", "part", "q"])
-
-    asked = asking.mapInArrow(ask, "query_id long, list int, part int, q binary").withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    count = F.element_at(F.array(*[F.lit(parts.get(i, 1)) for i in range(lists)]), F.col("list") + 1)
-    placed = coded.withColumn("part", F.pmod(F.xxhash64("vec_id"), count).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    coded = written(rows.select("key", "vec_id", "v", "norm").mapInArrow(code, "key long, vec_id long, list int, code binary"), "codes")
+    unit = F.transform("v", lambda x: (x / F.col("norm")).cast("float"))
+    asking = rows.where("is_query").select(F.col("key").alias("query"), unit.alias("q"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
+    placed = coded.withColumn("slab", F.pmod(F.xxhash64("key"), F.lit(slabs)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def score(left, right):
-        out_q, out_v, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        who, keys, ids, at, d = *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.float32)
         if left.num_rows and right.num_rows:
             fitted = Index.unpack(index.value)
-            ids = right.column("vec_id").to_numpy()
-            code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            order = np.argsort(ids)
-            ids, code = ids[order], code[order]
-            who, near = left.column("query_id").to_numpy(), left.column("list")[0].as_py()
-            q = np.stack([np.frombuffer(x, np.float64) for x in left.column("q").to_pylist()])
-            step = max(1, 2_000_000 // len(ids))
-            for at in range(0, len(q), step):
-                d = fitted.distances(q[at : at + step], near, code)
-                for i, row in zip(who[at : at + step], d, strict=True):
-                    row[ids == i] = np.inf
-                    best = np.arange(len(ids))
-                    if len(ids) > rerank:  # the ids ascend, so equal distances keep the smaller ids
-                        limit = np.partition(row, rerank - 1)[rerank - 1]
-                        below, equal = np.flatnonzero(row < limit), np.flatnonzero(row == limit)
-                        best = np.r_[below, equal[: rerank - len(below)]]
-                    best = best[row[best] < np.inf]
-                    out_q.append(np.full(len(best), i)), out_v.append(ids[best]), out_d.append(row[best])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "distance": np.concatenate(out_d)})
-
-    keys = ["list", "part", "grp"]
-    found = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, distance double")
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id")
-    one = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    pairs = short.join(rows.select("vec_id", "v", "norm"), "vec_id").join(one, "query_id")
+            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            q = left.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            keys, ids = right.column("key").to_numpy(), right.column("vec_id").to_numpy()
+            who, at, d = best_coded(fitted, keys, ids, right.column("list").to_numpy(), codes, left.column("query").to_numpy(), q, rerank)
+        return pa.table({"query": pa.array(who), "key": pa.array(keys[at]), "vec_id": pa.array(ids[at]), "distance": pa.array(d)})
+
+    both = ["grp", "slab"]
+    found = asking.groupBy(*both).cogroup(placed.groupBy(*both)).applyInArrow(score, "query long, key long, vec_id long, distance float")
+    best = Window.partitionBy("query").orderBy("distance", "vec_id", "key")
+    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query", "key")
+    one = rows.where("is_query").select(F.col("key").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
+    pairs = short.join(rows.select("key", "vec_id", "v", "norm"), "key").join(one, "query")
     dot = F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    exact = pairs.select("query_id", "vec_id", (dot / (F.col("norm") * F.col("qn"))).alias("score"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    exact = pairs.select("query", "query_id", "vec_id", (dot / (F.col("norm") * F.col("qn"))).alias("score"), "key")
+    rank = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "key")
     return exact.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,7 +21,9 @@ from . import bytewords as bw
 
 #: Hash buckets of the n-grams, as a power of two.
 BITS = 16
-ROUNDS = 12
+#: Rounds of a text's expectation-maximisation, at most, and the change of a proportion below which it stops.
+ROUNDS = 100
+TOLERANCE = 1e-3
 #: Weight of a word's log-likelihood: the n-grams of a word overlap and aren't independent.
 TEMPER = 0.5
 LETTER = re.compile(r"[^\W\d_]")
@@ -34,7 +36,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """Bucket of the 3-gram that starts at every byte; bytes that aren't in words count as spaces."""
+    """Bucket of the 3-gram that is centred on every byte; bytes that aren't in words count as spaces."""
     low = bw.lower_table()
     low[bw.nonletter_table()] = 32
     b = low[data].astype(np.uint32)
@@ -44,12 +46,19 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def _pieces(column: pa.Array):
-    """(data, offsets, first row, rows) of runs of rows of about a megabyte together."""
+    """(data, offsets, first row, rows) of runs of rows of about a megabyte together.
+
+    A space follows every row, so that no n-gram reaches into a neighbour; it
+    belongs to no row: row i is data[offsets[i] : offsets[i + 1] - 1].
+    """
     data, offsets = bw.buffers(column)
     at = 0
     while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + bw.WINDOW, "right")) - 1)
-        yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at, to - at
+        part, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        spaced = np.full(len(part) + to - at, 32, np.uint8)
+        spaced[np.arange(len(part)) + np.repeat(np.arange(to - at), np.diff(cuts))] = part
+        yield spaced, cuts + np.arange(to - at + 1), at, to - at
         at = to
 
 
@@ -61,11 +70,12 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for b in batches:
             lang = np.array(b.column(1).to_pylist(), object)
             for data, offsets, at, n in _pieces(b.column(0)):
-                grams = _grams(data)
-                row = np.repeat(np.arange(n), np.diff(offsets))
+                grams, size = _grams(data), np.diff(offsets)
+                inside = np.ones(len(data), bool)
+                inside[offsets[1:] - 1] = False
                 for name in set(lang[at : at + n]):
-                    mine = (lang[at : at + n] == name)[row]
-                    total[name] = total.get(name, 0) + np.bincount(grams[: len(row)][mine], minlength=1 << BITS)
+                    mine = np.repeat(lang[at : at + n] == name, size) & inside
+                    total[name] = total.get(name, 0) + np.bincount(grams[mine], minlength=1 << BITS)
         for name, counts in total.items():
             for i, part in enumerate(np.split(counts, _SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary())], names=["lang", "slice", "counts"])
@@ -94,20 +104,29 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     return names, np.log(0.95 * own + 0.05 * shared).astype(np.float32)
 
 
-def mixtures(like: np.ndarray, offsets: np.ndarray, active: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(like: np.ndarray, offsets: np.ndarray, active: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood of each text's mixture over its active languages.
 
     like: words x languages log-likelihoods; offsets: the texts' first words;
     active: texts x languages.  Texts must have words and active languages.
+    Every text stops on its own, when no proportion moves by more than the
+    tolerance, so its result doesn't depend on the others.
     """
     n = np.diff(offsets)
     text = np.repeat(np.arange(len(n)), n)
     top = np.where(active[text], like, -np.inf).max(1, keepdims=True)
     rel = np.where(active[text], np.exp(like - top), 0.0)
     share = active / active.sum(1, keepdims=True)
+    open_, rest, size = np.arange(len(n)), rel, n
     for _ in range(rounds):
-        part = rel * share[text]
-        share = np.add.reduceat(part / part.sum(1, keepdims=True), offsets[:-1], axis=0) / n[:, None]
+        part = rest * np.repeat(share[open_], size, 0)
+        new = np.add.reduceat(part / part.sum(1, keepdims=True), np.cumsum(size) - size, axis=0) / size[:, None]
+        moved = np.abs(new - share[open_]).max(1) > tolerance
+        share[open_] = new
+        if not moved.all():
+            open_, rest, size = open_[moved], rest[np.repeat(moved, size)], size[moved]
+            if not len(open_):
+                break
     total = np.add.reduceat(np.log(np.maximum((rel * share[text]).sum(1), 1e-300)) + top[:, 0], offsets[:-1])
     return share, total
 
@@ -161,19 +180,16 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str
             for data, offsets, at, _ in _pieces(texts):
                 if not len(data) or not names:
                     continue
-                inside = ~sep[data]
-                edge = np.zeros(len(data) + 1, bool)
-                edge[offsets] = True
-                begin = np.flatnonzero(inside & (edge[:-1] | np.r_[True, ~inside[:-1]]))
-                stop = np.flatnonzero(inside & (edge[1:] | np.r_[~inside[1:], True]))
+                inside = np.r_[False, ~sep[data]]  # every row ends with a space, so words never touch
+                begin = np.flatnonzero(inside[1:] & ~inside[:-1])
+                stop = np.flatnonzero(inside[:-1] & ~inside[1:])
                 if not len(begin):
                     continue
                 # with its leading and trailing space a word of m bytes has m 3-grams, each centred on one of its bytes
-                grams = _grams(data)
+                grams, ends = _grams(data), np.stack([begin, stop], 1).ravel()
                 like = np.empty((len(begin), len(names)))
                 for j in range(len(names)):
-                    total = np.r_[0.0, np.cumsum(logp[grams, j], dtype=np.float64)]
-                    like[:, j] = TEMPER * (total[stop + 1] - total[begin])
+                    like[:, j] = TEMPER * np.add.reduceat(logp[grams, j].astype(np.float64), ends)[::2]
                 words = np.searchsorted(begin, offsets)
                 full = np.flatnonzero(np.diff(words))
                 share, number = select_languages(like, np.r_[words[full], words[-1]])

@@ -13,19 +13,20 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import delete_path, forget, frequent, new_path, salted_join, written
 
 VERSION = b"WARC/1.1"
 #: Bytes of a record's block, at most, and of a chunk of the transfer framing.
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
-#: Records in an archive file, at most.
-FILE_RECORDS = 20_000
+#: Records in an archive file, at most: with the segments' length, 128 MB before compression.
+FILE_RECORDS = 8_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -77,27 +78,34 @@ def _clean(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def page_records(page_id: int | None, row: str, url: str | None, payload: bytes, response: int | None, is_response: bool, segment: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page, without the empty lines that end them."""
-    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, row)}>"
+def record_id(key: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, key)}>"
+
+
+def page_records(page_id: int | None, key: str, url: str | None, payload: bytes, refers_to: str | None = None, segment: int = SEGMENT_BYTES) -> list[bytes]:
+    """The records of one page, without the empty lines that end them.
+
+    key is unique to the page's row and gives the record's id; refers_to is the
+    key of the response that the page revisits, None for a response.
+    """
+    name = record_id(key)
     head = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url))]
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
     head.append(("WARC-Payload-Digest", "sha1:" + digest(payload)))
-    if not is_response:
-        known = [("WARC-Refers-To", f"<urn:page:{response}>")] if response is not None else []
+    http = ("Content-Type", "application/http;msgtype=response")
+    if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", str(len(payload)))]
-        return [_record([*kind, *head, *known, ("Content-Type", "application/http;msgtype=response")], block)]
+        kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        return [_record([*kind, *head, ("WARC-Refers-To", record_id(refers_to)), http], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + frame_chunks(payload)
-    head = [("WARC-Type", "response"), *head, ("Content-Type", "application/http;msgtype=response")]
+    head = [("WARC-Type", "response"), *head, http]
     if len(block) <= segment:
         return [_record(head, block)]
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     records = [_record([*head, ("WARC-Segment-Number", "1")], parts[0])]
     for i, part in enumerate(parts[1:], 2):
-        own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{row}/{i}')}>"
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i))]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(f"{key}/{i}")), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i))]
         records.append(_record([*more, *([("WARC-Segment-Total-Length", str(len(block)))] if i == len(parts) else [])], part))
     return records
 
@@ -108,29 +116,38 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least least_bytes bytes those with the
     smallest page_id are responses, the others revisit it; null ids come last
     and are responses only where no row with that payload has an id.  Repeated
-    rows with the response's id are responses themselves.  Null bodies are
-    empty; null URLs are written as empty.
+    rows with the response's id are responses themselves; revisits name one of
+    them.  Every row gets a record id of its own, however equal rows are.  Null
+    bodies are empty; null URLs are written as empty.  Other columns are
+    ignored; an empty table gives no records.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.encode("html", "utf-8")))
-    # equal payloads: pre-aggregated, only digests and ids are shuffled for this
-    first = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    rows = rows.join(first, "sha", "left")
+    # the key is drawn once and written, so that a response and its revisits agree on it
+    rows = written(rows.select(F.monotonically_increasing_id().alias("key"), "*", F.sha1(F.encode("html", "utf-8")).alias("sha")), "pages")
+    # equal payloads: only digests, ids and keys are shuffled for this, and reduced before
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("response"), F.col("key").alias("response_key"))).alias("x")
+    first = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(least, F.count("*").alias("rows")).where("rows > 1").select("sha", "x.response", "x.response_key")
+    both = salted_join(rows, first, "sha", frequent(rows.select("sha"), "sha"), F.col("key"))
+    alone = F.col("response_key").isNull() | F.col("page_id").eqNullSafe(F.col("response"))
+    both = both.select("key", "page_id", "url", "html", F.when(~alone, F.col("response_key")).alias("refers"))
 
     def run(batches):
-        for number, b in enumerate(batches):
-            out = []
-            for i, (sha, page, url, html, response) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
-                alone = response is None or page == response
-                out += page_records(page, f"{page}/{sha}/{url}/{number}/{i}", url, html.encode(), response, alone, segment)
-                if len(out) >= 2000:
+        for b in batches:
+            out, size = [], 0
+            for at in range(b.num_rows):
+                key, page, url, html, refers = (b.column(c)[at].as_py() for c in range(5))
+                more = page_records(page, str(key), url, html.encode(), None if refers is None else str(refers), segment)
+                out += more
+                size += sum(map(len, more))
+                if len(out) >= 2000 or size > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out = []
+                    out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     # the bytes go to the file as they are: a cast from binary to string doesn't touch them
-    records = rows.select("sha", "page_id", "url", "html", "response").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records = both.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    forget(rows)
 
 
 def open_archive(content: bytes):
@@ -140,52 +157,86 @@ def open_archive(content: bytes):
 
 
 def parse_archive(stream):
-    """(headers with lower-case names, block) of every record of an archive stream."""
-    while first := stream.readline():
-        if not first.startswith(b"WARC/"):
-            if first.strip() or stream.read().strip():
-                raise WarcError("a record doesn't start with its version")
-            return
-        headers = {}
-        while (line := stream.readline()) != b"\r\n":
-            if not line.endswith(b"\n"):
-                raise WarcError("the file ends inside a header")
-            name, _, value = line.partition(b":")
-            headers[name.strip().lower().decode()] = value.strip().decode()
-        n = int(headers.get("content-length", "0"))
-        block = stream.read(n)
-        if len(block) != n or stream.read(4) != b"\r\n\r\n":
-            raise WarcError("a record has another length")
-        yield headers, block
+    """(headers with lower-case names, block) of every record of an archive stream; WarcError where the archive is damaged."""
+    try:
+        while first := stream.readline():
+            if not first.startswith(b"WARC/"):
+                if first.strip() or stream.read().strip():
+                    raise WarcError("a record doesn't start with its version")
+                return
+            headers = {}
+            while (line := stream.readline()) != b"\r\n":
+                if not line.endswith(b"\n"):
+                    raise WarcError("the file ends inside a header")
+                name, _, value = line.partition(b":")
+                headers[name.strip().lower().decode()] = value.strip().decode()
+            n = number(headers.get("content-length", "0"))
+            block = stream.read(n)
+            if len(block) != n or stream.read(4) != b"\r\n\r\n":
+                raise WarcError("a record has another length")
+            yield headers, block
+    except (EOFError, OSError, zlib.error, UnicodeDecodeError) as e:
+        raise WarcError("the archive can't be inflated or decoded") from e
+
+
+def number(text: str | None) -> int | None:
+    """A decimal number that fits a long; null stays null."""
+    if text is None:
+        return None
+    if not text.isascii() or not text.isdigit() or len(text) > 18:
+        raise WarcError("a header's number isn't one")
+    return int(text)
+
+
+_KINDS = [("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers", pa.string()),
+          ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("error", pa.string())]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives under path: type, ids, segment numbers, digests and blocks."""
-    kinds = [("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()),
-             ("length", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+    """All records of the archives under path: type, ids, segment numbers, digests and blocks.
 
-    def number(x):
-        return None if x is None else int(x)
+    A damaged archive gives the records before the damage and one row with the
+    reason in error, all else null.  A record whose own numbers are broken gives
+    such a row with its record id, and reading goes on behind it.
+    """
+
+    def fields(h, block):
+        page = h.get("x-page-id")
+        sign = -1 if page is not None and page.startswith("-") else 1
+        page = number(page if sign > 0 else page[1:])
+        return (h.get("warc-type"), h.get("warc-record-id"), page if page is None else sign * page, h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                h.get("warc-refers-to"), h.get("warc-segment-origin-id") or h.get("warc-record-id"), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), block, None)
+
+    def broken(e, name=None):
+        return (None, name, *[None] * 8, str(e))
+
+    def rows_of(content):
+        try:
+            for h, block in parse_archive(open_archive(content.as_buffer().to_pybytes())):
+                try:
+                    yield fields(h, block)
+                except WarcError as e:
+                    yield broken(e, h.get("warc-record-id"))
+        except WarcError as e:
+            yield broken(e)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(_KINDS)], names=[n for n, _ in _KINDS])
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
                 rows, size = [], 0
-                for h, block in parse_archive(open_archive(content.as_buffer().to_pybytes())):
-                    refers = h.get("warc-refers-to", "")
-                    rows.append(
-                        (h.get("warc-type"), h.get("warc-record-id"), number(h.get("x-page-id")), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                         int(refers[len("<urn:page:") : -1]) if refers else None, number(h.get("x-payload-length")), h.get("warc-segment-origin-id") or h.get("warc-record-id"),
-                         number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), block)
-                    )
-                    size += len(block)
+                for r in rows_of(content):
+                    rows.append(r)
+                    size += len(r[9] or b"") + 500
                     if size > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+                        yield batch(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+                    yield batch(rows)
 
-    schema = "record_type string, record_id string, page_id long, url string, digest string, refers_to long, length long, origin string, segment int, total long, block binary"
+    schema = "record_type string, record_id string, page_id long, url string, digest string, refers string, origin string, segment long, total long, block binary, error string"
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)
 
 
@@ -198,51 +249,81 @@ def _payload(block: bytes) -> bytes:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload, error: one row per response or revisit.
+    """record_id, page_id, url, record_type, refers, payload_digest, payload_bytes, payload, error: one row per response, revisit or damage.
 
     Segments meet by origin and go by number; numbers must run from 1 without
     gaps, repeated numbers must be equal, and the last must state the length of
     all.  Records that aren't segmented aren't shuffled with them.  A revisit
-    has no payload of its own; its digest and length are those that it states.
-    A broken record keeps its row with the reason in error.
+    has the digest that it states and no payload of its own; see
+    resolve_revisits.  A broken record keeps its row with the reason in error.
     """
-    whole = records.where("segment is null and record_type in ('response', 'revisit')")
+    names = ["record_type", "record_id", "page_id", "url", "digest", "refers", "error"]
+    whole = records.where("segment is null and (record_type in ('response', 'revisit') or error is not null)").select(*names, F.array("block").alias("blocks"))
     parts = records.where("segment is not null").groupBy("origin").agg(
         F.array_sort(F.collect_set(F.struct("segment", "block", "total"))).alias("parts"),
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("page_id", "url", "digest")],
     )
     n = F.size("parts")
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
-    right = (F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), n)) & (F.element_at("parts", -1)["total"] == length)
-    joined = parts.select(F.lit("response").alias("record_type"), "page_id", "url", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("length"), F.when(F.coalesce(right, F.lit(False)), F.concat(F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["block"])), "")))).alias("block"))
-    rows = whole.select(joined.columns).unionByName(joined)
+    right = (F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1).cast("long"), n.cast("long"))) & (F.element_at("parts", -1)["total"] == length)
+    none = F.lit(None).cast("string")
+    joined = parts.select(F.lit("response").alias("record_type"), F.col("origin").alias("record_id"), "page_id", "url", "digest", none.alias("refers"), none.alias("error"), F.when(F.coalesce(right, F.lit(False)), F.transform("parts", lambda x: x["block"])).alias("blocks"))
+    rows = whole.unionByName(joined)
 
     def run(batches):
         for b in batches:
-            kinds, want, lengths, blocks = (b.column(i).to_pylist() for i in (0, 3, 5, 6))
-            out = []
-            for kind, digest_, n, block in zip(kinds, want, lengths, blocks, strict=True):
-                if kind == "revisit":
-                    out.append((digest_, n, None, None))
-                    continue
-                try:
-                    if block is None:
-                        raise WarcError("segments are missing or have another length")
-                    payload = _payload(block)
-                    if digest_ is not None and digest(payload) != digest_:
-                        raise WarcError("the payload has another digest")
-                    out.append((digest(payload), len(payload), payload, None))
-                except WarcError as e:
-                    out.append((None, None, None, str(e)))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), b.column(4), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.string())],
-                                             names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload", "error"])
-
-    return rows.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, error string")
+            out, size, start = [], 0, 0
+            for i in range(b.num_rows):
+                kind, want, error = (b.column(c)[i].as_py() for c in (0, 4, 6))
+                if error is not None or kind == "revisit":
+                    out.append((want, None, None, error))
+                else:
+                    try:
+                        blocks = b.column(7)[i].as_py()
+                        if blocks is None:
+                            raise WarcError("segments are missing or have another length")
+                        payload = _payload(b"".join(blocks))
+                        found = digest(payload)
+                        if want is not None and found != want:
+                            raise WarcError("the payload has another digest")
+                        out.append((found, len(payload), payload, None))
+                        size += len(payload)
+                    except WarcError as e:
+                        out.append((None, None, None, str(e)))
+                if size > 8_000_000 or i == b.num_rows - 1:
+                    part = b.slice(start, i + 1 - start)
+                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), part.column(0), part.column(5), *(pa.array([x[j] for x in out], k) for j, k in enumerate((pa.string(), pa.int64(), pa.binary(), pa.string())))],
+                                                     names=["record_id", "page_id", "url", "record_type", "refers", "payload_digest", "payload_bytes", "payload", "error"])
+                    out, size, start = [], 0, i + 1
+
+    return rows.mapInArrow(run, "record_id string, page_id long, url string, record_type string, refers string, payload_digest string, payload_bytes long, payload binary, error string")
+
+
+def resolve_revisits(found: DataFrame) -> DataFrame:
+    """found with revisits joined to the responses that they name: refers_to is the response's page_id, payload_bytes its length.
+
+    A revisit whose response is missing or has another digest gets the reason in
+    error.  found is read more than once and should be a written table; no
+    payloads are needed.
+    """
+    asked, rest = found.where("record_type = 'revisit'"), found.where("record_type <> 'revisit' or record_type is null")
+    known = found.where("record_type = 'response' and error is null").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).dropDuplicates(["refers"])
+    both = salted_join(asked, known, "refers", frequent(asked.select("refers"), "refers"), F.col("record_id"))
+    why = F.when(F.col("_bytes").isNull(), "the response that is referred to is missing").when(F.col("_digest") != F.col("payload_digest"), "the response that is referred to has another digest")
+    columns = ["page_id", "url", "record_type", "payload_digest", "error"]
+    revisits = both.withColumn("error", F.coalesce("error", why)).select(*columns, F.when(F.col("error").isNull(), F.col("_bytes")).alias("payload_bytes"), F.when(F.col("error").isNull(), F.col("refers_to")).alias("refers_to"))
+    return rest.select(*columns, "payload_bytes", F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write pages as archives into the shared folder, read them back and return the reassembled records without payloads."""
-    path = new_path(pages.sparkSession, "warc")
+    """Write pages as archives into the shared folder, read them back and return the reassembled records without payloads.
+
+    Options and the handling of nulls, empty texts and repeated rows are those
+    of write_archives; one row comes back for each row that went in.
+    """
+    spark = pages.sparkSession
+    path = new_path(spark, "warc")
     write_archives(pages, path, **options)
-    found = reassemble(read_records(pages.sparkSession, path))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")
+    found = written(reassemble(read_records(spark, path)).drop("payload"), "records")
+    delete_path(spark, path)
+    return resolve_revisits(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")
