@@ -1,20 +1,26 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of word pairs, one of toxic and one of ordinary texts, are counted
-over all labelled training texts.  Pairs (word before, word) are counted by
-64-bit hashes in a Spark table that grows with the corpus, each pair once a
-text.  Each model interpolates discounted pair counts with its continuation
-counts (how many words a word follows), and these with continuation counts of
-both kinds of texts together.  Texts are scored in chunks: the distinct pairs
-and words of a chunk are joined to the counts and go back to it.  A text's score
-compares its length-normalised log-likelihoods; a logistic curve fitted on a
-bounded sample of training texts, each scored with its own counts taken off,
-turns it into a probability.
+over all labelled training texts, each pair (word before, word) once a text.
+Each model interpolates discounted pair counts with its continuation counts (how
+many words a word follows), and these with continuation counts of both kinds of
+texts together.  A text's score compares its length-normalised log-likelihoods;
+a logistic curve fitted on a bounded sample of training texts, each scored with
+its own counts taken off, turns that into a probability.
+
+Texts are kept as chunks of word numbers, bucketed by chunk.  Every chunk sends
+the sorted hashes of its distinct pairs, with the counts of its own training
+texts, to buckets of the hash range; a bucket adds the counts of all chunks and
+answers each one in the order of its hashes.  Of the chunks that hold a pair one
+owns it and counts it in the words' continuation counts, which are added and
+answered in the same way.  So counts are tables that grow with the corpus, and
+no pair travels with more than its hash.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +32,15 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .bpe_table import _pack, _unpack
 from .language_mixture import held_out
-from .storage import written
+from .storage import forget, written
 
-DISCOUNT = 0.9
-#: Labelled texts that the curve is fitted on, at most.
+#: Labelled texts that the curve is fitted on, about and at most.
 CALIBRATION_ROWS = 20_000
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+#: Bytes of text for which there is a bucket of pairs, and one of words.
+PAIR_BUCKET_BYTES = 40 << 20
+WORD_BUCKET_BYTES = 160 << 20
 #: Means over a text's pairs of the log-ratio and of what is above 1, 2 and 3, and of the continuation models' log-ratio and what is above 1 and 2.
 FEATURES = ("ratio", "peak1", "peak2", "peak3", "lower", "lower1", "lower2")
 #: What is counted of a word: as the word before, its pairs and kinds of pairs in ordinary and toxic texts; as a word, the kinds of words before it in ordinary, toxic and all texts.
@@ -66,51 +74,119 @@ class Pairs:
         self.first = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(len(codes), 1))
         self.cells = cells % max(len(codes), 1)
 
-    def keys(self) -> np.ndarray:
-        """64-bit hashes of the pairs."""
+    def keys(self, bits: int) -> np.ndarray:
+        """Hashes of the pairs, of so many bits."""
         with np.errstate(over="ignore"):
-            return bw.mix64(bw.mix64(self.hashes[self.before] + np.uint64(1)) + self.hashes[self.word])
+            return bw.mix64(bw.mix64(self.hashes[self.before] + np.uint64(1)) + self.hashes[self.word]) >> np.uint64(64 - bits)
+
+    def word_keys(self, bits: int) -> np.ndarray:
+        return self.hashes >> np.uint64(64 - bits)
+
+    def counts(self, kind: np.ndarray) -> np.ndarray:
+        """[2, pairs]: in how many ordinary (kind 0) and toxic (1) texts each pair occurs; other kinds count nothing."""
+        mine = np.repeat(kind, np.diff(self.first))
+        return np.stack([np.bincount(self.cells[mine == c], minlength=len(self.word)) for c in (0, 1)])
+
+    def unit_counts(self, n: np.ndarray, owned: np.ndarray) -> np.ndarray:
+        """[words, _UNIT]: what the owned pairs add to their words, from the pairs' counts n over all texts."""
+        out = np.zeros((len(self.hashes), len(_UNIT)), np.int64)
+        for c in (0, 1):
+            here = owned & (n[c] > 0)
+            out[:, c] = np.bincount(self.before[here], n[c][here], len(out))
+            out[:, 2 + c] = np.bincount(self.before[here], minlength=len(out))
+            out[:, 4 + c] = np.bincount(self.word[here], minlength=len(out))
+        out[:, 6] = np.bincount(self.word[owned & (n.sum(0) > 0)], minlength=len(out))
+        return out
 
 
-def count_pairs(rows: DataFrame) -> DataFrame:
-    """key, before, word, n0, n1: in how many ordinary and toxic texts each word follows each word; rows have text and toxic (0/1)."""
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers, all lowest ones first: small numbers then compress well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
 
-    def run(batches):
-        for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for at, n, *coded in _chunks(b.column(0)):
-                p = Pairs(*coded)
-                mine = np.repeat(toxic[at : at + n], np.diff(p.first))
-                times = [np.bincount(p.cells[mine == c], minlength=len(p.word)) for c in (False, True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (p.keys(), p.hashes[p.before], p.hashes[p.word], *times)], names=["key", "before", "word", "n0", "n1"])
 
-    return rows.mapInArrow(run, "key long, before long, word long, n0 long, n1 long").groupBy("key", "before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def pack_message(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys, as differences, and rows of small counts beside them [counts, keys]."""
+    return _pack(_planes(np.diff(keys, prepend=np.uint64(0))), *[_planes(v) for v in values])
+
+
+def unpack_message(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    keys, *values = map(_from_planes, _unpack(packed))
+    return np.cumsum(keys, dtype=np.uint64), np.stack([v.astype(np.int64) for v in values])
+
 
+def _bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Buckets of equal parts of the hash range."""
+    high = keys >> np.uint64(bits - 31) if bits > 31 else keys << np.uint64(31 - bits)
+    return ((high * np.uint64(buckets)) >> np.uint64(31)).astype(np.int64)
+
+
+def messages(chunk: int, keys: np.ndarray, values: np.ndarray, bits: int, buckets: int):
+    """Record batches chunk, bucket, packed: keys (in any order, repeats allowed) and their counts [counts, keys], summed over equal keys."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    summed = np.stack([np.bincount(place, v, len(distinct)).astype(np.int64) for v in values])
+    bucket = _bucket_of(distinct, bits, buckets)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    packed = [pack_message(distinct[a:b], summed[:, a:b]) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
+    return pa.table({"chunk": pa.array(np.full(len(cut), chunk)), "bucket": pa.array(bucket[cut]), "packed": pa.array(packed, pa.binary())})
+
+
+def totals(packed: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of messages of one bucket: each one's places among the distinct keys, the message that first has a key, and the sums [counts, keys]."""
+    found = [unpack_message(x) for x in packed]
+    keys, first, place = np.unique(np.concatenate([k for k, _ in found]), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(k) for k, _ in found])
+    values = np.concatenate([v for _, v in found], 1)
+    summed = np.stack([np.bincount(place, v, len(keys)).astype(np.int64) for v in values])
+    return np.split(place, ends[:-1]), first, np.r_[0, ends[:-1]], summed
+
+
+def answers(key, table):
+    """chunk, bucket, packed: the sums of all chunks for every message's keys, in their order, and whether the message owns the key."""
+    table = table.sort_by("chunk")
+    places, first, start, summed = totals(table.column("packed").to_pylist())
+    out = []
+    for at, place in zip(start, places, strict=True):
+        own = first[place] == at + np.arange(len(place))
+        out.append(_pack(*[_planes(v) for v in summed[:, place]], _planes(own)))
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array(out, pa.binary())})
 
-def count_units(pairs: DataFrame) -> DataFrame:
-    """word and what is counted of it: see _UNIT."""
-    seen = [(F.col(n) > 0).cast("long") for n in ("n0", "n1")]
-    zero = F.lit(0).cast("long")
-    left = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"), F.sum(seen[0]).alias("kinds0"), F.sum(seen[1]).alias("kinds1"))
-    right = pairs.groupBy("word").agg(F.sum(seen[0]).alias("before0"), F.sum(seen[1]).alias("before1"), F.count("*").alias("before"))
-    both = left.select("word", *_UNIT[:4], *[zero.alias(x) for x in _UNIT[4:]]).unionByName(right.select("word", *[zero.alias(x) for x in _UNIT[:4]], *_UNIT[4:]))
-    return both.groupBy("word").agg(*[F.sum(x).alias(x) for x in _UNIT])
 
+def gathered(replies: pa.Table, keys: np.ndarray) -> np.ndarray:
+    """[counts + 1, keys]: what came back for a chunk's keys, in their order; the last row tells which of them it owns (the first of equal ones)."""
+    parts = [np.stack([_from_planes(x) for x in _unpack(p)]).astype(np.int64) for p in replies.sort_by("bucket").column("packed").to_pylist()]
+    distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    flat = np.concatenate(parts, 1) if parts else np.zeros((1, 0), np.int64)
+    if flat.shape[1] != len(distinct):
+        raise RuntimeError("a chunk's keys and the answers differ in number")
+    out = flat[:, place]
+    out[-1] &= first[place] == np.arange(len(keys))
+    return out
 
-def log_ratios(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+
+def discounts(seen: np.ndarray) -> np.ndarray:
+    """Kneser-Ney discount of each kind of texts from the numbers of pairs that occur in one and in two of them [kinds, 2]."""
+    return np.where(seen[:, 0] > 0, np.clip(seen[:, 0] / np.maximum(seen[:, 0] + 2 * seen[:, 1], 1), 0.1, 0.95), 0.5)
+
+
+def log_ratios(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray, discount: np.ndarray) -> np.ndarray:
     """log P(word | word before, toxic) - log P(word | word before, ordinary) of pairs.
 
     n: [2, pairs] counts; before: [4, pairs], word: [3, pairs], the first four
     and last three of _UNIT for the pair's words; totals: of all words the kinds
-    of pairs in ordinary, toxic and all texts, and the words with such pairs.
+    of pairs in ordinary, toxic and all texts, and the words with such pairs;
+    discount: of ordinary and toxic texts.
     """
     shared = (word[2] + 0.5) / (totals[2] + 0.5 * (totals[5] + 1))  # one more for all words never seen
     out = []
     for c in (0, 1):
-        every = max(float(totals[c]), 1.0)
-        lower = np.maximum(word[c] - discount, 0) / every + (discount * totals[3 + c] / every if totals[c] > 0 else 1.0) * shared
+        every, d = max(float(totals[c]), 1.0), discount[c]
+        lower = np.maximum(word[c] - d, 0) / every + (d * totals[3 + c] / every if totals[c] > 0 else 1.0) * shared
         total = np.maximum(before[c], 1)
-        out.append(np.log(np.where(before[c] > 0, np.maximum(n[c] - discount, 0) / total + discount * before[2 + c] / total * lower, lower)))
+        out.append(np.log(np.where(before[c] > 0, np.maximum(n[c] - d, 0) / total + d * before[2 + c] / total * lower, lower)))
     return out[1] - out[0]
 
 
@@ -131,18 +207,31 @@ def without_own(kind: int, n: np.ndarray, before: np.ndarray, word: np.ndarray,
     return n, before, word, totals
 
 
-def summaries(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray) -> np.ndarray:
+def summaries(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray, discount: np.ndarray) -> np.ndarray:
     """[features, pairs]: what FEATURES are means of, from the arguments of log_ratios."""
-    value, lower = log_ratios(n, before, word, totals), log_ratios(np.zeros_like(n), np.zeros_like(before), word, totals)
+    value, lower = log_ratios(n, before, word, totals, discount), log_ratios(np.zeros_like(n), np.zeros_like(before), word, totals, discount)
     return np.stack([value, *[np.maximum(value - x, 0) for x in (1, 2, 3)], lower, *[np.maximum(lower - x, 0) for x in (1, 2)]])
 
 
-def text_features(rows: DataFrame, pairs: DataFrame, units: DataFrame, sample: dict[int, int]) -> DataFrame:
-    """doc_id, FEATURES and loglen of every row (doc_id, text); the same as own, without its own counts, where sample has its id (with its label)."""
+def _bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """df as a table in the warehouse, bucketed by key so that later groupings by it don't shuffle it; and the table's name."""
+    name = f"chronofold_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
+def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, FEATURES and loglen of every row (doc_id, text), and own, the same without its own counts, for the sampled ones.
+
+    marks: doc_id, kind (0 ordinary, 1 toxic), sampled; one row an id.  Rows with
+    these ids are the training texts.  Second result: the discounts.
+    """
     spark = rows.sparkSession
-    found = units.agg(*[F.sum(x) for x in _UNIT[4:]], *[F.count_if(F.col(x) > 0) for x in _UNIT[4:]]).first()
-    totals = np.array([x or 0 for x in found], np.int64)
-    shared = spark.sparkContext.broadcast(sample)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # false matches of a pair's hash: one in 2^14 pairs at most, at every size
+    bits = min(62, int(size // 2 + 2).bit_length() + 14)
+    pair_buckets, word_buckets = max(parts, size // PAIR_BUCKET_BYTES), max(parts, size // WORD_BUCKET_BYTES)
 
     def code(batches):
         at = TaskContext.get().partitionId() << 32
@@ -152,51 +241,86 @@ def text_features(rows: DataFrame, pairs: DataFrame, units: DataFrame, sample: d
                 yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(*coded)], pa.binary())], names=["chunk", "ids", "packed"])
                 at += 1
 
-    def unpacked(packed):
-        vocabulary, words, sizes = _unpack(packed)
-        return Pairs(np.frombuffer(vocabulary, np.uint64), np.frombuffer(words, np.int32), np.frombuffer(sizes, np.int32))
-
-    def ask(batches):
-        for b in batches:
-            for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("packed").to_pylist(), strict=True):
-                p = unpacked(packed)
-                for of_pairs, keys in ((True, p.keys()), (False, p.hashes)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk)), pa.array(np.full(len(keys), of_pairs)), pa.array(keys.view(np.int64))], names=["chunk", "of_pairs", "key"])
-
-    def gathered(right, of_pairs, keys, width):
-        """The counts [width, keys] that came back for keys; 0 where nothing was counted."""
-        part = right.filter(pa.compute.equal(right.column("of_pairs"), of_pairs))
-        got, order, out = part.column("key").to_numpy().view(np.uint64), np.argsort(keys), np.zeros((width, len(keys)), np.int64)
-        if len(got):
-            place = order[np.searchsorted(keys, got, sorter=order)]
-            flat = part.column("counts").combine_chunks()
-            flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-            out[:, place] = flat.flatten().to_numpy().reshape(-1, width).T
-        return out
+    coded, name = _bucketed(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "chunk", max(parts, size // CHUNK_BYTES))
+    listed = coded.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).where("doc_id is not null")
+    # always by merging, so that the plan is the same at every size
+    kinds = written(listed.hint("merge").join(marks.hint("merge"), "doc_id").select("chunk", "pos", F.col("kind").cast("int").alias("kind"), "sampled"), "kinds")
+
+    def unpacked(left: pa.Table):
+        """(chunk, ids, Pairs) of a chunk's row."""
+        for chunk, ids, packed in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
+            vocabulary, words, sizes = _unpack(packed)
+            yield chunk, ids, Pairs(np.frombuffer(vocabulary, np.uint64), np.frombuffer(words, np.int32), np.frombuffer(sizes, np.int32))
+
+    nothing = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
+
+    def ask(left, right):
+        for chunk, ids, p in unpacked(left):
+            kind = np.full(len(ids), -1)
+            kind[right.column("pos").to_numpy()] = right.column("kind").to_numpy()
+            return messages(chunk, p.keys(bits), p.counts(kind), bits, pair_buckets)
+        return nothing
+
+    def ask_words(left, right):
+        for chunk, _, p in unpacked(left):
+            found = gathered(right, p.keys(bits))
+            n, owned = found[:2], found[2] > 0
+            seen = [[(owned & (n[c] == i)).sum() for i in (1, 2)] for c in (0, 1)]
+            told = pa.table({"chunk": pa.array([chunk]), "bucket": pa.array([-1]), "packed": pa.array([np.array(seen, ">i8").tobytes()], pa.binary())})
+            return pa.concat_tables([messages(chunk, p.word_keys(bits), p.unit_counts(n, owned).T, bits, word_buckets), told])
+        return nothing
+
+    def answer_words(key, table):
+        out = answers(key, table)
+        summed = totals(table.column("packed").to_pylist())[3]
+        told = np.concatenate([summed[4:].sum(1), (summed[4:] > 0).sum(1)]).astype(">i8").tobytes()
+        return pa.concat_tables([out, pa.table({"chunk": pa.array([-1]), "bucket": table.column("bucket")[:1], "packed": pa.array([told], pa.binary())})])
+
+    def together(df: DataFrame) -> np.ndarray:
+        """Sums of small arrays of big-endian numbers, one a chunk or bucket, added in Spark."""
+        at = lambda i: F.conv(F.hex(F.substring("packed", 8 * i + 1, 8)), 16, 10).cast("long")
+        n = len(_UNIT[4:]) * 2
+        first = df.agg(*[F.sum(at(i)) for i in range(n)]).first()
+        return np.array([x or 0 for x in first], np.int64)
+
+    kind = "chunk long, bucket long, packed binary"
+    by = coded.groupBy("chunk")
+    asked = by.cogroup(kinds.groupBy("chunk")).applyInArrow(ask, kind)
+    pairs = written(asked.groupBy("bucket").applyInArrow(answers, kind), "pairs")
+    wanted = written(by.cogroup(pairs.groupBy("chunk")).applyInArrow(ask_words, kind), "words")
+    discount = discounts(together(wanted.where("bucket = -1").withColumn("packed", F.concat("packed", F.lit(b"\0" * 16))))[:4].reshape(2, 2))
+    units = written(wanted.where("bucket >= 0").groupBy("bucket").applyInArrow(answer_words, kind), "units")
+    every = together(units.where("chunk = -1"))
 
     def assemble(left, right):
         out = {"doc_id": [], "found": [], "loglen": [], "own": []}
-        for ids, packed in zip(left.column("ids").to_pylist(), left.column("packed").to_pylist(), strict=True):
-            p = unpacked(packed)
-            n, unit = gathered(right, True, p.keys(), 2), gathered(right, False, p.hashes, len(_UNIT))
-            value = summaries(n, unit[:4, p.before], unit[4:, p.word], totals)
+        of = {w: right.filter(pa.compute.equal(right.column("what"), w)) for w in ("kind", "pair", "word")}
+        for _, ids, p in unpacked(left):
+            n = gathered(of["pair"].select(["bucket", "packed"]), p.keys(bits))[:2]
+            unit = gathered(of["word"].select(["bucket", "packed"]), p.word_keys(bits))[:-1]
+            value = summaries(n, unit[:4, p.before], unit[4:, p.word], every, discount)
+            told = dict(zip(of["kind"].column("bucket").to_pylist(), of["kind"].column("kind").to_pylist(), strict=True))
             for i, doc in enumerate(ids):
-                cells, kind, own = p.cells[p.first[i] : p.first[i + 1]], shared.value.get(doc), None
+                cells, mine, own = p.cells[p.first[i] : p.first[i + 1]], told.get(i), None
                 mean = (lambda x: x.mean(1)) if len(cells) else (lambda x: np.zeros(len(FEATURES)))
-                if kind is not None:
+                if mine is not None:
                     a, b = p.before[cells], p.word[cells]
-                    own = mean(summaries(*without_own(kind, n[:, cells], unit[:4, a], unit[4:, b], totals, a, b)))
+                    own = mean(summaries(*without_own(mine, n[:, cells], unit[:4, a], unit[4:, b], every, a, b), discount))
                 for x, v in zip(out, (doc, mean(value[:, cells]), math.log1p(len(cells)), own), strict=True):
                     out[x].append(v)
-        kinds = {"doc_id": pa.int64(), "loglen": pa.float64()}
-        return pa.table({x: pa.array(v, kinds.get(x, pa.list_(pa.float64()))) for x, v in out.items()})
+        types = {"doc_id": pa.int64(), "loglen": pa.float64()}
+        return pa.table({x: pa.array(v, types.get(x, pa.list_(pa.float64()))) for x, v in out.items()})
 
-    coded = written(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "coded")
-    asked = coded.mapInArrow(ask, "chunk long, of_pairs boolean, key long")
-    # always by merging, so that the plan is the same at every size
-    known = pairs.select(F.lit(True).alias("of_pairs"), "key", F.array("n0", "n1").alias("counts")).unionByName(units.select(F.lit(False).alias("of_pairs"), F.col("word").alias("key"), F.array(*_UNIT).alias("counts")))
-    replies = asked.hint("merge").join(known.hint("merge"), ["of_pairs", "key"])
-    return coded.groupBy("chunk").cogroup(replies.select("chunk", "of_pairs", "key", "counts").groupBy("chunk")).applyInArrow(assemble, "doc_id long, found array<double>, loglen double, own array<double>")
+    none, no_kind = F.lit(None).cast("binary"), F.lit(None).cast("int")
+    right = (
+        kinds.where("sampled").select("chunk", F.lit("kind").alias("what"), F.col("pos").cast("long").alias("bucket"), none.alias("packed"), "kind")
+        .unionByName(pairs.select("chunk", F.lit("pair").alias("what"), "bucket", "packed", no_kind.alias("kind")))
+        .unionByName(units.where("chunk >= 0").select("chunk", F.lit("word").alias("what"), "bucket", "packed", no_kind.alias("kind")))
+    )
+    features = written(by.cogroup(right.groupBy("chunk")).applyInArrow(assemble, "doc_id long, found array<double>, loglen double, own array<double>"), "toxicity")
+    forget(kinds, pairs, wanted, units)
+    spark.sql(f"DROP TABLE {name}")
+    return features, discount
 
 
 def design(found: np.ndarray, loglen: np.ndarray) -> np.ndarray:
@@ -227,25 +351,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Learns from rows of docs that are not held out and whose id has a label of 0
     or 1 (null labels teach nothing; an id with different labels counts as
     toxic).  Returns one row per input row: doc_id, held_out, score, predicted,
-    ratio.  Null texts are empty; empty texts get the score of their features,
-    all 0.  If one of the labels is missing, all scores are the share of toxic
-    labels (0.0 without labels).  Repeated rows and null ids are kept.
+    ratio (the difference of the length-normalised log-likelihoods).  Null texts
+    are empty; empty texts get the score of their features, all 0.  If one of
+    the labels is missing, all scores are the share of toxic labels (0.0 without
+    labels).  Repeated rows and null ids are kept, repeated training rows count
+    each.  Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    # always by merging, so that the plan is the same at every size
-    train = rows.where("doc_id is not null").where(fold != 0).join(marks.hint("merge"), "doc_id")
-    pairs = written(count_pairs(train.select("text", "toxic")), "pairs")
-    units = written(count_units(pairs), "units")
-    chosen = rows.select("doc_id").where(fold != 0).distinct().join(marks.hint("merge"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    sample = {int(i): int(c) for i, c in chosen.select("doc_id", "toxic").collect()}
-    features = written(text_features(rows, pairs, units, sample), "toxicity")
-    own = features.where("own is not null").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "own", "loglen").limit(CALIBRATION_ROWS)
-    found = np.array([(*own_, size, kind) for own_, size, kind in own.select("own", "loglen", "toxic").collect()], float).reshape(-1, len(FEATURES) + 2)
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("kind")).where("kind in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("kind").alias("kind")).where(~held_out("doc_id"))
+    n, k = marks.agg(F.count("*"), F.sum("kind")).first()
+    # the sample is a threshold on a hash, so no partition sends more than its share of it
+    share = min(1.0, 0.95 * CALIBRATION_ROWS / n) if n else 0.0
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    features, _ = text_features(rows, marks.withColumn("sampled", chosen))
+    own = features.where("own is not null").join(marks.hint("merge"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "own", "loglen").limit(CALIBRATION_ROWS)
+    found = np.array([(*own_, size, kind) for own_, size, kind in own.select("own", "loglen", "kind").collect()], float).reshape(-1, len(FEATURES) + 2)
     y = found[:, -1]
     if len(set(y)) < 2:
-        n, k = marks.where(fold != 0).agg(F.count("*"), F.sum("toxic")).first()
         score = F.lit(float(k or 0) / n if n else 0.0)
     else:
         w, mean, scale = fit_logistic(design(found[:, :-2], found[:, -2]), y)
