@@ -54,8 +54,12 @@ def _chunks(column: pa.Array):
     while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
         hashes, first = bw.word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], bw.nonletter_table(), bw.lower_table())
-        vocabulary, words = np.unique(hashes, return_inverse=True)
-        yield at, to - at, vocabulary, words.astype(np.int32), np.diff(first).astype(np.int32)
+        vocabulary, words, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        # frequent words get small numbers, which compress better
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        yield at, to - at, vocabulary[order], rank[words], np.diff(first)
         at = to
 
 
@@ -64,7 +68,7 @@ class Pairs:
 
     def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray):
         self.hashes = np.r_[np.uint64(0), vocabulary]  # 0 is a text's beginning
-        words, base = words.astype(np.int64) + 1, len(self.hashes)
+        words, base = words + 1, len(self.hashes)
         row, before = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(words), np.int64)
         before[1:] = words[:-1]
         before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
@@ -150,7 +154,7 @@ def answers(key, table):
     places, first, start, summed = totals(table.column("packed").to_pylist())
     out = []
     for at, place in zip(start, places, strict=True):
-        own = first[place] == at + np.arange(len(place))
+        own = (first[place] == at + np.arange(len(place))) & summed[:, place].any(0)  # nobody needs to own what was never counted
         out.append(_pack(*[_planes(v) for v in summed[:, place]], _planes(own)))
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array(out, pa.binary())})
 
@@ -204,13 +208,19 @@ def without_own(kind: int, n: np.ndarray, before: np.ndarray, word: np.ndarray,
         word[i] -= np.bincount(right, gone)[right].astype(np.int64)
         totals[i] -= gone.sum()
         totals[3 + i] -= (had & (word[i][at] == 0)).sum()
-    return n, before, word, totals
+    # pairs that share a hash may take more off than was counted for their words
+    return n, np.maximum(before, 0), np.maximum(word, 0), totals
 
 
 def summaries(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray, discount: np.ndarray) -> np.ndarray:
     """[features, pairs]: what FEATURES are means of, from the arguments of log_ratios."""
-    value, lower = log_ratios(n, before, word, totals, discount), log_ratios(np.zeros_like(n), np.zeros_like(before), word, totals, discount)
-    return np.stack([value, *[np.maximum(value - x, 0) for x in (1, 2, 3)], lower, *[np.maximum(lower - x, 0) for x in (1, 2)]])
+    out = np.empty((len(FEATURES), n.shape[1]))
+    for at in range(0, n.shape[1], 1 << 18):
+        cut = np.s_[:, at : at + (1 << 18)]
+        value = log_ratios(n[cut], before[cut], word[cut], totals, discount)
+        lower = log_ratios(np.zeros_like(n[cut]), np.zeros_like(before[cut]), word[cut], totals, discount)
+        out[cut] = [value, *[np.maximum(value - x, 0) for x in (1, 2, 3)], lower, *[np.maximum(lower - x, 0) for x in (1, 2)]]
+    return out
 
 
 def _bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
@@ -229,8 +239,8 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # false matches of a pair's hash: one in 2^14 pairs at most, at every size
-    bits = min(62, int(size // 2 + 2).bit_length() + 14)
+    # fewer than one pair in 2^11 shares its hash with another, at every size
+    bits = min(62, int(size // 2 + 2).bit_length() + 11)
     pair_buckets, word_buckets = max(parts, size // PAIR_BUCKET_BYTES), max(parts, size // WORD_BUCKET_BYTES)
 
     def code(batches):
@@ -238,7 +248,7 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
         for b in batches:
             for first, n, *coded in _chunks(b.column(1)):
                 ids = pa.array([b.column(0).slice(first, n).to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(*coded)], pa.binary())], names=["chunk", "ids", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(coded[0], *map(_planes, coded[1:]))], pa.binary())], names=["chunk", "ids", "packed"])
                 at += 1
 
     coded, name = _bucketed(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "chunk", max(parts, size // CHUNK_BYTES))
@@ -250,7 +260,7 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
         """(chunk, ids, Pairs) of a chunk's row."""
         for chunk, ids, packed in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
             vocabulary, words, sizes = _unpack(packed)
-            yield chunk, ids, Pairs(np.frombuffer(vocabulary, np.uint64), np.frombuffer(words, np.int32), np.frombuffer(sizes, np.int32))
+            yield chunk, ids, Pairs(np.frombuffer(vocabulary, np.uint64), _from_planes(words).astype(np.int64), _from_planes(sizes).astype(np.int64))
 
     nothing = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
 
