@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that a chunk holds on average.
 CHUNK_BYTES = 16_000_000
+#: Bytes of text for which there is a bucket of the distinct-word table.
+BUCKET_BYTES = 128_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -115,18 +117,14 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, chunk: texts dealt by a hash of the row, about CHUNK_BYTES to a chunk."""
+def _chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id, text, chunk: texts dealt by a hash of the row, about CHUNK_BYTES to a chunk; and how many buckets their words get."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, total // CHUNK_BYTES)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
     # equal rows are spread by a digest of the id, equal ids by their texts
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-
-
-def word_ids(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """chunk, bucket, ids: the ids of every chunk's distinct words, encoded once each; see encode_decode."""
-    return _replies(_chunked(docs, id_col, text_col), docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path)))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), buckets
 
 
 #: Marks that are words of their own after letters; an apostrophe isn't one of them.
@@ -252,9 +250,7 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
     return (hashes % np.uint64(buckets)).astype(np.int64)
 
 
-def _replies(rows: DataFrame, shared) -> DataFrame:
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
+def _replies(rows: DataFrame, shared, buckets: int) -> DataFrame:
     def ask(key, table):
         words = Split(table.column("text").to_pylist(), _vocabulary(shared.value)).words()
         out = {"chunk": [], "bucket": [], "words": []}
@@ -303,8 +299,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    rows = _chunked(docs, id_col, text_col)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, buckets = _chunked(docs, id_col, text_col)
 
     def assemble(left, right):
         vocabulary = _vocabulary(shared.value)
@@ -332,4 +327,4 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         return pa.table({"doc_id": left.column("doc_id")} | {k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return rows.groupBy("chunk").cogroup(_replies(rows, shared).groupBy("chunk")).applyInArrow(_no_cycles(assemble), schema)
+    return rows.groupBy("chunk").cogroup(_replies(rows, shared, buckets).groupBy("chunk")).applyInArrow(_no_cycles(assemble), schema)

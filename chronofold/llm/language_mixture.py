@@ -163,7 +163,10 @@ def select_languages(like: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score (share of the text in that language) and languages (the chosen set, largest share first)."""
+    """docs with lang_pred, score (share of the text in that language) and languages (the chosen set, largest share first).
+
+    prefix comes before the three new names; it must keep them apart from docs' own.
+    """
     spark = docs.sparkSession
     packed = io.BytesIO()
     np.save(packed, table)
@@ -201,7 +204,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str
             extra = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}languages"])
 
-    out = schema.simpleString()[len("struct<") : -1] if not schema.fields else ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    out = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
     return docs.mapInArrow(run, f"{out}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}languages` array<string>")
 
 

@@ -24,6 +24,8 @@ SEED = 20240
 MOST_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
+#: Equal rows that are numbered at once.
+_RUN = 4096
 
 
 def words_in(text: F.Column) -> F.Column:
@@ -106,18 +108,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or without words have size 0 and are taken 0 times; a source whose texts all
     have size 0 has target 0.  A null source is a source of its own, last in
     order.  Repeated rows, null and repeated ids are separate items.  Random
-    draws are hashes of the ids, sizes and the seed, so reruns agree.  Other
+    draws are hashes of the ids, sizes, the number among equal rows and the
+    seed, so reruns agree.  Other
     columns are ignored.  Empty tables give empty results.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), words_in(F.col(text_col).cast("string")).alias("size"), F.col(source_col).cast("string").alias("source"))
-    rows = written(rows, "sizes")
+    # rows that are equal here get numbers, so that each has a hash of its own; they are counted before, not brought together
+    rows = rows.groupBy("source", "id", "size").agg(F.count("*").alias("times"))
+    rows = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / _RUN))))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.col("run") * _RUN, F.least(F.col("times"), (F.col("run") + 1) * _RUN) - 1)))
+    rows = written(rows.select("id", "size", "source", "n"), "sizes")
     targets = written(source_targets(rows, weights, most).withColumnRenamed("source", "named"), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     plan = rows.join(targets, F.col("source").eqNullSafe(F.col("named")))
     plan = plan.withColumn("base", F.floor(rate + _EPS).cast("long")).withColumn("p", F.greatest(F.lit(0.0), rate - F.col("base")))
     open_ = (F.col("p") > _EPS) & (F.col("size") > 0)
     settled = plan.where(~open_).select("source", "id", "size", F.lit(0).alias("copy"))
-    h = F.xxhash64("source", "id", "size", F.lit(seed))
+    h = F.xxhash64("source", "id", "size", "n", F.lit(seed))
     current = plan.where(open_).select("source", "id", "size", "p", h.alias("h"), F.pmod(F.xxhash64(h, F.lit("block")), F.greatest(F.lit(1), F.ceil(F.col("docs") / block)).cast("long")).alias("at"))
     blocks = max(1, -(-(targets.agg(F.max("docs")).first()[0] or 0) // block))
     level = 0

@@ -42,6 +42,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a written table with a number for each row, however equal rows are, and that column's name."""
+    name = free_name(df.columns, "_row")
+    return written(df.select(F.monotonically_increasing_id().alias(name), *[F.col(f"`{c}`") for c in df.columns]), "keyed"), name
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
