@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators: language, quality, near duplicates, mixing, tokens."""
+"""A corpus pipeline of five operators: language, quality, near duplicates, mixing, tokens.
+
+Every stage works on rows, not on ids: rows that share a doc_id, or have none,
+are judged each by itself.  Columns besides those that a stage reads pass
+through under any name; null texts are empty; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -7,50 +12,76 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import bpe_table, language_mixture, parity_join, quality, source_mixing
 from chronofold.llm.queries import VOCABULARY
-from chronofold.llm.storage import written
+from chronofold.llm.storage import free_name, keyed, written
 
 #: Least share of a text in its main language, and least probability of good quality, to stay.
 LEAST_SHARE = 0.5
 LEAST_QUALITY = 0.5
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are mostly in one of the learned languages; learned from the input itself."""
+    """Documents that are mostly in one of the learned languages; learned from the input itself.
+
+    Null texts and texts without a letter go, as they have no language; so does
+    everything where nothing can be learned.  Equal texts share their fate.
+    """
     names, table = language_mixture.fit(docs.where(~language_mixture.held_out("doc_id")))
-    marked = language_mixture.predict(docs.withColumn("text", F.col("text").cast("string")), names, table, prefix="_")
-    return marked.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SHARE)).select(docs.columns)
+    prefix = free_name(docs.columns, "_found_")
+    marked = language_mixture.predict(docs.withColumn("text", F.col("text").cast("string")), names, table, prefix=prefix)
+    return marked.where((F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= LEAST_SHARE)).select(_columns(docs))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality by their own text and their site."""
-    scored = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True)
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
+    """Documents of good quality by their own text and their site; ties with the bound stay.
+
+    Null sources and languages are sites of their own; labels meet all rows with
+    their doc_id.
+    """
+    rows, key = keyed(docs)
+    scored = quality.score_quality(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(key,))
+    good = scored.where(F.col("score") >= LEAST_QUALITY).select(key)
+    return rows.join(good.hint("merge"), key, "left_semi").select(_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id; of its repeated rows, one."""
-    found = parity_join.jaccard_components(docs)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each near-duplicate group: the one with the smallest doc_id, null ids last, then by a hash of its text.
+
+    Groups are made of rows, so a row is never dropped for a text that another
+    row with its doc_id holds.  Texts without words are in no group and stay.
+    """
+    rows, key = keyed(docs)
+    found = parity_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
+    order = rows.select(key, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(key)).alias("_order"))
+    groups = found.select(F.col("doc_id").alias(key), F.col("component_id").alias("_group"))
+    first = order.hint("merge").join(groups.hint("merge"), key).groupBy("_group").agg(F.min_by(key, "_order").alias(key)).select(key)
+    return rows.join(first.hint("merge"), key, "left_semi").select(_columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = source_mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    sized = docs.withColumn("_size", source_mixing.words_in(F.col("text")))
-    both = sized.join(taken.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.round(F.col("_copies") / F.col("_rows")).cast("int")))).select(docs.columns)
+    """Each row as often as the mix takes it.
+
+    Rows that are equal in all columns share what is taken of them together.
+    Texts without words are never taken.
+    """
+    key, copies, times = (free_name(docs.columns, x) for x in ("_content", "_copies", "_times"))
+    rows = docs.withColumn(key, F.xxhash64(*_columns(docs)))
+    taken = source_mixing.mix_sources(rows, id_col=key).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").cast("int").alias(copies))
+    distinct = rows.dropDuplicates([key])
+    return distinct.join(taken.hint("merge"), key).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(_columns(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every remaining text, as digests."""
+    """Token ids of every remaining text, as digests: one row per input row, repeated rows included."""
     return bpe_table.encode_decode(docs, VOCABULARY)
 
 
 STAGES = [("language", keep_languages), ("quality", keep_quality), ("near duplicates", drop_near_duplicates), ("mixing", mix), ("tokens", tokenize)]
 
-#: SQL can't express the models of the first stages; a test holds the stages against plainer code.
+#: SQL can't express the models of the first stages; tests hold the stages against plainer code.
 ORACLE_SQL = None
 
 
