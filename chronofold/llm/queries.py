@@ -70,5 +70,29 @@ def op10_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_warc_reassembly, op3_png_media, op4_chat_format, op5_kneser_ney_toxicity, op6_language_mixture, op7_pivotal_mixing, op8_bayes_quality, op9_ngram_jaccard_join, op10_bpe_table)}
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: Where SQL can express the whole result.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # bare base32: five bits of the digest at a time, eight characters for ten hexadecimal digits
+    "op2_warc_reassembly": r"""WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+ d AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
+  trim(regexp_replace(url, '\s+', ' ', 'g')) AS url, CAST(NULL AS VARCHAR) AS error FROM d""",
+    "op4_chat_format": r"""WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
+ FROM t GROUP BY conv_id""",
+    "op9_ngram_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+ e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+ p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+ r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.v FROM r JOIN l ON r.root = l.u),
+ c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CAST(c.root AS BIGINT) AS component_id FROM s JOIN c ON c.doc_id = s.doc_id""",
+}
