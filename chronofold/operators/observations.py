@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_FENCE = r"(?s)```(?:json)?\s*\n?(.*?)```"
+#: What encloses a block of code in an answer.
+_MARK = "```"
 
 
 def json_text(raw: Column) -> Column:
-    """The JSON object in a model's answer: the first fenced block if any, cut from the first `{` to the last `}`; null without one."""
-    fenced = F.regexp_extract(raw, _FENCE, 1)
-    body = F.when(raw.rlike(_FENCE), fenced).otherwise(raw)
-    cut = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    return F.when(cut != "", cut)
+    """The JSON object in a model's answer: of what the first two marks enclose if there are two, else of all, the part from the first `{` to the last `}`; null without one."""
+    parts = F.split(raw, _MARK, 3)
+    body = F.when(F.size(parts) == 3, F.element_at(parts, 2)).otherwise(raw)
+    start, back = F.locate("{", body), F.locate("}", F.reverse(body))
+    end = F.length(body) - back + 1
+    return F.when((start > 0) & (back > 0) & (end > start), F.substring(body, start, end - start + 1))
 
 
 def parse_status(raw: Column) -> Column:
@@ -54,10 +56,6 @@ def bad_evidence(evidence: Column, frames: Column) -> Column:
     return F.coalesce(F.exists(evidence, lambda i: (i < 0) | (i >= frames)), F.lit(False))
 
 
-def clean_evidence(evidence: Column) -> Column:
-    return F.array_sort(F.array_distinct(evidence))
-
-
 def normalize_actions(rows: DataFrame, actions: DataFrame, aliases: DataFrame, raw: str = "raw_action") -> DataFrame:
     """rows with action_type, action_family and normalization_status.
 

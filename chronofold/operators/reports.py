@@ -12,13 +12,14 @@ def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def within_budget(items: DataFrame, group: list[str], order: list[str], size: Column, budget: Column | int) -> DataFrame:
-    """The prefix of each group's items whose sizes, with a separator each, fit the budget; truncated tells whether items were cut."""
+def within_budget(items: DataFrame, group: list[str], order: list[str], size: Column, budget: Column | int, freed: int = 0) -> DataFrame:
+    """The prefix of each group's items whose sizes, with a separator each, fit the budget; truncated tells whether items were cut, which frees `freed`."""
     w = Window.partitionBy(*group).orderBy(*order)
     used = F.sum(size + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(size + 1).over(Window.partitionBy(*group))
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    return items.withColumn("used", used.cast("long")).withColumn("truncated", whole > limit).where(F.col("used") <= limit)
+    out = items.withColumn("used", used.cast("long")).withColumn("truncated", whole > limit)
+    return out.where(F.col("used") <= limit + F.when(F.col("truncated"), freed).otherwise(0))
 
 
 def snapshot_windows(windows: DataFrame, every: int, run: str = "run", order: str = "w") -> DataFrame:

@@ -88,11 +88,13 @@ STATE = "struct<status:string,value:string,pending:string,chain:int,last_support
 
 
 def attribute_step(acc: Column, x: Column, config: AttributeConfig = AttributeConfig()) -> Column:
-    """The state after one observation x(w, v, c, in_commit, acted, single_high).
+    """The state after one observation x(w, v, c, in_commit, acted, single_high, swept).
 
     Values are compared by text.  A conflict stays; low confidence only leaves
-    an observed event; a pending value that wasn't supported for longer than
-    the gap is dropped before the observation counts.
+    an observed event.  A pending value that wasn't supported for longer than the
+    gap is dropped before the observation counts: by the last window between this
+    observation and the one before it (swept, null if there is none), or by this
+    one unless its confidence is low.
     """
     high, low = x["c"] >= config.high, x["c"] < config.medium
     text = lambda s: F.lit(s).cast("string")
@@ -134,38 +136,137 @@ def attribute_step(acc: Column, x: Column, config: AttributeConfig = AttributeCo
         .when(high, state("confirmed", x["v"], None, 0, None, True, 1, 0, "attribute_initialized", "initial_high_confidence_observation"))
         .otherwise(state("pending", x["v"], x["v"], 1, x["w"], False, 1, 0, "attribute_pending", "medium_confidence_initial_observation"))
     )
-    late = acc["pending"].isNotNull() & (x["w"] - acc["last_support"] > config.max_pending_gap) & (acc["status"] != "conflicted")
+    now = F.greatest(x["swept"], F.when(~low, x["w"]))
+    late = F.coalesce(acc["pending"].isNotNull() & (now - acc["last_support"] > config.max_pending_gap) & (acc["status"] != "conflicted"), F.lit(False))
     back = F.when(acc["status"] == "pending", F.when(acc["confirmed"], "confirmed").otherwise("observed")).otherwise(acc["status"])
     expired = state(back, acc["value"], None, 0, None, acc["confirmed"], acc["support"], acc["contradict"], None, None)
+
+    def seen(a: Column) -> Column:
+        return state(a["status"], a["value"], a["pending"], a["chain"], a["last_support"], a["confirmed"], a["support"], a["contradict"], "attribute_observed", "low_confidence_observation")
+
     # a one-element transform binds the state after expiry once
-    later = F.transform(F.array(F.when(late, expired).otherwise(acc)), go)[0]
-    seen = state(acc["status"], acc["value"], acc["pending"], acc["chain"], acc["last_support"], acc["confirmed"], acc["support"], acc["contradict"], "attribute_observed", "low_confidence_observation")
-    return F.when(acc["status"].isNull(), first).when(low, seen).otherwise(later)
+    later = F.transform(F.array(F.when(late, expired).otherwise(acc)), lambda a: F.when(low, seen(a)).otherwise(go(a)))[0]
+    return F.when(acc["status"].isNull(), first).otherwise(later)
 
 
 def attribute_states(observations: DataFrame, key: list[str], config: AttributeConfig = AttributeConfig()) -> DataFrame:
     """Events of every key in window order: key, w, status, value, pending, last_support, event, reason.
 
-    observations: key columns, w, v, c, in_commit, acted, single_high; at most
-    one a key and window.  The fold runs over one key's history at a time.
+    observations: key columns, w, v, c, in_commit, acted, single_high, swept (see
+    with_sweeps); at most one a key and window.  The fold runs over one key's
+    history at a time.
     """
-    item = F.struct("w", "v", "c", "in_commit", "acted", "single_high")
+    item = F.struct("w", "v", "c", "in_commit", "acted", "single_high", "swept")
     zero = F.struct(F.lit(None).cast(STATE).alias("s"), F.array().cast(f"array<struct<w:bigint,s:{STATE}>>").alias("log"))
 
     def step(acc: Column, x: Column) -> Column:
         return F.transform(F.array(attribute_step(acc["s"], x, config)), lambda s: F.struct(s.alias("s"), F.concat(acc["log"], F.array(F.struct(x["w"].alias("w"), s.alias("s")))).alias("log")))[0]
 
     folded = observations.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, step)["log"].alias("log"))
-    return folded.select(*key, F.explode("log").alias("e")).select(*key, "e.w", "e.s.status", "e.s.value", "e.s.pending", "e.s.last_support", "e.s.event", "e.s.reason")
+    return folded.select(*key, F.explode("log").alias("e")).select(*key, "e.w", "e.s.status", "e.s.value", "e.s.pending", "e.s.last_support", "e.s.confirmed", "e.s.event", "e.s.reason")
+
+
+def with_sweeps(observations: DataFrame, windows: DataFrame, key: list[str], run: str = "run") -> DataFrame:
+    """observations with swept: the last window of the run before theirs that comes after the key's observation before; null if there is none.
+
+    windows: run, w, one row a window that wasn't a gap.
+    """
+    before = windows.select(run, "w", F.lag("w").over(Window.partitionBy(run).orderBy("w")).alias("_p"))
+    rows = observations.join(before, [run, "w"])
+    last = F.lag("w").over(Window.partitionBy(*key).orderBy("w"))
+    return rows.withColumn("swept", F.when(F.col("_p") > last, F.col("_p"))).drop("_p")
 
 
-def expired_pending(states: DataFrame, observations: DataFrame, key: list[str], config: AttributeConfig = AttributeConfig()) -> DataFrame:
-    """Pending values that the next observation finds unsupported for longer than the gap: key, w (of that observation), pending, status (before).
+def expired_pending(states: DataFrame, observations: DataFrame, windows: DataFrame, key: list[str], run: str = "run", config: AttributeConfig = AttributeConfig()) -> DataFrame:
+    """Pending values that weren't supported for longer than the gap: key, w (the window that finds it), pending, status (before).
 
-    states and observations as in attribute_states; low confidence expires nothing, nor does a conflict.
+    The first window of the run without an observation of the key finds it, also
+    when the key is never seen again; else the key's next observation that isn't
+    of low confidence.  A conflict never expires.
     """
-    w = Window.partitionBy(*key).orderBy("w")
-    rows = states.join(observations.select(*key, "w", "c"), [*key, "w"])
-    rows = rows.withColumn("next_w", F.lead("w").over(w)).withColumn("next_c", F.lead("c").over(w))
-    late = F.col("pending").isNotNull() & (F.col("status") != "conflicted") & (F.col("next_c") >= config.medium) & (F.col("next_w") - F.col("last_support") > config.max_pending_gap)
-    return rows.where(late).select(*key, F.col("next_w").alias("w"), "pending", "status")
+    o = Window.partitionBy(*key).orderBy("w")
+    rows = states.join(observations.select(*key, "w", "c"), [*key, "w"]).withColumn("next_w", F.lead("w").over(o)).withColumn("next_c", F.lead("c").over(o))
+    rows = rows.where(F.col("pending").isNotNull() & (F.col("status") != "conflicted"))
+    due = F.greatest(F.col("w"), F.col("last_support") + config.max_pending_gap) + 1
+    # the first window from `due` on, by one sorted pass over a run's windows and what is due in it
+    asked = rows.select(*key, "w", "pending", "status", "next_w", "next_c", due.alias("due"))
+    marks = windows.select(run, F.col("w").alias("at"), F.col("w").alias("found")).unionByName(asked.select(run, F.col("due").alias("at"), F.lit(None).cast("long").alias("found")).distinct())
+    first = F.min("found").over(Window.partitionBy(run).orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    sweeps = marks.withColumn("sweep", first).where("found is null").select(run, F.col("at").alias("due"), "sweep")
+    both = asked.join(sweeps, [run, "due"])
+    own = (F.col("next_c") >= config.medium) & (F.col("next_w") >= F.col("due"))
+    at = F.when(F.col("sweep") < F.coalesce("next_w", F.col("sweep") + 1), F.col("sweep")).when(own, F.col("next_w"))
+    return both.withColumn("w", at).where("w is not null").select(*key, "w", "pending", "status")
+
+
+def scene_events(windows: DataFrame, enabled: bool = True, run: str = "run", order: str = "w") -> DataFrame:
+    """run, w, event_type, scene_id, previous_id of every window's scene events.
+
+    windows: run, w, camera_change, reframed.  The first window starts a scene; a
+    camera change starts another, unless scenes aren't enabled; a window that is
+    reframed goes on with a scene_reframed.  A camera change or reframing is told
+    as scene_visibility_changed too, whether scenes are enabled or not.
+    """
+    s = scene_segments(windows.withColumn("_change", F.col("camera_change") & F.lit(enabled)), "_change", run, order)
+    w = Window.partitionBy(run).orderBy(order)
+    s = s.withColumn("previous_id", F.lag("scene_id").over(w))
+    kind = F.when(F.col("previous_id").isNull(), "scene_started").when(F.col("previous_id") != F.col("scene_id"), "scene_changed").when(F.col("reframed"), "scene_reframed")
+    framed = F.when(F.col("camera_change") | F.col("reframed"), "scene_visibility_changed")
+    s = s.withColumn("event_type", F.explode(F.array_compact(F.array(kind, framed))))
+    return s.select(run, order, "event_type", "scene_id", F.when(F.col("event_type") == "scene_changed", F.col("previous_id")).alias("previous_id"))
+
+
+def visible_list(sightings: DataFrame, segments: DataFrame, key: str, run: str = "run") -> DataFrame:
+    """run, scene_id, key, since: the entities of a scene's visible list, which only grows, with the window that added each."""
+    return sightings.join(segments.select(run, "w", "scene_id"), [run, "w"]).groupBy(run, "scene_id", key).agg(F.min("w").alias("since"))
+
+
+def action_intake(actions: DataFrame, present: DataFrame, instant: list[str], window: list[str] = ["run", "w"]) -> DataFrame:  # noqa: B006
+    """actions with outcome: skipped without a resolved actor, context_only, instant, uncertain (a declared target or tool isn't there) or started.
+
+    actions: window, actor, target, tool, type, in_commit, new (starts a
+    lifecycle).  present: window and entity, what is observed there.  References
+    are resolved by equi joins; context-only evidence may continue an action, but
+    starts none.
+    """
+    known = present.select(*window, "entity").distinct()
+    out = actions
+    for role in ("actor", "target", "tool"):
+        out = out.join(known.select(*window, F.col("entity").alias(role), F.lit(True).alias(f"_{role}")), [*window, role], "left")
+    lost = lambda role: F.col(role).isNotNull() & F.col(f"_{role}").isNull()
+    outcome = (
+        F.when(F.col("_actor").isNull(), "skipped")
+        .when(~F.col("new"), F.when(lost("target") | lost("tool"), "uncertain").otherwise("continued"))
+        .when(~F.col("in_commit"), "context_only")
+        .when(F.col("type").isin(instant), "instant")
+        .when(lost("target") | lost("tool"), "uncertain")
+        .otherwise("started")
+    )
+    return out.withColumn("outcome", outcome).drop("_actor", "_target", "_tool")
+
+
+def attribute_eligibility(observations: DataFrame, require_evidence: bool = True) -> DataFrame:
+    """observations with rejected: the first reason for which an attribute observation isn't used, null if it is.
+
+    observations: entity, key, resolution (status of the entity), normalization,
+    evidence (number of frames), in_commit, pending (the attribute's state is).
+    """
+    none = F.col("evidence") == 0
+    context = ~F.when(none, F.lit(not require_evidence)).otherwise(F.col("in_commit")) & ~F.col("pending")
+    rejected = (
+        F.when(F.col("resolution").isNull(), "unresolved_entity")
+        .when(F.col("resolution").isin("ambiguous", "temporary", "rejected_hint"), "ambiguous_entity")
+        .when(F.col("normalization").isin("out_of_vocabulary", "invalid_for_entity_type"), "not_in_vocabulary")
+        .when(none & F.lit(require_evidence), "no_evidence")
+        .when(context, "context_only")
+        .when(F.col("entity").isNull() | F.col("key").isNull(), "no_entity_or_key")
+    )
+    return observations.withColumn("rejected", rejected)
+
+
+def support_evidence(support: DataFrame, key: list[str], evidence: str, order: str = "w") -> DataFrame:
+    """support_chains with the evidence of all windows of a chain, in order of windows."""
+    w = Window.partitionBy(*key).orderBy(order)
+    rows = support.groupBy(*key, order).agg(F.array_sort(F.collect_set(evidence)).alias("_e")).withColumn("g", F.col(order) - F.row_number().over(w))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "_e"))), lambda x: x["_e"]))
+    return rows.groupBy(*key, "g").agg(F.min(order).cast("long").alias("first_w"), F.max(order).cast("long").alias("last_w"), listed.alias("evidence")).drop("g")

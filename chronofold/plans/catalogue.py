@@ -8,28 +8,11 @@ from pyspark.sql.window import Window
 
 from chronofold.functions import vocabulary
 from chronofold.operators import observations as obs
-from chronofold.operators import reports, resolution, tracking, windows
-from chronofold.streaming.replay import final_state, replay, stream_against_batch
-from chronofold.plans.derived import ACTION_OF, EVENTS_SQL, OBSERVED_SQL, STRIDE, WINDOW, events, observed
+from chronofold.operators import reports, tracking, windows
+from chronofold.plans.derived import ACTION_OF, EVENTS_SQL, OBSERVED_SQL, STEPS_SQL, STRIDE, WINDOW, events, observed, steps as _steps
+from chronofold.plans.registry import ORACLE_SQL, QUERIES, longs, query  # noqa: F401
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None):
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _long(*names: str):
-    return [F.col(n).cast("long").alias(n) for n in names]
+_long = longs
 
 
 # windows
@@ -119,14 +102,14 @@ def frame_sampling_plan(spark, sf_dir):
 
 
 def _frames(spark, sf_dir) -> DataFrame:
-    """Per run and step: the first eight events as frames, and evidence made from their k."""
+    """Per run and step: its events as frames, and evidence made from their k."""
     rank = F.row_number().over(Window.partitionBy("run", "w").orderBy("t", "event_id")) - 1
-    first = observed(spark, sf_dir).withColumn("i", rank.cast("int")).where("i < 8")
+    first = observed(spark, sf_dir).withColumn("i", rank.cast("int"))
     by = first.groupBy("run", "w").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("frames"), F.array_sort(F.collect_list((F.col("k") % 5).cast("int"))).alias("evidence"))
     return by.withColumn("lookup", F.map_from_entries("frames"))
 
 
-FRAMES_SQL = OBSERVED_SQL + """, fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, w ORDER BY t, event_id) - 1 AS i FROM ob) WHERE i < 8),
+FRAMES_SQL = OBSERVED_SQL + """, fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, w ORDER BY t, event_id) - 1 AS i FROM ob)),
  evd AS (SELECT DISTINCT run, w, k % 5 AS e FROM fr)"""
 
 
@@ -262,108 +245,7 @@ def hint_sanitize(spark, sf_dir):
     return obs.sanitize_hints(hinted, known, ["run", "w"]).select("event_id", "clean_hint", "hint_warning")
 
 
-# entity resolution
-
-_CONFIG = resolution.ResolutionConfig()
-
-
-def _name(kind):
-    return F.when(kind == "error", "unknown").otherwise(kind)
-
-
-def _sightings(spark, sf_dir) -> DataFrame:
-    """One row a run, step and entity: what its last event there says."""
-    o = observed(spark, sf_dir)
-    last = F.max_by(F.struct("kind", "k"), F.struct("t", "event_id"))
-    s = o.groupBy("run", "w", "entity").agg(last.alias("x"))
-    region = F.when(F.col("x.k") % 4 == 0, "unknown").otherwise(F.concat(F.lit("r"), (F.col("x.k") % 4).cast("string")))
-    return s.select("run", "w", F.col("entity").alias("entity_id"), (F.col("entity") % 3).alias("entity_type"), _name(F.col("x.kind")).alias("last_name"), (F.col("x.k") % 5).alias("last_look"), region.alias("last_region"))
-
-
-def _pairs(spark, sf_dir) -> DataFrame:
-    o = observed(spark, sf_dir)
-    region = F.when(F.col("k") % 4 == 0, "unknown").otherwise(F.concat(F.lit("r"), (F.col("k") % 4).cast("string")))
-    seen = o.select("run", "w", F.col("event_id").alias("local_id"), (F.col("entity") % 3).alias("entity_type"), _name(F.col("kind")).alias("name"), (F.col("k") % 5).alias("look"), region.alias("region"), "confidence")
-    return resolution.candidates(seen, _sightings(spark, sf_dir), _CONFIG.max_missing)
-
-
-PAIRS_SQL = OBSERVED_SQL + """, si AS (SELECT run, w, entity AS entity_id, entity % 3 AS et, arg_max(CASE WHEN kind = 'error' THEN 'unknown' ELSE kind END, (t, event_id)) AS last_name, arg_max(k, (t, event_id)) AS lk FROM ob GROUP BY ALL),
- sn AS (SELECT *, lead(w) OVER (PARTITION BY run, entity_id ORDER BY w) AS nw FROM si),
- pr AS (SELECT o.run, o.w, o.event_id AS local_id, s.entity_id, s.w AS last_seen, CASE WHEN o.kind = 'error' THEN 'unknown' ELSE o.kind END AS name, s.last_name, o.k, s.lk, o.confidence
-        FROM ob o JOIN sn s ON s.run = o.run AND s.et = o.entity % 3 AND s.w < o.w AND o.w <= coalesce(s.nw, 1000000000) AND o.w - s.w <= 10),
- sc AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE,
-   0.0::DOUBLE + 0.3::DOUBLE * (CASE WHEN name = 'unknown' OR last_name = 'unknown' THEN 0.5::DOUBLE WHEN name = last_name THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
-   + 0.25::DOUBLE * (CASE WHEN k % 5 = lk % 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
-   + 0.15::DOUBLE * (CASE WHEN k % 4 = 0 OR lk % 4 = 0 OR k % 4 = lk % 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
-   + 0.15::DOUBLE * 0.5::DOUBLE
-   + 0.1::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - greatest(0, w - 1 - last_seen) / 11.0::DOUBLE))) AS score0 FROM pr),
- scr AS (SELECT *, round(score0, 6) AS score FROM sc)"""
-
-
-def _scored(spark, sf_dir) -> DataFrame:
-    p = _pairs(spark, sf_dir)
-    look = lambda c: [F.col(c).cast("string")]
-    parts = {
-        "name": resolution.name_score(F.col("name"), F.col("last_name")),
-        "appearance": resolution.appearance_columns_score(look("look"), look("last_look"), F.col("confidence")),
-        "spatial": resolution.spatial_score(F.col("region"), F.col("last_region")),
-        "relation": resolution.relation_score(F.lit(0), F.lit(0)),
-        "recency": resolution.recency_score(F.col("w") - 1, F.col("last_seen"), _CONFIG.max_missing),
-        "hint": F.lit(0.0),
-    }
-    return p.withColumn("score", F.round(resolution.total_score(parts), 6))
-
-
-@query(f"WITH {PAIRS_SQL} SELECT run, w, local_id, entity_id, CAST(last_seen AS BIGINT) AS last_seen FROM pr")
-def candidate_blocking(spark, sf_dir):
-    return _pairs(spark, sf_dir).select(*_long("run", "w", "local_id", "entity_id", "last_seen"))
-
-
-@query(f"WITH {PAIRS_SQL} SELECT run, w, local_id, entity_id, score FROM scr")
-def pair_scoring(spark, sf_dir):
-    return _scored(spark, sf_dir).select(*_long("run", "w", "local_id", "entity_id"), "score")
-
-
-@query(f"""WITH {PAIRS_SQL}, rj AS (SELECT run, w, local_id, entity_id, concat_ws(',',
-  CASE WHEN regexp_matches('cabinet ' || (k % 3), '[0-9]') AND k % 3 <> lk % 3 THEN 'numeric_name_conflict' END,
-  CASE WHEN k % 7 = 0 AND entity_id % 16 <> 3 THEN 'hint_points_elsewhere' END,
-  CASE WHEN w - 1 = last_seen AND k % 4 <> 0 AND lk % 4 <> 0 AND k % 4 <> lk % 4 THEN 'spatial_jump' END) AS reasons FROM pr)
- SELECT run, w, local_id, entity_id, reasons FROM rj WHERE reasons <> ''""")
-def hard_rejects(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    # numbers in names: made from k; a hint that only entities with id % 16 = 3 meet
-    o = observed(spark, sf_dir).select(F.col("event_id").alias("local_id"), F.col("k").alias("ok"))
-    s = observed(spark, sf_dir).groupBy("run", "w", "entity").agg(F.max_by("k", F.struct("t", "event_id")).alias("lk")).select("run", F.col("w").alias("last_seen"), F.col("entity").alias("entity_id"), "lk")
-    p = p.join(o, "local_id").join(s, ["run", "last_seen", "entity_id"])
-    named = lambda k: F.concat(F.lit("cabinet "), (F.col(k) % 3).cast("string"))
-    hint = F.when(F.col("ok") % 7 == 0, F.when(F.col("entity_id") % 16 == 3, F.col("entity_id")).otherwise(F.lit(-1)))
-    reasons = resolution.reject_reasons(F.col("entity_type"), F.col("entity_type"), named("ok"), named("lk"), hint, F.col("entity_id"), F.lit(None).cast("long"), F.lit(False), F.lit(True), F.col("w") - 1 == F.col("last_seen"), F.col("region"), F.col("last_region"))
-    return p.select(*_long("run", "w", "local_id", "entity_id"), F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
-
-
-GREEDY_SQL = PAIRS_SQL + """, od AS (SELECT run, w, local_id, entity_id, score, row_number() OVER (PARTITION BY run, w ORDER BY score DESC, local_id, entity_id) AS r FROM scr)"""
-_GREEDY = f"""WITH RECURSIVE {GREEDY_SQL},
- gr AS (SELECT run, w, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS gs, CAST(NULL AS BIGINT) AS local_id, CAST(NULL AS BIGINT) AS entity_id, CAST(NULL AS DOUBLE) AS score FROM od WHERE r = 1
-  UNION ALL SELECT o.run, o.w, o.r, CASE WHEN list_contains(g.ls, o.local_id) OR list_contains(g.gs, o.entity_id) THEN g.ls ELSE list_append(g.ls, o.local_id) END,
-   CASE WHEN list_contains(g.ls, o.local_id) OR list_contains(g.gs, o.entity_id) THEN g.gs ELSE list_append(g.gs, o.entity_id) END,
-   CASE WHEN list_contains(g.ls, o.local_id) OR list_contains(g.gs, o.entity_id) THEN NULL ELSE o.local_id END, o.entity_id, o.score
-  FROM gr g JOIN od o ON o.run = g.run AND o.w = g.w AND o.r = g.r + 1),
- gm AS (SELECT run, w, local_id, entity_id, score FROM gr WHERE local_id IS NOT NULL)"""
-
-
-@query(f"{_GREEDY} SELECT run, w, local_id, entity_id, score FROM gm")
-def greedy_assignment(spark, sf_dir):
-    # types never meet, so each is matched on its own
-    return resolution.greedy_match(_scored(spark, sf_dir), ["run", "w", "entity_type"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "entity_id"), "score")
-
-
-@query(f"""{_GREEDY}, b AS (SELECT run, w, local_id, list(score ORDER BY score DESC) AS s FROM scr GROUP BY ALL),
- j AS (SELECT b.*, gm.entity_id AS selected, gm.score AS best FROM b LEFT JOIN gm ON gm.run = b.run AND gm.w = b.w AND gm.local_id = b.local_id)
- SELECT run, w, local_id, CAST(selected AS BIGINT) AS selected, CASE WHEN selected IS NULL THEN 'created' WHEN len(s) > 1 AND best - s[2] < 0.08::DOUBLE THEN 'ambiguous' WHEN best >= 0.78::DOUBLE THEN 'matched' WHEN best >= 0.58::DOUBLE THEN 'ambiguous' ELSE 'created' END AS status FROM j""")
-def status_decision(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    matched = resolution.greedy_match(scored, ["run", "w", "entity_type"], "local_id", "entity_id", "score")
-    return resolution.decide(matched, scored, ["run", "w", "entity_type"], "local_id", "entity_id", "score").select(*_long("run", "w", "local_id", "selected"), "status")
+# entities over time
 
 
 @query(f"WITH {OBSERVED_SQL} SELECT run, entity, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(min(t) AS BIGINT) AS first_t, CAST(max(t) AS BIGINT) AS last_t, max(confidence) AS confidence, arg_min(kind, (t, event_id)) FILTER (kind <> 'error') AS name FROM ob GROUP BY run, entity")
@@ -372,14 +254,6 @@ def entity_first_last_seen(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("run", "entity").agg(F.min("w").alias("first_w"), F.max("w").alias("last_w"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.max("confidence").alias("confidence"), name.alias("name"))
 
 
-def _steps(spark, sf_dir) -> DataFrame:
-    """run, w, camera_change of every step with events."""
-    return observed(spark, sf_dir).groupBy("run", "w").agg((F.count_if(F.col("kind") == "error") >= 2).alias("camera_change"))
-
-
-STEPS_SQL = OBSERVED_SQL + ", st AS (SELECT run, w, count(*) FILTER (kind = 'error') >= 2 AS camera_change FROM ob GROUP BY run, w)"
-
-
 @query(f"""WITH {STEPS_SQL}, fi AS (SELECT run, entity, min(w) AS f FROM ob GROUP BY ALL), se AS (SELECT DISTINCT run, entity, w FROM ob),
  gd AS (SELECT st.run, fi.entity, st.w, st.camera_change, se.w IS NOT NULL AS seen FROM st JOIN fi ON fi.run = st.run AND st.w >= fi.f LEFT JOIN se ON se.run = st.run AND se.entity = fi.entity AND se.w = st.w),
  la AS (SELECT *, max(CASE WHEN seen THEN w END) OVER (PARTITION BY run, entity ORDER BY w) AS lw FROM gd),
@@ -415,6 +289,27 @@ def scene_segments(spark, sf_dir):
     return tracking.scene_segments(_steps(spark, sf_dir)).select("run", "w", "camera_change", "scene_index", "scene_id")
 
 
+_SEGMENTS_SQL = STEPS_SQL + """, sg AS (SELECT *, sum(CASE WHEN camera_change OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY w) AS scene_index FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY w) AS rn FROM st)),
+ sc AS (SELECT *, 'scene_' || lpad(CAST(scene_index AS VARCHAR), 4, '0') AS scene_id, 'scene_' || lpad(CAST(lag(scene_index) OVER (PARTITION BY run ORDER BY w) AS VARCHAR), 4, '0') AS previous_id FROM sg)"""
+
+
+@query(f"""WITH {_SEGMENTS_SQL} SELECT run, w, CASE WHEN previous_id IS NULL THEN 'scene_started' WHEN previous_id <> scene_id THEN 'scene_changed' ELSE 'scene_reframed' END AS event_type, scene_id, CASE WHEN previous_id <> scene_id THEN previous_id END AS previous_id FROM sc WHERE previous_id IS NULL OR previous_id <> scene_id OR reframed
+ UNION ALL SELECT run, w, 'scene_visibility_changed', scene_id, NULL FROM sc WHERE camera_change OR reframed""")
+def scene_events(spark, sf_dir):
+    return tracking.scene_events(_steps(spark, sf_dir))
+
+
+@query(f"WITH {STEPS_SQL}, f AS (SELECT run, min(w) AS f FROM st GROUP BY run) SELECT run, f AS w, 'scene_started' AS event_type, 'scene_0001' AS scene_id, CAST(NULL AS VARCHAR) AS previous_id FROM f UNION ALL SELECT st.run, st.w, 'scene_reframed', 'scene_0001', NULL FROM st JOIN f ON f.run = st.run AND st.w > f.f WHERE reframed UNION ALL SELECT run, w, 'scene_visibility_changed', 'scene_0001', NULL FROM st WHERE camera_change OR reframed")
+def scene_events_disabled(spark, sf_dir):
+    """Without scene changes the raw camera change is still told."""
+    return tracking.scene_events(_steps(spark, sf_dir), enabled=False)
+
+
+@query(f"WITH {_SEGMENTS_SQL} SELECT ob.run, scene_id, entity, CAST(min(ob.w) AS BIGINT) AS since FROM ob JOIN sc ON sc.run = ob.run AND sc.w = ob.w GROUP BY ALL")
+def scene_visible_entities(spark, sf_dir):
+    return tracking.visible_list(observed(spark, sf_dir), tracking.scene_segments(_steps(spark, sf_dir)), "entity").select("run", "scene_id", "entity", "since")
+
+
 @query(f"WITH {STEPS_SQL} SELECT DISTINCT st.run, st.w, ob.entity, CASE WHEN st.w % 2 = 0 THEN 'partial' ELSE 'not_visible' END AS visibility FROM st JOIN ob ON ob.run = st.run AND ob.w = st.w - 1 WHERE st.camera_change")
 def scene_visibility(spark, sf_dir):
     """Steps with a camera change are close-ups; even ones show their target in part."""
@@ -441,6 +336,33 @@ def action_lifecycle(spark, sf_dir):
     return tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS).groupBy("run", "entity", "kind", "island").agg(F.min("w").alias("first_w"), F.max("w").alias("last_w"), F.count("*").alias("windows"), F.max("confidence").alias("confidence"))
 
 
+def _intake(spark, sf_dir) -> DataFrame:
+    """Every step's actions: an actor, target and tool that may be elsewhere, every fifth seen in the context part only."""
+    acts = tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS)
+    new = F.row_number().over(Window.partitionBy("run", "entity", "kind", "island").orderBy("w")) == 1
+    n = F.col("entity") + F.col("w")
+    rows = acts.select("run", "w", F.when(n % 11 != 0, F.col("entity")).alias("actor"), F.when(n % 3 > 0, F.col("entity") + 8).alias("target"), F.when(n % 3 == 2, F.col("entity") + 16).alias("tool"), F.col("kind").alias("type"), (n % 5 != 0).alias("in_commit"), new.alias("new"), "entity")
+    return tracking.action_intake(rows, observed(spark, sf_dir), ["purchase"])
+
+
+_INTAKE_SQL = ACTS_SQL + """, pe AS (SELECT DISTINCT run, w, entity FROM ob), ik AS (SELECT ai.run, ai.w, ai.entity, ai.kind, (ai.entity + ai.w) % 11 <> 0 AS actor, (ai.entity + ai.w) % 5 <> 0 AS com, row_number() OVER (PARTITION BY ai.run, ai.entity, ai.kind, island ORDER BY ai.w) = 1 AS new,
+   ((ai.entity + ai.w) % 3 > 0 AND p8.entity IS NULL) OR ((ai.entity + ai.w) % 3 = 2 AND p16.entity IS NULL) AS lost
+  FROM ai LEFT JOIN pe p8 ON p8.run = ai.run AND p8.w = ai.w AND p8.entity = ai.entity + 8 LEFT JOIN pe p16 ON p16.run = ai.run AND p16.w = ai.w AND p16.entity = ai.entity + 16),
+ oc AS (SELECT *, CASE WHEN NOT actor THEN 'skipped' WHEN NOT new THEN (CASE WHEN lost THEN 'uncertain' ELSE 'continued' END) WHEN NOT com THEN 'context_only' WHEN kind = 'purchase' THEN 'instant' WHEN lost THEN 'uncertain' ELSE 'started' END AS outcome FROM ik)"""
+
+
+@query(f"WITH {_INTAKE_SQL} SELECT run, w, entity, kind AS type, outcome FROM oc")
+def action_intake(spark, sf_dir):
+    return _intake(spark, sf_dir).select("run", "w", "entity", "type", "outcome")
+
+
+@query(f"WITH {_INTAKE_SQL} SELECT run, w, entity, kind AS type, 'action_' || lpad(CAST(row_number() OVER (PARTITION BY run ORDER BY w, entity, kind) AS VARCHAR), 6, '0') AS action_id FROM oc WHERE new AND outcome IN ('instant', 'uncertain', 'started')")
+def action_ids(spark, sf_dir):
+    """Ids of the actions that start, in order of window, actor and type."""
+    n = F.row_number().over(Window.partitionBy("run").orderBy("w", "entity", "type"))
+    return _intake(spark, sf_dir).where("new and outcome in ('instant', 'uncertain', 'started')").select("run", "w", "entity", "type", F.format_string("action_%06d", n).alias("action_id"))
+
+
 @query(f"""WITH {ACTS_SQL} SELECT a.run, a.entity, a.kind, a.island, CAST(coalesce((SELECT max(o.t) FROM ob o WHERE o.run = a.run AND o.w = a.w AND o.t < a.t0), a.w * {STRIDE}) AS BIGINT) AS lower_t, CAST(a.t0 AS BIGINT) AS upper_t FROM ai a WHERE a.fresh = 1""")
 def action_start_interval(spark, sf_dir):
     acts = tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS)
@@ -462,51 +384,84 @@ def action_end_state(spark, sf_dir):
     return acts.join(after, ["run", "last_w"]).select("run", "entity", "kind", "island", state.alias("state"))
 
 
+_KEY = ["run", "entity", "attribute"]
+
+
 def _attribute_rows(spark, sf_dir) -> DataFrame:
-    """One observation a run, attribute and step, of ids k % 6; every fourth is context only, even entities act."""
+    """One observation a run, entity, attribute (k % 6) and step; every fourth is context only, every second acts."""
     o = observed(spark, sf_dir).withColumn("attribute", (F.col("k") % 6).cast("long"))
-    last = o.groupBy("run", "attribute", "w").agg(F.max_by(F.struct("kind", "confidence", "event_id", "entity"), F.struct("t", "event_id")).alias("x"))
-    return last.select("run", "attribute", "w", F.when(F.col("x.kind").isin("click", "view"), "open").otherwise("closed").alias("v"), F.least(F.lit(1.0), F.col("x.confidence") * 2).alias("c"), (F.col("x.event_id") % 4 != 0).alias("in_commit"), (F.col("x.entity") % 2 == 0).alias("acted"), (F.col("attribute") == 3).alias("single_high"))
+    last = o.groupBy(*_KEY, "w").agg(F.max_by(F.struct("kind", "confidence", "event_id"), F.struct("t", "event_id")).alias("x"))
+    rows = last.select(*_KEY, "w", F.when(F.col("x.kind").isin("click", "view"), "open").otherwise("closed").alias("v"), F.least(F.lit(1.0), F.col("x.confidence") * 2).alias("c"), (F.col("x.event_id") % 4 != 0).alias("in_commit"), (F.col("x.event_id") % 2 == 0).alias("acted"), (F.col("attribute") == 3).alias("single_high"))
+    return tracking.with_sweeps(rows, _steps(spark, sf_dir).select("run", "w"), _KEY)
+
+
+def _attribute_log(spark, sf_dir) -> DataFrame:
+    return tracking.attribute_states(_attribute_rows(spark, sf_dir), _KEY)
 
 
-_FSM_SQL = f"""WITH RECURSIVE {OBSERVED_SQL}, la AS (SELECT run, k % 6 AS attribute, w, arg_max(kind, (t, event_id)) AS kind, arg_max(confidence, (t, event_id)) AS conf, arg_max(event_id, (t, event_id)) AS eid, arg_max(entity, (t, event_id)) AS ent FROM ob GROUP BY ALL),
- xo AS (SELECT run, attribute, w, CASE WHEN kind IN ('click', 'view') THEN 'open' ELSE 'closed' END AS v, least(1.0::DOUBLE, conf * 2) AS c, eid % 4 <> 0 AS com, ent % 2 = 0 AS act, attribute = 3 AS sh, row_number() OVER (PARTITION BY run, attribute ORDER BY w) AS r FROM la),
- fs AS (SELECT run, attribute, w, r, CASE WHEN c < 0.6::DOUBLE THEN 'observed' WHEN c >= 0.85::DOUBLE THEN 'confirmed' ELSE 'pending' END AS status, v AS value, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN v END AS pend, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN 1 ELSE 0 END AS chain,
-   CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN w END AS ls, c >= 0.85::DOUBLE AS ever, CASE WHEN c < 0.6::DOUBLE THEN 'attribute_observed' WHEN c >= 0.85::DOUBLE THEN 'attribute_initialized' ELSE 'attribute_pending' END AS event FROM xo WHERE r = 1
-  UNION ALL SELECT run, attribute, w, r,
+_SAME = " AND ".join(f"{{a}}.{c} = {{b}}.{c}" for c in _KEY)
+_FSM_SQL = f"""WITH RECURSIVE {STEPS_SQL}, sp AS (SELECT run, w, lag(w) OVER (PARTITION BY run ORDER BY w) AS pw FROM st),
+ la AS (SELECT run, entity, k % 6 AS attribute, w, arg_max(kind, (t, event_id)) AS kind, arg_max(confidence, (t, event_id)) AS conf, arg_max(event_id, (t, event_id)) AS eid FROM ob GROUP BY ALL),
+ xo AS (SELECT la.run, entity, attribute, la.w, CASE WHEN kind IN ('click', 'view') THEN 'open' ELSE 'closed' END AS v, least(1.0::DOUBLE, conf * 2) AS c, eid % 4 <> 0 AS com, eid % 2 = 0 AS act, attribute = 3 AS sh, row_number() OVER p AS r,
+   CASE WHEN sp.pw > lag(la.w) OVER p THEN sp.pw END AS swept FROM la JOIN sp ON sp.run = la.run AND sp.w = la.w WINDOW p AS (PARTITION BY la.run, entity, attribute ORDER BY la.w)),
+ fs AS (SELECT run, entity, attribute, w, r, CASE WHEN c < 0.6::DOUBLE THEN 'observed' WHEN c >= 0.85::DOUBLE THEN 'confirmed' ELSE 'pending' END AS status, v AS value, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN v END AS pend, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN 1 ELSE 0 END AS chain,
+   CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN w END AS ls, c >= 0.85::DOUBLE AS ever, CASE WHEN c < 0.6::DOUBLE THEN 'attribute_observed' WHEN c >= 0.85::DOUBLE THEN 'attribute_initialized' ELSE 'attribute_pending' END AS event, CAST(NULL AS VARCHAR) AS reason FROM xo WHERE r = 1
+  UNION ALL SELECT run, entity, attribute, w, r,
    CASE kind WHEN 'conflict' THEN 'conflicted' WHEN 'confirm' THEN 'confirmed' WHEN 'init' THEN 'confirmed' WHEN 'restart' THEN 'pending' ELSE status END,
    CASE WHEN kind IN ('direct', 'chainmove', 'confirm', 'init', 'restart') THEN v ELSE value END,
    CASE WHEN kind IN ('same', 'direct', 'chainmove', 'confirm', 'init') THEN NULL WHEN kind IN ('start', 'restart') THEN v ELSE pend END,
    CASE WHEN kind IN ('same', 'direct', 'chainmove', 'confirm', 'init') THEN 0 WHEN kind IN ('start', 'restart') THEN 1 WHEN kind = 'wait' THEN nchain ELSE chain END,
    CASE WHEN kind IN ('same', 'direct', 'chainmove', 'confirm', 'init') THEN NULL WHEN kind IN ('start', 'restart', 'wait') THEN w ELSE ls END,
    ever OR kind IN ('confirm', 'init'),
-   CASE kind WHEN 'low' THEN 'attribute_observed' WHEN 'direct' THEN 'attribute_transition' WHEN 'chainmove' THEN 'attribute_transition' WHEN 'confirm' THEN 'attribute_confirmed' WHEN 'wait' THEN 'attribute_pending' WHEN 'start' THEN 'attribute_pending' WHEN 'restart' THEN 'attribute_pending' WHEN 'conflict' THEN 'attribute_conflict' WHEN 'init' THEN 'attribute_initialized' END
+   CASE kind WHEN 'low' THEN 'attribute_observed' WHEN 'direct' THEN 'attribute_transition' WHEN 'chainmove' THEN 'attribute_transition' WHEN 'confirm' THEN 'attribute_confirmed' WHEN 'wait' THEN 'attribute_pending' WHEN 'start' THEN 'attribute_pending' WHEN 'restart' THEN 'attribute_pending' WHEN 'conflict' THEN 'attribute_conflict' WHEN 'init' THEN 'attribute_initialized' END,
+   CASE WHEN kind = 'direct' AND sh THEN 'single_high_policy' WHEN kind = 'direct' THEN 'high_confidence_with_action_support' WHEN kind = 'chainmove' THEN 'consecutive_window_support' END
   FROM (SELECT *, CASE WHEN c < 0.6::DOUBLE THEN 'low' WHEN status = 'confirmed' THEN (CASE WHEN v = value THEN 'same' WHEN com AND c >= 0.85::DOUBLE AND (act OR sh) THEN 'direct' WHEN v = pend AND nchain >= 2 AND com THEN 'chainmove' WHEN v = pend THEN 'wait' WHEN pend IS NOT NULL THEN 'conflict' ELSE 'start' END)
      WHEN status = 'pending' THEN (CASE WHEN v = pend AND nchain >= 2 AND com THEN 'confirm' WHEN v = pend THEN 'wait' ELSE 'conflict' END)
      WHEN status = 'observed' THEN (CASE WHEN c >= 0.85::DOUBLE THEN 'init' ELSE 'restart' END) ELSE 'none' END AS kind
-   FROM (SELECT x.run, x.attribute, x.w, x.r, x.v, x.c, x.com, x.act, x.sh,
+   FROM (SELECT x.run, x.entity, x.attribute, x.w, x.r, x.v, x.c, x.com, x.act, x.sh,
      CASE WHEN late AND f.status = 'pending' THEN (CASE WHEN f.ever THEN 'confirmed' ELSE 'observed' END) ELSE f.status END AS status, f.value, CASE WHEN late THEN NULL ELSE f.pend END AS pend, CASE WHEN late THEN 0 ELSE f.chain END AS chain, CASE WHEN late THEN NULL ELSE f.ls END AS ls, f.ever,
-     CASE WHEN f.ls = x.w - 1 THEN f.chain + 1 ELSE 1 END AS nchain
-    FROM (SELECT fs.*, nx.w AS nw, nx.c AS nc, coalesce(nx.c >= 0.6::DOUBLE AND fs.pend IS NOT NULL AND nx.w - fs.ls > 1 AND fs.status <> 'conflicted', false) AS late FROM fs JOIN xo nx ON nx.run = fs.run AND nx.attribute = fs.attribute AND nx.r = fs.r + 1) f JOIN xo x ON x.run = f.run AND x.attribute = f.attribute AND x.r = f.r + 1)))"""
+     CASE WHEN NOT late AND f.ls = x.w - 1 THEN f.chain + 1 ELSE 1 END AS nchain
+    FROM (SELECT fs.*, coalesce(fs.pend IS NOT NULL AND greatest(nx.swept, CASE WHEN nx.c >= 0.6::DOUBLE THEN nx.w END) - fs.ls > 1 AND fs.status <> 'conflicted', false) AS late FROM fs JOIN xo nx ON {_SAME.format(a='nx', b='fs')} AND nx.r = fs.r + 1) f JOIN xo x ON {_SAME.format(a='x', b='f')} AND x.r = f.r + 1)))"""
+_KEY_SQL = "run, entity, CAST(attribute AS BIGINT) AS attribute"
 
 
-@query(f"{_FSM_SQL} SELECT run, CAST(attribute AS BIGINT) AS attribute, w, status, value, pend AS pending, event FROM fs")
+@query(f"{_FSM_SQL} SELECT {_KEY_SQL}, w, status, value, pend AS pending, event FROM fs")
 def attribute_fsm(spark, sf_dir):
-    return tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"]).select("run", "attribute", "w", "status", "value", "pending", "event")
+    return _attribute_log(spark, sf_dir).select(*_KEY, "w", "status", "value", "pending", "event")
 
 
-@query(f"{_FSM_SQL} SELECT run, CAST(attribute AS BIGINT) AS attribute, w, lag(value) OVER (PARTITION BY run, attribute ORDER BY w) AS before, value AS after FROM fs QUALIFY event = 'attribute_transition'")
+@query(f"{_FSM_SQL} SELECT {_KEY_SQL}, w, before, after FROM (SELECT *, lag(value) OVER (PARTITION BY run, entity, attribute ORDER BY w) AS before, value AS after FROM fs) WHERE event = 'attribute_transition'")
 def attribute_transitions(spark, sf_dir):
-    s = tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"])
-    before = F.lag("value").over(Window.partitionBy("run", "attribute").orderBy("w"))
-    return s.withColumn("before", before).where("event = 'attribute_transition'").select("run", "attribute", "w", "before", F.col("value").alias("after"))
+    before = F.lag("value").over(Window.partitionBy(*_KEY).orderBy("w"))
+    return _attribute_log(spark, sf_dir).withColumn("before", before).where("event = 'attribute_transition'").select(*_KEY, "w", "before", F.col("value").alias("after"))
 
 
-@query(f"""{_FSM_SQL} SELECT fs.run, CAST(fs.attribute AS BIGINT) AS attribute, nx.w, fs.pend AS pending, fs.status FROM fs JOIN xo nx ON nx.run = fs.run AND nx.attribute = fs.attribute AND nx.r = fs.r + 1
- WHERE fs.pend IS NOT NULL AND fs.status <> 'conflicted' AND nx.c >= 0.6::DOUBLE AND nx.w - fs.ls > 1""")
+_EXPIRED_SQL = f"""{_FSM_SQL}, pe AS (SELECT fs.*, nx.w AS nw, nx.c AS nc, greatest(fs.w, fs.ls + 1) + 1 AS due FROM fs LEFT JOIN xo nx ON {_SAME.format(a='nx', b='fs')} AND nx.r = fs.r + 1 WHERE fs.pend IS NOT NULL AND fs.status <> 'conflicted'),
+ sw AS (SELECT pe.*, (SELECT min(st.w) FROM st WHERE st.run = pe.run AND st.w >= pe.due) AS sweep FROM pe),
+ ex AS (SELECT *, CASE WHEN sweep < coalesce(nw, sweep + 1) THEN sweep WHEN nc >= 0.6::DOUBLE AND nw >= due THEN nw END AS found_w FROM sw)"""
+
+
+@query(f"{_EXPIRED_SQL} SELECT {_KEY_SQL}, CAST(found_w AS BIGINT) AS w, pend AS pending, status FROM ex WHERE found_w IS NOT NULL")
 def attribute_pending_expiry(spark, sf_dir):
+    """Swept by every window, also where the key is never seen again."""
     rows = _attribute_rows(spark, sf_dir)
-    return tracking.expired_pending(tracking.attribute_states(rows, ["run", "attribute"]), rows, ["run", "attribute"]).select("run", "attribute", "w", "pending", "status")
+    return tracking.expired_pending(tracking.attribute_states(rows, _KEY), rows, _steps(spark, sf_dir), _KEY).select(*_KEY, "w", "pending", "status")
+
+
+@query(f"WITH {OBSERVED_SQL}, d AS (SELECT run, entity, kind, w, list_sort(list(DISTINCT event_id)) AS e FROM ob GROUP BY ALL), g AS (SELECT *, w - row_number() OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM d) SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, array_to_string(flatten(list(e ORDER BY w)), ',') AS evidence FROM g GROUP BY run, entity, kind, g")
+def attribute_support_evidence(spark, sf_dir):
+    rows = tracking.support_evidence(observed(spark, sf_dir), ["run", "entity", "kind"], "event_id")
+    return rows.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
+
+
+@query(f"""WITH {OBSERVED_SQL} SELECT event_id, CASE WHEN k % 13 = 0 THEN 'unresolved_entity' WHEN k % 13 = 1 THEN 'ambiguous_entity' WHEN kind = 'error' THEN 'not_in_vocabulary' WHEN k % 5 = 0 THEN 'no_evidence' WHEN event_id % 4 = 0 AND k % 3 <> 0 THEN 'context_only' WHEN k % 17 = 2 THEN 'no_entity_or_key' END AS rejected FROM ob""")
+def attribute_eligibility(spark, sf_dir):
+    k = F.col("k")
+    o = observed(spark, sf_dir).select(
+        "event_id", "entity", F.when(k % 17 != 2, k % 6).alias("key"), F.when(k % 13 != 0, F.when(k % 13 == 1, "ambiguous").otherwise("matched")).alias("resolution"),
+        F.when(F.col("kind") == "error", "out_of_vocabulary").otherwise("canonical").alias("normalization"), (k % 5).alias("evidence"), (F.col("event_id") % 4 != 0).alias("in_commit"), (k % 3 == 0).alias("pending"),
+    )
+    return tracking.attribute_eligibility(o).select("event_id", "rejected")
 
 
 @query(f"WITH {OBSERVED_SQL}, d AS (SELECT DISTINCT run, entity, kind, w FROM ob), g AS (SELECT *, w - row_number() OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM d) SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(count(*) AS BIGINT) AS windows FROM g GROUP BY run, entity, kind, g")
@@ -535,47 +490,11 @@ def snapshot_schedule(spark, sf_dir):
     return reports.snapshot_windows(_steps(spark, sf_dir), 10).select("run", "w", "n", "final")
 
 
-def _entities(spark, sf_dir) -> DataFrame:
-    e = observed(spark, sf_dir).groupBy("run", "entity").agg(F.max("w").alias("last_w"), F.max_by("kind", F.struct("t", "event_id")).alias("kind"), F.count("*").alias("n"))
-    return e.withColumn("related", F.col("kind") == "click")
-
-
-_ENTITIES_SQL = OBSERVED_SQL + ", en AS (SELECT run, entity, max(w) AS last_w, arg_max(kind, (t, event_id)) AS kind, count(*) AS n, arg_max(kind, (t, event_id)) = 'click' AS related FROM ob GROUP BY run, entity)"
-
-
-def _top() -> list:
-    return [F.desc("related"), F.desc("last_w"), F.asc("entity")]
-
-
-@query(f"WITH {_ENTITIES_SQL} SELECT run, entity, CAST(last_w AS BIGINT) AS last_w, related, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, entity) AS rank FROM en) WHERE rank <= 15")
-def context_entities_topk(spark, sf_dir):
-    return reports.top_k(_entities(spark, sf_dir), ["run"], _top(), 15).select("run", "entity", "last_w", "related", "rank")
-
-
-@query(f"WITH {ACTS_SQL}, q AS (SELECT run, entity, kind, island, CAST(max(w) AS BIGINT) AS last_w FROM ai GROUP BY run, entity, kind, island) SELECT run, entity, kind, last_w, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY last_w DESC, entity, kind, island) AS rank FROM q) WHERE rank <= 8")
-def context_actions_topk(spark, sf_dir):
-    return reports.top_k(action_lifecycle(spark, sf_dir), ["run"], [F.desc("last_w"), F.asc("entity"), F.asc("kind"), F.asc("island")], 8).select("run", "entity", "kind", "last_w", "rank")
-
-
-@query(f"{_FSM_SQL}, l AS (SELECT run, attribute, arg_max(status, w) AS status, arg_max(pend, w) AS pend FROM fs GROUP BY ALL) SELECT run, CAST(attribute AS BIGINT) AS attribute, pend AS pending, rank FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY attribute) AS rank FROM l WHERE status = 'pending') WHERE rank <= 8")
-def context_pending_topk(spark, sf_dir):
-    s = tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"])
-    last = s.groupBy("run", "attribute").agg(F.max_by(F.struct("status", "pending"), "w").alias("x")).select("run", "attribute", "x.*").where("status = 'pending'")
-    return reports.top_k(last, ["run"], [F.asc("attribute")], 8).select("run", "attribute", "pending", "rank")
-
-
-@query(f"""WITH {_ENTITIES_SQL}, it AS (SELECT run, entity, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, entity) AS rank, '{{"entity":' || entity || ',"kind":"' || kind || '","n":' || n || '}}' AS item FROM en),
- us AS (SELECT *, sum(length(item) + 1) OVER (PARTITION BY run ORDER BY rank) AS used, sum(length(item) + 1) OVER (PARTITION BY run) > 600 AS truncated FROM it) SELECT run, entity, CAST(used AS BIGINT) AS used, truncated FROM us WHERE used <= 600""")
-def context_budget(spark, sf_dir):
-    items = _entities(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(*_top())))
-    return reports.within_budget(items, ["run"], ["rank"], F.length(F.to_json(F.struct("entity", "kind", "n"))), 600).select("run", "entity", "used", "truncated")
-
-
-@query("""WITH a AS (SELECT 0 AS o, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 1, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber = 2)
- SELECT CAST(o AS BIGINT) AS run_order, CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(row_number() OVER (ORDER BY o, l_orderkey) - 1 AS BIGINT) AS window_index FROM a""")
+@query("""SELECT CAST(l_linenumber - 1 AS BIGINT) AS run_order, CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(row_number() OVER (ORDER BY l_linenumber, l_orderkey) - 1 AS BIGINT) AS window_index FROM lineitem""")
 def merge_runs(spark, sf_dir):
+    """Every line number is a run; there are seven."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_long("l_orderkey", "l_linenumber"))
-    return reports.merge_runs([li.where("l_linenumber = 1"), li.where("l_linenumber = 2")], ["l_orderkey"]).select("run_order", "l_orderkey", "window_index")
+    return reports.merge_runs([li.where(F.col("l_linenumber") == n) for n in range(1, 8)], ["l_orderkey"]).select("run_order", "l_orderkey", "window_index")
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
@@ -583,15 +502,6 @@ def report_event_counts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_GREEDY}, b AS (SELECT run, w, local_id, list(score ORDER BY score DESC) AS s FROM scr GROUP BY ALL),
- j AS (SELECT b.*, gm.entity_id AS selected, gm.score AS best FROM b LEFT JOIN gm ON gm.run = b.run AND gm.w = b.w AND gm.local_id = b.local_id),
- s AS (SELECT run, CASE WHEN selected IS NULL THEN 'created' WHEN len(s) > 1 AND best - s[2] < 0.08::DOUBLE THEN 'ambiguous' WHEN best >= 0.78::DOUBLE THEN 'matched' WHEN best >= 0.58::DOUBLE THEN 'ambiguous' ELSE 'created' END AS status FROM j)
- SELECT run, CAST(count(*) FILTER (status = 'matched') AS BIGINT) AS matched, CAST(count(*) FILTER (status = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (status = 'ambiguous') AS BIGINT) AS ambiguous, round(count(*) FILTER (status = 'ambiguous') / count(*), 9) AS ambiguous_rate FROM s GROUP BY run""")
-def report_resolution_rates(spark, sf_dir):
-    n = {s: F.count_if(F.col("status") == s) for s in ("matched", "created", "ambiguous")}
-    return status_decision(spark, sf_dir).groupBy("run").agg(*[c.alias(s) for s, c in n.items()], F.round(reports.rate(n["ambiguous"], F.count("*")), 9).alias("ambiguous_rate"))
-
-
 @query(f"WITH {OBSERVED_SQL} SELECT run, CAST(count(*) FILTER (k % 5 = 0) AS BIGINT) AS without_evidence, round(count(*) FILTER (k % 5 <> 0) / count(*), 9) AS coverage FROM ob GROUP BY run")
 def report_evidence_coverage(spark, sf_dir):
     o = observed(spark, sf_dir).withColumn("evidence", F.when(F.col("k") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array("k")))
@@ -610,18 +520,11 @@ def report_camera_switch(spark, sf_dir):
     return near.groupBy("run").agg(F.count("*").alias("candidates"), F.countDistinct("entity").alias("entities"))
 
 
-@query(f"{_FSM_SQL}, g AS (SELECT fs.*, xo.act, xo.sh, xo.com FROM fs JOIN xo ON xo.run = fs.run AND xo.attribute = fs.attribute AND xo.w = fs.w) SELECT run, CAST(count(*) AS BIGINT) AS transitions, CAST(0 AS BIGINT) AS unsupported FROM g WHERE event = 'attribute_transition' GROUP BY run")
+@query(f"{_FSM_SQL} SELECT run, CAST(count(*) AS BIGINT) AS transitions, CAST(count(*) FILTER (reason = 'single_high_policy') AS BIGINT) AS by_policy, CAST(count(*) FILTER (coalesce(reason NOT LIKE '%support%' AND reason <> 'single_high_policy', true)) AS BIGINT) AS unsupported FROM fs WHERE event = 'attribute_transition' GROUP BY run")
 def report_unsupported_transitions(spark, sf_dir):
-    s = tracking.attribute_states(_attribute_rows(spark, sf_dir), ["run", "attribute"]).where("event = 'attribute_transition'")
-    bad = ~F.col("reason").contains("support") & (F.col("reason") != "single_high_policy")
-    return s.groupBy("run").agg(F.count("*").alias("transitions"), F.count_if(bad).alias("unsupported"))
-
-
-@query(f"WITH {STEPS_SQL}, n AS (SELECT run, w, sum(c) OVER (PARTITION BY run ORDER BY w) AS total FROM (SELECT run, w, count(*) AS c FROM ob GROUP BY run, w)) SELECT run, bool_and(ok) AS monotonic FROM (SELECT run, coalesce(total >= lag(total) OVER (PARTITION BY run ORDER BY w), true) AS ok FROM n) GROUP BY run")
-def report_snapshot_monotonic(spark, sf_dir):
-    w = Window.partitionBy("run").orderBy("w")
-    n = observed(spark, sf_dir).groupBy("run", "w").agg(F.count("*").alias("c")).withColumn("total", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return n.withColumn("ok", F.coalesce(F.col("total") >= F.lag("total").over(w), F.lit(True))).groupBy("run").agg(F.every("ok").alias("monotonic"))
+    s = _attribute_log(spark, sf_dir).where("event = 'attribute_transition'")
+    policy = F.col("reason") == "single_high_policy"
+    return s.groupBy("run").agg(F.count("*").alias("transitions"), F.count_if(policy).alias("by_policy"), F.count_if(F.coalesce(~F.col("reason").contains("support") & ~policy, F.lit(True))).alias("unsupported"))
 
 
 @query(f"WITH {OBSERVED_SQL} SELECT run, kind, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT w)), ',') AS windows FROM ob GROUP BY run, kind")
@@ -629,55 +532,4 @@ def report_frequency_timeline(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("run", "kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("w")), lambda x: x.cast("string")), ",").alias("windows"))
 
 
-def _payloads(spark, sf_dir):
-    """Every step is a window's commit part; a step without events is a gap, with a null payload.
-
-    All events of the step are frames, behind one frame of the context before it,
-    which is all the evidence of context-only attributes.  Camera changes,
-    regions, looks, attributes, targets and tools are those of the other queries.
-    """
-    place = F.row_number().over(Window.partitionBy("run", "w").orderBy("t", "event_id"))
-    o = observed(spark, sf_dir).withColumn("i", place.cast("int")).withColumn("attribute", F.col("k") % 6)
-    text = lambda c: c.cast("string")
-    last = F.max_by(F.struct("kind", "k", "event_id", "confidence"), F.struct("t", "event_id")).alias("x")
-    seen = [F.max("confidence").alias("confidence"), F.array_sort(F.collect_list("i")).alias("evidence"), last]
-    me, k = F.col("entity"), F.col("x.k")
-    kind = F.concat(F.lit("type"), text(me % 3))
-    region = F.when(k % 4 == 0, "unknown").otherwise(F.concat(F.lit("r"), text(k % 4)))
-    # every seventh names an entity of the fold: its own, another or one that isn't there
-    hint = F.when(k % 7 == 0, F.concat(kind, F.lit("_"), F.lpad(text(F.floor(me / 24) + 1), 4, "0")))
-    entity = F.struct(text(me).alias("local_id"), kind.alias("type"), F.concat(F.lit("user "), text(me)).alias("name"), F.create_map(F.lit("look"), text(k % 5)).alias("appearance"), region.alias("region"), hint.alias("hint"), "confidence", "evidence")
-    action = F.struct(F.concat_ws(" ", text(me), "kind").alias("local_id"), text(me).alias("actor"), F.col("kind").alias("type"), F.when(k % 3 > 0, text(me + 8)).alias("target"), F.when(k % 3 == 2, text(me + 16)).alias("tool"), "confidence", "evidence")
-    context = F.col("x.event_id") % 4 == 0
-    attribute = F.struct(text(me).alias("entity"), text(F.col("attribute")).alias("key"), F.col("x.kind").alias("value"), F.least(F.lit(1.0), F.col("x.confidence") * 2).alias("confidence"), F.when(context, F.array(F.lit(0))).otherwise(F.col("evidence")).alias("evidence"))
-    start = F.col("w") * 3.0
-    listed = lambda keys, row, name: o.groupBy("run", "w", *keys).agg(*seen).groupBy("run", "w").agg(F.array_sort(F.collect_list(F.to_json(row))).alias(name))
-    by = o.groupBy("run", "w").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t / (STRIDE / 3)).alias("times"))
-    for keys, row, name in ((["entity"], entity, "entities"), (["entity", "kind"], action, "actions"), (["entity", "attribute"], attribute, "attributes")):
-        by = by.join(listed(keys, row, name), ["run", "w"])
-    by = by.join(_steps(spark, sf_dir), ["run", "w"])
-    view = F.when(F.col("camera_change"), "closeup").otherwise("overview")
-    head = F.to_json(F.struct((start - 3).alias("start"), start.alias("commit_start"), (start + 3).alias("end"), F.concat(F.array(start - 1.5), "times").alias("frames"), "camera_change", view.alias("view")))
-    lists = [F.concat(F.lit(f', "{x}": ['), F.concat_ws(",", x), F.lit("]")) for x in ("entities", "actions", "attributes")]
-    payload = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("head")), *lists, F.lit("}"))
-    by = by.withColumn("head", head)
-    steps = o.groupBy("run").agg(F.max("w").alias("last")).select("run", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("w"))
-    return steps.join(by.select("run", "w", payload.alias("payload")), ["run", "w"], "left")
-
-
-@query(None)
-def replay_events(spark, sf_dir):
-    """The fold over all runs, its events."""
-    return replay(_payloads(spark, sf_dir))
-
-
-@query(None)
-def replay_final_state(spark, sf_dir):
-    """The fold over all runs, the entities and actions that are left."""
-    return final_state(_payloads(spark, sf_dir))
-
-
-@query(None)
-def stream_equals_batch(spark, sf_dir):
-    """The fold as a stream against the fold in batch, by run."""
-    return stream_against_batch(_payloads(spark, sf_dir))
+from chronofold.plans import context, identity, intake  # noqa: E402, F401  registers its queries

@@ -46,3 +46,14 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OBSERVED_SQL = EVENTS_SQL + f""", ob AS (SELECT *, CAST(t // {STRIDE} AS BIGINT) AS w FROM ev)"""
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, w, camera_change, reframed and view of every step with events: two errors or more make a camera change, one reframes."""
+    o = observed(spark, sf_dir).groupBy("run", "w").agg(F.count_if(F.col("kind") == "error").alias("errors"), F.count("*").alias("n"))
+    view = F.when(F.col("errors") >= 3, "closeup").when(F.col("n") % 3 == 0, "detail").otherwise("overview")
+    return o.select("run", "w", (F.col("errors") >= 2).alias("camera_change"), (F.col("errors") == 1).alias("reframed"), view.alias("view"))
+
+
+STEPS_SQL = OBSERVED_SQL + """, st AS (SELECT run, w, e >= 2 AS camera_change, e = 1 AS reframed, CASE WHEN e >= 3 THEN 'closeup' WHEN n % 3 = 0 THEN 'detail' ELSE 'overview' END AS view
+  FROM (SELECT run, w, count(*) FILTER (kind = 'error') AS e, count(*) AS n FROM ob GROUP BY run, w))"""
