@@ -20,7 +20,10 @@ ACTION_OF = {"click": "press", "view": "inspect", "purchase": "operate", "signup
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, run, entity, t (microseconds), kind, confidence, k."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events_from(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def events_from(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").cast("long"),
         (F.col("user_id") % RUNS).cast("long").alias("run"),
@@ -42,7 +45,12 @@ EVENTS_SQL = """ev AS (
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with w, the index of the three-hour step that they fall in: a tumbling commit window."""
-    return events(spark, sf_dir).withColumn("w", F.floor(F.col("t") / STRIDE).cast("long"))
+    return observed_from(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def observed_from(e: DataFrame) -> DataFrame:
+    """The same for a table or stream like events."""
+    return events_from(e).withColumn("w", F.floor(F.col("t") / STRIDE).cast("long"))
 
 
 OBSERVED_SQL = EVENTS_SQL + f""", ob AS (SELECT *, CAST(t // {STRIDE} AS BIGINT) AS w FROM ev)"""

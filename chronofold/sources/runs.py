@@ -31,6 +31,18 @@ def attach_frames(windows: DataFrame, sampled: DataFrame) -> DataFrame:
     return windows.drop("sampled_frames").join(by, ["run_id", "global_index"], "left")
 
 
+def run_ids(sources: DataFrame, name: str, started: str) -> DataFrame:
+    """sources with run_id: start time, cleaned name and six digits of a hash over all of a row, so that a replay gives the same ids."""
+    clean = F.regexp_replace(F.trim(F.col(name)), r"[^A-Za-z0-9_-]+", "_")
+    token = F.substring(F.sha2(F.to_json(F.struct(*sources.columns)), 256), 1, 6)
+    return sources.withColumn("run_id", F.concat_ws("_", F.date_format(F.col(started), "yyyyMMdd_HHmmss"), clean, token))
+
+
+def content_hashes(files: DataFrame, columns: list[str]) -> DataFrame:
+    """files with a SHA-256 in lower-case hexadecimal of each text or binary column, under its name and _sha256."""
+    return files.select("*", *[F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in columns])
+
+
 def write_logs(tables: dict[str, DataFrame], path: str, enabled: set[str] | None = None) -> list[str]:
     """Append every enabled log under path as JSON lines, partitioned by run where it has one; returns their names."""
     names = [n for n in sorted(tables) if enabled is None or n in enabled]
