@@ -13,7 +13,8 @@ from chronofold.streaming.logs import latest, stream_logs, window_counts
 
 def _stream(spark, sf_dir) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
-    return observed_from(spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path))
+    # a pattern, as a stream of files can't be given a single one
+    return observed_from(spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.[p]arquet"))
 
 
 def _run(stream) -> None:
