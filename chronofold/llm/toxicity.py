@@ -248,7 +248,7 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
         for b in batches:
             for first, n, *coded in _chunks(b.column(1)):
                 ids = pa.array([b.column(0).slice(first, n).to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(coded[0], *map(_planes, coded[1:]))], pa.binary())], names=["chunk", "ids", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(_planes(coded[0] >> np.uint64(64 - bits)), *map(_planes, coded[1:]))], pa.binary())], names=["chunk", "ids", "packed"])
                 at += 1
 
     coded, name = _bucketed(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "chunk", max(parts, size // CHUNK_BYTES))
@@ -260,7 +260,7 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
         """(chunk, ids, Pairs) of a chunk's row."""
         for chunk, ids, packed in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
             vocabulary, words, sizes = _unpack(packed)
-            yield chunk, ids, Pairs(np.frombuffer(vocabulary, np.uint64), _from_planes(words).astype(np.int64), _from_planes(sizes).astype(np.int64))
+            yield chunk, ids, Pairs(_from_planes(vocabulary) << np.uint64(64 - bits), _from_planes(words).astype(np.int64), _from_planes(sizes).astype(np.int64))
 
     nothing = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
 
