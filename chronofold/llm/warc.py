@@ -133,16 +133,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def run(batches):
         for b in batches:
-            out, size = [], 0
-            for at in range(b.num_rows):
-                key, page, url, html, refers = (b.column(c)[at].as_py() for c in range(5))
-                more = page_records(page, str(key), url, html.encode(), None if refers is None else str(refers), segment)
-                out += more
-                size += sum(map(len, more))
-                if len(out) >= 2000 or size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for at in range(0, b.num_rows, 200):
+                out = []
+                for key, page, url, html, refers in zip(*(c.to_pylist() for c in b.slice(at, 200).columns), strict=True):
+                    out += page_records(page, str(key), url, html.encode(), None if refers is None else str(refers), segment)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     # the bytes go to the file as they are: a cast from binary to string doesn't touch them
     records = both.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -272,14 +267,13 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out, size, start = [], 0, 0
-            for i in range(b.num_rows):
-                kind, want, error = (b.column(c)[i].as_py() for c in (0, 4, 6))
-                if error is not None or kind == "revisit":
-                    out.append((want, None, None, error))
-                else:
+            for at in range(0, b.num_rows, 200):
+                part, out = b.slice(at, 200), []
+                for kind, want, error, blocks in zip(*(part.column(c).to_pylist() for c in (0, 4, 6, 7)), strict=True):
+                    if error is not None or kind == "revisit":
+                        out.append((want, None, None, error))
+                        continue
                     try:
-                        blocks = b.column(7)[i].as_py()
                         if blocks is None:
                             raise WarcError("segments are missing or have another length")
                         payload = _payload(b"".join(blocks))
@@ -287,14 +281,11 @@ def reassemble(records: DataFrame) -> DataFrame:
                         if want is not None and found != want:
                             raise WarcError("the payload has another digest")
                         out.append((found, len(payload), payload, None))
-                        size += len(payload)
                     except WarcError as e:
                         out.append((None, None, None, str(e)))
-                if size > 8_000_000 or i == b.num_rows - 1:
-                    part = b.slice(start, i + 1 - start)
+                if out:
                     yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), part.column(0), part.column(5), *(pa.array([x[j] for x in out], k) for j, k in enumerate((pa.string(), pa.int64(), pa.binary(), pa.string())))],
                                                      names=["record_id", "page_id", "url", "record_type", "refers", "payload_digest", "payload_bytes", "payload", "error"])
-                    out, size, start = [], 0, i + 1
 
     return rows.mapInArrow(run, "record_id string, page_id long, url string, record_type string, refers string, payload_digest string, payload_bytes long, payload binary, error string")
 
