@@ -301,6 +301,7 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
     discount = discounts(together(wanted.where("bucket = -1").withColumn("packed", F.concat("packed", F.lit(b"\0" * 16))))[:4].reshape(2, 2))
     units = written(wanted.where("bucket >= 0").groupBy("bucket").applyInArrow(answer_words, kind), "units")
     every = together(units.where("chunk = -1"))
+    forget(wanted)
 
     def assemble(left, right):
         out = {"doc_id": [], "found": [], "loglen": [], "own": []}
@@ -328,7 +329,7 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
         .unionByName(units.where("chunk >= 0").select("chunk", F.lit("word").alias("what"), "bucket", "packed", no_kind.alias("kind")))
     )
     features = written(by.cogroup(right.groupBy("chunk")).applyInArrow(assemble, "doc_id long, found array<double>, loglen double, own array<double>"), "toxicity")
-    forget(kinds, pairs, wanted, units)
+    forget(kinds, pairs, units)
     spark.sql(f"DROP TABLE {name}")
     return features, discount
 
