@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import forget, written
 
 
 def _forest(batches):
@@ -41,14 +41,16 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges: columns u and v, both long; self loops, repeats and nulls are ignored.
     Returns node, root; an empty table gives an empty result.  Each round is
     written to the shared folder; only one number a round comes to the driver.
-    A hub's edges are first thinned inside each partition, and minima are
-    pre-aggregated, so no task has to hold a node's whole neighbourhood.
+    A hub's edges are first thinned inside each partition.  Minima are
+    pre-aggregated and written, so the joins with them have plain tables on both
+    sides, which Spark broadcasts when small and otherwise splits at skewed keys.
+    Adding edges to a result is cheap: a result's rows are edges themselves.
     """
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     e = written(e.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_in = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         low = small_in.groupBy("u").agg(F.min("v").alias("m"))
@@ -56,12 +58,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         small = small_in.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         new = written(small.distinct(), "edges")
         # finished when every node has one edge and no root has one
-        bad = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if not bad:
-            roots = new.select("v").distinct()
-            bad = roots.join(new, roots["v"] == new["u"], "left_semi").limit(1).count()
+        ends = new.select("u", F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(new.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+        done = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 or out + root > 1").isEmpty()
+        forget(e, least)
         e = new
-        if not bad:
+        if done:
             break
     else:
         raise RuntimeError("components did not converge")

@@ -342,6 +342,11 @@ def _family_links(members: DataFrame, elements: DataFrame, percent: int) -> Data
     return rows.join(elements, "set_id").groupBy("place", "cut", "lo", "hi").applyInArrow(run, "u long, v long")
 
 
+def _with_links(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Edges of the components so far, a star each, and of new links."""
+    return links if comp is None else comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, common: int = COMMON) -> DataFrame:
     """Near-duplicate classes: texts are linked when 100 * |A and B| >= percent * |A or B| over their sets of word n-grams.
 
@@ -394,12 +399,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = open_.select(F.col("du").alias("doc_id")).unionByName(open_.select(F.col("dv").alias("doc_id"))).unionByName(family.select("doc_id")).distinct()
     texts = written(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     # one pair for each set first; what that leaves apart, after a second round of the same, in full
-    edges, comp = None, None
+    comp = None
     for i in range(3):
         one = open_.groupBy("v").agg(F.min_by(F.struct("u", "v", "du", "dv"), "u").alias("p")).select("p.*") if i < 2 else open_
         new = written(_verified(one, texts, n, percent), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        comp = components(edges)
+        comp = components(_with_links(comp, new))
         if i < 2:
             open_ = written(apart(open_, comp).join(one, ["u", "v"], "left_anti"), "pairs")
             if open_.isEmpty():
@@ -407,7 +411,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = family.join(comp, "node", "left").select(F.col("node").alias("set_id"), "n", F.coalesce("root", "node").alias("root"), "family")
     chosen = texts.join(family.select("doc_id"), "doc_id", "left_semi")
     more = written(_family_links(members, _set_elements(chosen, n), percent), "links")
-    comp = components(edges.unionByName(more))
+    comp = components(_with_links(comp, more))
     whose = size.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = whose.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = whose.join(least, "root").select("set_id", "component_id")
