@@ -251,7 +251,8 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(_planes(coded[0] >> np.uint64(64 - bits)), *map(_planes, coded[1:]))], pa.binary())], names=["chunk", "ids", "packed"])
                 at += 1
 
-    coded, name = _bucketed(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "chunk", max(parts, size // CHUNK_BYTES))
+    chunk_buckets = max(parts, size // CHUNK_BYTES)
+    coded, name = _bucketed(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "chunk", chunk_buckets)
     listed = coded.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).where("doc_id is not null")
     # always by merging, so that the plan is the same at every size
     kinds = written(listed.hint("merge").join(marks.hint("merge"), "doc_id").select("chunk", "pos", F.col("kind").cast("int").alias("kind"), "sampled"), "kinds")
@@ -296,7 +297,8 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
     kind = "chunk long, bucket long, packed binary"
     by = coded.groupBy("chunk")
     asked = by.cogroup(kinds.groupBy("chunk")).applyInArrow(ask, kind)
-    pairs = written(asked.groupBy("bucket").applyInArrow(answers, kind), "pairs")
+    # a bucketed table beside the chunks: its two readers don't shuffle it again
+    pairs, pairs_name = _bucketed(asked.groupBy("bucket").applyInArrow(answers, kind).repartition(chunk_buckets, "chunk"), "chunk", chunk_buckets)
     wanted = written(by.cogroup(pairs.groupBy("chunk")).applyInArrow(ask_words, kind), "words")
     discount = discounts(together(wanted.where("bucket = -1").withColumn("packed", F.concat("packed", F.lit(b"\0" * 16))))[:4].reshape(2, 2))
     units = written(wanted.where("bucket >= 0").groupBy("bucket").applyInArrow(answer_words, kind), "units")
@@ -305,9 +307,9 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
 
     def assemble(left, right):
         out = {"doc_id": [], "found": [], "loglen": [], "own": []}
-        of = {w: right.filter(pa.compute.equal(right.column("what"), w)) for w in ("kind", "pair", "word")}
-        for _, ids, p in unpacked(left):
-            n = gathered(of["pair"].select(["bucket", "packed"]), p.keys(bits))[:2]
+        of = {w: right.filter(pa.compute.equal(right.column("what"), w)) for w in ("kind", "word")}
+        for (_, ids, p), back in zip(unpacked(left), left.column("replies"), strict=True):
+            n = gathered(pa.Table.from_struct_array(back.values) if back.is_valid else nothing, p.keys(bits))[:2]
             unit = gathered(of["word"].select(["bucket", "packed"]), p.word_keys(bits))[:-1]
             value = summaries(n, unit[:4, p.before], unit[4:, p.word], every, discount)
             told = dict(zip(of["kind"].column("bucket").to_pylist(), of["kind"].column("kind").to_pylist(), strict=True))
@@ -325,12 +327,15 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
     none, no_kind = F.lit(None).cast("binary"), F.lit(None).cast("int")
     right = (
         kinds.where("sampled").select("chunk", F.lit("kind").alias("what"), F.col("pos").cast("long").alias("bucket"), none.alias("packed"), "kind")
-        .unionByName(pairs.select("chunk", F.lit("pair").alias("what"), "bucket", "packed", no_kind.alias("kind")))
         .unionByName(units.where("chunk >= 0").select("chunk", F.lit("word").alias("what"), "bucket", "packed", no_kind.alias("kind")))
     )
-    features = written(by.cogroup(right.groupBy("chunk")).applyInArrow(assemble, "doc_id long, found array<double>, loglen double, own array<double>"), "toxicity")
-    forget(kinds, pairs, units)
-    spark.sql(f"DROP TABLE {name}")
+    # one row a chunk on both sides, joined where they lie
+    replies = pairs.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "packed")).alias("replies"))
+    held = coded.join(replies.hint("merge"), "chunk", "left")
+    features = written(held.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(assemble, "doc_id long, found array<double>, loglen double, own array<double>"), "toxicity")
+    forget(kinds, units)
+    for table in (name, pairs_name):
+        spark.sql(f"DROP TABLE {table}")
     return features, discount
 
 
