@@ -112,14 +112,62 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+#: Bits of a count in the byte that it shares with its neighbours: ordinary and toxic counts of a key, and whether a message owns it.
+_KEY_BITS = (4, 3, 1)
+
+
+def pack_counts(values: np.ndarray, bits: tuple[int, ...]) -> list[np.ndarray]:
+    """Counts [rows, keys] in bytes: each row has so many bits of a byte with the rows beside it, and what doesn't fit follows in planes.
+
+    Rows that share a byte are compressed as one symbol.
+    """
+    out, more, room = [], [], 0
+    for v, b in zip(values, bits, strict=True):
+        top = (1 << b) - 1
+        if b == 1:  # a flag has no more to say
+            low = v.astype(np.uint8)
+        else:
+            low = np.minimum(v, top).astype(np.uint8)
+            more.append(_planes(v[v >= top] - top))
+        if room < b:
+            out.append(np.zeros(values.shape[1], np.uint8))
+            room = 8
+        room -= b
+        out[-1] |= low << np.uint8(room)
+    return out + more
+
+
+def unpack_counts(parts: list[bytes], bits: tuple[int, ...]) -> np.ndarray:
+    """What pack_counts packed."""
+    used, room, places = -1, 0, []
+    for b in bits:
+        if room < b:
+            used, room = used + 1, 8
+        room -= b
+        places.append((used, room))
+    more, out = iter(parts[used + 1 :]), []
+    for (at, shift), b in zip(places, bits, strict=True):
+        top = (1 << b) - 1
+        v = ((np.frombuffer(parts[at], np.uint8) >> np.uint8(shift)) & np.uint8(top)).astype(np.int64)
+        if b > 1:
+            v[v == top] += _from_planes(next(more)).astype(np.int64)
+        out.append(v)
+    return np.stack(out)
+
+
+def _bits_of(rows: int) -> tuple[int, ...]:
+    """The bits of a message's or an answer's rows: two kinds of counts and a flag share a byte, other counts have one each."""
+    return _KEY_BITS[:rows] if rows <= len(_KEY_BITS) else (8,) * rows
+
+
 def pack_message(keys: np.ndarray, values: np.ndarray) -> bytes:
     """Sorted keys, as differences, and rows of small counts beside them [counts, keys]."""
-    return _pack(_planes(np.diff(keys, prepend=np.uint64(0))), *[_planes(v) for v in values])
+    return _pack(_planes(np.diff(keys, prepend=np.uint64(0))), np.array([len(values)], np.uint8), *pack_counts(values, _bits_of(len(values))))
 
 
 def unpack_message(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    keys, *values = map(_from_planes, _unpack(packed))
-    return np.cumsum(keys, dtype=np.uint64), np.stack([v.astype(np.int64) for v in values])
+    keys, rows, *counts = _unpack(packed)
+    return np.cumsum(_from_planes(keys), dtype=np.uint64), unpack_counts(counts, _bits_of(rows[0]))
 
 
 def _bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -155,13 +203,16 @@ def answers(key, table):
     out = []
     for at, place in zip(start, places, strict=True):
         own = (first[place] == at + np.arange(len(place))) & summed[:, place].any(0)  # nobody needs to own what was never counted
-        out.append(_pack(*[_planes(v) for v in summed[:, place]], _planes(own)))
+        out.append(_pack(np.array([len(summed) + 1], np.uint8), *pack_counts(np.concatenate([summed[:, place], own[None].astype(np.int64)]), _bits_of(len(summed) + 1))))
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array(out, pa.binary())})
 
 
 def gathered(replies: pa.Table, keys: np.ndarray) -> np.ndarray:
     """[counts + 1, keys]: what came back for a chunk's keys, in their order; the last row tells which of them it owns (the first of equal ones)."""
-    parts = [np.stack([_from_planes(x) for x in _unpack(p)]).astype(np.int64) for p in replies.sort_by("bucket").column("packed").to_pylist()]
+    parts = []
+    for packed in replies.sort_by("bucket").column("packed").to_pylist():
+        rows, *counts = _unpack(packed)
+        parts.append(unpack_counts(counts, _bits_of(rows[0])))
     distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
     flat = np.concatenate(parts, 1) if parts else np.zeros((1, 0), np.int64)
     if flat.shape[1] != len(distinct):

@@ -206,3 +206,17 @@ def test_order_and_partitions_do_not_matter(tables):
     some = docs.where("doc_id % 3 = 0").limit(200).cache()
     for f in (lambda d: toxicity.score_toxicity(d, labels).select("doc_id", F.round("score", 9)), lambda d: language_mixture.identify(d).select("doc_id", "lang_pred", "score"), lambda d: quality.score_quality(d, labels).select("doc_id", F.round("score", 9))):
         assert sorted(f(some.coalesce(1)).collect()) == sorted(f(some.repartition(5)).collect())
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(5)
+    for rows in (2, 3, 7, 8):
+        bits = toxicity._bits_of(rows)
+        for n in (0, 1, 500):
+            values = np.stack([rng.integers(0, 2, n) if b == 1 else rng.choice([0, 1, 2, (1 << b) - 2, (1 << b) - 1, 1 << b, 70_000, 1 << 40], n) for b in bits]).astype(np.int64)
+            parts = [x.tobytes() for x in toxicity.pack_counts(values, bits)]
+            assert (toxicity.unpack_counts(parts, bits) == values).all()
+            keys = np.sort(rng.choice(1 << 40, n, replace=False).astype(np.uint64))
+            if rows != 3:
+                back, same = toxicity.unpack_message(toxicity.pack_message(keys, values))
+                assert (back == keys).all() and (same == values).all()
