@@ -97,9 +97,9 @@ def _windows(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray):
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, in order, and for each row the index of its first word (one more entry than rows)."""
-    hashes, starts = [], []
+def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word, in order, and for each row the index of its first word (one more entry than rows)."""
+    hashes, starts, ends = [], [], []
     codes = _byte_codes()[lower]
     for at, to in _windows(data, offsets, sep):
         piece = data[at:to]
@@ -122,10 +122,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: n
         np.cumsum(codes[piece] * up[: len(piece)], out=total[1:])
         hashes.append(mix64((total[stop + 1] - total[begin]) * down[begin]))
         starts.append(begin + at)
+        ends.append(stop + 1 + at)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     place = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(place, offsets, "left")
+    return np.concatenate(hashes), place, np.concatenate(ends), np.searchsorted(place, offsets, "left")
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, in order, and for each row the index of its first word (one more entry than rows)."""
+    hashes, _, _, first = words(data, offsets, sep, lower)
+    return hashes, first
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_table, chat_format, ivfpq, language_mixture, media, parity_join, quality, source_mixing, toxicity, warc
+from . import bpe_table, chat_format, decontamination, fill_in_middle, ivfpq, language_mixture, media, parity_join, quality, source_mixing, toxicity, warc, whitening
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -68,9 +68,28 @@ def op10_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_table.encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_warc_reassembly, op3_png_media, op4_chat_format, op5_kneser_ney_toxicity, op6_language_mixture, op7_pivotal_mixing, op8_bayes_quality, op9_ngram_jaccard_join, op10_bpe_table)}
+def op11_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that lie inside windows of the benchmark, and the items that these are of."""
+    found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text transformed, and rebuilt from what came out."""
+    found = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(fill_in_middle.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four components."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
+    return found.withColumns({"deviation": F.expr("try_cast(deviation as long)"), "deviation_exact": F.col("deviation")})
+
+
+QUERIES = {f.__name__: f for f in (op1_ivfpq_search, op2_warc_reassembly, op3_png_media, op4_chat_format, op5_kneser_ney_toxicity, op6_language_mixture, op7_pivotal_mixing, op8_bayes_quality, op9_ngram_jaccard_join, op10_bpe_table, op11_wu_manber_decontamination, op12_fill_in_middle, op13_svd_whitening)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Where SQL can express the whole result.
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +114,19 @@ ORACLE_SQL: dict[str, str] = {
  r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.v FROM r JOIN l ON r.root = l.u),
  c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
  SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CAST(c.root AS BIGINT) AS component_id FROM s JOIN c ON c.doc_id = s.doc_id""",
+    "op11_wu_manber_decontamination": rf"""WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS ws FROM benchmark),
+ win AS (SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS x FROM b, unnest(range(1, greatest(len(ws) - 8, 2))) t(i) WHERE len(ws) > 0),
+ d AS (SELECT row_number() OVER () AS rid, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS ws FROM documents),
+ dw AS (SELECT rid, k, i, array_to_string(ws[i:i + k - 1], ' ') AS x FROM d, (SELECT DISTINCT k FROM win) ks, unnest(range(1, len(ws) - k + 2)) t(i)),
+ m AS (SELECT DISTINCT rid, dw.k, i, item FROM dw JOIN win ON win.k = dw.k AND win.x = dw.x),
+ h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, k, i FROM m) o, unnest(range(i, i + k)) t(p) GROUP BY rid),
+ n AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) o GROUP BY rid)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)""",
+    "op12_fill_in_middle": """WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS g FROM documents),
+ h AS (SELECT doc_id, t, n, CAST('0x' || substr(g, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(g, 9, 8) AS BIGINT) % (n + 1) AS c2, CAST('0x' || substr(g, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(g, 25, 8) AS BIGINT) AS h4 FROM d),
+ p AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(c1, c2) AS a, greatest(c1, c2) AS b FROM h)
+ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
 }
