@@ -4,17 +4,21 @@ Two models of word pairs, one of toxic and one of ordinary texts, are counted
 over all labelled training texts, each pair (word before, word) once a text.
 Each model interpolates discounted pair counts with its continuation counts (how
 many words a word follows), and these with continuation counts of both kinds of
-texts together.  A text's score compares its length-normalised log-likelihoods;
-a logistic curve fitted on a bounded sample of training texts, each scored with
-its own counts taken off, turns that into a probability.
-
-Texts are kept as chunks of word numbers, bucketed by chunk.  Every chunk sends
-the sorted hashes of its distinct pairs, with the counts of its own training
-texts, to buckets of the hash range; a bucket adds the counts of all chunks and
-answers each one in the order of its hashes.  Of the chunks that hold a pair one
-owns it and counts it in the words' continuation counts, which are added and
-answered in the same way.  So counts are tables that grow with the corpus, and
-no pair travels with more than its hash.
+texts together.  A text's score compares its log-likelihoods, over all of its
+words, divided by their number; a logistic curve fitted on a bounded sample of
+training texts, each scored with its own counts taken off, turns that into a
+probability.
+
+Texts are kept as chunks of words, bucketed by chunk.  Chunks send the hashes of
+their distinct words, 64 bits at every size, to buckets of the hash range, which
+number the words of training texts; all other words are one, as no count tells
+them apart.  A pair is then two numbers beside one another, spread over its
+range by a one-to-one mapping, so pairs never collide.  Every chunk sends its
+distinct pairs in order, with the counts of its own training texts, to buckets
+of that range; a bucket adds the counts of all chunks and answers each one in
+the order of its pairs.  Of the chunks that hold a pair one owns it and counts
+it in the words' continuation counts, which are added and answered in the same
+way.  So counts are tables that grow with the corpus.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .bpe_table import _pack, _unpack
 from .language_mixture import held_out
-from .storage import forget, written
+from .storage import delete_path, forget, new_path, written
 
 #: Labelled texts that the curve is fitted on, about and at most.
 CALIBRATION_ROWS = 20_000
@@ -41,12 +45,16 @@ CHUNK_BYTES = 16 << 20
 #: Bytes of text for which there is a bucket of pairs, and one of words.
 PAIR_BUCKET_BYTES = 40 << 20
 WORD_BUCKET_BYTES = 160 << 20
-#: Means over a text's pairs of the log-ratio and of what is above 1, 2 and 3, and of the continuation models' log-ratio and what is above 1 and 2.
+#: Means over a text's words of the log-ratio and of what is above 1, 2 and 3, and of the continuation models' log-ratio and what is above 1 and 2.
 FEATURES = ("ratio", "peak1", "peak2", "peak3", "lower", "lower1", "lower2")
 #: What is counted of a word: as the word before, its pairs and kinds of pairs in ordinary and toxic texts; as a word, the kinds of words before it in ordinary, toxic and all texts.
 _UNIT = ("total0", "total1", "kinds0", "kinds1", "before0", "before1", "before")
 
 
+#: Numbers of a text's beginning and of every word that no training text holds; then those of words.
+_BEGIN, _UNSEEN, _FIRST = 0, 1, 2
+
+
 def _chunks(column: pa.Array):
     """(first row, rows, vocabulary, words as indices into it, the rows' numbers of words) of runs of rows."""
     data, offsets = bw.buffers(column)
@@ -63,37 +71,67 @@ def _chunks(column: pa.Array):
         at = to
 
 
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)
+
+
+def scramble(x: np.ndarray, bits: int) -> np.ndarray:
+    """A one-to-one mapping of numbers of so many bits that spreads them over their range."""
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for m in _MULTIPLIERS:
+        x = (x * np.uint64(m)) & mask
+        x = x ^ (x >> half)
+    return x
+
+
+def unscramble(x: np.ndarray, bits: int) -> np.ndarray:
+    """What scramble was given."""
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for m in reversed(_MULTIPLIERS):
+        x = x ^ (x >> half)
+        x = (x * np.uint64(pow(m, -1, 1 << bits))) & mask
+    return x
+
+
 class Pairs:
-    """Distinct pairs of a chunk, and of each of its texts: a pair counts once a text, as a word that is repeated a hundred times says no more."""
-
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray):
-        self.hashes = np.r_[np.uint64(0), vocabulary]  # 0 is a text's beginning
-        words, base = words + 1, len(self.hashes)
-        row, before = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(words), np.int64)
-        before[1:] = words[:-1]
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-        codes, place = np.unique(before * base + words, return_inverse=True)
-        self.before, self.word = codes // base, codes % base
-        cells = np.unique(row * max(len(codes), 1) + place)
-        self.first = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(len(codes), 1))
-        self.cells = cells % max(len(codes), 1)
-
-    def keys(self, bits: int) -> np.ndarray:
-        """Hashes of the pairs, of so many bits."""
-        with np.errstate(over="ignore"):
-            return bw.mix64(bw.mix64(self.hashes[self.before] + np.uint64(1)) + self.hashes[self.word]) >> np.uint64(64 - bits)
-
-    def word_keys(self, bits: int) -> np.ndarray:
-        return self.hashes >> np.uint64(64 - bits)
+    """Distinct pairs of a chunk in the order of their keys, and each text's pairs with how often it holds them.
+
+    numbers: of the chunk's vocabulary; words: indices into it; width: bits of a number.
+    """
+
+    def __init__(self, numbers: np.ndarray, words: np.ndarray, sizes: np.ndarray, width: int):
+        self.width = width
+        after = numbers.astype(np.uint64)[words]
+        row, before = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(words), np.uint64)
+        before[1:] = after[:-1]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = _BEGIN
+        keys, place = np.unique(scramble(before << np.uint64(width) | after, 2 * width), return_inverse=True)
+        pairs = unscramble(keys, 2 * width)
+        before, after = pairs >> np.uint64(width), pairs & np.uint64((1 << width) - 1)
+        self.known = (before != _UNSEEN) & (after != _UNSEEN)  # no other pair was ever counted
+        self.keys = keys[self.known]
+        self.units = np.unique(np.r_[np.uint64(_BEGIN), before, after])
+        self.before, self.word = np.searchsorted(self.units, before), np.searchsorted(self.units, after)
+        cells, self.times = np.unique(row * max(len(keys), 1) + place, return_counts=True)
+        self.first = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(len(keys), 1))
+        self.cells = cells % max(len(keys), 1)
+
+    def unit_keys(self) -> np.ndarray:
+        return scramble(self.units, self.width)
 
     def counts(self, kind: np.ndarray) -> np.ndarray:
-        """[2, pairs]: in how many ordinary (kind 0) and toxic (1) texts each pair occurs; other kinds count nothing."""
+        """[2, known pairs]: in how many ordinary (kind 0) and toxic (1) texts each pair occurs; other kinds count nothing."""
         mine = np.repeat(kind, np.diff(self.first))
-        return np.stack([np.bincount(self.cells[mine == c], minlength=len(self.word)) for c in (0, 1)])
+        return np.stack([np.bincount(self.cells[mine == c], minlength=len(self.word)) for c in (0, 1)])[:, self.known]
+
+    def all_pairs(self, found: np.ndarray) -> np.ndarray:
+        """Rows of counts of the known pairs as rows of counts of all."""
+        out = np.zeros((len(found), len(self.word)), np.int64)
+        out[:, self.known] = found
+        return out
 
     def unit_counts(self, n: np.ndarray, owned: np.ndarray) -> np.ndarray:
-        """[words, _UNIT]: what the owned pairs add to their words, from the pairs' counts n over all texts."""
-        out = np.zeros((len(self.hashes), len(_UNIT)), np.int64)
+        """[units, _UNIT]: what the owned pairs add to their words, from the pairs' counts n over all texts."""
+        out = np.zeros((len(self.units), len(_UNIT)), np.int64)
         for c in (0, 1):
             here = owned & (n[c] > 0)
             out[:, c] = np.bincount(self.before[here], n[c][here], len(out))
@@ -178,8 +216,10 @@ def _bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 def messages(chunk: int, keys: np.ndarray, values: np.ndarray, bits: int, buckets: int):
     """Record batches chunk, bucket, packed: keys (in any order, repeats allowed) and their counts [counts, keys], summed over equal keys."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    summed = np.stack([np.bincount(place, v, len(distinct)).astype(np.int64) for v in values])
+    distinct, summed = keys, np.asarray(values, np.int64)
+    if (keys[1:] <= keys[:-1]).any():
+        distinct, place = np.unique(keys, return_inverse=True)
+        summed = np.stack([np.bincount(place, v, len(distinct)).astype(np.int64) for v in values])
     bucket = _bucket_of(distinct, bits, buckets)
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     packed = [pack_message(distinct[a:b], summed[:, a:b]) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
@@ -207,14 +247,28 @@ def answers(key, table):
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array(out, pa.binary())})
 
 
+def numbers(key, table):
+    """chunk, bucket, packed: the numbers of every message's words, in their order: by falling number of uses in training texts, each bucket its own."""
+    table = table.sort_by("chunk")
+    bucket, packed = key[0].as_py(), table.column("packed").to_pylist()
+    places, _, _, summed = totals(packed)
+    order = np.argsort(-summed[0], kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    number = np.where(summed[0] > 0, _FIRST + number * table.column("buckets")[0].as_py() + bucket, _UNSEEN)
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array([_pack(_planes(number[x])) for x in places], pa.binary())})
+
+
 def gathered(replies: pa.Table, keys: np.ndarray) -> np.ndarray:
     """[counts + 1, keys]: what came back for a chunk's keys, in their order; the last row tells which of them it owns (the first of equal ones)."""
     parts = []
     for packed in replies.sort_by("bucket").column("packed").to_pylist():
         rows, *counts = _unpack(packed)
         parts.append(unpack_counts(counts, _bits_of(rows[0])))
-    distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
     flat = np.concatenate(parts, 1) if parts else np.zeros((1, 0), np.int64)
+    if not (keys[1:] <= keys[:-1]).any() and flat.shape[1] == len(keys):
+        return flat
+    distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
     if flat.shape[1] != len(distinct):
         raise RuntimeError("a chunk's keys and the answers differ in number")
     out = flat[:, place]
@@ -259,8 +313,7 @@ def without_own(kind: int, n: np.ndarray, before: np.ndarray, word: np.ndarray,
         word[i] -= np.bincount(right, gone)[right].astype(np.int64)
         totals[i] -= gone.sum()
         totals[3 + i] -= (had & (word[i][at] == 0)).sum()
-    # pairs that share a hash may take more off than was counted for their words
-    return n, np.maximum(before, 0), np.maximum(word, 0), totals
+    return n, before, word, totals
 
 
 def summaries(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.ndarray, discount: np.ndarray) -> np.ndarray:
@@ -274,11 +327,25 @@ def summaries(n: np.ndarray, before: np.ndarray, word: np.ndarray, totals: np.nd
     return out
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
-    """df as a table in the warehouse, bucketed by key so that later groupings by it don't shuffle it; and the table's name."""
-    name = f"chronofold_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(name)
-    return df.sparkSession.table(name), name
+class _Tables:
+    """Tables in the shared folder, bucketed by chunk, so that grouping by it doesn't shuffle them; dropped with their files at the end."""
+
+    def __init__(self, spark, buckets: int):
+        self.spark, self.buckets, self.made = spark, buckets, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        name, path = f"chronofold_{uuid.uuid4().hex}", new_path(self.spark, "bucketed")
+        self.made.append((name, path))
+        df.write.bucketBy(self.buckets, "chunk").option("compression", "zstd").option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
+    def __enter__(self) -> _Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name, path in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(self.spark, path)
 
 
 def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -290,46 +357,77 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # fewer than one pair in 2^11 shares its hash with another, at every size
-    bits = min(62, int(size // 2 + 2).bit_length() + 11)
-    pair_buckets, word_buckets = max(parts, size // PAIR_BUCKET_BYTES), max(parts, size // WORD_BUCKET_BYTES)
+    with _Tables(spark, max(parts, size // CHUNK_BYTES)) as tables:
+        return _features(rows, marks, tables, max(parts, size // PAIR_BUCKET_BYTES), max(parts, size // WORD_BUCKET_BYTES))
+
 
+def _features(rows: DataFrame, marks: DataFrame, tables: _Tables, pair_buckets: int, word_buckets: int) -> tuple[DataFrame, np.ndarray]:
     def code(batches):
         at = TaskContext.get().partitionId() << 32
         for b in batches:
-            for first, n, *coded in _chunks(b.column(1)):
+            for first, n, vocabulary, words, sizes in _chunks(b.column(1)):
                 ids = pa.array([b.column(0).slice(first, n).to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([at]), ids, pa.array([_pack(_planes(coded[0] >> np.uint64(64 - bits)), *map(_planes, coded[1:]))], pa.binary())], names=["chunk", "ids", "packed"])
+                packed = [pa.array([_pack(*map(_planes, x))], pa.binary()) for x in ((vocabulary,), (words, sizes))]
+                yield pa.RecordBatch.from_arrays([pa.array([at]), ids, *packed], names=["chunk", "ids", "vocabulary", "packed"])
                 at += 1
 
-    chunk_buckets = max(parts, size // CHUNK_BYTES)
-    coded, name = _bucketed(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, packed binary"), "chunk", chunk_buckets)
-    listed = coded.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).where("doc_id is not null")
+    spelt = tables.write(rows.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, vocabulary binary, packed binary"))
+    listed = spelt.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).where("doc_id is not null")
     # always by merging, so that the plan is the same at every size
     kinds = written(listed.hint("merge").join(marks.hint("merge"), "doc_id").select("chunk", "pos", F.col("kind").cast("int").alias("kind"), "sampled"), "kinds")
 
+    nothing = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
+    message = "chunk long, bucket long, packed binary"
+
+    def kinds_of(right: pa.Table, rows: int) -> np.ndarray:
+        kind = np.full(rows, -1)
+        kind[right.column("pos").to_numpy()] = right.column("kind").to_numpy()
+        return kind
+
+    def ask_numbers(left, right):
+        for chunk, ids, vocabulary, packed in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "vocabulary", "packed")), strict=True):
+            words, sizes = (_from_planes(x).astype(np.int64) for x in _unpack(packed))
+            hashes = _from_planes(_unpack(vocabulary)[0])
+            uses = np.bincount(words[np.repeat(kinds_of(right, len(ids)) >= 0, sizes)], minlength=len(hashes))
+            out = messages(chunk, hashes, uses[None], 64, word_buckets)
+            return out.append_column("buckets", pa.array(np.full(len(out), word_buckets)))
+        return nothing.append_column("buckets", pa.array([], pa.int64()))
+
+    def take_numbers(left, right):
+        out = {"chunk": [], "numbers": [], "top": []}
+        for chunk, vocabulary in zip(left.column("chunk").to_pylist(), left.column("vocabulary").to_pylist(), strict=True):
+            _, place = np.unique(_from_planes(_unpack(vocabulary)[0]), return_inverse=True)
+            got = np.concatenate([np.zeros(0, np.uint64), *(_from_planes(_unpack(x)[0]) for x in right.sort_by("bucket").column("packed").to_pylist())])[place]
+            for x, v in zip(out, (chunk, _pack(_planes(got)), int(got.max(initial=0))), strict=True):
+                out[x].append(v)
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "numbers": pa.array(out["numbers"], pa.binary()), "top": pa.array(out["top"], pa.int64())})
+
+    # what asks and what answers are small beside the chunks: the words of each, once
+    by = spelt.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(ask_numbers, message + ", buckets long").groupBy("bucket").applyInArrow(numbers, message)
+    numbered = tables.write(spelt.select("chunk", "vocabulary").groupBy("chunk").cogroup(by.groupBy("chunk")).applyInArrow(take_numbers, "chunk long, numbers binary, top long"))
+    width = max(2, int(numbered.agg(F.max("top")).first()[0] or 0).bit_length())
+    if width > 32:
+        raise OverflowError("training texts hold more than 2^32 words")
+    coded = spelt.drop("vocabulary").join(numbered.drop("top").hint("merge"), "chunk")
+
     def unpacked(left: pa.Table):
         """(chunk, ids, Pairs) of a chunk's row."""
-        for chunk, ids, packed in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
-            vocabulary, words, sizes = _unpack(packed)
-            yield chunk, ids, Pairs(_from_planes(vocabulary) << np.uint64(64 - bits), _from_planes(words).astype(np.int64), _from_planes(sizes).astype(np.int64))
-
-    nothing = pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
+        for chunk, ids, packed, number in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "packed", "numbers")), strict=True):
+            words, sizes = (_from_planes(x).astype(np.int64) for x in _unpack(packed))
+            yield chunk, ids, Pairs(_from_planes(_unpack(number)[0]), words, sizes, width)
 
     def ask(left, right):
         for chunk, ids, p in unpacked(left):
-            kind = np.full(len(ids), -1)
-            kind[right.column("pos").to_numpy()] = right.column("kind").to_numpy()
-            return messages(chunk, p.keys(bits), p.counts(kind), bits, pair_buckets)
+            return messages(chunk, p.keys, p.counts(kinds_of(right, len(ids))), 2 * width, pair_buckets)
         return nothing
 
     def ask_words(left, right):
         for chunk, _, p in unpacked(left):
-            found = gathered(right, p.keys(bits))
-            n, owned = found[:2], found[2] > 0
+            found = p.all_pairs(gathered(right, p.keys))
+            n, owned = found[:2], found[-1] > 0
             seen = [[(owned & (n[c] == i)).sum() for i in (1, 2)] for c in (0, 1)]
             told = pa.table({"chunk": pa.array([chunk]), "bucket": pa.array([-1]), "packed": pa.array([np.array(seen, ">i8").tobytes()], pa.binary())})
-            return pa.concat_tables([messages(chunk, p.word_keys(bits), p.unit_counts(n, owned).T, bits, word_buckets), told])
+            return pa.concat_tables([messages(chunk, p.unit_keys(), p.unit_counts(n, owned).T, width, word_buckets), told])
         return nothing
 
     def answer_words(key, table):
@@ -345,14 +443,13 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
         first = df.agg(*[F.sum(at(i)) for i in range(n)]).first()
         return np.array([x or 0 for x in first], np.int64)
 
-    kind = "chunk long, bucket long, packed binary"
     by = coded.groupBy("chunk")
-    asked = by.cogroup(kinds.groupBy("chunk")).applyInArrow(ask, kind)
+    asked = by.cogroup(kinds.groupBy("chunk")).applyInArrow(ask, message)
     # a bucketed table beside the chunks: its two readers don't shuffle it again
-    pairs, pairs_name = _bucketed(asked.groupBy("bucket").applyInArrow(answers, kind).repartition(chunk_buckets, "chunk"), "chunk", chunk_buckets)
-    wanted = written(by.cogroup(pairs.groupBy("chunk")).applyInArrow(ask_words, kind), "words")
+    pairs = tables.write(asked.groupBy("bucket").applyInArrow(answers, message).repartition(tables.buckets, "chunk"))
+    wanted = written(by.cogroup(pairs.groupBy("chunk")).applyInArrow(ask_words, message), "words")
     discount = discounts(together(wanted.where("bucket = -1").withColumn("packed", F.concat("packed", F.lit(b"\0" * 16))))[:4].reshape(2, 2))
-    units = written(wanted.where("bucket >= 0").groupBy("bucket").applyInArrow(answer_words, kind), "units")
+    units = written(wanted.where("bucket >= 0").groupBy("bucket").applyInArrow(answer_words, message), "units")
     every = together(units.where("chunk = -1"))
     forget(wanted)
 
@@ -360,17 +457,18 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
         out = {"doc_id": [], "found": [], "loglen": [], "own": []}
         of = {w: right.filter(pa.compute.equal(right.column("what"), w)) for w in ("kind", "word")}
         for (_, ids, p), back in zip(unpacked(left), left.column("replies"), strict=True):
-            n = gathered(pa.Table.from_struct_array(back.values) if back.is_valid else nothing, p.keys(bits))[:2]
-            unit = gathered(of["word"].select(["bucket", "packed"]), p.word_keys(bits))[:-1]
+            n = p.all_pairs(gathered(pa.Table.from_struct_array(back.values) if back.is_valid else nothing, p.keys)[:2] if len(p.keys) else np.zeros((2, 0), np.int64))
+            unit = gathered(of["word"].select(["bucket", "packed"]), p.unit_keys())[:-1]
             value = summaries(n, unit[:4, p.before], unit[4:, p.word], every, discount)
             told = dict(zip(of["kind"].column("bucket").to_pylist(), of["kind"].column("kind").to_pylist(), strict=True))
             for i, doc in enumerate(ids):
-                cells, mine, own = p.cells[p.first[i] : p.first[i + 1]], told.get(i), None
-                mean = (lambda x: x.mean(1)) if len(cells) else (lambda x: np.zeros(len(FEATURES)))
+                cut = np.s_[p.first[i] : p.first[i + 1]]
+                cells, times, mine, own = p.cells[cut], p.times[cut], told.get(i), None
+                mean = (lambda x, t=times: x @ t / t.sum()) if len(cells) else (lambda x: np.zeros(len(FEATURES)))
                 if mine is not None:
                     a, b = p.before[cells], p.word[cells]
                     own = mean(summaries(*without_own(mine, n[:, cells], unit[:4, a], unit[4:, b], every, a, b), discount))
-                for x, v in zip(out, (doc, mean(value[:, cells]), math.log1p(len(cells)), own), strict=True):
+                for x, v in zip(out, (doc, mean(value[:, cells]), math.log1p(times.sum()), own), strict=True):
                     out[x].append(v)
         types = {"doc_id": pa.int64(), "loglen": pa.float64()}
         return pa.table({x: pa.array(v, types.get(x, pa.list_(pa.float64()))) for x, v in out.items()})
@@ -385,8 +483,6 @@ def text_features(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndar
     held = coded.join(replies.hint("merge"), "chunk", "left")
     features = written(held.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(assemble, "doc_id long, found array<double>, loglen double, own array<double>"), "toxicity")
     forget(kinds, units)
-    for table in (name, pairs_name):
-        spark.sql(f"DROP TABLE {table}")
     return features, discount
 
 
@@ -412,7 +508,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     return w, mean, scale
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Probability that labels mark a text as toxic, for every row of docs.
 
     Learns from rows of docs that are not held out and whose id has a label of 0
@@ -423,6 +519,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     the labels is missing, all scores are the share of toxic labels (0.0 without
     labels).  Repeated rows and null ids are kept, repeated training rows count
     each.  Other columns are ignored; an empty table gives an empty result.
+    features: what the curve sees, of FEATURES; ("ratio",) is the difference alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("kind")).where("kind in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("kind").alias("kind")).where(~held_out("doc_id"))
@@ -430,21 +527,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # the sample is a threshold on a hash, so no partition sends more than its share of it
     share = min(1.0, 0.95 * CALIBRATION_ROWS / n) if n else 0.0
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    features, _ = text_features(rows, marks.withColumn("sampled", chosen))
-    own = features.where("own is not null").join(marks.hint("merge"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "own", "loglen").limit(CALIBRATION_ROWS)
+    measured, _ = text_features(rows, marks.withColumn("sampled", chosen))
+    used = [FEATURES.index(x) for x in features]
+    own = measured.where("own is not null").join(marks.hint("merge"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "own", "loglen").limit(CALIBRATION_ROWS)
     found = np.array([(*own_, size, kind) for own_, size, kind in own.select("own", "loglen", "kind").collect()], float).reshape(-1, len(FEATURES) + 2)
     y = found[:, -1]
     if len(set(y)) < 2:
         score = F.lit(float(k or 0) / n if n else 0.0)
     else:
-        w, mean, scale = fit_logistic(design(found[:, :-2], found[:, -2]), y)
+        w, mean, scale = fit_logistic(design(found[:, used], found[:, -2]), y)
         w = w / scale
         w[0] -= float((w * mean)[1:].sum())
-        means, root = [F.col("found")[i] for i in range(len(FEATURES))], F.sqrt(F.expm1("loglen"))
+        means, root = [F.col("found")[i] for i in used], F.sqrt(F.expm1("loglen"))
         terms = [F.lit(1.0), *[x * 100 for x in means], *[x * root for x in means], F.col("loglen")]
         z = sum((F.lit(float(a)) * t for a, t in zip(w, terms, strict=True)), F.lit(0.0))
         score = 1 / (1 + F.exp(-z))
-    return features.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("found")[0].alias("ratio"))
+    return measured.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("found")[0].alias("ratio"))
 
 
 def accuracy(truth: np.ndarray, score: np.ndarray) -> tuple[float, float]:

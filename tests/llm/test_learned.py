@@ -23,7 +23,7 @@ def tables(spark):
 
 
 def plain_kneser_ney(texts, kinds):
-    """Log-ratio of every pair: counts once a text, discounts from counts of counts, interpolated with continuation counts and shared ones."""
+    """Log-ratio of every word: counts once a text, discounts from counts of counts, interpolated with continuation counts and shared ones."""
     pairs_of = lambda t: list(dict.fromkeys(zip(["", *t.split()], t.split(), strict=False)))
     n = [Counter(), Counter()]
     for t, k in zip(texts, kinds, strict=True):
@@ -42,7 +42,7 @@ def plain_kneser_ney(texts, kinds):
         total, kinds_after = sum(v for (a, _), v in n[k].items() if a == u), sum(a == u for a, _ in n[k])
         return lower if not total else max(n[k][u, w] - d[k], 0) / total + d[k] * kinds_after / total * lower
 
-    return [np.mean([math.log(p(1, u, w)) - math.log(p(0, u, w)) for u, w in pairs_of(t)]) if t.split() else 0.0 for t in texts]
+    return [np.mean([math.log(p(1, u, w)) - math.log(p(0, u, w)) for u, w in zip(["", *t.split()], t.split(), strict=False)]) if t.split() else 0.0 for t in texts]
 
 
 def small_texts():
@@ -108,6 +108,31 @@ def test_messages_come_back_in_order():
         assert sorted(owned) == sorted(k for k in want if want[k].any())
 
 
+def test_numbers_are_of_training_words():
+    """Words get one number each by falling use, all words without a use the same one, whichever chunk asks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    words = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    sent = []
+    for chunk in range(3):
+        mine = np.sort(rng.choice(words, 200, replace=False))
+        uses = rng.integers(0, 3, 200) * (mine % np.uint64(3) > 0)
+        sent.append((mine, uses, toxicity.messages(chunk, mine, uses[None], 64, 4)))
+    total = Counter()
+    for mine, uses, _ in sent:
+        total.update(dict(zip(mine.tolist(), uses.tolist(), strict=True)))
+    every = pa.concat_tables([m.append_column("buckets", pa.array([4] * len(m))) for *_, m in sent])
+    replies = pa.concat_tables([toxicity.numbers((pa.scalar(b),), every.filter(pa.compute.equal(every.column("bucket"), b))) for b in range(4)])
+    number = {}
+    for chunk, (mine, _, _) in enumerate(sent):
+        got = np.concatenate([toxicity._from_planes(toxicity._unpack(x)[0]) for x in replies.filter(pa.compute.equal(replies.column("chunk"), chunk)).sort_by("bucket").column("packed").to_pylist()])
+        for w, x in zip(mine.tolist(), got.tolist(), strict=True):
+            assert number.setdefault(w, x) == x and (x == 1) == (total[w] == 0)
+    seen = [x for x in number.values() if x != 1]
+    assert len(set(seen)) == len(seen) and min(seen) >= 2
+
+
 def test_mixture_is_plain_em():
     rng = np.random.default_rng(13)
     offsets = np.r_[0, np.cumsum(rng.integers(1, 20, 30))]
@@ -201,11 +226,23 @@ def test_quality_held_out(tables):
     assert len(rows) > 50 and (rows.predicted == rows.quality).mean() > 0.95
 
 
-def test_order_and_partitions_do_not_matter(tables):
+@pytest.mark.parametrize("seed", [0, 1, 2])
+@pytest.mark.parametrize("name", ["toxicity", "language", "quality"])
+def test_order_and_partitions_do_not_matter(tables, name, seed):
     docs, labels = tables
-    some = docs.where("doc_id % 3 = 0").limit(200).cache()
-    for f in (lambda d: toxicity.score_toxicity(d, labels).select("doc_id", F.round("score", 9)), lambda d: language_mixture.identify(d).select("doc_id", "lang_pred", "score"), lambda d: quality.score_quality(d, labels).select("doc_id", F.round("score", 9))):
-        assert sorted(f(some.coalesce(1)).collect()) == sorted(f(some.repartition(5)).collect())
+    some = docs.where(f"doc_id % 3 = {seed}").limit(200).cache()
+    f = {"toxicity": lambda d: toxicity.score_toxicity(d, labels).select("doc_id", F.round("score", 9)), "language": lambda d: language_mixture.identify(d).select("doc_id", "lang_pred", "score"), "quality": lambda d: quality.score_quality(d, labels).select("doc_id", F.round("score", 9))}[name]
+    assert sorted(f(some.coalesce(1)).collect()) == sorted(f(some.orderBy(F.xxhash64("doc_id", F.lit(seed))).repartition(5 + seed)).collect())
+
+
+def test_pairs_stay_apart():
+    """Pairs are numbers of words, mapped one to one: no two of them meet."""
+    got = toxicity.Pairs(np.arange(2, 12), np.array([0, 1, 0, 1, 2, 9]), np.array([4, 0, 2]), 4)
+    assert got.times.tolist().count(2) == 1 and len(got.keys) == len(set(got.keys.tolist())) == 5
+    for bits in (4, 7, 40, 64):
+        x = np.unique(np.random.default_rng(bits).integers(0, 1 << min(bits, 62), 3000).astype(np.uint64))
+        y = toxicity.scramble(x, bits)
+        assert len(np.unique(y)) == len(x) and (toxicity.unscramble(y, bits) == x).all() and int(y.max()) < 1 << bits
 
 
 def test_packed_counts_come_back():
