@@ -113,7 +113,7 @@ def test_numbers_are_of_training_words():
     import pyarrow as pa
 
     rng = np.random.default_rng(6)
-    words = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    words = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
     sent = []
     for chunk in range(3):
         mine = np.sort(rng.choice(words, 200, replace=False))
