@@ -75,7 +75,7 @@ def _level(rows: DataFrame, block: F.Column, seed: int) -> DataFrame:
     """Fold every block of open fractions: settled items and at most one open item a block."""
     item = F.struct("h", "id", "size", "p")
     blocks = rows.groupBy("source", block.alias("block")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "struct<h:bigint,id:bigint,size:bigint,p:double>"
+    kind = f"struct<h:bigint,id:{rows.schema['id'].dataType.simpleString()},size:bigint,p:double>"
     zero = F.struct(F.lit(None).cast(kind).alias("open"), F.array().cast(f"array<{kind}>").alias("done"))
 
     def with_p(x: F.Column, p: F.Column) -> F.Column:
@@ -109,10 +109,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have size 0 has target 0.  A null source is a source of its own, last in
     order.  Repeated rows, null and repeated ids are separate items.  Random
     draws are hashes of the ids, sizes, the number among equal rows and the
-    seed, so reruns agree.  Other
-    columns are ignored.  Empty tables give empty results.
+    seed, so reruns agree.  Ids are whole numbers or strings.  Other columns are
+    ignored.  Empty tables give empty results.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), words_in(F.col(text_col).cast("string")).alias("size"), F.col(source_col).cast("string").alias("source"))
+    numbers = "string" if docs.schema[id_col].dataType.simpleString() == "string" else "long"
+    rows = docs.select(F.col(id_col).cast(numbers).alias("id"), words_in(F.col(text_col).cast("string")).alias("size"), F.col(source_col).cast("string").alias("source"))
     # rows that are equal here get numbers, so that each has a hash of its own; they are counted before, not brought together
     rows = rows.groupBy("source", "id", "size").agg(F.count("*").alias("times"))
     rows = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / _RUN))))

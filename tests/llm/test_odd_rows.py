@@ -85,6 +85,22 @@ def test_mixing_stage_goes_by_row(spark, documents):
     assert corpus_pipeline.mix(spark, documents.limit(0), "").collect() == []
 
 
+def test_mixing_keeps_rows_whose_nulls_are_elsewhere(spark):
+    """Rows of the same values in other columns are items of their own; equal rows share what is taken."""
+    rows = [(1, "x y z", None, "a", 5), (1, "x y z", "a", None, 5), (1, "x y z", "a", None, None), (None, "x y z", "a", "a", 5), (5, "x y z", "a", "a", None)]
+    rows = [r for r in rows for _ in range(40)] + [(i, "one two three four five", "en", "b", 1) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = Counter(map(tuple, corpus_pipeline.mix(spark, df.repartition(3), "").collect()))
+    mixed = source_mixing.mix_sources(df)
+    target = {r.source: r.target for r in mixed.select("source", "target").distinct().collect()}
+    words = Counter()
+    for r, n in got.items():
+        assert r in set(rows) and n <= 3 * rows.count(r)
+        words[r[3]] += n * len(r[1].split())
+    assert set(got) >= set(rows[:200:40]) and all(abs(words[s] - t) < 6 for s, t in target.items())
+    assert got == Counter(map(tuple, corpus_pipeline.mix(spark, df.coalesce(1), "").collect()))
+
+
 def test_language_and_quality_stages(spark, documents, tmp_path):
     spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     kept = corpus_pipeline.keep_languages(spark, documents, "")
