@@ -64,11 +64,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it.
 
-    Rows that are equal in all columns share what is taken of them together.
-    Texts without words are never taken.
+    Rows that are equal in all columns, nulls included, share what is taken of
+    them together; they are told from others by 128 bits.  Texts without words
+    are never taken.
     """
     key, copies, times = (free_name(docs.columns, x) for x in ("_content", "_copies", "_times"))
-    rows = docs.withColumn(key, F.xxhash64(*_columns(docs)))
+    # a hash leaves nulls out, so where they are is hashed too
+    values = [*_columns(docs), *[c.isNull() for c in _columns(docs)]]
+    rows = docs.withColumn(key, F.concat(F.lower(F.hex(F.xxhash64(*values))), F.lit("-"), F.lower(F.hex(F.xxhash64(F.lit(1), *values)))))
     taken = source_mixing.mix_sources(rows, id_col=key).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").cast("int").alias(copies))
     distinct = rows.dropDuplicates([key])
     return distinct.join(taken.hint("merge"), key).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(_columns(docs))
