@@ -63,8 +63,8 @@ def _chunks(column: pa.Array):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
         hashes, first = bw.word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], bw.nonletter_table(), bw.lower_table())
         vocabulary, words, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        # frequent words get small numbers, which compress better
-        order = np.argsort(-times, kind="stable")
+        # frequent words get small indices, which compress better; of about the same frequency they stay in the order of their hashes
+        order = np.argsort(-np.log2(times).astype(np.int64), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         yield at, to - at, vocabulary[order], rank[words], np.diff(first)
@@ -247,16 +247,24 @@ def answers(key, table):
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array(out, pa.binary())})
 
 
-def numbers(key, table):
-    """chunk, bucket, packed: the numbers of every message's words, in their order: by falling number of uses in training texts, each bucket its own."""
+def ranks(key, table):
+    """chunk, bucket, packed: of every message's words, in their order, which ones training texts hold, and their ranks among the bucket's words that do."""
     table = table.sort_by("chunk")
-    bucket, packed = key[0].as_py(), table.column("packed").to_pylist()
-    places, _, _, summed = totals(packed)
-    order = np.argsort(-summed[0], kind="stable")
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    number = np.where(summed[0] > 0, _FIRST + number * table.column("buckets")[0].as_py() + bucket, _UNSEEN)
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array([_pack(_planes(number[x])) for x in places], pa.binary())})
+    places, _, _, summed = totals(table.column("packed").to_pylist())
+    seen = summed[0] > 0
+    rank = np.cumsum(seen)
+    packed = [_pack(_planes(np.diff(rank[x], prepend=0)), np.packbits(seen[x])) for x in places]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "packed": pa.array(packed, pa.binary())})
+
+
+def numbers(replies: pa.Table, buckets: int) -> np.ndarray:
+    """Numbers of a chunk's words, in the order of their hashes: each bucket's ranks are numbers of their own."""
+    out = [np.zeros(0, np.int64)]
+    for bucket, packed in zip(*(replies.sort_by("bucket").column(c).to_pylist() for c in ("bucket", "packed")), strict=True):
+        step, seen = _unpack(packed)
+        rank = np.cumsum(_from_planes(step).astype(np.int64))
+        out.append(np.where(np.unpackbits(np.frombuffer(seen, np.uint8), count=len(rank)) > 0, _FIRST + (rank - 1) * buckets + bucket, _UNSEEN))
+    return np.concatenate(out)
 
 
 def gathered(replies: pa.Table, keys: np.ndarray) -> np.ndarray:
@@ -367,7 +375,7 @@ def _features(rows: DataFrame, marks: DataFrame, tables: _Tables, pair_buckets:
         for b in batches:
             for first, n, vocabulary, words, sizes in _chunks(b.column(1)):
                 ids = pa.array([b.column(0).slice(first, n).to_pylist()], pa.list_(pa.int64()))
-                packed = [pa.array([_pack(*map(_planes, x))], pa.binary()) for x in ((vocabulary,), (words, sizes))]
+                packed = [pa.array([_pack(*map(_planes, x))], pa.binary()) for x in ((np.diff(vocabulary, prepend=np.uint64(0)),), (words, sizes))]
                 yield pa.RecordBatch.from_arrays([pa.array([at]), ids, *packed], names=["chunk", "ids", "vocabulary", "packed"])
                 at += 1
 
@@ -384,26 +392,27 @@ def _features(rows: DataFrame, marks: DataFrame, tables: _Tables, pair_buckets:
         kind[right.column("pos").to_numpy()] = right.column("kind").to_numpy()
         return kind
 
+    def hashes_of(vocabulary: bytes) -> np.ndarray:
+        return np.cumsum(_from_planes(_unpack(vocabulary)[0]), dtype=np.uint64)
+
     def ask_numbers(left, right):
         for chunk, ids, vocabulary, packed in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "vocabulary", "packed")), strict=True):
             words, sizes = (_from_planes(x).astype(np.int64) for x in _unpack(packed))
-            hashes = _from_planes(_unpack(vocabulary)[0])
-            uses = np.bincount(words[np.repeat(kinds_of(right, len(ids)) >= 0, sizes)], minlength=len(hashes))
-            out = messages(chunk, hashes, uses[None], 64, word_buckets)
-            return out.append_column("buckets", pa.array(np.full(len(out), word_buckets)))
-        return nothing.append_column("buckets", pa.array([], pa.int64()))
+            seen = np.bincount(words[np.repeat(kinds_of(right, len(ids)) >= 0, sizes)], minlength=len(hashes_of(vocabulary))) > 0
+            return messages(chunk, hashes_of(vocabulary), seen[None], 64, word_buckets)
+        return nothing
 
     def take_numbers(left, right):
         out = {"chunk": [], "numbers": [], "top": []}
         for chunk, vocabulary in zip(left.column("chunk").to_pylist(), left.column("vocabulary").to_pylist(), strict=True):
-            _, place = np.unique(_from_planes(_unpack(vocabulary)[0]), return_inverse=True)
-            got = np.concatenate([np.zeros(0, np.uint64), *(_from_planes(_unpack(x)[0]) for x in right.sort_by("bucket").column("packed").to_pylist())])[place]
+            _, place = np.unique(hashes_of(vocabulary), return_inverse=True)
+            got = numbers(right, word_buckets)[place]
             for x, v in zip(out, (chunk, _pack(_planes(got)), int(got.max(initial=0))), strict=True):
                 out[x].append(v)
         return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "numbers": pa.array(out["numbers"], pa.binary()), "top": pa.array(out["top"], pa.int64())})
 
     # what asks and what answers are small beside the chunks: the words of each, once
-    by = spelt.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(ask_numbers, message + ", buckets long").groupBy("bucket").applyInArrow(numbers, message)
+    by = spelt.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(ask_numbers, message).groupBy("bucket").applyInArrow(ranks, message)
     numbered = tables.write(spelt.select("chunk", "vocabulary").groupBy("chunk").cogroup(by.groupBy("chunk")).applyInArrow(take_numbers, "chunk long, numbers binary, top long"))
     width = max(2, int(numbered.agg(F.max("top")).first()[0] or 0).bit_length())
     if width > 32:
