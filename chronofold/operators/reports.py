@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronofold.operators.ranges import numbered
+
 
 def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with their rank from 1; the order must be total."""
@@ -32,18 +34,13 @@ def snapshot_windows(windows: DataFrame, every: int, run: str = "run", order: st
 def merge_runs(runs: list[DataFrame], order: list[str]) -> DataFrame:
     """Concatenate runs in the given order and number their windows anew from 0.
 
-    The offset of a run is the number of rows before it, so rows are numbered
-    inside their run only.
+    A run may span tasks: rows are numbered over sorted ranges.
     """
     union = None
     for i, r in enumerate(runs):
         r = r.withColumn("run_order", F.lit(i).cast("long"))
         union = r if union is None else union.unionByName(r)
-    counts = union.groupBy("run_order").agg(F.count("*").alias("n"))
-    before = Window.orderBy("run_order").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("run_order", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # one row a run
-    number = F.row_number().over(Window.partitionBy("run_order").orderBy(*order)) - 1
-    return union.withColumn("i", number).join(F.broadcast(offsets), "run_order").withColumn("window_index", (F.col("i") + F.col("offset")).cast("long")).drop("i", "offset")
+    return numbered(union, [], ["run_order", *order], "window_index", 0)
 
 
 def rate(part: Column, whole: Column, empty: float = 0.0) -> Column:

@@ -1,4 +1,4 @@
-"""Scenes, action lifecycles and attribute states as window functions and ordered folds."""
+"""Scenes, absences and attribute states as window functions and ordered folds."""
 
 from __future__ import annotations
 
@@ -8,12 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-@dataclass(frozen=True)
-class ActionConfig:
-    continue_max_gap: int = 1
-    end_missing: int = 2
-    repeat_min_gap: int = 5_000_000
+from chronofold.operators.ranges import numbered, running
+from chronofold.sources.scratch import scratch_path, stored
 
 
 @dataclass(frozen=True)
@@ -46,41 +42,64 @@ def closeup_visibility(windows: DataFrame, visible: DataFrame) -> DataFrame:
     return visible.join(windows.where("close_up"), ["run", "w"]).withColumn("visibility", value).drop("close_up", "target_partial")
 
 
-def action_islands(actions: DataFrame, key: list[str], config: ActionConfig = ActionConfig(), order: str = "w") -> DataFrame:
-    """actions with the number of their lifecycle within the key.
+def absence_intervals(sightings: DataFrame, windows: DataFrame, key: str, max_missing: int) -> DataFrame:
+    """What every entity of a run is from its first sighting on, as intervals: run, key, state, from_w, to_w, had.
 
-    actions: key columns, run, w, scene_index, t (observation time); one row a
-    key and window.  A sighting goes on with the one before in the same scene if
-    it is at most continue_max_gap + 1 windows and less than repeat_min_gap
-    away.  Null keys count as equal.
+    windows: run, w, suppressed (no absence is inferred from such a window), one
+    row a window of the run.  Active until the first unsuppressed window without
+    a sighting, then temporarily_missing, and inactive from the one after
+    max_missing of them.  had: unsuppressed windows up to the last sighting
+    before from_w.  Rows grow with changes, not with entities times windows:
+    the windows that change a state are found by their number among the
+    unsuppressed ones.
     """
-    w = Window.partitionBy("run", *key).orderBy(order)
-    goes_on = (F.col(order) - F.lag(order).over(w) <= config.continue_max_gap + 1) & (F.col("t") - F.lag("t").over(w) < config.repeat_min_gap) & (F.col("scene_index") == F.lag("scene_index").over(w))
-    return actions.withColumn("island", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    counts = stored(running(windows.select("run", "w", "suppressed"), ["run"], ["w"], sums={"n": F.lit(1).cast("long"), "quiet": F.when(F.col("suppressed"), 0).otherwise(1).cast("long")}), "counts")
+    at = lambda ahead, name: counts.where(~F.col("suppressed")).select("run", (F.col("quiet") - ahead).alias("quiet"), F.col("n").alias(name))
+    seen = sightings.select("run", key, "w").distinct().join(counts.select("run", "w", "n", "quiet"), ["run", "w"])
+    seen = seen.join(at(1, "missed_n"), ["run", "quiet"], "left").join(at(max_missing + 1, "gone_n"), ["run", "quiet"], "left")
+    what = F.struct("n", "quiet", "missed_n", "gone_n")
+    seen = stored(running(seen, ["run", key], ["w"], before={"past": what}), "seen")
+    last = seen.groupBy("run", key).agg(F.max_by(what, "w").alias("past")).withColumn("n", F.lit(None).cast("long"))
+    after = counts.groupBy("run").agg(F.max("n").alias("last_n"))
+    # a sighting ends what its predecessor's absence began; behind the last one everything that the run has begins
+    ends = seen.select("run", key, "n", "quiet", "past").unionByName(last.withColumn("quiet", F.lit(None).cast("long"))).join(after, "run")
+    upto = F.coalesce(F.col("n") - 1, F.col("last_n"))
+    change = lambda state, n, had, when: F.when(when, F.struct(F.lit(state).alias("state"), n.alias("n"), had.alias("had")))
+    absent = F.col("past.missed_n") <= upto
+    marks = F.array_compact(F.array(
+        change("temporarily_missing", F.col("past.missed_n"), F.col("past.quiet"), absent & ((F.col("past.gone_n") > F.col("past.missed_n")) | F.col("past.gone_n").isNull())),
+        change("inactive", F.col("past.gone_n"), F.col("past.quiet"), F.col("past.gone_n") <= upto),
+        change("active", F.col("n"), F.col("quiet"), F.col("n").isNotNull() & (F.col("past").isNull() | absent)),
+    ))
+    rows = ends.select("run", key, "last_n", F.explode(marks).alias("m")).select("run", key, "last_n", "m.*").withColumn("back", -F.col("n"))
+    rows = running(rows, ["run", key], ["back"], before={"next_n": F.col("n")}).withColumn("to_n", F.coalesce(F.col("next_n") - 1, F.col("last_n")))
+    place = lambda n, w: counts.select("run", F.col("n").alias(n), F.col("w").alias(w))
+    return rows.join(place("n", "from_w"), ["run", "n"]).join(place("to_n", "to_w"), ["run", "to_n"]).select("run", key, "state", "from_w", "to_w", "had", F.col("n").alias("from_n"), "to_n")
 
 
 def missing_status(sightings: DataFrame, windows: DataFrame, key: str, max_missing: int) -> DataFrame:
-    """On the grid of a run's entities and windows from each one's first sighting: windows missed so far and the state.
+    """absence_intervals for each window from an entity's first sighting on: run, key, w, seen, missed (windows so far), state."""
+    counts = stored(running(windows.select("run", "w", "suppressed"), ["run"], ["w"], sums={"n": F.lit(1).cast("long"), "quiet": F.when(F.col("suppressed"), 0).otherwise(1).cast("long")}), "counts")
+    spans = absence_intervals(sightings, windows, key, max_missing)
+    each = spans.withColumn("n", F.explode(F.sequence("from_n", "to_n"))).join(counts, ["run", "n"])
+    each = each.join(sightings.select("run", key, "w").distinct().withColumn("seen", F.lit(True)), ["run", key, "w"], "left")
+    missed = F.when(F.col("state") == "active", 0).otherwise(F.col("quiet") - F.col("had")).cast("long")
+    return each.select("run", key, "w", F.coalesce("seen", F.lit(False)).alias("seen"), missed.alias("missed"), "state")
 
-    windows: run, w, suppressed (no absence is inferred from such a window).
-    """
-    first = sightings.groupBy("run", key).agg(F.min("w").alias("first"))
-    grid = windows.join(first, "run").where("w >= first").drop("first").join(sightings.select("run", key, "w").distinct().withColumn("seen", F.lit(True)), ["run", key, "w"], "left")
-    w = Window.partitionBy("run", key).orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.sum(F.when(F.col("seen"), 1).otherwise(0)).over(w)
-    grid = grid.withColumn("block", block)
-    b = Window.partitionBy("run", key, "block").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    missed = F.sum(F.when(F.col("seen").isNull() & ~F.col("suppressed"), 1).otherwise(0)).over(b).cast("long")
-    grid = grid.withColumn("missed", missed)
-    state = F.when(F.col("missed") == 0, "active").when(F.col("missed") > max_missing, "inactive").otherwise("temporarily_missing")
-    return grid.select("run", key, "w", F.coalesce("seen", F.lit(False)).alias("seen"), "missed", state.alias("state"))
+
+def _chained(support: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Rows, one a key and window, with the columns _g and _c that tell chains apart; a change of the camera begins a chain."""
+    changes = F.sum(F.when(F.col("camera_change"), 1).otherwise(0)).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return support.withColumn("_g", F.col(order) - F.row_number().over(Window.partitionBy(*key).orderBy(order))).withColumn("_c", changes)
 
 
 def support_chains(support: DataFrame, key: list[str], order: str = "w") -> DataFrame:
-    """Runs of consecutive windows of each key: chain start, last window, length."""
-    w = Window.partitionBy(*key).orderBy(order)
-    rows = support.select(*key, order).distinct().withColumn("g", F.col(order) - F.row_number().over(w))
-    return rows.groupBy(*key, "g").agg(F.min(order).cast("long").alias("first_w"), F.max(order).cast("long").alias("last_w"), F.count("*").alias("windows")).drop("g")
+    """Runs of consecutive windows of each key within a scene: chain start, last window, length.
+
+    support: key, order, camera_change (of the window); rows may be repeated.
+    """
+    rows = _chained(support.groupBy(*key, order).agg(F.bool_or("camera_change").alias("camera_change")), key, order)
+    return rows.groupBy(*key, "_g", "_c").agg(F.min(order).cast("long").alias("first_w"), F.max(order).cast("long").alias("last_w"), F.count("*").alias("windows")).drop("_g", "_c")
 
 
 #: A step's state: status, value, pending value and its chain, counters, and the event of the last step.
@@ -88,10 +107,11 @@ STATE = "struct<status:string,value:string,pending:string,chain:int,last_support
 
 
 def attribute_step(acc: Column, x: Column, config: AttributeConfig = AttributeConfig()) -> Column:
-    """The state after one observation x(w, v, c, in_commit, acted, single_high, swept).
+    """The state after one observation x(w, v, c, in_commit, acted, single_high, swept, camera_change).
 
-    Values are compared by text.  A conflict stays; low confidence only leaves
-    an observed event.  A pending value that wasn't supported for longer than the
+    Values are compared by text.  A conflict stays, though its pending value may
+    be dropped; low confidence only leaves an observed event.  Support is counted
+    over consecutive windows of a scene: a camera change begins anew.  A pending value that wasn't supported for longer than the
     gap is dropped before the observation counts: by the last window between this
     observation and the one before it (swept, null if there is none), or by this
     one unless its confidence is low.
@@ -107,7 +127,7 @@ def attribute_step(acc: Column, x: Column, config: AttributeConfig = AttributeCo
 
     def go(a: Column) -> Column:
         same, same_pending = x["v"] == a["value"], x["v"] == a["pending"]
-        chain = F.when(a["last_support"] == x["w"] - 1, a["chain"] + 1).otherwise(1)
+        chain = F.when((a["last_support"] == x["w"] - 1) & ~x["camera_change"], a["chain"] + 1).otherwise(1)
         enough = (chain >= config.support_windows) & x["in_commit"]
         direct = x["in_commit"] & high & (x["acted"] | F.lit(not config.require_action_support) | x["single_high"])
         keep = lambda event, reason, **c: state(*(c.get(n, a[n]) for n in ("status", "value", "pending", "chain", "last_support", "confirmed", "support", "contradict")), event, reason)
@@ -115,29 +135,29 @@ def attribute_step(acc: Column, x: Column, config: AttributeConfig = AttributeCo
         clear = {"pending": none, "chain": F.lit(0), "last_support": F.lit(None)}
         confirmed = (
             F.when(same, keep(none, none, support=a["support"] + 1, **clear))
-            .when(direct, keep("attribute_transition", F.when(x["single_high"], text("single_high_policy")).otherwise(text("high_confidence_with_action_support")), value=x["v"], support=F.lit(1), **clear))
-            .when(same_pending & enough, keep("attribute_transition", "consecutive_window_support", value=x["v"], support=chain, **clear))
+            .when(direct, keep("attribute_transition", F.when(x["acted"], text("high_confidence_with_action_support")).otherwise(text("single_high_policy")), value=x["v"], support=a["support"] + 1, **clear))
+            .when(same_pending & enough, keep("attribute_transition", "consecutive_window_support", value=x["v"], support=a["support"] + 1, **clear))
             .when(same_pending, keep("attribute_pending", "awaiting_confirmation_support", chain=chain, last_support=x["w"]))
             .when(a["pending"].isNotNull(), keep("attribute_conflict", "conflicting_pending_value", status=F.lit("conflicted"), contradict=a["contradict"] + 1))
             .otherwise(start("attribute_pending", "awaiting_confirmation_support"))
         )
         pending = (
-            F.when(same_pending & enough, keep("attribute_confirmed", "consecutive_window_support", status=F.lit("confirmed"), value=x["v"], confirmed=F.lit(True), support=chain, **clear))
+            F.when(same_pending & enough, keep("attribute_confirmed", "pending_value_confirmed", status=F.lit("confirmed"), value=x["v"], confirmed=F.lit(True), support=a["support"] + 1, **clear))
             .when(same_pending, keep("attribute_pending", "awaiting_confirmation_support", chain=chain, last_support=x["w"]))
             .otherwise(keep("attribute_conflict", "conflicting_pending_value", status=F.lit("conflicted"), contradict=a["contradict"] + 1))
         )
-        observed = F.when(high, keep("attribute_initialized", F.when(same, text("observed_value_confirmed")).otherwise(text("high_confidence_replaces_observed")), status=F.lit("confirmed"), value=x["v"], confirmed=F.lit(True), support=F.lit(1), **clear)).otherwise(
-            start("attribute_pending", F.when(same, text("observed_value_pending")).otherwise(text("medium_confidence_replaces_observed")), status=F.lit("pending"), value=x["v"])
+        observed = F.when(high, keep("attribute_initialized", F.when(same, text("observed_value_confirmed")).otherwise(text("high_confidence_replaces_observed")), status=F.lit("confirmed"), value=x["v"], confirmed=F.lit(True), support=a["support"] + 1, **clear)).otherwise(
+            start("attribute_pending", "observed_value_pending", status=F.lit("pending"), value=x["v"])
         )
         return F.when(a["status"] == "confirmed", confirmed).when(a["status"] == "pending", pending).when(a["status"] == "observed", observed).otherwise(keep(none, none))
 
     first = (
         F.when(low, state("observed", x["v"], None, 0, None, False, 0, 0, "attribute_observed", "low_confidence_observation"))
         .when(high, state("confirmed", x["v"], None, 0, None, True, 1, 0, "attribute_initialized", "initial_high_confidence_observation"))
-        .otherwise(state("pending", x["v"], x["v"], 1, x["w"], False, 1, 0, "attribute_pending", "medium_confidence_initial_observation"))
+        .otherwise(state("pending", x["v"], x["v"], 1, x["w"], False, 0, 0, "attribute_pending", "medium_confidence_initial_observation"))
     )
     now = F.greatest(x["swept"], F.when(~low, x["w"]))
-    late = F.coalesce(acc["pending"].isNotNull() & (now - acc["last_support"] > config.max_pending_gap) & (acc["status"] != "conflicted"), F.lit(False))
+    late = F.coalesce(acc["pending"].isNotNull() & (now - acc["last_support"] > config.max_pending_gap), F.lit(False))
     back = F.when(acc["status"] == "pending", F.when(acc["confirmed"], "confirmed").otherwise("observed")).otherwise(acc["status"])
     expired = state(back, acc["value"], None, 0, None, acc["confirmed"], acc["support"], acc["contradict"], None, None)
 
@@ -149,21 +169,51 @@ def attribute_step(acc: Column, x: Column, config: AttributeConfig = AttributeCo
     return F.when(acc["status"].isNull(), first).otherwise(later)
 
 
-def attribute_states(observations: DataFrame, key: list[str], config: AttributeConfig = AttributeConfig()) -> DataFrame:
-    """Events of every key in window order: key, w, status, value, pending, last_support, event, reason.
+def attribute_states(observations: DataFrame, key: list[str], config: AttributeConfig = AttributeConfig(), block: int = 1024) -> DataFrame:
+    """Events of every key in window order: key, w, status, value, pending, last_support, confirmed, event, reason.
 
     observations: key columns, w, v, c, in_commit, acted, single_high, swept (see
-    with_sweeps); at most one a key and window.  The fold runs over one key's
-    history at a time.
+    with_sweeps), camera_change; at most one a key and window.  A key's history
+    is folded in blocks of so many observations: each round folds the next block
+    of all keys that have one, from the written state of the round before, so no
+    row ever holds more than a block.
     """
-    item = F.struct("w", "v", "c", "in_commit", "acted", "single_high", "swept")
-    zero = F.struct(F.lit(None).cast(STATE).alias("s"), F.array().cast(f"array<struct<w:bigint,s:{STATE}>>").alias("log"))
+    item = F.struct("w", "v", "c", "in_commit", "acted", "single_high", "swept", "camera_change")
+    log = f"array<struct<w:bigint,s:{STATE}>>"
 
     def step(acc: Column, x: Column) -> Column:
-        return F.transform(F.array(attribute_step(acc["s"], x, config)), lambda s: F.struct(s.alias("s"), F.concat(acc["log"], F.array(F.struct(x["w"].alias("w"), s.alias("s")))).alias("log")))[0]
-
-    folded = observations.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, step)["log"].alias("log"))
-    return folded.select(*key, F.explode("log").alias("e")).select(*key, "e.w", "e.s.status", "e.s.value", "e.s.pending", "e.s.last_support", "e.s.confirmed", "e.s.event", "e.s.reason")
+        return F.transform(F.array(attribute_step(acc["s"], x, config)), lambda s: F.struct(s.alias("s"), F.array_append(acc["log"], F.struct(x["w"].cast("long").alias("w"), s.alias("s"))).alias("log")))[0]
+
+    def fold(rows: DataFrame, states: DataFrame | None) -> DataFrame:
+        items = rows.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        if states is None:
+            items = items.withColumn("s", F.lit(None).cast(STATE))
+        else:
+            named = states.select(*[F.col(k).alias(f"_{k}") for k in key], "s")
+            same = F.lit(True)
+            for k in key:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            items = items.join(named, same, "left").select(*key, "items", "s")
+        zero = F.struct(F.col("s"), F.array().cast(log).alias("log"))
+        return items.select(*key, F.aggregate("items", zero, step)["log"].alias("log"))
+
+    most = observations.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if most <= block:
+        logs = [fold(observations, None)]
+    else:
+        rows = numbered(observations, key, ["w"], "_i", 0).withColumn("_block", F.floor(F.col("_i") / block))
+        path = scratch_path(observations.sparkSession, "histories")
+        rows.write.partitionBy("_block").parquet(path)
+        logs, states = [], None
+        for i in range(-(-most // block)):
+            # all rows of a block lie in its own folder
+            part = observations.sparkSession.read.schema(rows.drop("_block").schema).parquet(f"{path}/_block={i}")
+            logs.append(stored(fold(part, states), "states"))
+            states = logs[-1].select(*key, F.element_at("log", -1)["s"].alias("s"))
+    whole = logs[0]
+    for more in logs[1:]:
+        whole = whole.unionByName(more)
+    return whole.select(*key, F.explode("log").alias("e")).select(*key, "e.w", "e.s.status", "e.s.value", "e.s.pending", "e.s.last_support", "e.s.confirmed", "e.s.event", "e.s.reason")
 
 
 def with_sweeps(observations: DataFrame, windows: DataFrame, key: list[str], run: str = "run") -> DataFrame:
@@ -182,11 +232,12 @@ def expired_pending(states: DataFrame, observations: DataFrame, windows: DataFra
 
     The first window of the run without an observation of the key finds it, also
     when the key is never seen again; else the key's next observation that isn't
-    of low confidence.  A conflict never expires.
+    of low confidence.  The pending value of a conflict is dropped alike; the
+    conflict stays.
     """
     o = Window.partitionBy(*key).orderBy("w")
     rows = states.join(observations.select(*key, "w", "c"), [*key, "w"]).withColumn("next_w", F.lead("w").over(o)).withColumn("next_c", F.lead("c").over(o))
-    rows = rows.where(F.col("pending").isNotNull() & (F.col("status") != "conflicted"))
+    rows = rows.where(F.col("pending").isNotNull())
     due = F.greatest(F.col("w"), F.col("last_support") + config.max_pending_gap) + 1
     # the first window from `due` on, by one sorted pass over a run's windows and what is due in it
     asked = rows.select(*key, "w", "pending", "status", "next_w", "next_c", due.alias("due"))
@@ -221,30 +272,6 @@ def visible_list(sightings: DataFrame, segments: DataFrame, key: str, run: str =
     return sightings.join(segments.select(run, "w", "scene_id"), [run, "w"]).groupBy(run, "scene_id", key).agg(F.min("w").alias("since"))
 
 
-def action_intake(actions: DataFrame, present: DataFrame, instant: list[str], window: list[str] = ["run", "w"]) -> DataFrame:  # noqa: B006
-    """actions with outcome: skipped without a resolved actor, context_only, instant, uncertain (a declared target or tool isn't there) or started.
-
-    actions: window, actor, target, tool, type, in_commit, new (starts a
-    lifecycle).  present: window and entity, what is observed there.  References
-    are resolved by equi joins; context-only evidence may continue an action, but
-    starts none.
-    """
-    known = present.select(*window, "entity").distinct()
-    out = actions
-    for role in ("actor", "target", "tool"):
-        out = out.join(known.select(*window, F.col("entity").alias(role), F.lit(True).alias(f"_{role}")), [*window, role], "left")
-    lost = lambda role: F.col(role).isNotNull() & F.col(f"_{role}").isNull()
-    outcome = (
-        F.when(F.col("_actor").isNull(), "skipped")
-        .when(~F.col("new"), F.when(lost("target") | lost("tool"), "uncertain").otherwise("continued"))
-        .when(~F.col("in_commit"), "context_only")
-        .when(F.col("type").isin(instant), "instant")
-        .when(lost("target") | lost("tool"), "uncertain")
-        .otherwise("started")
-    )
-    return out.withColumn("outcome", outcome).drop("_actor", "_target", "_tool")
-
-
 def attribute_eligibility(observations: DataFrame, require_evidence: bool = True) -> DataFrame:
     """observations with rejected: the first reason for which an attribute observation isn't used, null if it is.
 
@@ -266,7 +293,6 @@ def attribute_eligibility(observations: DataFrame, require_evidence: bool = True
 
 def support_evidence(support: DataFrame, key: list[str], evidence: str, order: str = "w") -> DataFrame:
     """support_chains with the evidence of all windows of a chain, in order of windows."""
-    w = Window.partitionBy(*key).orderBy(order)
-    rows = support.groupBy(*key, order).agg(F.array_sort(F.collect_set(evidence)).alias("_e")).withColumn("g", F.col(order) - F.row_number().over(w))
+    rows = _chained(support.groupBy(*key, order).agg(F.array_sort(F.collect_set(evidence)).alias("_e"), F.bool_or("camera_change").alias("camera_change")), key, order)
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "_e"))), lambda x: x["_e"]))
-    return rows.groupBy(*key, "g").agg(F.min(order).cast("long").alias("first_w"), F.max(order).cast("long").alias("last_w"), listed.alias("evidence")).drop("g")
+    return rows.groupBy(*key, "_g", "_c").agg(F.min(order).cast("long").alias("first_w"), F.max(order).cast("long").alias("last_w"), listed.alias("evidence")).drop("_g", "_c")

@@ -104,8 +104,3 @@ def evidence_times(evidence: Column, frames: Column) -> Column:
 def in_commit(times: Column, commit_start: Column, end: Column) -> Column:
     """True if any evidence time lies in [commit_start, end)."""
     return F.coalesce(F.exists(times, lambda x: (x >= commit_start) & (x < end)), F.lit(False))
-
-
-def previous_sample(first_index: Column, frames: Column, start: Column) -> Column:
-    """Greatest time of the samples before the first evidence index, else the window's start.  frames: array<struct<i, t>>."""
-    return F.coalesce(F.array_max(F.transform(F.filter(frames, lambda x: x["i"] < first_index), lambda x: x["t"])), start)

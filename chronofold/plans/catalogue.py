@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from chronofold.functions import vocabulary
 from chronofold.operators import observations as obs
 from chronofold.operators import reports, tracking, windows
+from chronofold.operators.ranges import last_before
 from chronofold.plans.derived import ACTION_OF, EVENTS_SQL, OBSERVED_SQL, STEPS_SQL, STRIDE, WINDOW, events, observed, steps as _steps
 from chronofold.plans.registry import ORACLE_SQL, QUERIES, longs, query  # noqa: F401
 
@@ -132,8 +133,12 @@ def evidence_commit_flag(spark, sf_dir):
 @query(f"""WITH {FRAMES_SQL}, m AS (SELECT run, w, min(e) AS e FROM evd GROUP BY run, w)
  SELECT CAST(m.run AS BIGINT) AS run, CAST(m.w AS BIGINT) AS w, CAST(coalesce((SELECT max(f.t) FROM fr f WHERE f.run = m.run AND f.w = m.w AND f.i < m.e), m.w * {STRIDE}) AS BIGINT) AS lower_t FROM m""")
 def previous_sample_asof(spark, sf_dir):
-    at = windows.previous_sample(F.array_min("evidence"), F.col("frames"), F.col("w") * STRIDE)
-    return _frames(spark, sf_dir).select(*_long("run", "w"), at.cast("long").alias("lower_t"))
+    """The last sample before the first evidence index: samples and evidence are plain rows, joined as of the index."""
+    rank = F.row_number().over(Window.partitionBy("run", "w").orderBy("t", "event_id")) - 1
+    frames = observed(spark, sf_dir).select("run", "w", rank.cast("long").alias("i"), "t")
+    first = observed(spark, sf_dir).groupBy("run", "w").agg(F.min(F.col("k") % 5).alias("i"))
+    found = last_before(first, frames, ["run", "w"], "i", F.col("t"), "t")
+    return found.select(*_long("run", "w"), F.coalesce("t", F.col("w") * STRIDE).cast("long").alias("lower_t"))
 
 
 # parsing and validation
@@ -254,14 +259,29 @@ def entity_first_last_seen(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("run", "entity").agg(F.min("w").alias("first_w"), F.max("w").alias("last_w"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.max("confidence").alias("confidence"), name.alias("name"))
 
 
-@query(f"""WITH {STEPS_SQL}, fi AS (SELECT run, entity, min(w) AS f FROM ob GROUP BY ALL), se AS (SELECT DISTINCT run, entity, w FROM ob),
- gd AS (SELECT st.run, fi.entity, st.w, st.camera_change, se.w IS NOT NULL AS seen FROM st JOIN fi ON fi.run = st.run AND st.w >= fi.f LEFT JOIN se ON se.run = st.run AND se.entity = fi.entity AND se.w = st.w),
+_MISSING_SQL = f"""{STEPS_SQL}, fi AS (SELECT run, entity, min(w) AS f FROM ob GROUP BY ALL), se AS (SELECT DISTINCT run, entity, w FROM ob),
+ gd AS (SELECT st.run, fi.entity, st.w, st.camera_change OR st.view IN ('closeup', 'detail') AS suppressed, se.w IS NOT NULL AS seen FROM st JOIN fi ON fi.run = st.run AND st.w >= fi.f LEFT JOIN se ON se.run = st.run AND se.entity = fi.entity AND se.w = st.w),
  la AS (SELECT *, max(CASE WHEN seen THEN w END) OVER (PARTITION BY run, entity ORDER BY w) AS lw FROM gd),
- ms AS (SELECT run, entity, w, seen, CAST(count(*) FILTER (NOT seen AND NOT camera_change) OVER (PARTITION BY run, entity, lw ORDER BY w) AS BIGINT) AS missed FROM la)
- SELECT *, CASE WHEN missed = 0 THEN 'active' WHEN missed > 10 THEN 'inactive' ELSE 'temporarily_missing' END AS state FROM ms""")
+ ms AS (SELECT run, entity, w, seen, CAST(count(*) FILTER (NOT seen AND NOT suppressed) OVER (PARTITION BY run, entity, lw ORDER BY w) AS BIGINT) AS missed FROM la),
+ mt AS (SELECT *, CASE WHEN missed = 0 THEN 'active' WHEN missed > 10 THEN 'inactive' ELSE 'temporarily_missing' END AS state FROM ms)"""
+
+
+def _absences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Sightings, and the steps with whether absence is inferred: not from a camera change, a close-up or a detail."""
+    hidden = F.col("camera_change") | F.col("view").isin("closeup", "detail")
+    return observed(spark, sf_dir), _steps(spark, sf_dir).select("run", "w", hidden.alias("suppressed"))
+
+
+@query(f"WITH {_MISSING_SQL} SELECT * FROM mt")
 def entity_missing_status(spark, sf_dir):
-    steps = _steps(spark, sf_dir).select("run", "w", F.col("camera_change").alias("suppressed"))
-    return tracking.missing_status(observed(spark, sf_dir), steps, "entity", 10).select("run", "entity", "w", "seen", "missed", "state")
+    return tracking.missing_status(*_absences(spark, sf_dir), "entity", 10).select("run", "entity", "w", "seen", "missed", "state")
+
+
+@query(f"""WITH {_MISSING_SQL}, ch AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY run, entity ORDER BY w) THEN 1 ELSE 0 END AS fresh FROM mt), iv AS (SELECT *, sum(fresh) OVER (PARTITION BY run, entity ORDER BY w) AS i FROM ch)
+ SELECT run, entity, any_value(state) AS state, CAST(min(w) AS BIGINT) AS from_w, CAST(max(w) AS BIGINT) AS to_w FROM iv GROUP BY run, entity, i""")
+def entity_absence_intervals(spark, sf_dir):
+    """When each entity was active, missing or inactive: a row a change."""
+    return tracking.absence_intervals(*_absences(spark, sf_dir), "entity", 10).select("run", "entity", "state", "from_w", "to_w")
 
 
 @query(f"""WITH {OBSERVED_SQL}, f AS (SELECT run, entity, k % 3 AS key, first(kind ORDER BY t, event_id) AS v, arg_min(kind, (t, event_id)) AS signature FROM ob WHERE confidence >= 0.5 GROUP BY ALL)
@@ -318,72 +338,6 @@ def scene_visibility(spark, sf_dir):
     return tracking.closeup_visibility(steps, visible).select("run", "w", "entity", "visibility")
 
 
-def _acts(spark, sf_dir) -> DataFrame:
-    """One action a run, entity, type and step, with its scene."""
-    a = observed(spark, sf_dir).groupBy("run", "entity", "kind", "w").agg(F.max("t").alias("t"), F.min("t").alias("t0"), F.max("confidence").alias("confidence"))
-    return a.join(tracking.scene_segments(_steps(spark, sf_dir)).select("run", "w", "scene_index"), ["run", "w"])
-
-
-_ACTS = tracking.ActionConfig(repeat_min_gap=6 * 3_600_000_000)
-ACTS_SQL = STEPS_SQL + f""", sg AS (SELECT run, w, sum(CASE WHEN camera_change OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY w) AS scene_index FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY w) AS rn FROM st)),
- ac AS (SELECT o.run, o.entity, o.kind, o.w, max(t) AS t, min(t) AS t0, max(confidence) AS confidence, any_value(sg.scene_index) AS scene_index FROM ob o JOIN sg ON sg.run = o.run AND sg.w = o.w GROUP BY ALL),
- ag AS (SELECT *, CASE WHEN w - lag(w) OVER p <= 2 AND t - lag(t) OVER p < {_ACTS.repeat_min_gap} AND scene_index = lag(scene_index) OVER p THEN 0 ELSE 1 END AS fresh FROM ac WINDOW p AS (PARTITION BY run, entity, kind ORDER BY w)),
- ai AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run, entity, kind ORDER BY w) AS BIGINT) AS island FROM ag)"""
-
-
-@query(f"""WITH {ACTS_SQL} SELECT run, entity, kind, island, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(count(*) AS BIGINT) AS windows, max(confidence) AS confidence FROM ai GROUP BY run, entity, kind, island""")
-def action_lifecycle(spark, sf_dir):
-    return tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS).groupBy("run", "entity", "kind", "island").agg(F.min("w").alias("first_w"), F.max("w").alias("last_w"), F.count("*").alias("windows"), F.max("confidence").alias("confidence"))
-
-
-def _intake(spark, sf_dir) -> DataFrame:
-    """Every step's actions: an actor, target and tool that may be elsewhere, every fifth seen in the context part only."""
-    acts = tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS)
-    new = F.row_number().over(Window.partitionBy("run", "entity", "kind", "island").orderBy("w")) == 1
-    n = F.col("entity") + F.col("w")
-    rows = acts.select("run", "w", F.when(n % 11 != 0, F.col("entity")).alias("actor"), F.when(n % 3 > 0, F.col("entity") + 8).alias("target"), F.when(n % 3 == 2, F.col("entity") + 16).alias("tool"), F.col("kind").alias("type"), (n % 5 != 0).alias("in_commit"), new.alias("new"), "entity")
-    return tracking.action_intake(rows, observed(spark, sf_dir), ["purchase"])
-
-
-_INTAKE_SQL = ACTS_SQL + """, pe AS (SELECT DISTINCT run, w, entity FROM ob), ik AS (SELECT ai.run, ai.w, ai.entity, ai.kind, (ai.entity + ai.w) % 11 <> 0 AS actor, (ai.entity + ai.w) % 5 <> 0 AS com, row_number() OVER (PARTITION BY ai.run, ai.entity, ai.kind, island ORDER BY ai.w) = 1 AS new,
-   ((ai.entity + ai.w) % 3 > 0 AND p8.entity IS NULL) OR ((ai.entity + ai.w) % 3 = 2 AND p16.entity IS NULL) AS lost
-  FROM ai LEFT JOIN pe p8 ON p8.run = ai.run AND p8.w = ai.w AND p8.entity = ai.entity + 8 LEFT JOIN pe p16 ON p16.run = ai.run AND p16.w = ai.w AND p16.entity = ai.entity + 16),
- oc AS (SELECT *, CASE WHEN NOT actor THEN 'skipped' WHEN NOT new THEN (CASE WHEN lost THEN 'uncertain' ELSE 'continued' END) WHEN NOT com THEN 'context_only' WHEN kind = 'purchase' THEN 'instant' WHEN lost THEN 'uncertain' ELSE 'started' END AS outcome FROM ik)"""
-
-
-@query(f"WITH {_INTAKE_SQL} SELECT run, w, entity, kind AS type, outcome FROM oc")
-def action_intake(spark, sf_dir):
-    return _intake(spark, sf_dir).select("run", "w", "entity", "type", "outcome")
-
-
-@query(f"WITH {_INTAKE_SQL} SELECT run, w, entity, kind AS type, 'action_' || lpad(CAST(row_number() OVER (PARTITION BY run ORDER BY w, entity, kind) AS VARCHAR), 6, '0') AS action_id FROM oc WHERE new AND outcome IN ('instant', 'uncertain', 'started')")
-def action_ids(spark, sf_dir):
-    """Ids of the actions that start, in order of window, actor and type."""
-    n = F.row_number().over(Window.partitionBy("run").orderBy("w", "entity", "type"))
-    return _intake(spark, sf_dir).where("new and outcome in ('instant', 'uncertain', 'started')").select("run", "w", "entity", "type", F.format_string("action_%06d", n).alias("action_id"))
-
-
-@query(f"""WITH {ACTS_SQL} SELECT a.run, a.entity, a.kind, a.island, CAST(coalesce((SELECT max(o.t) FROM ob o WHERE o.run = a.run AND o.w = a.w AND o.t < a.t0), a.w * {STRIDE}) AS BIGINT) AS lower_t, CAST(a.t0 AS BIGINT) AS upper_t FROM ai a WHERE a.fresh = 1""")
-def action_start_interval(spark, sf_dir):
-    acts = tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS)
-    heads = acts.withColumn("r", F.row_number().over(Window.partitionBy("run", "entity", "kind", "island").orderBy("w"))).where("r = 1")
-    frames = observed(spark, sf_dir).groupBy("run", "w").agg(F.collect_set("t").alias("ts"))
-    at = F.coalesce(F.array_max(F.filter("ts", lambda t: t < F.col("t0"))), F.col("w") * STRIDE)
-    return heads.join(frames, ["run", "w"]).select("run", "entity", "kind", "island", at.cast("long").alias("lower_t"), F.col("t0").alias("upper_t"))
-
-
-@query(f"""WITH {ACTS_SQL}, l AS (SELECT run, entity, kind, island, max(w) AS last_w, lead(max(w)) OVER (PARTITION BY run, entity, kind ORDER BY island) AS nxt FROM ai GROUP BY run, entity, kind, island),
- m AS (SELECT l.*, (SELECT count(*) FROM st WHERE st.run = l.run AND st.w > l.last_w AND NOT st.camera_change) AS missed FROM l)
- SELECT run, entity, kind, island, CASE WHEN missed = 0 THEN 'ongoing' WHEN missed < 2 THEN 'possible_ended' ELSE 'ended' END AS state FROM m""")
-def action_end_state(spark, sf_dir):
-    """State of every lifecycle at the end of its run: windows without a camera change after its last sighting count."""
-    acts = tracking.action_islands(_acts(spark, sf_dir), ["entity", "kind"], _ACTS).groupBy("run", "entity", "kind", "island").agg(F.max("w").alias("last_w"))
-    w = Window.partitionBy("run").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
-    after = _steps(spark, sf_dir).withColumn("missed", F.coalesce(F.count_if(~F.col("camera_change")).over(w), F.lit(0))).select("run", F.col("w").alias("last_w"), "missed")
-    state = F.when(F.col("missed") == 0, "ongoing").when(F.col("missed") < _ACTS.end_missing, "possible_ended").otherwise("ended")
-    return acts.join(after, ["run", "last_w"]).select("run", "entity", "kind", "island", state.alias("state"))
-
-
 _KEY = ["run", "entity", "attribute"]
 
 
@@ -392,6 +346,7 @@ def _attribute_rows(spark, sf_dir) -> DataFrame:
     o = observed(spark, sf_dir).withColumn("attribute", (F.col("k") % 6).cast("long"))
     last = o.groupBy(*_KEY, "w").agg(F.max_by(F.struct("kind", "confidence", "event_id"), F.struct("t", "event_id")).alias("x"))
     rows = last.select(*_KEY, "w", F.when(F.col("x.kind").isin("click", "view"), "open").otherwise("closed").alias("v"), F.least(F.lit(1.0), F.col("x.confidence") * 2).alias("c"), (F.col("x.event_id") % 4 != 0).alias("in_commit"), (F.col("x.event_id") % 2 == 0).alias("acted"), (F.col("attribute") == 3).alias("single_high"))
+    rows = rows.join(_steps(spark, sf_dir).select("run", "w", "camera_change"), ["run", "w"])
     return tracking.with_sweeps(rows, _steps(spark, sf_dir).select("run", "w"), _KEY)
 
 
@@ -400,12 +355,12 @@ def _attribute_log(spark, sf_dir) -> DataFrame:
 
 
 _SAME = " AND ".join(f"{{a}}.{c} = {{b}}.{c}" for c in _KEY)
-_FSM_SQL = f"""WITH RECURSIVE {STEPS_SQL}, sp AS (SELECT run, w, lag(w) OVER (PARTITION BY run ORDER BY w) AS pw FROM st),
+_FSM_SQL = f"""WITH RECURSIVE {STEPS_SQL}, sp AS (SELECT run, w, camera_change AS cam, lag(w) OVER (PARTITION BY run ORDER BY w) AS pw FROM st),
  la AS (SELECT run, entity, k % 6 AS attribute, w, arg_max(kind, (t, event_id)) AS kind, arg_max(confidence, (t, event_id)) AS conf, arg_max(event_id, (t, event_id)) AS eid FROM ob GROUP BY ALL),
  xo AS (SELECT la.run, entity, attribute, la.w, CASE WHEN kind IN ('click', 'view') THEN 'open' ELSE 'closed' END AS v, least(1.0::DOUBLE, conf * 2) AS c, eid % 4 <> 0 AS com, eid % 2 = 0 AS act, attribute = 3 AS sh, row_number() OVER p AS r,
-   CASE WHEN sp.pw > lag(la.w) OVER p THEN sp.pw END AS swept FROM la JOIN sp ON sp.run = la.run AND sp.w = la.w WINDOW p AS (PARTITION BY la.run, entity, attribute ORDER BY la.w)),
+   sp.cam, CASE WHEN sp.pw > lag(la.w) OVER p THEN sp.pw END AS swept FROM la JOIN sp ON sp.run = la.run AND sp.w = la.w WINDOW p AS (PARTITION BY la.run, entity, attribute ORDER BY la.w)),
  fs AS (SELECT run, entity, attribute, w, r, CASE WHEN c < 0.6::DOUBLE THEN 'observed' WHEN c >= 0.85::DOUBLE THEN 'confirmed' ELSE 'pending' END AS status, v AS value, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN v END AS pend, CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN 1 ELSE 0 END AS chain,
-   CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN w END AS ls, c >= 0.85::DOUBLE AS ever, CASE WHEN c < 0.6::DOUBLE THEN 'attribute_observed' WHEN c >= 0.85::DOUBLE THEN 'attribute_initialized' ELSE 'attribute_pending' END AS event, CAST(NULL AS VARCHAR) AS reason FROM xo WHERE r = 1
+   CASE WHEN c >= 0.6::DOUBLE AND c < 0.85::DOUBLE THEN w END AS ls, c >= 0.85::DOUBLE AS ever, CASE WHEN c < 0.6::DOUBLE THEN 'attribute_observed' WHEN c >= 0.85::DOUBLE THEN 'attribute_initialized' ELSE 'attribute_pending' END AS event, CASE WHEN c < 0.6::DOUBLE THEN 'low_confidence_observation' WHEN c >= 0.85::DOUBLE THEN 'initial_high_confidence_observation' ELSE 'medium_confidence_initial_observation' END AS reason FROM xo WHERE r = 1
   UNION ALL SELECT run, entity, attribute, w, r,
    CASE kind WHEN 'conflict' THEN 'conflicted' WHEN 'confirm' THEN 'confirmed' WHEN 'init' THEN 'confirmed' WHEN 'restart' THEN 'pending' ELSE status END,
    CASE WHEN kind IN ('direct', 'chainmove', 'confirm', 'init', 'restart') THEN v ELSE value END,
@@ -414,20 +369,22 @@ _FSM_SQL = f"""WITH RECURSIVE {STEPS_SQL}, sp AS (SELECT run, w, lag(w) OVER (PA
    CASE WHEN kind IN ('same', 'direct', 'chainmove', 'confirm', 'init') THEN NULL WHEN kind IN ('start', 'restart', 'wait') THEN w ELSE ls END,
    ever OR kind IN ('confirm', 'init'),
    CASE kind WHEN 'low' THEN 'attribute_observed' WHEN 'direct' THEN 'attribute_transition' WHEN 'chainmove' THEN 'attribute_transition' WHEN 'confirm' THEN 'attribute_confirmed' WHEN 'wait' THEN 'attribute_pending' WHEN 'start' THEN 'attribute_pending' WHEN 'restart' THEN 'attribute_pending' WHEN 'conflict' THEN 'attribute_conflict' WHEN 'init' THEN 'attribute_initialized' END,
-   CASE WHEN kind = 'direct' AND sh THEN 'single_high_policy' WHEN kind = 'direct' THEN 'high_confidence_with_action_support' WHEN kind = 'chainmove' THEN 'consecutive_window_support' END
+   CASE WHEN kind = 'direct' AND act THEN 'high_confidence_with_action_support' WHEN kind = 'direct' THEN 'single_high_policy' WHEN kind = 'chainmove' THEN 'consecutive_window_support' WHEN kind = 'confirm' THEN 'pending_value_confirmed'
+    WHEN kind IN ('wait', 'start') THEN 'awaiting_confirmation_support' WHEN kind = 'restart' THEN 'observed_value_pending' WHEN kind = 'conflict' THEN 'conflicting_pending_value' WHEN kind = 'low' THEN 'low_confidence_observation'
+    WHEN kind = 'init' AND v = value THEN 'observed_value_confirmed' WHEN kind = 'init' THEN 'high_confidence_replaces_observed' END
   FROM (SELECT *, CASE WHEN c < 0.6::DOUBLE THEN 'low' WHEN status = 'confirmed' THEN (CASE WHEN v = value THEN 'same' WHEN com AND c >= 0.85::DOUBLE AND (act OR sh) THEN 'direct' WHEN v = pend AND nchain >= 2 AND com THEN 'chainmove' WHEN v = pend THEN 'wait' WHEN pend IS NOT NULL THEN 'conflict' ELSE 'start' END)
      WHEN status = 'pending' THEN (CASE WHEN v = pend AND nchain >= 2 AND com THEN 'confirm' WHEN v = pend THEN 'wait' ELSE 'conflict' END)
      WHEN status = 'observed' THEN (CASE WHEN c >= 0.85::DOUBLE THEN 'init' ELSE 'restart' END) ELSE 'none' END AS kind
    FROM (SELECT x.run, x.entity, x.attribute, x.w, x.r, x.v, x.c, x.com, x.act, x.sh,
      CASE WHEN late AND f.status = 'pending' THEN (CASE WHEN f.ever THEN 'confirmed' ELSE 'observed' END) ELSE f.status END AS status, f.value, CASE WHEN late THEN NULL ELSE f.pend END AS pend, CASE WHEN late THEN 0 ELSE f.chain END AS chain, CASE WHEN late THEN NULL ELSE f.ls END AS ls, f.ever,
-     CASE WHEN NOT late AND f.ls = x.w - 1 THEN f.chain + 1 ELSE 1 END AS nchain
-    FROM (SELECT fs.*, coalesce(fs.pend IS NOT NULL AND greatest(nx.swept, CASE WHEN nx.c >= 0.6::DOUBLE THEN nx.w END) - fs.ls > 1 AND fs.status <> 'conflicted', false) AS late FROM fs JOIN xo nx ON {_SAME.format(a='nx', b='fs')} AND nx.r = fs.r + 1) f JOIN xo x ON {_SAME.format(a='x', b='f')} AND x.r = f.r + 1)))"""
+     CASE WHEN NOT late AND f.ls = x.w - 1 AND NOT x.cam THEN f.chain + 1 ELSE 1 END AS nchain
+    FROM (SELECT fs.*, coalesce(fs.pend IS NOT NULL AND greatest(nx.swept, CASE WHEN nx.c >= 0.6::DOUBLE THEN nx.w END) - fs.ls > 1, false) AS late FROM fs JOIN xo nx ON {_SAME.format(a='nx', b='fs')} AND nx.r = fs.r + 1) f JOIN xo x ON {_SAME.format(a='x', b='f')} AND x.r = f.r + 1)))"""
 _KEY_SQL = "run, entity, CAST(attribute AS BIGINT) AS attribute"
 
 
-@query(f"{_FSM_SQL} SELECT {_KEY_SQL}, w, status, value, pend AS pending, event FROM fs")
+@query(f"{_FSM_SQL} SELECT {_KEY_SQL}, w, status, value, pend AS pending, event, reason FROM fs")
 def attribute_fsm(spark, sf_dir):
-    return _attribute_log(spark, sf_dir).select(*_KEY, "w", "status", "value", "pending", "event")
+    return _attribute_log(spark, sf_dir).select(*_KEY, "w", "status", "value", "pending", "event", "reason")
 
 
 @query(f"{_FSM_SQL} SELECT {_KEY_SQL}, w, before, after FROM (SELECT *, lag(value) OVER (PARTITION BY run, entity, attribute ORDER BY w) AS before, value AS after FROM fs) WHERE event = 'attribute_transition'")
@@ -436,7 +393,7 @@ def attribute_transitions(spark, sf_dir):
     return _attribute_log(spark, sf_dir).withColumn("before", before).where("event = 'attribute_transition'").select(*_KEY, "w", "before", F.col("value").alias("after"))
 
 
-_EXPIRED_SQL = f"""{_FSM_SQL}, pe AS (SELECT fs.*, nx.w AS nw, nx.c AS nc, greatest(fs.w, fs.ls + 1) + 1 AS due FROM fs LEFT JOIN xo nx ON {_SAME.format(a='nx', b='fs')} AND nx.r = fs.r + 1 WHERE fs.pend IS NOT NULL AND fs.status <> 'conflicted'),
+_EXPIRED_SQL = f"""{_FSM_SQL}, pe AS (SELECT fs.*, nx.w AS nw, nx.c AS nc, greatest(fs.w, fs.ls + 1) + 1 AS due FROM fs LEFT JOIN xo nx ON {_SAME.format(a='nx', b='fs')} AND nx.r = fs.r + 1 WHERE fs.pend IS NOT NULL),
  sw AS (SELECT pe.*, (SELECT min(st.w) FROM st WHERE st.run = pe.run AND st.w >= pe.due) AS sweep FROM pe),
  ex AS (SELECT *, CASE WHEN sweep < coalesce(nw, sweep + 1) THEN sweep WHEN nc >= 0.6::DOUBLE AND nw >= due THEN nw END AS found_w FROM sw)"""
 
@@ -448,9 +405,16 @@ def attribute_pending_expiry(spark, sf_dir):
     return tracking.expired_pending(tracking.attribute_states(rows, _KEY), rows, _steps(spark, sf_dir), _KEY).select(*_KEY, "w", "pending", "status")
 
 
-@query(f"WITH {OBSERVED_SQL}, d AS (SELECT run, entity, kind, w, list_sort(list(DISTINCT event_id)) AS e FROM ob GROUP BY ALL), g AS (SELECT *, w - row_number() OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM d) SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, array_to_string(flatten(list(e ORDER BY w)), ',') AS evidence FROM g GROUP BY run, entity, kind, g")
+def _supported(spark, sf_dir) -> DataFrame:
+    """Observations with whether their step changes the camera."""
+    return observed(spark, sf_dir).join(_steps(spark, sf_dir).select("run", "w", "camera_change"), ["run", "w"])
+
+
+@query(f"""WITH {STEPS_SQL}, d AS (SELECT ob.run, entity, kind, ob.w, camera_change AS cam, list_sort(list(DISTINCT event_id)) AS e FROM ob JOIN st ON st.run = ob.run AND st.w = ob.w GROUP BY ALL),
+ b AS (SELECT *, CASE WHEN cam OR coalesce(w - lag(w) OVER p <> 1, true) THEN 1 ELSE 0 END AS fresh FROM d WINDOW p AS (PARTITION BY run, entity, kind ORDER BY w)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM b)
+ SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, array_to_string(flatten(list(e ORDER BY w)), ',') AS evidence FROM g GROUP BY run, entity, kind, g""")
 def attribute_support_evidence(spark, sf_dir):
-    rows = tracking.support_evidence(observed(spark, sf_dir), ["run", "entity", "kind"], "event_id")
+    rows = tracking.support_evidence(_supported(spark, sf_dir), ["run", "entity", "kind"], "event_id")
     return rows.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
 
 
@@ -464,9 +428,11 @@ def attribute_eligibility(spark, sf_dir):
     return tracking.attribute_eligibility(o).select("event_id", "rejected")
 
 
-@query(f"WITH {OBSERVED_SQL}, d AS (SELECT DISTINCT run, entity, kind, w FROM ob), g AS (SELECT *, w - row_number() OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM d) SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(count(*) AS BIGINT) AS windows FROM g GROUP BY run, entity, kind, g")
+@query(f"""WITH {STEPS_SQL}, d AS (SELECT DISTINCT ob.run, entity, kind, ob.w, camera_change AS cam FROM ob JOIN st ON st.run = ob.run AND st.w = ob.w),
+ b AS (SELECT *, CASE WHEN cam OR coalesce(w - lag(w) OVER p <> 1, true) THEN 1 ELSE 0 END AS fresh FROM d WINDOW p AS (PARTITION BY run, entity, kind ORDER BY w)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY run, entity, kind ORDER BY w) AS g FROM b)
+ SELECT run, entity, kind, CAST(min(w) AS BIGINT) AS first_w, CAST(max(w) AS BIGINT) AS last_w, CAST(count(*) AS BIGINT) AS windows FROM g GROUP BY run, entity, kind, g""")
 def attribute_support_chains(spark, sf_dir):
-    return tracking.support_chains(observed(spark, sf_dir), ["run", "entity", "kind"])
+    return tracking.support_chains(_supported(spark, sf_dir), ["run", "entity", "kind"])
 
 
 @query(f"""WITH {OBSERVED_SQL}, a AS (SELECT DISTINCT run, w, entity, kind FROM ob) SELECT o.event_id, EXISTS (SELECT 1 FROM a WHERE a.run = o.run AND a.w = o.w AND a.kind = 'click' AND a.entity IN (o.entity, o.entity + 8, o.entity + 16)) AS supported FROM ob o WHERE o.kind = 'view'""")
@@ -532,4 +498,4 @@ def report_frequency_timeline(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("run", "kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("w")), lambda x: x.cast("string")), ",").alias("windows"))
 
 
-from chronofold.plans import context, identity, intake, streams  # noqa: E402, F401  registers its queries
+from chronofold.plans import context, identity, intake, lifecycles, streams  # noqa: E402, F401  registers its queries

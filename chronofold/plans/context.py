@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from chronofold.operators import reports, tracking
 from chronofold.plans import catalogue as c
+from chronofold.plans import lifecycles
 from chronofold.plans.derived import OBSERVED_SQL, STEPS_SQL, observed, steps
 from chronofold.plans.registry import longs, query
+from chronofold.sources.scratch import stored
 
 #: Lengths of the lists, windows after which an entity is stale, characters of a context.
 _ENTITIES, _ACTIONS, _PENDING, _STALE, _BUDGET = 15, 8, 8, 5, 900
@@ -24,45 +26,44 @@ def _after(spark, sf_dir) -> DataFrame:
 
 
 def _actions(spark, sf_dir) -> DataFrame:
-    """Open actions at the end of their run."""
-    acts = tracking.action_islands(c._acts(spark, sf_dir), ["entity", "kind"], c._ACTS).groupBy("run", "entity", "kind", "island").agg(F.max("w").alias("last_w"))
-    open_ = acts.join(_after(spark, sf_dir).withColumnRenamed("w", "last_w"), ["run", "last_w"]).where(F.col("missed") < c._ACTS.end_missing)
-    return open_.select("run", "entity", "kind", "island", "last_w", F.when(F.col("missed") == 0, "ongoing").otherwise("possible_ended").alias("state"))
+    """Actions that are open at the end of their run."""
+    final = lifecycles.actions_of(spark, sf_dir)[1].where(~F.col("lifecycle").isin("ended", "instant"))
+    return final.select("run", F.col("actor").alias("entity"), F.col("type").alias("kind"), "action_id", "last_w", F.col("lifecycle").alias("state"))
 
 
-_OPEN_SQL = f"""{c.ACTS_SQL}, af AS ({_AFTER_SQL}), il AS (SELECT run, entity, kind, island, max(w) AS last_w FROM ai GROUP BY ALL),
- oa AS (SELECT il.*, CASE WHEN af.missed = 0 THEN 'ongoing' ELSE 'possible_ended' END AS state FROM il JOIN af ON af.run = il.run AND af.w = il.last_w WHERE af.missed < 2),
- ra AS (SELECT run, entity, kind, last_w, state, row_number() OVER (PARTITION BY run ORDER BY state = 'possible_ended', last_w DESC, entity, kind, island) AS rank FROM oa QUALIFY rank <= {_ACTIONS})"""
+_OPEN_SQL = f"""{lifecycles.LIFE_SQL}, oa AS (SELECT run, actor AS entity, type AS kind, action_id, last_w, lifecycle AS state FROM fin WHERE lifecycle NOT IN ('ended', 'instant')),
+ ra AS (SELECT run, entity, kind, last_w, state, row_number() OVER (PARTITION BY run ORDER BY state = 'possible_ended', last_w DESC, action_id) AS rank FROM oa QUALIFY rank <= {_ACTIONS})"""
 
 
-def _top_actions(spark, sf_dir) -> DataFrame:
-    return reports.top_k(_actions(spark, sf_dir), ["run"], [F.col("state") == "possible_ended", F.desc("last_w"), F.asc("entity"), F.asc("kind"), F.asc("island")], _ACTIONS)
+def _top_actions(spark, sf_dir, acts: DataFrame | None = None) -> DataFrame:
+    return reports.top_k(_actions(spark, sf_dir) if acts is None else acts, ["run"], [F.col("state") == "possible_ended", F.desc("last_w"), F.asc("action_id")], _ACTIONS)
 
 
-@query(f"WITH {_OPEN_SQL} SELECT run, entity, kind, CAST(last_w AS BIGINT) AS last_w, state, rank FROM ra")
+@query(f"WITH RECURSIVE {_OPEN_SQL} SELECT run, entity, kind, CAST(last_w AS BIGINT) AS last_w, state, rank FROM ra")
 def context_actions_topk(spark, sf_dir):
     return _top_actions(spark, sf_dir).select("run", "entity", "kind", "last_w", "state", "rank")
 
 
-def _entities(spark, sf_dir) -> DataFrame:
+def _entities(spark, sf_dir, acts: DataFrame | None = None) -> DataFrame:
     """Entities that aren't inactive or stale; those in an open action always stay unless inactive."""
+    acts = _actions(spark, sf_dir) if acts is None else acts
     seen = observed(spark, sf_dir).groupBy("run", "entity").agg(F.max("w").alias("w"))
-    related = _actions(spark, sf_dir).select("run", "entity", F.lit(True).alias("related")).distinct()
+    related = acts.select("run", "entity", F.lit(True).alias("related")).distinct()
     e = seen.join(_after(spark, sf_dir), ["run", "w"]).join(related, ["run", "entity"], "left").withColumn("related", F.coalesce("related", F.lit(False)))
     e = e.where((F.col("missed") <= 10) & (F.col("related") | (F.col("now") - F.col("w") <= _STALE)))
     return e.select("run", "entity", F.col("w").alias("last_w"), "related", (F.col("missed") == 0).alias("active"))
 
 
-_ENTITIES_SQL = f"""{_OPEN_SQL}, es AS (SELECT run, entity, max(w) AS w FROM ob GROUP BY ALL),
+_ENTITIES_SQL = f"""{_OPEN_SQL}, af AS ({_AFTER_SQL}), es AS (SELECT run, entity, max(w) AS w FROM ob GROUP BY ALL),
  en AS (SELECT es.run, es.entity, es.w AS last_w, EXISTS (SELECT 1 FROM oa WHERE oa.run = es.run AND oa.entity = es.entity) AS related, af.missed, af.now FROM es JOIN af ON af.run = es.run AND af.w = es.w),
  re AS (SELECT run, entity, last_w, related, missed = 0 AS active, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, missed = 0 DESC, entity) AS rank FROM en WHERE missed <= 10 AND (related OR now - last_w <= {_STALE}) QUALIFY rank <= {_ENTITIES})"""
 
 
-def _top_entities(spark, sf_dir) -> DataFrame:
-    return reports.top_k(_entities(spark, sf_dir), ["run"], [F.desc("related"), F.desc("last_w"), F.desc("active"), F.asc("entity")], _ENTITIES)
+def _top_entities(spark, sf_dir, acts: DataFrame | None = None) -> DataFrame:
+    return reports.top_k(_entities(spark, sf_dir, acts), ["run"], [F.desc("related"), F.desc("last_w"), F.desc("active"), F.asc("entity")], _ENTITIES)
 
 
-@query(f"WITH {_ENTITIES_SQL} SELECT run, entity, CAST(last_w AS BIGINT) AS last_w, related, active, rank FROM re")
+@query(f"WITH RECURSIVE {_ENTITIES_SQL} SELECT run, entity, CAST(last_w AS BIGINT) AS last_w, related, active, rank FROM re")
 def context_entities_topk(spark, sf_dir):
     return _top_entities(spark, sf_dir).select("run", "entity", "last_w", "related", "active", "rank")
 
@@ -117,7 +118,8 @@ def context_scene(spark, sf_dir):
 def _context(spark, sf_dir) -> DataFrame:
     """What of the three lists fits the budget: entities go first, then actions, then pending values."""
     item = lambda kind, *parts: F.concat(F.lit(f'{{"{kind}":"'), F.concat_ws("/", *[F.col(p).cast("string") for p in parts]), F.lit('"}'))
-    lists = [("pending", 0, _top_pending(spark, sf_dir), ("entity", "attribute", "pending")), ("action", 1, _top_actions(spark, sf_dir), ("entity", "kind", "state", "last_w")), ("entity", 2, _top_entities(spark, sf_dir), ("entity", "last_w", "related", "active"))]
+    acts = stored(_actions(spark, sf_dir), "open-actions")
+    lists = [("pending", 0, _top_pending(spark, sf_dir), ("entity", "attribute", "pending")), ("action", 1, _top_actions(spark, sf_dir, acts), ("entity", "kind", "state", "last_w")), ("entity", 2, _top_entities(spark, sf_dir, acts), ("entity", "last_w", "related", "active"))]
     rows = None
     for kind, order, top, parts in lists:
         part = top.select("run", F.lit(kind).alias("list"), F.lit(order).alias("o"), "rank", F.col("entity").alias("entity_id"), item(kind, *parts).alias("item"))
@@ -151,7 +153,7 @@ def context_candidate_ids(spark, sf_dir):
     return _context(spark, sf_dir).where("list = 'entity'").select("run", F.col("entity_id").alias("entity"))
 
 
-@query(f"{_context_sql()}, pr AS (SELECT run, max(used) AS n FROM kp GROUP BY run) SELECT round(avg(n), 6) AS average_characters, count(*) = 0 AS none FROM pr")
+@query(f"{_context_sql()}, px AS (SELECT run, max(used) AS n FROM kp GROUP BY run) SELECT round(avg(n), 6) AS average_characters, count(*) = 0 AS none FROM px")
 def report_context_characters(spark, sf_dir):
     n = _context(spark, sf_dir).groupBy("run").agg(F.max("used").alias("n"))
     return n.agg(F.round(F.avg("n"), 6).alias("average_characters"), (F.count("*") == 0).alias("none"))
@@ -164,7 +166,7 @@ def report_run_totals(spark, sf_dir):
     return g.select(*longs("run", "windows", "success"), (F.col("windows") - F.col("success")).cast("long").alias("failed"))
 
 
-@query(f"WITH {_OPEN_SQL} SELECT e.run, CAST(e.n AS BIGINT) AS entities, CAST(coalesce(a.n, 0) AS BIGINT) AS active_actions FROM (SELECT run, count(DISTINCT entity) AS n FROM ob GROUP BY run) e LEFT JOIN (SELECT run, count(*) AS n FROM oa GROUP BY run) a ON a.run = e.run")
+@query(f"WITH RECURSIVE {_OPEN_SQL} SELECT e.run, CAST(e.n AS BIGINT) AS entities, CAST(coalesce(a.n, 0) AS BIGINT) AS active_actions FROM (SELECT run, count(DISTINCT entity) AS n FROM ob GROUP BY run) e LEFT JOIN (SELECT run, count(*) AS n FROM oa GROUP BY run) a ON a.run = e.run")
 def report_final_counts(spark, sf_dir):
     entities = observed(spark, sf_dir).groupBy("run").agg(F.countDistinct("entity").alias("entities"))
     return entities.join(_actions(spark, sf_dir).groupBy("run").agg(F.count("*").alias("active_actions")), "run", "left").select("run", "entities", F.coalesce("active_actions", F.lit(0)).alias("active_actions"))
