@@ -133,7 +133,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     site = F.md5(F.to_json(F.struct(F.col("_host").alias("h"), F.col("_path").alias("p")), {"ignoreNullFields": "false"}))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), host.alias("_host"), path.alias("_path"), F.col(f"`{text_col}`").cast("string").alias("_body"), *[F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)])
     marks = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("good")).where("good in (0, 1) and _id is not null").groupBy("_id").agg(F.max("good").alias("good")).where(~held_out("_id"))
-    features = written(with_features(rows, "_body").join(marks.hint("merge"), "_id", "left").withColumn("_site", site), "quality")
+    features = written(with_features(rows, "_body").join(marks.hint("merge"), "_id", "left").withColumns({"_site": site, "_n": F.monotonically_increasing_id()}), "quality")
     logit = classifier_logit(features)
     p = 1 / (1 + F.exp(-logit))
     scored = written(features.select(*[c for c in features.columns if c not in ("_features", "good")], logit.alias("_logit"), F.coalesce(F.col("good").cast("double"), p).alias("_e")), "scored")
@@ -144,8 +144,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     a = strength(hosts, "hn", "hk", F.lit(prior))
     sites = written(paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).select("_site", "n", "k", "hn", "hk"), "sites")
     b = strength(sites, "n", "k", (F.col("hk") + a * prior) / (F.col("hn") + a))
-    # hot sites are dealt over several tasks
-    both = salted_join(scored, sites, "_site", frequent(scored.select("_site"), "_site"), F.col("_logit"))
+    # hot sites are dealt over several tasks by row, so that equal texts are dealt too
+    both = salted_join(scored, sites, "_site", frequent(scored.select("_site"), "_site"), F.col("_n"))
     both = both.withColumn("host_posterior", (F.col("hk") - F.col("_e") + a * prior) / (F.col("hn") - 1 + a))
     both = both.withColumn("path_posterior", (F.col("k") - F.col("_e") + b * F.col("host_posterior")) / (F.col("n") - 1 + b))
     inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior")))
