@@ -14,18 +14,44 @@ from chronofold.sources.scratch import stored
 _KEY = ["run", "w"]
 
 
+#: Answers of this many kinds; what is wrong with an answer of each kind.
+_KINDS = 29
+_WRONG = {
+    2: "mood: extra", 3: "entities[0].entity_type: missing", 4: "entities[0].confidence: range", 5: "entities[0].evidence_frames[1]: type", 6: "scene.view_type: value", 7: "entities[0].confidence: type", 8: ": 2.0 needs window.commit_start_seconds", 9: "entities: type",
+    13: "window: ends before its start", 14: "window: commit start outside", 15: "relations[0].object_local_id: missing", 16: "attribute_observations[0]: attribute_key needed", 17: "entities[0].local_id: length", 18: "actions[0].phase_observation: value", 19: "scene.scene_visibility: value",
+    20: "summary: type", 21: "entities[0].entity_type: value", 22: "uncertainties[0].uncertainty_type: value", 23: "task_conditioned_interpretation.confidence: missing", 24: "relations[0].confidence: range; relations[0].mood: extra",
+}
+
+
 def _raw(spark, sf_dir) -> DataFrame:
-    """An answer for every event; k % 13 chooses what is wrong with it."""
+    """An answer for every event, with all fields that an observation may have; k chooses what is wrong with it.
+
+    Of those that are right, one kind states numbers as texts and leaves out what may be left out.
+    """
     o = observed(spark, sf_dir)
-    case = F.col("k") % 13
+    case = F.col("k") % _KINDS
+    pick = lambda usual, **other: F.coalesce(*[F.when(case == int(c[1:]), x) for c, x in other.items()], F.lit(usual))
+    frames = ', "evidence_frames": [0, 1]}'
     entity = F.concat(
-        F.lit('{"local_id": "e'), F.col("entity").cast("string"), F.lit('"'), F.when(case == 3, "").otherwise(', "entity_type": "person"'),
-        F.when(case == 4, ', "confidence": 1.5').when(case == 7, ', "confidence": "high"').otherwise(', "confidence": 0.5'), F.when(case == 5, ', "evidence_frames": [0, "F1"]}').otherwise(', "evidence_frames": [0, 1]}'),
+        F.lit('{"local_id": "'), pick("e1", c17=""), F.lit('"'), pick(', "entity_type": "person"', c3="", c21=', "entity_type": "ghost"'), pick(', "confidence": 0.5', c4=', "confidence": 1.5', c7=', "confidence": "high"', c25=', "confidence": "0.5"'),
+        F.lit(', "name": "n", "description": "", "appearance": {"colour": "red", "parts": [1, {"a": null}]}, "spatial_region": "left", "candidate_global_id": null'), pick(frames, c5=', "evidence_frames": [0, "F1"]}', c25=', "evidence_frames": [0.0, "1"]}'),
+    )
+    action = F.concat(
+        F.lit('{"local_id": "a1", "actor_local_id": "e1", "action_type": "press", "raw_action_type": "click", "action_family": null, "normalization_status": "alias_mapped", "target_local_id": null, "tool_local_id": "e1", "description": "", "confidence": 1, "phase_observation": "'),
+        pick("starting", c18="done"), F.lit('"'), F.lit(frames),
+    )
+    attribute = F.concat(F.lit('{"entity_local_id": "e1", '), pick('"attribute_key": "door", "raw_attribute": "Door", "raw_value": null, ', c16='"attribute_key": "", ', c26='"attribute": "door", '), F.lit('"value": "open", "normalization_status": "canonical", "confidence": 0.0'), F.lit(frames))
+    relation = F.concat(F.lit('{"subject_local_id": "e1", "relation_type": "near"'), pick(', "object_local_id": "e2"', c15=""), pick(', "confidence": 0.25', c24=', "confidence": -0.25, "mood": 1'), F.lit(frames))
+    window = F.concat(F.lit('"window": {"global_index": '), F.col("w").cast("string"), F.lit(', "start_seconds": 0, '), pick('"commit_start_seconds": 1.5, ', c8="", c14='"commit_start_seconds": 3.0, '), pick('"end_seconds": 3}, ', c13='"end_seconds": 0}, '))
+    window = F.when(case == 13, F.concat(F.lit('"window": {"global_index": '), F.col("w").cast("string"), F.lit(', "start_seconds": 4, "commit_start_seconds": 4, "end_seconds": 3}, '))).otherwise(window)
+    rest = F.concat(
+        F.lit(', "actions": ['), action, F.lit('], "attribute_observations": ['), attribute, F.lit('], "relations": ['), relation, F.lit('], "uncertainties": [{"description": "which", "related_local_ids": ["e1"], "evidence_frames": [], "uncertainty_type": "'), pick("identity", c22="mood"),
+        F.lit('"}], "visual_fact": null, "task_conditioned_interpretation": {"description": "d", "supporting_local_ids": []'), pick(', "confidence": 1.0}', c23="}"),
     )
-    window = F.concat(F.lit('"window": {"global_index": '), F.col("w").cast("string"), F.lit(', "start_seconds": 0, '), F.when(case == 8, "").otherwise('"commit_start_seconds": 1.5, '), F.lit('"end_seconds": 3}, '))
     body = F.concat(
-        F.lit('{"schema_version": "2.0", '), F.when(case == 12, "").otherwise(window), F.when(case == 2, '"mood": 1, ').otherwise(""), F.when(case == 6, '"scene": {"view_type": "sideways"}, ').otherwise('"scene": {"view_type": "wide", "camera_change": false}, '),
-        F.lit('"entities": '), F.when(case == 9, '"none"').otherwise(F.concat(F.lit("["), entity, F.lit("]"))), F.lit("}"),
+        F.lit('{"schema_version": "2.0", '), F.when(case == 12, "").otherwise(window), pick("", c2='"mood": 1, '), pick('"summary": "s", ', c20='"summary": null, '),
+        F.lit('"scene": {"view_type": "'), pick("wide", c6="sideways"), F.lit('", "camera_change": '), pick("false", c25='"no"'), F.lit(', "scene_visibility": "'), pick("clear", c19="full"), F.lit('", "target_visibility": "poor", "continuity_hint": "reframed", "description": "", "visibility": null}, '),
+        F.lit('"entities": '), F.when(case == 9, '"none"').otherwise(F.concat(F.lit("["), entity, F.lit("]"))), F.when(case == 25, "").otherwise(rest), F.lit("}"),
     )
     raw = F.when(case == 10, '{"entities": [}').when(case == 11, "I saw nothing.").otherwise(F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")))
     return o.select(*longs("event_id"), *longs(*_KEY), case.alias("case"), raw.alias("raw"))
@@ -42,26 +68,25 @@ def _parsed(spark, sf_dir) -> DataFrame:
 
 def _violations(parsed: DataFrame, key: list[str]) -> DataFrame:
     found = schema.observation_violations(parsed.where("status = 'ok'"), key, "v")
-    return found.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "reason"))), "; ").alias("violations"))
+    return found.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("path"), F.lit(": "), F.col("reason")))), "; ").alias("violations"))
 
 
-_WRONG = {2: "mood: extra", 3: "entities[0].entity_type: missing", 4: "entities[0].confidence: range", 5: "entities[0].evidence_frames[1]: type", 6: "scene.view_type: value", 7: "entities[0].confidence: type", 8: "window.commit_start_seconds: needed by 2.0", 9: "entities: type"}
-_WRONG_SQL = "CASE k % 13 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _WRONG.items()) + " END"
+_WRONG_SQL = f"CASE k % {_KINDS} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _WRONG.items()) + " END"
 
 
-@query(f"WITH {OBSERVED_SQL} SELECT event_id, {_WRONG_SQL} AS violations FROM ob WHERE k % 13 BETWEEN 2 AND 9")
+@query(f"WITH {OBSERVED_SQL} SELECT event_id, {_WRONG_SQL} AS violations FROM ob WHERE k % {_KINDS} IN ({', '.join(map(str, _WRONG))})")
 def schema_validation(spark, sf_dir):
     """All violations of the schema, of every answer that is JSON."""
     return _violations(_parsed(spark, sf_dir), ["event_id"])
 
 
-@query(f"WITH {OBSERVED_SQL} SELECT event_id, k % 13 = 12 AS injected, CAST(w AS BIGINT) AS global_index FROM ob WHERE k % 13 NOT IN (10, 11)")
+@query(f"WITH {OBSERVED_SQL} SELECT event_id, k % {_KINDS} = 12 AS injected, CAST(w AS BIGINT) AS global_index FROM ob WHERE k % {_KINDS} NOT IN (10, 11)")
 def inject_window(spark, sf_dir):
     return _parsed(spark, sf_dir).where("status = 'ok'").select("event_id", "injected", F.try_variant_get("v", "$.window.global_index", "long").alias("global_index"))
 
 
-@query(f"""WITH {OBSERVED_SQL} SELECT event_id, run, w, CASE k % 13 WHEN 11 THEN 'extract' WHEN 10 THEN 'parse' ELSE 'schema' END AS stage, CASE WHEN k % 13 >= 10 THEN 'parse_error' ELSE 'schema_error' END AS error_type, 'skip' AS effect,
- CASE k % 13 WHEN 11 THEN 'no JSON object' WHEN 10 THEN 'malformed JSON' ELSE {_WRONG_SQL} END AS message FROM ob WHERE k % 13 BETWEEN 2 AND 11""")
+@query(f"""WITH {OBSERVED_SQL} SELECT event_id, run, w, CASE k % {_KINDS} WHEN 11 THEN 'extract' WHEN 10 THEN 'parse' ELSE 'schema' END AS stage, CASE WHEN k % {_KINDS} IN (10, 11) THEN 'parse_error' ELSE 'schema_error' END AS error_type, 'skip' AS effect,
+ CASE k % {_KINDS} WHEN 11 THEN 'no JSON object' WHEN 10 THEN 'malformed JSON' ELSE {_WRONG_SQL} END AS message FROM ob WHERE k % {_KINDS} IN (10, 11, {', '.join(map(str, _WRONG))})""")
 def error_taxonomy(spark, sf_dir):
     """What became of the answers that gave no observation."""
     p = _parsed(spark, sf_dir)

@@ -1,5 +1,8 @@
 """Scans, sinks, run ids, streams and normalization on small fixtures."""
 
+import ast
+import json
+
 from pyspark.sql import functions as F
 
 from chronofold.functions import vocabulary
@@ -76,11 +79,55 @@ def test_schema_of_nested_documents(spark):
         got.setdefault(r.id, set()).add(f"{r.path}: {r.reason}")
     assert got == {
         2: {"window.global_index: range", "window.start_seconds: type", "entities[1].local_id: type", "entities[1].entity_type: missing", "entities[1].confidence: range", "entities[1].z: extra"},
-        3: {"scene: type"},
+        3: {"scene: type", "summary: type"},
         4: {": type"},
     }
 
 
+def test_every_rule_of_an_observation(spark):
+    """A document with all fields breaks nothing; one change at a time breaks the rule that it is about."""
+    frames = {"evidence_frames": [0, 1], "confidence": 0.5}
+    whole = {
+        "schema_version": "2.0", "window": {"global_index": 0, "start_seconds": 0, "commit_start_seconds": 1, "end_seconds": 2.5}, "summary": "s",
+        "scene": {"camera_change": True, "view_type": "detail", "scene_visibility": "poor", "target_visibility": "clear", "continuity_hint": "unknown", "description": "", "visibility": None},
+        "entities": [{"local_id": "e", "entity_type": "ppe", "name": "", "description": "", "appearance": {"a": [1, {"b": None}]}, "spatial_region": "left", "candidate_global_id": None, **frames}],
+        "actions": [{"local_id": "a", "actor_local_id": None, "action_type": "x", "raw_action_type": None, "action_family": None, "normalization_status": "unknown", "target_local_id": "e", "tool_local_id": None, "phase_observation": "instant", "description": "", **frames}],
+        "attribute_observations": [{"entity_local_id": "e", "attribute_key": "k", "value": "v", "raw_attribute": None, "raw_value": None, "normalization_status": "invalid_for_entity_type", "attribute": None, **frames}],
+        "relations": [{"subject_local_id": "e", "relation_type": "r", "object_local_id": "f", **frames}],
+        "uncertainties": [{"uncertainty_type": "causality", "description": "d", "related_local_ids": ["e"], "evidence_frames": []}],
+        "visual_fact": None, "task_conditioned_interpretation": {"description": "d", "confidence": 1, "supporting_local_ids": []},
+    }
+    changes = {
+        "window.global_index=-1": "window.global_index: range", "window.global_index=1.5": "window.global_index: type", "window.start_seconds=-1": "window.start_seconds: range",
+        "window.end_seconds=0": "window.end_seconds: range|window: ends before its start", "window.end_seconds=0.0": "window.end_seconds: range|window: ends before its start", "window.commit_start_seconds=2.5": "window: commit start outside",
+        "window.commit_start_seconds=None": ": 2.0 needs window.commit_start_seconds", "window=None": "window: type", "summary=5": "summary: type", "scene.camera_change='maybe'": "scene.camera_change: type", "scene.view_type='far'": "scene.view_type: value",
+        "scene.scene_visibility='full'": "scene.scene_visibility: value", "scene.target_visibility=None": "scene.target_visibility: type", "scene.continuity_hint='cut'": "scene.continuity_hint: value", "scene.visibility='full'": "scene.visibility: value",
+        "entities.0.local_id=''": "entities[0].local_id: length", "entities.0.entity_type='cat'": "entities[0].entity_type: value", "entities.0.appearance=[]": "entities[0].appearance: type", "entities.0.confidence=1.01": "entities[0].confidence: range",
+        "entities.0.evidence_frames=None": "entities[0].evidence_frames: type", "entities.0.evidence_frames.1=0.5": "entities[0].evidence_frames[1]: type", "entities.0.global_id='x'": "entities[0].global_id: extra", "actions.0.action_type=''": "actions[0].action_type: length",
+        "actions.0.phase_observation='over'": "actions[0].phase_observation: value", "actions.0.normalization_status='invalid_for_entity_type'": "actions[0].normalization_status: value", "attribute_observations.0.normalization_status='unknown'": "attribute_observations[0].normalization_status: value",
+        "attribute_observations.0.attribute_key=None": "attribute_observations[0]: attribute_key needed", "attribute_observations.0.value=''": "attribute_observations[0].value: length", "relations.0.object_local_id=None": "relations[0].object_local_id: type",
+        "uncertainties.0.uncertainty_type='mood'": "uncertainties[0].uncertainty_type: value", "uncertainties.0.related_local_ids.0=1": "uncertainties[0].related_local_ids[0]: type", "task_conditioned_interpretation.description=''": "task_conditioned_interpretation.description: length",
+        "task_conditioned_interpretation=[]": "task_conditioned_interpretation: type",
+        # these break nothing
+        "schema_version='1.0'": "", "window.global_index='3'": "", "window.global_index=2.0": "", "window.start_seconds='0.5'": "", "scene.camera_change='off'": "", "scene.camera_change=1": "", "entities.0.confidence='1'": "", "task_conditioned_interpretation=None": "", "visual_fact='f'": "", "entities=[]": "",
+    }
+    rows = [("whole", json.dumps(whole)), ("least", '{"schema_version": "1.0", "window": {"global_index": 0, "start_seconds": 0, "end_seconds": 1}}')]
+    for change in changes:
+        path, value = change.split("=")
+        doc = json.loads(json.dumps(whole))
+        at = doc
+        for part in path.split(".")[:-1]:
+            at = at[int(part) if part.isdigit() else part]
+        last = path.split(".")[-1]
+        at[int(last) if last.isdigit() else last] = ast.literal_eval(value)
+        rows.append((change, json.dumps(doc)))
+    df = spark.createDataFrame(rows, "id string, t string").withColumn("v", F.try_parse_json("t"))
+    got = {}
+    for r in schema.observation_violations(df, ["id"], "v").collect():
+        got.setdefault(r.id, set()).add(f"{r.path}: {r.reason}")
+    assert got == {c: set(w.split("|")) for c, w in changes.items() if w}
+
+
 def test_formal_ids(spark):
     ids = {"person_1": True, "equipment_0012": True, "person_x": False, "box_1": False, "person": False, "a_person_1": False, None: False}
     df = spark.createDataFrame([(k,) for k in ids], "x string")
