@@ -17,18 +17,18 @@ from chronofold.sources.scratch import stored
 _PART = "_part"
 
 
-def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
+def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """df with running values of each key's rows in their order, however long its history is.
 
     sums: totals up to and including the row (nulls count nothing); lasts: the
     last value that isn't null, up to and including the row; before: the row
-    before's value, null at a key's beginning.  Null keys are equal; the order
-    must be total within a key and hold no nulls.  Without a key all rows are one
-    history.  The rows are written once, ranged over `parts` partitions.
+    before's value, tops: the greatest value of all rows before, null at a key's
+    beginning.  Null keys are equal; the order must be total within a key and
+    hold no nulls.  Without a key all rows are one history.  The rows are written once, ranged over `parts` partitions.
     """
-    sums, lasts, before = sums or {}, lasts or {}, before or {}
+    sums, lasts, before, tops = sums or {}, lasts or {}, before or {}, tops or {}
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = {**{f"_s{i}": c for i, c in enumerate(sums.values())}, **{f"_l{i}": c for i, c in enumerate(lasts.values())}, **{f"_b{i}": c for i, c in enumerate(before.values())}}
+    named = {**{f"_s{i}": c for i, c in enumerate(sums.values())}, **{f"_l{i}": c for i, c in enumerate(lasts.values())}, **{f"_b{i}": c for i, c in enumerate(before.values())}, **{f"_t{i}": c for i, c in enumerate(tops.values())}}
     rows = df.select("*", *[c.alias(n) for n, c in named.items()]).repartitionByRange(parts, *[F.col(c) for c in (*key, *order)])
     rows = stored(rows.withColumn(_PART, F.spark_partition_id()), "ranges")
     here = Window.partitionBy(_PART, *key).orderBy(*order)
@@ -36,19 +36,20 @@ def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Col
     values = lambda kind: [n for n in named if n.startswith(kind)]
     # what each partition adds to a key
     at = F.struct(*order)
-    ends = [F.sum(n).alias(n) for n in values("_s")] + [F.max_by(F.when(F.col(n).isNotNull(), F.struct(n)), F.when(F.col(n).isNotNull(), at)).alias(n) for n in values("_l")] + [F.max_by(F.struct(n), at).alias(n) for n in values("_b")]
+    ends = [F.sum(n).alias(n) for n in values("_s")] + [F.max(n).alias(n) for n in values("_t")] + [F.max_by(F.when(F.col(n).isNotNull(), F.struct(n)), F.when(F.col(n).isNotNull(), at)).alias(n) for n in values("_l")] + [F.max_by(F.struct(n), at).alias(n) for n in values("_b")]
     borders = rows.groupBy(_PART, *key).agg(*ends, F.count("*").alias("_n"))
     past = Window.partitionBy(*key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = borders.select(_PART, *key, F.sum("_n").over(past).alias("_n"), *[F.sum(n).over(past).alias(f"c{n}") for n in values("_s")], *[F.last(n, ignorenulls=True).over(past).alias(f"c{n}") for n in (*values("_l"), *values("_b"))])
+    carried = borders.select(_PART, *key, F.sum("_n").over(past).alias("_n"), *[F.sum(n).over(past).alias(f"c{n}") for n in values("_s")], *[F.max(n).over(past).alias(f"c{n}") for n in values("_t")], *[F.last(n, ignorenulls=True).over(past).alias(f"c{n}") for n in (*values("_l"), *values("_b"))])
     # one row a partition at most: only the key that a partition begins with can have rows before it
     carried = carried.where("_n is not null").drop("_n").select(F.col(_PART).alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[f"c{n}" for n in named])
-    local = rows.select("*", *[F.sum(n).over(upto).alias(f"o{n}") for n in values("_s")], *[F.last(F.when(F.col(n).isNotNull(), F.struct(n)), ignorenulls=True).over(upto).alias(f"o{n}") for n in values("_l")], *[F.lag(F.struct(n)).over(here).alias(f"o{n}") for n in values("_b")])
+    local = rows.select("*", *[F.sum(n).over(upto).alias(f"o{n}") for n in values("_s")], *[F.last(F.when(F.col(n).isNotNull(), F.struct(n)), ignorenulls=True).over(upto).alias(f"o{n}") for n in values("_l")], *[F.lag(F.struct(n)).over(here).alias(f"o{n}") for n in values("_b")], *[F.max(n).over(here.rowsBetween(Window.unboundedPreceding, -1)).alias(f"o{n}") for n in values("_t")])
     same = F.col(_PART) == F.col("_p")
     for i, k in enumerate(key):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     both = local.join(F.broadcast(carried), same, "left")
     out = [F.when(F.col(f"o{n}").isNull() & F.col(f"c{n}").isNull(), F.lit(None)).otherwise(F.coalesce(f"o{n}", F.lit(0)) + F.coalesce(f"c{n}", F.lit(0))).alias(name) for n, name in zip(values("_s"), sums, strict=True)]
     out += [F.coalesce(f"o{n}", f"c{n}")[n].alias(name) for kind, given in (("_l", lasts), ("_b", before)) for n, name in zip(values(kind), given, strict=True)]
+    out += [F.greatest(f"o{n}", f"c{n}").alias(name) for n, name in zip(values("_t"), tops, strict=True)]
     return both.select(*[F.col(c) for c in df.columns], *out)
 
 

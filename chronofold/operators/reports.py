@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronofold.operators.ranges import numbered
+from chronofold.operators.ranges import numbered, running
+from chronofold.sources.scratch import stored
 
 
 def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -62,6 +63,35 @@ def duplicate_pairs(actions: DataFrame, key: list[str], id_col: str, windows: st
     return a.join(b, same & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))).select(F.col(f"a.{id_col}").alias("first_id"), F.col(f"b.{id_col}").alias("second_id")).distinct()
 
 
+def duplicate_groups(actions: DataFrame, key: list[str], id_col: str, first: str, last: str, gap: int = 1) -> DataFrame:
+    """Actions with group (the smallest id of those that overlap, directly or through others), members and links.
+
+    Actions of null-safely equal keys overlap if their windows, from first to
+    last, are at most `gap` apart.  Sorted by their first window, an action
+    begins a group if no earlier one reaches it.  links: how many it overlaps
+    itself, as those that begin up to its reach less those that end before it:
+    half of their sum is the number of pairs, of which none is made.  Ids are
+    unique.
+    """
+    rows = actions.select(*key, F.col(id_col).alias("_id"), F.col(first).alias("_first"), F.col(last).alias("_last"))
+    swept = running(rows, key, ["_first", "_id"], tops={"_reach": F.col("_last")})
+    swept = running(swept, key, ["_first", "_id"], sums={"_group": F.when(F.coalesce(F.col("_first") <= F.col("_reach") + gap, F.lit(False)), 0).otherwise(1).cast("long")})
+    swept = stored(swept, "sweep")
+    groups = swept.groupBy(*key, "_group").agg(F.min("_id").alias("group"), F.count("*").alias("members"))
+    same = F.col("_g") == F.col("_group")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    groups = groups.select(F.col("_group").alias("_g"), *[F.col(k).alias(f"_k_{k}") for k in key], "group", "members")
+    out = swept.join(groups, same).select(*key, "_id", "_first", "_last", "group", "members")
+    # at one window, an action asks for what ended before it first and for what began up to its reach last
+    mark = lambda at, order, begins, ends, asks: F.struct(at.cast("long").alias("at"), F.lit(order).alias("o"), F.lit(begins).cast("long").alias("begins"), F.lit(ends).cast("long").alias("ends"), F.lit(asks).alias("asks"))
+    marks = F.array(mark(F.col("_first") - gap, 0, 0, 0, "before"), mark(F.col("_first"), 1, 1, 0, None), mark(F.col("_last"), 1, 0, 1, None), mark(F.col("_last") + gap, 2, 0, 0, "upto"))
+    points = rows.select(*key, "_id", F.posexplode(marks).alias("p", "m")).select(*key, "_id", "p", "m.*")
+    counted = running(points, key, ["at", "o", "_id", "p"], sums={"begun": F.col("begins"), "ended": F.col("ends")}).where("asks is not null")
+    links = counted.groupBy("_id").agg((F.max(F.when(F.col("asks") == "upto", F.col("begun"))) - F.max(F.when(F.col("asks") == "before", F.col("ended"))) - 1).alias("links"))
+    return out.join(links, "_id").select(*key, F.col("_id").alias(id_col), F.col("_first").alias(first), F.col("_last").alias(last), "group", "members", "links")
+
+
 def near_changes(rows: DataFrame, changes: DataFrame, group: list[str], w: str = "w", reach: int = 1) -> DataFrame:
     """Rows whose window is at most `reach` from a change of their group."""
     around = changes.select(*group, F.explode(F.sequence(F.col(w) - reach, F.col(w) + reach)).alias(w)).distinct()

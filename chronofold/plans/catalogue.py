@@ -480,6 +480,19 @@ def report_duplicate_actions(spark, sf_dir):
     return reports.duplicate_pairs(a, ["run", "entity", "kind", "tool"], "event_id", "ws")
 
 
+_DUPLICATE_SQL = f"""{OBSERVED_SQL}, a AS (SELECT run, entity, CASE WHEN k % 3 > 0 THEN k % 3 END AS tool, kind, event_id, w AS first_w, w + k % 2 AS last_w FROM ob),
+ pa AS (SELECT a.event_id AS u, b.event_id AS v FROM a JOIN a b ON a.run = b.run AND a.entity = b.entity AND a.kind = b.kind AND a.tool IS NOT DISTINCT FROM b.tool AND a.event_id <> b.event_id AND a.first_w <= b.last_w + 1 AND b.first_w <= a.last_w + 1),
+ ro AS (SELECT event_id, event_id AS root FROM a UNION SELECT ro.event_id, pa.v FROM ro JOIN pa ON pa.u = ro.root),
+ gr AS (SELECT event_id, min(root) AS grp FROM ro GROUP BY event_id)"""
+
+
+@query(f"""WITH RECURSIVE {_DUPLICATE_SQL} SELECT run, entity, kind, event_id, grp AS "group", count(*) OVER (PARTITION BY grp) AS members, (SELECT count(*) FROM pa WHERE pa.u = a.event_id) AS links FROM a JOIN gr USING (event_id)""")
+def report_duplicate_groups(spark, sf_dir):
+    """Actions that say the same of neighbouring windows: each with its group's representative and its number of duplicates."""
+    a = observed(spark, sf_dir).select("run", "entity", "kind", F.when(F.col("k") % 3 > 0, F.col("k") % 3).alias("tool"), "event_id", F.col("w").alias("first_w"), (F.col("w") + F.col("k") % 2).alias("last_w"))
+    return reports.duplicate_groups(a, ["run", "entity", "kind", "tool"], "event_id", "first_w", "last_w").select("run", "entity", "kind", "event_id", "group", "members", "links")
+
+
 @query(f"WITH {STEPS_SQL} SELECT o.run, CAST(count(*) AS BIGINT) AS candidates, CAST(count(DISTINCT o.entity) AS BIGINT) AS entities FROM ob o WHERE EXISTS (SELECT 1 FROM st WHERE st.run = o.run AND st.camera_change AND abs(st.w - o.w) <= 1) GROUP BY o.run")
 def report_camera_switch(spark, sf_dir):
     near = reports.near_changes(observed(spark, sf_dir), _steps(spark, sf_dir).where("camera_change"), ["run"])

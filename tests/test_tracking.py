@@ -143,3 +143,20 @@ def test_merged_runs_are_numbered_across_tasks(spark):
     a, b = (spark.range(n).select((F.col("id") * 7 % n).alias("line"), F.lit(name).alias("name")) for n, name in ((1000, "a"), (300, "b")))
     got = sorted((r.window_index, r.name, r.line) for r in reports.merge_runs([a, b, a.limit(0)], ["line"]).collect())
     assert got == [(i, "a", i) for i in range(1000)] + [(1000 + i, "b", i) for i in range(300)]
+
+
+def test_duplicate_groups(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice([None, 1]), i, a, a + rng.choice([0, 0, 1, 6])) for i in range(120) for a in [rng.randrange(150)]]
+    rows += [("a", 1, 1000 + i, 500, 500) for i in range(40)]  # a large group
+    df = spark.createDataFrame(rows, "k string, tool int, id long, a long, b long")
+    near = lambda x, y: x[:2] == y[:2] and x[3] <= y[4] + 1 and y[3] <= x[4] + 1
+    links = {x[2]: [y[2] for y in rows if y[2] != x[2] and near(x, y)] for x in rows}
+    group = {i: i for i in links}
+    for _ in rows:
+        group = {i: min([group[i], *(group[j] for j in links[i])]) for i in links}
+    got = {r.id: (r.group, r.members, r.links) for r in reports.duplicate_groups(df, ["k", "tool"], "id", "a", "b").collect()}
+    size = defaultdict(int)
+    for g in group.values():
+        size[g] += 1
+    assert got == {i: (group[i], size[group[i]], len(links[i])) for i in links}
