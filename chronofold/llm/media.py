@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: An image row: 64 pixels of three 8-bit samples.
 WIDTH, CHANNELS = 64, 3
+#: Bytes of images after which a slice is closed.
+SLICE_BYTES = 64 << 20
 ROW = WIDTH * CHANNELS
 LEVEL = 2
 #: Most bytes of compressed data in one IDAT chunk.
@@ -112,6 +114,8 @@ def decode_png(media: bytes) -> tuple[int, int, int, bytes]:
             raise MediaError(f"chunk {kind!r} is damaged")
         at += 12 + n
         if kind == b"IHDR":
+            if n != 13:
+                raise MediaError("the header has another length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
@@ -162,18 +166,21 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null texts are empty; the least payload is one row.  Repeated rows and null
     ids are kept; other columns are ignored; empty tables give empty results.
+    Images leave a task in slices of 1,000 or of SLICE_BYTES, so that only a
+    single one must stay below 2 GB.
     """
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                sizes, media = [], []
-                for x in part.column(1).cast(pa.large_binary()).to_pylist():
-                    x = x or b""
-                    sizes.append(len(x))
-                    media.append(encode_png(x.ljust(max(1, -(-len(x) // ROW)) * ROW, b" ")))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            ids, texts, at, sizes, media, held = b.column(0), b.column(1), 0, [], [], 0
+            for i in range(b.num_rows):
+                x = (texts[i].as_py() or "").encode()
+                sizes.append(len(x))
+                media.append(encode_png(x.ljust(max(1, -(-len(x) // ROW)) * ROW, b" ")))
+                held += len(media[-1])
+                if len(sizes) == 1000 or held >= SLICE_BYTES or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                    at, sizes, media, held = i + 1, [], [], 0
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

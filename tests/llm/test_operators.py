@@ -83,6 +83,27 @@ def test_bpe_round_trip(spark, odd):
     assert bpe_table.encode_decode(odd.limit(0), path).collect() == []
 
 
+def test_media_wrong_headers(spark):
+    import struct
+
+    good = media.encode_png(b" " * 192)
+    for n in (0, 5, 14):
+        body = b"IHDR" + b"\0" * n
+        bad = good[:8] + struct.pack(">I", n) + body + struct.pack(">I", zlib.crc32(body)) + good[33:]
+        with pytest.raises(media.MediaError):
+            media.decode_png(bad)
+        df = spark.createDataFrame([(1, 3, bytearray(bad)), (2, 3, bytearray(good)), (3, 3, None)], "doc_id long, n_bytes long, media binary")
+        assert [r.error is None for r in media.media_features(df).orderBy("doc_id").collect()] == [False, True, False]
+
+
+def test_media_of_more_rows_than_a_slice(spark):
+    texts = [None if i % 7 == 0 else "x" * (i % 300) for i in range(2300)]
+    got = {r.doc_id: r for r in media.media_features(media.to_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))).collect()}
+    for i, t in enumerate(texts):
+        want = (t or "").encode().ljust(192 * max(1, -(-len(t or "") // 192)), b" ")
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256) == (len(t or ""), len(want), hashlib.sha256(want).hexdigest())
+
+
 def test_media_round_trip(spark, odd):
     got = media.media_features(media.to_media(odd)).collect()
     assert len(got) == odd.count() and all(r.error is None for r in got)
