@@ -142,3 +142,44 @@ def error_rows(failed: DataFrame, key: list[str], stage: str, message: Column) -
     """Error rows of a stage: key, stage, error_type, effect, message."""
     kind, effect = ERRORS[stage]
     return failed.select(*key, F.lit(stage).alias("stage"), F.lit(kind).alias("error_type"), F.lit(effect).alias("effect"), message.alias("message"))
+
+
+#: The references of an observation, by what holds them.
+REFERENCES = {"action": ("actor", "target", "tool"), "attribute": ("entity",), "relation": ("subject", "object")}
+
+
+def missing_references(holders: dict[str, DataFrame], entities: DataFrame, window: list[str], entity_id: str) -> DataFrame:
+    """window, holder (action, attribute, relation), id, role, ref of every reference to an entity that isn't in its window.
+
+    holders: by their kind, tables with window, id and a column for each of the
+    kind's roles in REFERENCES; null references are fine but for attributes and
+    relations, which must name theirs.  All roles meet the entities in one join.
+    """
+    rows = None
+    for kind, table in holders.items():
+        roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).cast("string").alias("ref")) for r in REFERENCES[kind]]))
+        part = table.select(*window, F.lit(kind).alias("holder"), F.col("id").cast("string").alias("id"), roles.alias("r")).select(*window, "holder", "id", "r.role", "r.ref")
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.where(F.col("ref").isNotNull() | (F.col("holder") != "action"))
+    known = entities.select(*window, F.col(entity_id).cast("string").alias("ref")).distinct()
+    return rows.join(known, [*window, "ref"], "left_anti").select(*window, "holder", "id", "role", "ref")
+
+
+def log_errors(events: DataFrame, entities: DataFrame, actions: DataFrame, frames: DataFrame) -> DataFrame:
+    """run, event_id, error, ref of a state log: repeated event ids, references to entities, actions or sample indices that don't exist, and evidence without times.
+
+    events: run, event_id, w, entity_id, action_id (null for none), samples and
+    times (arrays); entities: run, entity_id; actions: run, action_id; frames:
+    run, w, i.  References of a kind meet what is known in one join each.
+    """
+    told = lambda df, error, ref: df.select("run", "event_id", F.lit(error).alias("error"), ref.cast("string").alias("ref"))
+    repeated = events.groupBy("run", "event_id").agg(F.count("*").alias("n")).where("n > 1")
+    no_entity = events.where("entity_id is not null").join(entities.select("run", "entity_id").distinct(), ["run", "entity_id"], "left_anti")
+    no_action = events.where("action_id is not null").join(actions.select("run", "action_id").distinct(), ["run", "action_id"], "left_anti")
+    sampled = events.where(F.size("samples") > 0)
+    no_frame = sampled.select("run", "w", "event_id", F.explode(F.array_distinct("samples")).alias("i")).join(frames.select("run", "w", "i").distinct(), ["run", "w", "i"], "left_anti")
+    untimed = sampled.where(F.coalesce(F.size("times"), F.lit(0)) <= 0)
+    out = told(repeated, "duplicate event id", F.lit(None))
+    for df, error, ref in ((no_entity, "missing entity", F.col("entity_id")), (no_action, "missing action", F.col("action_id")), (no_frame, "missing sample index", F.col("i")), (untimed, "no timestamps", F.lit(None))):
+        out = out.unionByName(told(df, error, ref))
+    return out

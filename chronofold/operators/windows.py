@@ -94,6 +94,29 @@ def frame_plan(windows: DataFrame, fps: float, least: int, most: int, source_fps
     return rows.select("run", "global_index", F.col("i").cast("long").alias("sample_index"), at.alias("at_seconds"), F.bround(at * source_fps, 0).cast("long").alias("frame_index"))
 
 
+def assign_to_intervals(points: DataFrame, intervals: DataFrame, key: list[str], t: str = "t", start: str = "start", end: str = "end", parts: int = 8) -> DataFrame:
+    """Every point with all intervals of its key that hold it, start <= t < end, whatever their lengths, gaps and overlaps.
+
+    t, start and end are whole numbers; empty and null intervals hold nothing.
+    An interval lies in at most two bins of the power of two that is not below
+    its length, and a point in one bin of each power that its key has, so the
+    join is an equi join on key, power and bin, which no long interval widens.
+    Points are dealt over `parts` parts, to each of which intervals are copied:
+    a crowded bin is split.
+    """
+    power = F.greatest(F.lit(0), F.ceil(F.log2(F.col(end) - F.col(start)) - 1e-9)).cast("int")
+    real = intervals.where(F.col(end) > F.col(start)).withColumn("_power", power)
+    # rounding of large numbers may miss a power
+    real = real.withColumn("_power", F.when(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_power")) < F.col(end) - F.col(start), F.col("_power") + 1).otherwise(F.col("_power")))
+    bin_of = lambda x: F.call_function("shiftright", x.cast("long"), F.col("_power"))
+    placed = real.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(start)), bin_of(F.col(end) - 1)))).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    powers = real.select(*key, "_power").distinct().groupBy(*key).agg(F.collect_list("_power").alias("_powers"))  # at most 63 a key
+    asked = points.join(powers, key).withColumn("_power", F.explode("_powers")).drop("_powers").withColumn("_bin", bin_of(F.col(t)))
+    asked = asked.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
+    met = asked.join(placed, [*key, "_power", "_bin", "_deal"])
+    return met.where((F.col(t) >= F.col(start)) & (F.col(t) < F.col(end))).drop("_power", "_bin", "_deal")
+
+
 def evidence_times(evidence: Column, frames: Column) -> Column:
     """Sorted times of the distinct evidence indices; null where an index has no frame.  frames: map<int, time>."""
     ids = F.array_sort(F.array_distinct(evidence))

@@ -92,6 +92,18 @@ def window_membership(spark, sf_dir):
     return inside.groupBy(*_long("run", "global_index")).agg(F.count_if("in_commit").alias("committed"), F.count_if(~F.col("in_commit")).alias("context"))
 
 
+@query(f"""WITH {WINDOWS_SQL}, iw AS (SELECT run, global_index, start + (global_index % 4) * {STRIDE // 2} AS s, "end" + CASE WHEN global_index % 9 = 0 THEN 40 * {WINDOW} WHEN global_index % 5 = 0 THEN -{WINDOW} ELSE (global_index % 3) * 1000003 END AS e FROM win WHERE global_index % 7 <> 3)
+ SELECT CAST(w.run AS BIGINT) AS run, CAST(w.global_index AS BIGINT) AS global_index, count(*) AS events, sum(e.k) AS k FROM iw w JOIN ev e ON e.run = w.run AND e.t >= w.s AND e.t < w.e GROUP BY 1, 2""")
+def irregular_membership(spark, sf_dir):
+    """Events in windows of many lengths: some are missing, some empty, some forty times as long, all shifted."""
+    g = F.col("global_index")
+    start = F.col("start") + (g % 4) * (STRIDE // 2)
+    end = F.col("end") + F.when(g % 9 == 0, 40 * WINDOW).when(g % 5 == 0, -WINDOW).otherwise((g % 3) * 1000003)
+    w = _windows(spark, sf_dir).where(g % 7 != 3).select("run", "global_index", start.cast("long").alias("start"), end.cast("long").alias("end"))
+    inside = windows.assign_to_intervals(events(spark, sf_dir), w, ["run"])
+    return inside.groupBy(*_long("run", "global_index")).agg(F.count("*").alias("events"), F.sum("k").alias("k"))
+
+
 @query(f"""WITH {WINDOWS_SQL}, p AS (SELECT *, ("end" - start) / 1e6::DOUBLE AS s FROM win),
  q AS (SELECT *, greatest(4, least(CAST(floor(s * 0.0005::DOUBLE) AS INT), 12)) AS n FROM p),
  r AS (SELECT *, unnest(range(0, n)) AS i FROM q)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronofold.functions import vocabulary
 from chronofold.operators import intake, observations as obs, schema
@@ -122,8 +123,6 @@ def evidence_cleanup(spark, sf_dir):
 
 
 def _positions(spark, sf_dir) -> DataFrame:
-    from pyspark.sql.window import Window
-
     return observed(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy(*_KEY).orderBy("event_id")))
 
 
@@ -167,8 +166,6 @@ def compact_entities(spark, sf_dir):
 
 def _compact(spark, sf_dir) -> DataFrame:
     """The last event of every step as its compact observation."""
-    from pyspark.sql.window import Window
-
     last = _positions(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy(*_KEY))).where("position = n")
     at, who = F.col("position") % 5, F.col("entity").cast("string")
     local = F.when(at == 0, F.concat(F.lit("Worker "), who)).when(at == 1, F.concat(F.lit("cabinet "), who)).when(at == 2, "tool").when(at == 3, "x").otherwise("unknown")
@@ -208,3 +205,38 @@ def evidence_without_frames(spark, sf_dir):
     o = observed(spark, sf_dir)
     items = o.select("event_id", *_KEY, F.when(F.col("k") % 5 > 0, F.array("k")).otherwise(F.array().cast("array<bigint>")).alias("evidence"))
     return intake.without_frames(items, o.where("k % 4 = 0"), _KEY, "evidence").select("event_id")
+
+
+@query(f"""WITH {OBSERVED_SQL}, p AS (SELECT DISTINCT run, w, CAST(entity AS VARCHAR) AS ref FROM ob),
+ r AS (SELECT run, w, 'action' AS holder, event_id AS id, 'actor' AS role, entity + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS ref FROM ob UNION ALL SELECT run, w, 'action', event_id, 'target', entity + 8 * (k % 3) FROM ob WHERE k % 4 > 0 UNION ALL SELECT run, w, 'action', event_id, 'tool', entity + 16 FROM ob WHERE k % 5 = 0
+  UNION ALL SELECT run, w, 'attribute', event_id, 'entity', CASE WHEN k % 9 > 0 THEN entity + 8 * (k % 2) END FROM ob UNION ALL SELECT run, w, 'relation', event_id, 'subject', entity FROM ob WHERE k % 3 = 0 UNION ALL SELECT run, w, 'relation', event_id, 'object', entity + 8 * (k % 4) FROM ob WHERE k % 3 = 0)
+ SELECT run, w, holder, CAST(id AS VARCHAR) AS id, role, CAST(ref AS VARCHAR) AS ref FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.run = r.run AND p.w = r.w AND p.ref = CAST(r.ref AS VARCHAR))""")
+def validate_references(spark, sf_dir):
+    """References of all kinds: actors, targets, tools, attributes' entities, subjects and objects."""
+    o, k, e = observed(spark, sf_dir), F.col("k"), F.col("entity")
+    base = o.select(*_KEY, F.col("event_id").alias("id"), "k", "entity")
+    holders = {
+        "action": base.select(*_KEY, "id", (e + F.when(k % 11 == 0, 1).otherwise(0)).alias("actor"), F.when(k % 4 > 0, e + 8 * (k % 3)).alias("target"), F.when(k % 5 == 0, e + 16).alias("tool")),
+        "attribute": base.select(*_KEY, "id", F.when(k % 9 > 0, e + 8 * (k % 2)).alias("entity")),
+        "relation": base.where(k % 3 == 0).select(*_KEY, "id", e.alias("subject"), (e + 8 * (k % 4)).alias("object")),
+    }
+    return intake.missing_references(holders, o, _KEY, "entity")
+
+
+@query(f"""WITH {OBSERVED_SQL}, f AS (SELECT run, w, row_number() OVER (PARTITION BY run, w ORDER BY t, event_id) - 1 AS i FROM ob), en AS (SELECT DISTINCT run, entity FROM ob), ac AS (SELECT DISTINCT run, kind || entity AS action_id FROM ob WHERE kind <> 'error'),
+ ev AS (SELECT run, w, event_id - CASE WHEN event_id % 100 = 7 THEN 1 ELSE 0 END AS eid, entity + CASE WHEN k % 13 = 0 THEN 8 ELSE 0 END AS entity_id, CASE WHEN k % 2 = 0 THEN kind || entity END AS action_id, k FROM ob)
+ SELECT run, eid AS event_id, 'duplicate event id' AS error, CAST(NULL AS VARCHAR) AS ref FROM ev GROUP BY run, eid HAVING count(*) > 1
+ UNION ALL SELECT run, eid, 'missing entity', CAST(entity_id AS VARCHAR) FROM ev WHERE NOT EXISTS (SELECT 1 FROM en WHERE en.run = ev.run AND en.entity = ev.entity_id)
+ UNION ALL SELECT run, eid, 'missing action', action_id FROM ev WHERE action_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ac WHERE ac.run = ev.run AND ac.action_id = ev.action_id)
+ UNION ALL SELECT run, eid, 'missing sample index', CAST(k % 7 AS VARCHAR) FROM ev WHERE k % 5 > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.run = ev.run AND f.w = ev.w AND f.i = ev.k % 7)
+ UNION ALL SELECT run, eid, 'no timestamps', NULL FROM ev WHERE k % 5 > 0 AND k % 6 = 0""")
+def report_log_errors(spark, sf_dir):
+    """A log in which some events share an id, and refer to entities, actions and samples that may not exist."""
+    o, k = observed(spark, sf_dir), F.col("k")
+    rank = F.row_number().over(Window.partitionBy("run", "w").orderBy("t", "event_id")) - 1
+    action = F.concat(F.col("kind"), F.col("entity").cast("string"))
+    events = o.select(
+        "run", "w", (F.col("event_id") - F.when(F.col("event_id") % 100 == 7, 1).otherwise(0)).cast("long").alias("event_id"), (F.col("entity") + F.when(k % 13 == 0, 8).otherwise(0)).cast("long").alias("entity_id"), F.when(k % 2 == 0, action).alias("action_id"),
+        F.when(k % 5 > 0, F.array(k % 7)).otherwise(F.array().cast("array<bigint>")).alias("samples"), F.when(k % 6 > 0, F.array("t")).alias("times"),
+    )
+    return intake.log_errors(events, o.select("run", F.col("entity").alias("entity_id")), o.where("kind <> 'error'").select("run", action.alias("action_id")), o.select("run", "w", rank.cast("long").alias("i")))

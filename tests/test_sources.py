@@ -2,6 +2,7 @@
 
 import ast
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -132,3 +133,13 @@ def test_formal_ids(spark):
     ids = {"person_1": True, "equipment_0012": True, "person_x": False, "box_1": False, "person": False, "a_person_1": False, None: False}
     df = spark.createDataFrame([(k,) for k in ids], "x string")
     assert {r.x: r.f for r in df.select("x", intake.is_formal_id(F.col("x")).alias("f")).collect()} == ids
+
+
+def test_intervals_of_any_length(spark):
+    rng = random.Random(8)
+    intervals = [(rng.choice("ab"), i, s, s + rng.choice([0, -3, 1, 2, 3, 7, 8, 9, 1000, 1 << 40])) for i in range(80) for s in [rng.randrange(-50, 300)]] + [("a", 99, None, 5)]
+    points = [(rng.choice("abc"), rng.randrange(-60, 400)) for _ in range(300)] + [("a", None)] + [("a", 10)] * 50
+    df = windows.assign_to_intervals(spark.createDataFrame(points, "k string, t long"), spark.createDataFrame(intervals, "k string, i int, start long, end long"), ["k"])
+    want = sorted((k, t, i) for k, t in points for j, i, s, e in intervals if k == j and None not in (t, s) and s <= t < e)
+    assert sorted((r.k, r.t, r.i) for r in df.collect()) == want
+    assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
