@@ -62,8 +62,7 @@ def _reason(met: DataFrame) -> Column:
     Numbers may be written as texts, whole ones with a fraction of 0, and truth
     values as 0, 1 or their words.
     """
-    text = F.try_variant_get("value", "$", "string")
-    number = F.coalesce(F.try_variant_get("value", "$", "double"), F.trim(text).try_cast("double"))
+    text, number = F.col("_text"), F.col("_number")
     written_as = F.col("kind_of").isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL", "STRING")
     right = (
         F.when(F.array_contains("kinds", F.col("kind_of")), True)
@@ -111,7 +110,9 @@ def violations(docs: DataFrame, key: list[str], v: str, fields: dict[str, Field]
         item = F.col("_kind") == "ARRAY"
         below = below.select(*key, F.when(item, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(_child(F.col("path"), F.col("key"))).alias("path"),
                              F.when(item, F.concat("pattern", F.lit("[]"))).otherwise(_child(F.col("pattern"), F.col("key"))).alias("pattern"), "value", kind(F.col("value")).alias("kind_of"))
-        met = below.join(F.broadcast(table), "pattern", "left")
+        # an object's or array's text would be all that it holds
+        plain = below.withColumn("_text", F.when(~F.col("kind_of").isin("OBJECT", "ARRAY"), F.try_variant_get("value", "$", "string")))
+        met = plain.withColumn("_number", F.coalesce(F.try_variant_get("value", "$", "double"), F.trim("_text").try_cast("double"))).join(F.broadcast(table), "pattern", "left")
         met = stored(met.select(*key, "path", "pattern", "value", "kind_of", "open", _reason(met).alias("reason")), "level")
         out.append(met.where("reason is not null").select(*key, "path", "reason"))
         level = met.where("reason is null and not open").select(*key, "path", "pattern", "value", "kind_of")

@@ -224,12 +224,12 @@ def validate_references(spark, sf_dir):
 
 
 @query(f"""WITH {OBSERVED_SQL}, f AS (SELECT run, w, row_number() OVER (PARTITION BY run, w ORDER BY t, event_id) - 1 AS i FROM ob), en AS (SELECT DISTINCT run, entity FROM ob), ac AS (SELECT DISTINCT run, kind || entity AS action_id FROM ob WHERE kind <> 'error'),
- ev AS (SELECT run, w, event_id - CASE WHEN event_id % 100 = 7 THEN 1 ELSE 0 END AS eid, entity + CASE WHEN k % 13 = 0 THEN 8 ELSE 0 END AS entity_id, CASE WHEN k % 2 = 0 THEN kind || entity END AS action_id, k FROM ob)
- SELECT run, eid AS event_id, 'duplicate event id' AS error, CAST(NULL AS VARCHAR) AS ref FROM ev GROUP BY run, eid HAVING count(*) > 1
- UNION ALL SELECT run, eid, 'missing entity', CAST(entity_id AS VARCHAR) FROM ev WHERE NOT EXISTS (SELECT 1 FROM en WHERE en.run = ev.run AND en.entity = ev.entity_id)
- UNION ALL SELECT run, eid, 'missing action', action_id FROM ev WHERE action_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ac WHERE ac.run = ev.run AND ac.action_id = ev.action_id)
- UNION ALL SELECT run, eid, 'missing sample index', CAST(k % 7 AS VARCHAR) FROM ev WHERE k % 5 > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.run = ev.run AND f.w = ev.w AND f.i = ev.k % 7)
- UNION ALL SELECT run, eid, 'no timestamps', NULL FROM ev WHERE k % 5 > 0 AND k % 6 = 0""")
+ el AS (SELECT run, w, event_id - CASE WHEN event_id % 100 = 7 THEN 1 ELSE 0 END AS eid, entity + CASE WHEN k % 13 = 0 THEN 8 ELSE 0 END AS entity_id, CASE WHEN k % 2 = 0 THEN kind || entity END AS action_id, k FROM ob)
+ SELECT run, eid AS event_id, 'duplicate event id' AS error, CAST(NULL AS VARCHAR) AS ref FROM el GROUP BY run, eid HAVING count(*) > 1
+ UNION ALL SELECT run, eid, 'missing entity', CAST(entity_id AS VARCHAR) FROM el WHERE NOT EXISTS (SELECT 1 FROM en WHERE en.run = el.run AND en.entity = el.entity_id)
+ UNION ALL SELECT run, eid, 'missing action', action_id FROM el WHERE action_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ac WHERE ac.run = el.run AND ac.action_id = el.action_id)
+ UNION ALL SELECT run, eid, 'missing sample index', CAST(k % 7 AS VARCHAR) FROM el WHERE k % 5 > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.run = el.run AND f.w = el.w AND f.i = el.k % 7)
+ UNION ALL SELECT run, eid, 'no timestamps', NULL FROM el WHERE k % 5 > 0 AND k % 6 = 0""")
 def report_log_errors(spark, sf_dir):
     """A log in which some events share an id, and refer to entities, actions and samples that may not exist."""
     o, k = observed(spark, sf_dir), F.col("k")
