@@ -112,7 +112,11 @@ def violations(docs: DataFrame, key: list[str], v: str, fields: dict[str, Field]
                              F.when(item, F.concat("pattern", F.lit("[]"))).otherwise(_child(F.col("pattern"), F.col("key"))).alias("pattern"), "value", kind(F.col("value")).alias("kind_of"))
         # an object's or array's text would be all that it holds
         plain = below.withColumn("_text", F.when(~F.col("kind_of").isin("OBJECT", "ARRAY"), F.try_variant_get("value", "$", "string")))
-        met = plain.withColumn("_number", F.coalesce(F.try_variant_get("value", "$", "double"), F.trim("_text").try_cast("double"))).join(F.broadcast(table), "pattern", "left")
+        met = plain.join(F.broadcast(table), "pattern", "left")
+        # texts are read as numbers only where a number is due: a text that isn't one costs an exception
+        due = F.col("kind").isin("number", "int", "bool")
+        number = F.when(due & F.col("kind_of").isin(*_KINDS["number"]), F.try_variant_get("value", "$", "double")).when(due & (F.col("kind_of") == "STRING"), F.trim("_text").try_cast("double"))
+        met = met.withColumn("_number", number)
         met = stored(met.select(*key, "path", "pattern", "value", "kind_of", "open", _reason(met).alias("reason")), "level")
         out.append(met.where("reason is not null").select(*key, "path", "reason"))
         level = met.where("reason is null and not open").select(*key, "path", "pattern", "value", "kind_of")
@@ -174,7 +178,7 @@ OBSERVATION = {
 
 
 def _number(v: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, path, "double"), F.trim(F.try_variant_get(v, path, "string")).try_cast("double"))
+    return F.trim(F.try_variant_get(v, path, "string")).try_cast("double")
 
 
 def _window_rule(v: Column) -> Column:
