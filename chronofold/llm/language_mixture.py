@@ -131,35 +131,88 @@ def mixtures(like: np.ndarray, offsets: np.ndarray, active: np.ndarray, rounds:
     return share, total
 
 
+def _slack(like: np.ndarray, offsets: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What a mixture's log-likelihood can still gain at most: it is concave in the proportions, so the steepest slope bounds it."""
+    n = np.diff(offsets)
+    top = like.max(1, keepdims=True)
+    rel = np.exp(like - top)
+    part = rel / np.maximum((rel * np.repeat(share, n, 0)).sum(1, keepdims=True), 1e-300)
+    return np.add.reduceat(part, offsets[:-1], axis=0).max(1) - n
+
+
+def _climb(like: np.ndarray, offsets: np.ndarray, active: np.ndarray, share: np.ndarray, best: np.ndarray, most: np.ndarray, penalty: np.ndarray) -> None:
+    """Improve each text's set in place: add, drop or swap one language, the best such step each time, until none helps.
+
+    most bounds the likelihood of every set, so steps to sizes that can't win aren't tried.
+    """
+    n, langs = np.diff(offsets), like.shape[1]
+    open_ = np.arange(len(n))
+    while len(open_):
+        size = active[open_].sum(1)
+        base, found, found_share, found_active = best[open_], best[open_].copy(), share[open_].copy(), active[open_].copy()
+        for out in range(-1, langs):  # -1: nothing leaves the set
+            for into in range(-1, langs):
+                if out == into:
+                    continue
+                goes = np.ones(len(open_), bool)
+                if out >= 0:
+                    goes &= active[open_, out] & ((size > 1) | (into >= 0))
+                if into >= 0:
+                    goes &= ~active[open_, into]
+                new_size = size + (into >= 0) - (out >= 0)
+                at = np.flatnonzero(goes & (most[open_] - (new_size - 1) * penalty[open_] > base + 1e-9 * (1 + np.abs(base))))
+                if not len(at):
+                    continue
+                trial = active[open_[at]]
+                if out >= 0:
+                    trial[:, out] = False
+                if into >= 0:
+                    trial[:, into] = True
+                mine = np.zeros(len(n), bool)
+                mine[open_[at]] = True
+                got, total = mixtures(like[np.repeat(mine, n)], np.r_[0, np.cumsum(n[open_[at]])], trial)
+                total = total - (new_size[at] - 1) * penalty[open_[at]]
+                better = total > found[at]
+                at = at[better]
+                found[at], found_share[at], found_active[at] = total[better], got[better], trial[better]
+        moved = found > base + 1e-9 * (1 + np.abs(base))
+        open_ = open_[moved]
+        best[open_], share[open_], active[open_] = found[moved], found_share[moved], found_active[moved]
+
+
 def select_languages(like: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the chosen language set of each text, and the number of languages in it.
 
-    Sets of every size up to all languages count.  A text leaves early only when
-    none of the larger sets can win: no mixture is likelier than every word in its
-    own best language.
+    Sets of any size count.  Two searches add, drop and swap languages by the
+    penalised likelihood, one from the likeliest single language and one from
+    all languages; the better result is taken, the first one at ties.  A text
+    whose mixture of all languages, the likeliest of any set, doesn't pay for a
+    second language keeps its single one.
     """
     n, langs = np.diff(offsets), like.shape[1]
+    single = np.add.reduceat(like, offsets[:-1], axis=0)
+    first = single.argmax(1)
+    active = np.zeros((len(n), langs), bool)
+    active[np.arange(len(n)), first] = True
+    choice, best, penalty = active.astype(float), single.max(1), 0.5 * np.log(n) + np.log(langs)
+    if langs == 1:
+        return choice, active.sum(1)
     all_share, all_total = mixtures(like, offsets, np.ones((len(n), langs), bool))
-    rank = np.argsort(-all_share, 1, kind="stable")
-    most, penalty = np.add.reduceat(like.max(1), offsets[:-1]), 0.5 * np.log(n) + np.log(langs)
-    best, choice, number = np.full(len(n), -np.inf), np.zeros((len(n), langs)), np.zeros(len(n), np.int64)
-    for k in range(1, langs + 1):
-        open_ = np.flatnonzero(most - (k - 1) * penalty > best - 1e-9 * (1 + np.abs(most)))
-        if not len(open_):
-            break
-        if k == langs:
-            got, total = all_share[open_], all_total[open_]
-        else:
-            active = np.zeros((len(open_), langs), bool)
-            np.put_along_axis(active, rank[open_, :k], True, 1)
-            mine = np.zeros(len(n), bool)
-            mine[open_] = True
-            got, total = mixtures(like[np.repeat(mine, n)], np.r_[0, np.cumsum(n[open_])], active)
-        total = total - (k - 1) * penalty[open_]
-        better = total > best[open_]
-        at = open_[better]
-        best[at], choice[at], number[at] = total[better], got[better], k
-    return choice, number
+    most = all_total + _slack(like, offsets, all_share)
+    open_ = np.flatnonzero(most - penalty > best)
+    if len(open_):
+        mine = np.zeros(len(n), bool)
+        mine[open_] = True
+        part, cuts = like[np.repeat(mine, n)], np.r_[0, np.cumsum(n[open_])]
+        up = [active[open_], choice[open_], best[open_]]
+        down = [np.ones((len(open_), langs), bool), all_share[open_], all_total[open_] - (langs - 1) * penalty[open_]]
+        for a, s, b in (up, down):
+            _climb(part, cuts, a, s, b, most[open_], penalty[open_])
+        wins = down[2] > up[2] + 1e-9 * (1 + np.abs(up[2]))
+        for x, y in zip(up[:2], down[:2], strict=True):
+            x[wins] = y[wins]
+        active[open_], choice[open_] = up[0], up[1]
+    return choice, active.sum(1)
 
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text", prefix: str = "") -> DataFrame:
