@@ -22,7 +22,55 @@ def within_budget(items: DataFrame, group: list[str], order: list[str], size: Co
     whole = F.sum(size + 1).over(Window.partitionBy(*group))
     limit = F.lit(budget) if isinstance(budget, int) else budget
     out = items.withColumn("used", used.cast("long")).withColumn("truncated", whole > limit)
-    return out.where(F.col("used") <= limit + F.when(F.col("truncated"), freed).otherwise(0))
+    cut = (F.col("used") <= limit + freed) & (F.col("used") < whole)  # at least one item goes before anything is freed
+    return out.withColumn("_stays", ~F.col("truncated") | cut).where("_stays").drop("_stays")
+
+
+def sorted_json(**fields: Column) -> Column:
+    """Compact JSON object with sorted keys; nulls are written, other scripts stay as they are."""
+    return F.to_json(F.named_struct(*[x for k in sorted(fields) for x in (F.lit(k), fields[k])]), {"ignoreNullFields": "false"})
+
+
+def context_documents(scenes: DataFrame, lists: dict[str, DataFrame], group: list[str]) -> DataFrame:
+    """One JSON document a row of scenes that fits its budget where it can: group, budget, json, characters, truncated, compacted, kept.
+
+    scenes: group (several budgets may share one), scene and compact (JSON objects,
+    the second one shorter), changes (a JSON array), budget in characters.
+    lists: by the name of a list in the document its rows: group, rank from 1
+    without gaps, item (a JSON object).  The lists must be bounded, as by top_k.
+    Whole items are cut from the end of the last list, then from the one before
+    it; when nothing is left to cut the scene becomes the compact one.  A document
+    that is too long even so is kept and its characters tell.  Without items or
+    with null scenes the arrays are empty and the scene is {}.
+    """
+    names = list(lists)
+    scenes = scenes.select(*group, "budget", *[F.coalesce(c, F.lit(e)).alias(c) for c, e in (("scene", "{}"), ("compact", "{}"), ("changes", "[]"))]).distinct()
+    items = None
+    for o, name in enumerate(names):
+        part = lists[name].select(*group, F.lit(o).alias("_o"), "rank", "item")
+        items = part if items is None else items.unionByName(part)
+    w = Window.partitionBy(*group).orderBy("_o", "rank")
+    size = F.length("item") + F.when(F.col("rank") > 1, 1).otherwise(0)  # a comma before all but the first
+    items = items.withColumn("_used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    packed = items.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_o", "rank", "_used", "item"))).alias("_items"))
+    rows = scenes.join(packed, group, "left").withColumn("_items", F.coalesce("_items", F.lit([]).cast(packed.schema["_items"].dataType)))
+
+    def document(kept: Column, scene: Column, truncated: Column) -> Column:
+        of = lambda o: F.array_join(F.transform(F.filter(kept, lambda x: x["_o"] == o), lambda x: x["item"]), ",")
+        fields = {n: F.concat(F.lit("["), of(o), F.lit("]")) for o, n in enumerate(names)}
+        fields |= {"recent_scene_changes": F.col("changes"), "scene": scene, "truncated": truncated.cast("string")}
+        parts = [F.concat(F.lit(f'{"," if i else ""}"{k}":'), fields[k]) for i, k in enumerate(sorted(fields))]
+        return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+    none = F.filter("_items", lambda x: F.lit(False))
+    whole = F.coalesce(F.element_at(F.transform("_items", lambda x: x["_used"]), F.when(F.size("_items") > 0, -1).otherwise(None)), F.lit(0))
+    rows = rows.withColumn("_base", F.length(document(none, F.col("scene"), F.lit(False)))).withColumn("truncated", F.col("_base") + whole > F.col("budget"))
+    # "true" is a character shorter than "false"
+    rows = rows.withColumn("_kept", F.when(F.col("truncated"), F.filter("_items", lambda x: (x["_used"] + F.col("_base") - 1 <= F.col("budget")) & (x["_used"] < whole))).otherwise(F.col("_items")))
+    over = (F.size("_kept") == 0) & F.when(F.size("_items") > 0, F.col("_base") - 1 > F.col("budget")).otherwise(True)
+    rows = rows.withColumn("compacted", F.col("truncated") & over)
+    text = document(F.col("_kept"), F.when(F.col("compacted"), F.col("compact")).otherwise(F.col("scene")), F.col("truncated"))
+    return rows.withColumn("json", text).select(*group, "budget", "json", F.length("json").cast("long").alias("characters"), "truncated", "compacted", F.size("_kept").cast("long").alias("kept"))
 
 
 def snapshot_windows(windows: DataFrame, every: int, run: str = "run", order: str = "w") -> DataFrame:

@@ -523,4 +523,4 @@ def report_frequency_timeline(spark, sf_dir):
     return observed(spark, sf_dir).groupBy("run", "kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("w")), lambda x: x.cast("string")), ",").alias("windows"))
 
 
-from chronofold.plans import context, identity, intake, lifecycles, streams  # noqa: E402, F401  registers its queries
+from chronofold.plans import context, folders, identity, intake, lifecycles, streams  # noqa: E402, F401  registers its queries

@@ -28,11 +28,11 @@ def _after(spark, sf_dir) -> DataFrame:
 def _actions(spark, sf_dir) -> DataFrame:
     """Actions that are open at the end of their run."""
     final = lifecycles.actions_of(spark, sf_dir)[1].where(~F.col("lifecycle").isin("ended", "instant"))
-    return final.select("run", F.col("actor").alias("entity"), F.col("type").alias("kind"), "action_id", "last_w", F.col("lifecycle").alias("state"))
+    return final.select("run", F.col("actor").alias("entity"), F.col("type").alias("kind"), "target", "tool", "action_id", "last_w", F.col("lifecycle").alias("state"))
 
 
-_OPEN_SQL = f"""{lifecycles.LIFE_SQL}, oa AS (SELECT run, actor AS entity, type AS kind, action_id, last_w, lifecycle AS state FROM fin WHERE lifecycle NOT IN ('ended', 'instant')),
- ra AS (SELECT run, entity, kind, last_w, state, row_number() OVER (PARTITION BY run ORDER BY state = 'possible_ended', last_w DESC, action_id) AS rank FROM oa QUALIFY rank <= {_ACTIONS})"""
+_OPEN_SQL = f"""{lifecycles.LIFE_SQL}, oa AS (SELECT run, actor AS entity, type AS kind, target, tool, action_id, last_w, lifecycle AS state FROM fin WHERE lifecycle NOT IN ('ended', 'instant')),
+ ra AS (SELECT run, entity, kind, target, tool, action_id, last_w, state, row_number() OVER (PARTITION BY run ORDER BY state = 'possible_ended', last_w DESC, action_id) AS rank FROM oa QUALIFY rank <= {_ACTIONS})"""
 
 
 def _top_actions(spark, sf_dir, acts: DataFrame | None = None) -> DataFrame:
@@ -45,17 +45,18 @@ def context_actions_topk(spark, sf_dir):
 
 
 def _entities(spark, sf_dir, acts: DataFrame | None = None) -> DataFrame:
-    """Entities that aren't inactive or stale; those in an open action always stay unless inactive."""
+    """Entities that aren't inactive or stale; actors, targets and tools of open actions always stay unless inactive."""
     acts = _actions(spark, sf_dir) if acts is None else acts
     seen = observed(spark, sf_dir).groupBy("run", "entity").agg(F.max("w").alias("w"))
-    related = acts.select("run", "entity", F.lit(True).alias("related")).distinct()
+    part = F.explode(F.array("entity", "target", "tool")).alias("entity")
+    related = acts.select("run", part).where("entity is not null").distinct().withColumn("related", F.lit(True))
     e = seen.join(_after(spark, sf_dir), ["run", "w"]).join(related, ["run", "entity"], "left").withColumn("related", F.coalesce("related", F.lit(False)))
     e = e.where((F.col("missed") <= 10) & (F.col("related") | (F.col("now") - F.col("w") <= _STALE)))
     return e.select("run", "entity", F.col("w").alias("last_w"), "related", (F.col("missed") == 0).alias("active"))
 
 
 _ENTITIES_SQL = f"""{_OPEN_SQL}, af AS ({_AFTER_SQL}), es AS (SELECT run, entity, max(w) AS w FROM ob GROUP BY ALL),
- en AS (SELECT es.run, es.entity, es.w AS last_w, EXISTS (SELECT 1 FROM oa WHERE oa.run = es.run AND oa.entity = es.entity) AS related, af.missed, af.now FROM es JOIN af ON af.run = es.run AND af.w = es.w),
+ en AS (SELECT es.run, es.entity, es.w AS last_w, EXISTS (SELECT 1 FROM oa WHERE oa.run = es.run AND (oa.entity = es.entity OR oa.target = es.entity OR oa.tool = es.entity)) AS related, af.missed, af.now FROM es JOIN af ON af.run = es.run AND af.w = es.w),
  re AS (SELECT run, entity, last_w, related, missed = 0 AS active, row_number() OVER (PARTITION BY run ORDER BY related DESC, last_w DESC, missed = 0 DESC, entity) AS rank FROM en WHERE missed <= 10 AND (related OR now - last_w <= {_STALE}) QUALIFY rank <= {_ENTITIES})"""
 
 
@@ -130,16 +131,20 @@ def _context(spark, sf_dir) -> DataFrame:
     return reports.within_budget(rows, ["run"], ["o", "rank"], F.length("item"), F.lit(_BUDGET) - F.col("base"), freed=1)
 
 
-def _context_sql() -> str:
+def _lists_sql() -> str:
     """The lists' common table expressions behind one another; those of the steps and observations once."""
     rest = lambda sql: sql[len(STEPS_SQL) :]
     scene = rest(c._SEGMENTS_SQL).replace(" sg AS", " sg2 AS").replace("FROM sg)", "FROM sg2)")
-    return f"""{_PENDING_SQL}{rest(_ENTITIES_SQL)}{scene}, cs AS (SELECT run, length(arg_max(scene_id, w)) + length(arg_max(view, w)) + 60 AS base FROM sc GROUP BY run),
+    return f"{_PENDING_SQL}{rest(_ENTITIES_SQL)}{scene}"
+
+
+def _context_sql() -> str:
+    return f"""{_lists_sql()}, cs AS (SELECT run, length(arg_max(scene_id, w)) + length(arg_max(view, w)) + 60 AS base FROM sc GROUP BY run),
  it AS (SELECT run, 'pending' AS list, 0 AS o, rank, entity AS entity_id, '{{"pending":"' || entity || '/' || attribute || '/' || pending || '"}}' AS item FROM rp
   UNION ALL SELECT run, 'action', 1, rank, entity, '{{"action":"' || entity || '/' || kind || '/' || state || '/' || last_w || '"}}' FROM ra
   UNION ALL SELECT run, 'entity', 2, rank, entity, '{{"entity":"' || entity || '/' || last_w || '/' || related || '/' || active || '"}}' FROM re),
  us AS (SELECT it.*, {_BUDGET} - cs.base AS lim, sum(length(item) + 1) OVER (PARTITION BY it.run ORDER BY o, rank) AS used, sum(length(item) + 1) OVER (PARTITION BY it.run) AS whole FROM it JOIN cs ON cs.run = it.run),
- kp AS (SELECT *, whole > lim AS truncated FROM us WHERE used <= lim + CASE WHEN whole > lim THEN 1 ELSE 0 END)"""
+ kp AS (SELECT *, whole > lim AS truncated FROM us WHERE whole <= lim OR (used <= lim + 1 AND used < whole))"""
 
 
 @query(f"{_context_sql()} SELECT run, list, rank, item, CAST(used AS BIGINT) AS used, truncated FROM kp")
@@ -159,6 +164,45 @@ def report_context_characters(spark, sf_dir):
     return n.agg(F.round(F.avg("n"), 6).alias("average_characters"), (F.count("*") == 0).alias("none"))
 
 
+#: Budgets that leave a document whole, cut one list, cut all and need the compact scene.
+_BUDGETS = (6000, 1500, 700, 300, 150)
+# every number of items is tried, in the order in which they are kept
+_JSON_SQL = f"""{_lists_sql()}, nw AS (SELECT run, max(w) AS now FROM st GROUP BY run),
+ sn AS (SELECT sc.run, sc.scene_id, sc.view, sc.scene_index, (SELECT max(x.w) FROM sc x WHERE x.run = sc.run AND x.camera_change AND x.previous_id IS NOT NULL AND nw.now - x.w <= 5) AS change FROM sc JOIN nw ON nw.run = sc.run AND nw.now = sc.w),
+ sj AS (SELECT sn.run, CAST(to_json({{'continuity': CASE WHEN sn.scene_index > 1 THEN 'camera_change' ELSE 'started' END, 'scene_id': sn.scene_id, 'view_type': sn.view}}) AS VARCHAR) AS scene, CAST(to_json({{'scene_id': sn.scene_id, 'view_type': sn.view}}) AS VARCHAR) AS compact,
+   CASE WHEN sc.w IS NULL THEN '[]' ELSE '[' || to_json({{'continuity': 'camera_change', 'scene_id': sc.scene_id, 'start_window': sc.w, 'view_type': sc.view}}) || ']' END AS changes FROM sn LEFT JOIN sc ON sc.run = sn.run AND sc.w = sn.change),
+ ij AS (SELECT run, 0 AS o, rank, CAST(to_json({{'attribute_key': 'a' || attribute, 'candidate_value': pending, 'confidence': c, 'entity_id': entity}}) AS VARCHAR) AS item FROM rp
+  UNION ALL SELECT run, 1, rank, CAST(to_json({{'action_id': action_id, 'action_type': kind, 'actor_id': entity, 'lifecycle': state, 'target_id': target, 'tool_id': tool}}) AS VARCHAR) FROM ra
+  UNION ALL SELECT re.run, 2, rank, CAST(to_json({{'canonical_name': 'Gerät ' || entity, 'entity_id': entity, 'entity_type': 't' || (entity % 3), 'last_seen_windows_ago': nw.now - re.last_w, 'visibility': CASE WHEN active THEN 'visible' ELSE 'unknown' END}}) AS VARCHAR) FROM re JOIN nw ON nw.run = re.run),
+ gj AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o, rank) AS g FROM ij),
+ mj AS (SELECT sj.*, n, unnest(range(n + 1)) AS m FROM sj JOIN (SELECT sj.run, count(gj.g) AS n FROM sj LEFT JOIN gj ON gj.run = sj.run GROUP BY ALL) c ON c.run = sj.run),
+ dj AS (SELECT mj.run, m, n, any_value(scene) AS scene, any_value(compact) AS compact, '{{"active_actions":[' || coalesce(string_agg(item, ',' ORDER BY rank) FILTER (o = 1), '') || '],"candidate_entities":[' || coalesce(string_agg(item, ',' ORDER BY rank) FILTER (o = 2), '') || '],"pending_attributes":[' || coalesce(string_agg(item, ',' ORDER BY rank) FILTER (o = 0), '')
+   || '],"recent_scene_changes":' || any_value(changes) || ',"scene":' AS head FROM mj LEFT JOIN gj ON gj.run = mj.run AND gj.g <= mj.m GROUP BY mj.run, m, n),
+ bj AS (SELECT dj.*, budget, head || scene || CASE WHEN m = n THEN ',"truncated":false}}' ELSE ',"truncated":true}}' END AS doc FROM dj, (SELECT unnest({list(_BUDGETS)}) AS budget)),
+ oj AS (SELECT * FROM bj WHERE length(doc) <= budget QUALIFY row_number() OVER (PARTITION BY run, budget ORDER BY m DESC) = 1),
+ aj AS (SELECT run, budget, doc AS json, m < n AS truncated, false AS compacted, m AS kept FROM oj UNION ALL SELECT run, budget, head || compact || ',"truncated":true}}', true, true, 0 FROM bj WHERE m = 0 AND NOT EXISTS (SELECT 1 FROM oj WHERE oj.run = bj.run AND oj.budget = bj.budget))"""
+
+
+@query(f"{_JSON_SQL} SELECT run, CAST(budget AS BIGINT) AS budget, json, length(json) AS characters, truncated, compacted, CAST(kept AS BIGINT) AS kept FROM aj")
+def context_json(spark, sf_dir):
+    """The context of every run's end as JSON, within several budgets."""
+    s = stored(tracking.scene_segments(steps(spark, sf_dir)), "scenes")
+    now = s.groupBy("run").agg(F.max("w").alias("now"))
+    start = s.where("camera_change and scene_index > 1").join(now, "run").where("now - w <= 5").groupBy("run").agg(F.max_by(F.struct("w", "scene_id", "view"), "w").alias("x"))
+    last = s.groupBy("run").agg(F.max_by(F.struct("scene_id", "view", "scene_index"), "w").alias("l")).join(start, "run", "left")
+    continuity, camera = F.when(F.col("l.scene_index") > 1, "camera_change").otherwise("started"), F.lit("camera_change")
+    change = reports.sorted_json(continuity=camera, scene_id=F.col("x.scene_id"), start_window=F.col("x.w"), view_type=F.col("x.view"))
+    whole, short = reports.sorted_json(scene_id=F.col("l.scene_id"), view_type=F.col("l.view"), continuity=continuity), reports.sorted_json(scene_id=F.col("l.scene_id"), view_type=F.col("l.view"))
+    scenes = last.select("run", whole.alias("scene"), short.alias("compact"), F.when(F.col("x").isNotNull(), F.concat(F.lit("["), change, F.lit("]"))).alias("changes"), F.explode(F.array(*[F.lit(b).cast("long") for b in _BUDGETS])).alias("budget"))
+    acts = stored(_actions(spark, sf_dir), "open-actions")
+    col = F.col
+    pending = _top_pending(spark, sf_dir).withColumn("item", reports.sorted_json(entity_id=col("entity"), attribute_key=F.concat(F.lit("a"), col("attribute").cast("string")), candidate_value=col("pending"), confidence=col("c")))
+    open_ = _top_actions(spark, sf_dir, acts).withColumn("item", reports.sorted_json(action_id=col("action_id"), actor_id=col("entity"), action_type=col("kind"), target_id=col("target"), tool_id=col("tool"), lifecycle=col("state")))
+    name, kind, seen = F.concat(F.lit("Gerät "), col("entity").cast("string")), F.concat(F.lit("t"), (col("entity") % 3).cast("string")), F.when(col("active"), "visible").otherwise("unknown")
+    entities = _top_entities(spark, sf_dir, acts).join(now, "run").withColumn("item", reports.sorted_json(entity_id=col("entity"), entity_type=kind, canonical_name=name, last_seen_windows_ago=col("now") - col("last_w"), visibility=seen))
+    return reports.context_documents(scenes, {"pending_attributes": pending, "active_actions": open_, "candidate_entities": entities}, ["run"])
+
+
 @query(f"WITH {OBSERVED_SQL}, g AS (SELECT run, max(w) + 1 AS windows, count(DISTINCT w) AS success FROM ob GROUP BY run) SELECT run, CAST(windows AS BIGINT) AS windows, CAST(success AS BIGINT) AS success, CAST(windows - success AS BIGINT) AS failed FROM g")
 def report_run_totals(spark, sf_dir):
     """A window without events is a failed one."""
