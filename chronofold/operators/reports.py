@@ -73,6 +73,47 @@ def context_documents(scenes: DataFrame, lists: dict[str, DataFrame], group: lis
     return rows.withColumn("json", text).select(*group, "budget", "json", F.length("json").cast("long").alias("characters"), "truncated", "compacted", F.size("_kept").cast("long").alias("kept"))
 
 
+def window_report(records: DataFrame, doubtful: str, telling: str, run: str = "run", order: str = "w") -> DataFrame:
+    """The parts of a run's report as rows: run, section, order, item, n; one explode and one grouped count.
+
+    records: one row a window with status, error (type, message) and analysis
+    (window_summary and arrays of entities, actions, state_changes,
+    observed_results and uncertainties).  Sections: `status`, `entity` and `action`
+    count over the whole run and have no window; `action_window` has a row for
+    every window of an action; `summary` and `timeline` (summaries that match
+    telling) have a row a window; `change` and `result` a row for each different
+    one in a window; `uncertainty` is a window's first whose target matches
+    doubtful.  A window that isn't ok has its status and, as its summary, its
+    error.  Absent texts are empty, absent arrays have no rows.
+    """
+    a = F.col("analysis")
+    text = lambda x, absent="": F.coalesce(x.cast("string"), F.lit(absent))
+
+    def row(section: str, item: Column, windowed: bool = True) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.when(F.lit(windowed), F.col(order).cast("long")).alias(order), item.alias("item"))
+
+    def each(field: str, *rows) -> list[Column]:
+        return [F.transform(F.coalesce(a[field], F.array().cast(records.schema["analysis"].dataType[field].dataType)), f) for f in rows]
+
+    entity = lambda e: F.concat(text(e["entity_id"], "unknown"), F.lit(" ("), text(e["name"], "unknown"), F.lit(")"))
+    action = lambda x: F.concat(F.concat_ws(" ", text(x["actor_id"]), text(x["action"]), text(x["object_id"])), F.lit(" ["), text(x["status"]), F.lit("]"))
+    change = lambda x: F.concat_ws(" ", text(x["entity_id"]), text(x["attribute"]), text(x["before"]), F.lit("->"), text(x["after"]))
+    result = lambda x: F.concat(text(x["object_id"]), F.lit(" "), text(x["result_type"]), F.lit(" - "), text(x["result"]))
+    doubt = F.get(F.filter(a["uncertainties"], lambda u: text(u["target"]).rlike(doubtful)), 0)
+    one = lambda x, wanted: F.filter(F.array(x), lambda _: wanted)
+    summary = text(a["window_summary"])
+    ok = F.concat(
+        *each("entities", lambda e: row("entity", entity(e), False)),
+        *each("actions", lambda x: row("action", action(x), False), lambda x: row("action_window", action(x))),
+        *each("state_changes", lambda x: row("change", change(x))), *each("observed_results", lambda x: row("result", result(x))),
+        one(row("uncertainty", F.concat(text(doubt["target"]), F.lit(" | "), text(doubt["reason"]))), doubt.isNotNull()),
+        one(row("summary", summary), F.lit(True)), one(row("timeline", summary), summary.rlike(telling)),
+    )
+    error = F.array(row("summary", F.concat(F.lit("ERROR: "), text(F.col("error.type")), F.lit(" - "), text(F.col("error.message")))))
+    rows = records.select(run, F.explode(F.concat(F.array(row("status", F.col("status"), False)), F.when(F.col("status") == "ok", ok).otherwise(error))).alias("x"))
+    return rows.groupBy(run, "x.section", f"x.{order}", "x.item").agg(F.count("*").alias("n"))
+
+
 def snapshot_windows(windows: DataFrame, every: int, run: str = "run", order: str = "w") -> DataFrame:
     """Windows after which a snapshot is written: every n-th formal one, and the last."""
     w = Window.partitionBy(run).orderBy(order)

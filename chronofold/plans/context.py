@@ -231,3 +231,34 @@ def attribute_oov_rates(spark, sf_dir):
     rows = c.normalize_attributes(spark, sf_dir).join(observed(spark, sf_dir).select("event_id", "run"), "event_id")
     n = F.count_if(F.col("normalization_status") == "out_of_vocabulary")
     return rows.groupBy("run").agg(n.alias("oov"), F.round(reports.rate(n, F.count("*")), 9).alias("oov_rate"), F.count_if(F.col("normalization_status") == "invalid_for_entity_type").alias("invalid"))
+
+
+@query(f"""WITH {OBSERVED_SQL}, wn AS (SELECT run, w, count(*) AS n, count(*) FILTER (kind = 'error') >= 2 AS bad, bool_or(kind = 'purchase') AS tools FROM ob GROUP BY run, w), go AS (SELECT ob.* FROM ob JOIN wn ON wn.run = ob.run AND wn.w = ob.w AND NOT wn.bad),
+ tx AS (SELECT run, w, bad, CASE WHEN bad THEN 'ERROR: Timeout - ' || n || ' events' ELSE n || ' events' || CASE WHEN tools THEN ', tools used' ELSE '' END END AS item FROM wn)
+ SELECT run, 'status' AS section, CAST(NULL AS BIGINT) AS w, CASE WHEN bad THEN 'error' ELSE 'ok' END AS item, count(*) AS n FROM wn GROUP BY ALL
+ UNION ALL SELECT run, 'summary', w, item, 1 FROM tx UNION ALL SELECT run, 'timeline', w, item, 1 FROM tx WHERE NOT bad AND item LIKE '%tools%'
+ UNION ALL SELECT run, 'entity', NULL, entity || ' (' || CASE WHEN entity % 4 = 0 THEN 'unknown' ELSE 't' || (entity % 3) END || ')', count(*) FROM go GROUP BY ALL
+ UNION ALL SELECT run, 'action', NULL, entity || ' ' || kind || ' ' || CASE WHEN k % 2 = 0 THEN 'k' || k ELSE '' END || ' [seen]', count(*) FROM go GROUP BY ALL
+ UNION ALL SELECT run, 'action_window', w, entity || ' ' || kind || ' ' || CASE WHEN k % 2 = 0 THEN 'k' || k ELSE '' END || ' [seen]', count(*) FROM go GROUP BY ALL
+ UNION ALL SELECT run, 'change', w, entity || ' door closed -> open', count(*) FROM go WHERE k % 7 = 0 GROUP BY ALL
+ UNION ALL SELECT run, 'result', w, entity || ' ' || kind || ' - k' || k, count(*) FROM go WHERE kind = 'purchase' GROUP BY ALL
+ UNION ALL SELECT run, 'uncertainty', w, arg_min('device ' || k || ' | ' || kind, event_id), 1 FROM go WHERE k % 5 = 0 GROUP BY run, w""")
+def report_window_parts(spark, sf_dir):
+    """All parts of the window report; steps with two errors or more failed."""
+    col, lit, s = F.col, F.lit, lambda n: F.col(n).cast("string")
+    o = observed(spark, sf_dir)
+    e = F.struct("event_id", s("entity").alias("entity_id"), F.when(col("entity") % 4 != 0, F.concat(lit("t"), (col("entity") % 3).cast("string"))).alias("name"), "kind", "k")
+    g = o.groupBy("run", "w").agg(F.array_sort(F.collect_list(e)).alias("events"), F.count_if(col("kind") == "error").alias("errors"), F.count("*").alias("n"), F.bool_or(col("kind") == "purchase").alias("tools"))
+    part = lambda where, **fields: F.transform(F.filter("events", where), lambda x: F.named_struct(*[y for k, f in fields.items() for y in (lit(k), f(x))]))
+    always, k_text = lambda x: lit(True), lambda x: F.concat(lit("k"), x["k"].cast("string"))
+    analysis = F.struct(
+        F.concat(s("n"), lit(" events"), F.when(col("tools"), ", tools used").otherwise("")).alias("window_summary"),
+        part(always, entity_id=lambda x: x["entity_id"], name=lambda x: x["name"]).alias("entities"),
+        part(always, actor_id=lambda x: x["entity_id"], action=lambda x: x["kind"], object_id=lambda x: F.when(x["k"] % 2 == 0, k_text(x)), status=lambda x: lit("seen")).alias("actions"),
+        part(lambda x: x["k"] % 7 == 0, entity_id=lambda x: x["entity_id"], attribute=lambda x: lit("door"), before=lambda x: lit("closed"), after=lambda x: lit("open")).alias("state_changes"),
+        part(lambda x: x["kind"] == "purchase", object_id=lambda x: x["entity_id"], result_type=lambda x: x["kind"], result=k_text).alias("observed_results"),
+        part(always, target=lambda x: F.concat(F.when(x["k"] % 5 == 0, "device ").otherwise("person "), x["k"].cast("string")), reason=lambda x: x["kind"]).alias("uncertainties"),
+    )
+    error = F.struct(lit("Timeout").alias("type"), F.concat(s("n"), lit(" events")).alias("message"))
+    records = g.select("run", "w", F.when(col("errors") >= 2, "error").otherwise("ok").alias("status"), error.alias("error"), analysis.alias("analysis"))
+    return reports.window_report(records, "device|cabinet", "tools|cable")
