@@ -19,11 +19,13 @@ TRAIN_ROWS = 20_000
 ROWS_A_LIST = 40
 #: Share of the neighbours of fitted vectors, among the fitted ones, that the probed lists hold: few lists do where
 #: vectors form clusters, most are needed where they are unstructured.
-PROBED_SHARE = 0.975
+PROBED_SHARE = 0.99
 PARTS = 16
 CODES = 256
-#: Candidates of each query that are reranked exactly.
+#: Candidates of each query that are reranked exactly, at least.  All others whose estimate is within so many of its
+#: standard errors of the k-th best estimate are reranked too: in tight clusters codes don't tell rows apart.
 RERANK = 128
+ERRORS = 3.0
 #: Queries and coded vectors that meet in one place, at most about.
 QUERY_ROWS = 50_000
 SLAB_ROWS = 1_000_000
@@ -86,17 +88,22 @@ class Index:
             code[:, j] = ((self.books[j] ** 2).sum(1) - 2 * rest[:, a:b] @ self.books[j].T).argmin(1)
         return near, code
 
-    def own_terms(self, near: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """What of a coded vector's distance is the same for all queries: |residual|^2 + 2 centroid * residual, from tables."""
-        total = np.zeros(len(near))
-        for j, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
-            table = (self.books[j] ** 2).sum(1) + 2 * self.coarse[:, a:b] @ self.books[j].T
-            total += table[near, code[:, j]]
-        return total
+    def estimates(self, x: np.ndarray, near: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For unit vectors x and what their codes stand for, y: 1 / (x * y), which makes of q * y an unbiased estimate of q * x, and that estimate's error.
+
+        The error is the tangent of the angle between x and y, times ERRORS / sqrt(dim - 1) (1 at most, where it is a bound).
+        """
+        y = self.coarse[near] + np.concatenate([book[code[:, j]] for j, book in enumerate(self.books)], 1)
+        dot = (x * y).sum(1)
+        cosine = np.clip(dot / np.maximum(np.sqrt((y * y).sum(1)), 1e-300), 1e-3, 1.0)
+        error = np.sqrt(1 - cosine**2) / cosine * min(1.0, ERRORS / max(self.dim - 1, 1) ** 0.5)
+        # a code that doesn't point its vector's way says nothing: such rows are always reranked
+        lost = dot < 1e-3
+        return np.where(lost, 0.0, 1 / np.where(lost, 1.0, dot)), np.where(lost, np.inf, error + 1e-6)
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """Asymmetric tables of queries: for every part [queries, codes], -2 query * codebook row."""
-        return [(-2 * q[:, a:b] @ book.T).astype(np.float32) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
+        """Asymmetric tables of queries: for every part [queries, codes], query * codebook row."""
+        return [(q[:, a:b] @ book.T).astype(np.float32) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
 
     def pack(self) -> bytes:
         out = io.BytesIO()
@@ -135,14 +142,13 @@ def prepared(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, part.column(3), pa.array(np.sqrt((x * x).sum(1))), pa.array(np.full(len(x), dim), pa.int32())], names=["key", "vec_id", "v", "is_query", "norm", "dim"])
 
 
-def best_coded(index: Index, keys: np.ndarray, ids: np.ndarray, lists: np.ndarray, code: np.ndarray, who: np.ndarray, q: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, coded row, distance): the rerank nearest of each query among the coded vectors of its probed lists, by tables.
+def best_coded(index: Index, keys: np.ndarray, ids: np.ndarray, lists: np.ndarray, code: np.ndarray, scale: np.ndarray, error: np.ndarray, who: np.ndarray, q: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, coded row, estimated cosine): of the coded vectors of each query's probed lists the rerank best by tables, and all that may be among the k best.
 
-    Equal distances go to the smaller id; a query's own key takes no part.
+    Equal estimates go to the smaller id; a query's own key takes no part.
     """
     order = np.lexsort((ids, lists))
-    keys, ids, lists, code = keys[order], ids[order], lists[order], code[order]
-    own = index.own_terms(lists, code).astype(np.float32)
+    keys, ids, lists, code, scale, error = keys[order], ids[order], lists[order], code[order], scale[order].astype(np.float32), error[order].astype(np.float32)
     first = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
     spans = list(zip(lists[first], first, np.r_[first[1:], len(lists)], strict=True))
     columns = [np.ascontiguousarray(code[:, j]) for j in range(code.shape[1])]
@@ -153,24 +159,25 @@ def best_coded(index: Index, keys: np.ndarray, ids: np.ndarray, lists: np.ndarra
         probed = np.zeros((len(part), len(index.coarse)), bool)
         np.put_along_axis(probed, index.order(part)[:, : index.probes], True, 1)
         tables = index.tables(part)
-        base = ((part[:, None] - index.coarse[None]) ** 2).sum(2).astype(np.float32)
-        d = np.full((len(part), len(ids)), np.inf, np.float32)
+        base = (part @ index.coarse.T).astype(np.float32)
+        near = np.full((len(part), len(ids)), -np.inf, np.float32)
         for list_, a, b in spans:
             mine = np.flatnonzero(probed[:, list_])
             if len(mine):
-                total = base[mine, list_][:, None] + own[None, a:b]
+                total = np.repeat(base[mine, list_][:, None], b - a, 1)
                 for table, column in zip(tables, columns, strict=True):
                     total += table[mine][:, column[a:b]]
-                d[mine, a:b] = total
-        d[who[at : at + step, None] == keys[None]] = np.inf
-        for i, row in enumerate(d):
-            best = np.flatnonzero(row < np.inf)
+                near[mine, a:b] = total * scale[None, a:b]
+        near[who[at : at + step, None] == keys[None]] = -np.inf
+        for i, row in enumerate(near):
+            best = np.flatnonzero(row > -np.inf)
             if len(best) > rerank:
-                limit = np.partition(row, rerank - 1)[rerank - 1]
-                below, equal = np.flatnonzero(row < limit), np.flatnonzero(row == limit)
-                if len(equal) > rerank - len(below):
-                    equal = equal[np.argsort(ids[equal], kind="stable")[: rerank - len(below)]]
-                best = np.r_[below, equal]
+                kth, limit = -np.partition(-row, (k - 1, rerank - 1))[[k - 1, rerank - 1]]
+                maybe = row + error >= kth
+                maybe &= row > -np.inf
+                above, equal = np.flatnonzero((row > limit) | maybe), np.flatnonzero((row == limit) & ~maybe)
+                room = max(0, rerank - len(above))
+                best = np.r_[above, equal[np.argsort(ids[equal], kind="stable")[:room]]]
             out.append((np.full(len(best), who[at + i]), order[best], row[best]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -186,15 +193,21 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "vec
     own, as queries (their answers then share a query_id) and as candidates.
     Fewer candidates give fewer rows; empty tables give empty results.  Other
     columns are ignored.  An index is fitted on at most train_rows vectors and
-    is all that is broadcast; all vectors are indexed.
+    is all that is broadcast; all vectors are indexed, of equal ones the k + 1
+    with the smallest ids, as no other copy can be among the k nearest.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     rows = written(rows.mapInArrow(prepared, "key long, vec_id long, v array<double>, is_query boolean, norm double, dim int"), "vectors")
+    copy = Window.partitionBy("dim", "v").orderBy("vec_id", "key")
+    offered = written(rows.withColumn("copy", F.row_number().over(copy)).where(F.col("copy") <= k + 1).drop("copy"), "offered")
+    asking = {r.dim: r.n for r in rows.where("is_query").groupBy("dim").agg(F.count("*").alias("n")).collect()}
     found = None
-    for dim, total, asked in rows.groupBy("dim").agg(F.count("*"), F.count_if("is_query")).orderBy("dim").collect():
+    for dim, total in offered.groupBy("dim").agg(F.count("*")).orderBy("dim").collect():
+        asked = asking.get(dim, 0)
         if asked and total > 1:
-            mine = _search_length(rows.where(F.col("dim") == dim), dim, total, asked, k, lists, probes, rerank, train_rows)
+            here = F.col("dim") == dim
+            mine = _search_length(offered.where(here), rows.where(here & F.col("is_query")), dim, total, asked, k, lists, probes, max(rerank, k), train_rows)
             found = mine if found is None else found.unionByName(mine)
     return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
 
@@ -205,10 +218,10 @@ def _units(rows: DataFrame, dim: int) -> np.ndarray:
     return table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim) / table.column("norm").to_numpy()[:, None]
 
 
-def _search_length(rows: DataFrame, dim: int, total: int, asked: int, k: int, lists: int | None, probes: int | None, rerank: int, train_rows: int) -> DataFrame:
+def _search_length(rows: DataFrame, queries: DataFrame, dim: int, total: int, asked: int, k: int, lists: int | None, probes: int | None, rerank: int, train_rows: int) -> DataFrame:
     spark = rows.sparkSession
     # a threshold on the hash first, so that no partition sends more than its share to the driver
-    place = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("vec_id", "v", F.lit(SEED)), F.lit(1 << 30))
     sample = rows.where(place < int(min(1.0, 1.1 * train_rows / total) * (1 << 30))).orderBy(place, "v").limit(train_rows)
     x = _units(sample, dim)
     if not len(x):
@@ -221,30 +234,33 @@ def _search_length(rows: DataFrame, dim: int, total: int, asked: int, k: int, li
     def code(batches):
         fitted = Index.unpack(index.value)
         for b in batches:
-            near, c = fitted.encode(_matrix(b.column(2), dim) / b.column(3).to_numpy()[:, None])
+            x = _matrix(b.column(2), dim) / b.column(3).to_numpy()[:, None]
+            near, c = fitted.encode(x)
+            scale, error = fitted.estimates(x, near, c)
             packed = pa.Array.from_buffers(pa.binary(c.shape[1]), len(c), [None, pa.py_buffer(np.ascontiguousarray(c))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int32()), packed], names=["key", "vec_id", "list", "code"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int32()), packed, pa.array(scale), pa.array(error)], names=["key", "vec_id", "list", "code", "scale", "error"])
 
-    coded = written(rows.select("key", "vec_id", "v", "norm").mapInArrow(code, "key long, vec_id long, list int, code binary"), "codes")
+    coded = written(rows.select("key", "vec_id", "v", "norm").mapInArrow(code, "key long, vec_id long, list int, code binary, scale double, error double"), "codes")
     unit = F.transform("v", lambda x: (x / F.col("norm")).cast("float"))
-    asking = rows.where("is_query").select(F.col("key").alias("query"), unit.alias("q"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
+    asking = queries.select(F.col("key").alias("query"), unit.alias("q"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
     placed = coded.withColumn("slab", F.pmod(F.xxhash64("key"), F.lit(slabs)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def score(left, right):
-        who, keys, ids, at, d = *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.float32)
+        who, keys, ids, at, near, error = *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.float32), np.zeros(0)
         if left.num_rows and right.num_rows:
             fitted = Index.unpack(index.value)
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
             q = left.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            keys, ids = right.column("key").to_numpy(), right.column("vec_id").to_numpy()
-            who, at, d = best_coded(fitted, keys, ids, right.column("list").to_numpy(), codes, left.column("query").to_numpy(), q, rerank)
-        return pa.table({"query": pa.array(who), "key": pa.array(keys[at]), "vec_id": pa.array(ids[at]), "distance": pa.array(d)})
+            keys, ids, scale, error = (right.column(c).to_numpy() for c in ("key", "vec_id", "scale", "error"))
+            who, at, near = best_coded(fitted, keys, ids, right.column("list").to_numpy(), codes, scale, error, left.column("query").to_numpy(), q, k, rerank)
+        return pa.table({"query": pa.array(who), "key": pa.array(keys[at]), "vec_id": pa.array(ids[at]), "near": pa.array(near), "error": pa.array(error[at])})
 
     both = ["grp", "slab"]
-    found = asking.groupBy(*both).cogroup(placed.groupBy(*both)).applyInArrow(score, "query long, key long, vec_id long, distance float")
-    best = Window.partitionBy("query").orderBy("distance", "vec_id", "key")
-    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query", "key")
-    one = rows.where("is_query").select(F.col("key").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
+    found = asking.groupBy(*both).cogroup(placed.groupBy(*both)).applyInArrow(score, "query long, key long, vec_id long, near float, error double")
+    best = Window.partitionBy("query").orderBy(F.desc("near"), "vec_id", "key")
+    ranked = found.withColumn("r", F.row_number().over(best)).withColumn("kth", F.max(F.when(F.col("r") == k, F.col("near"))).over(Window.partitionBy("query")))
+    short = ranked.where((F.col("r") <= rerank) | (F.col("near") + F.col("error") >= F.col("kth"))).select("query", "key")
+    one = queries.select(F.col("key").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
     pairs = short.join(rows.select("key", "vec_id", "v", "norm"), "key").join(one, "query")
     dot = F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     exact = pairs.select("query", "query_id", "vec_id", (dot / (F.col("norm") * F.col("qn"))).alias("score"), "key")
