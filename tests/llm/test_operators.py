@@ -223,22 +223,21 @@ def test_search_recall_on_unstructured_vectors(spark):
     assert hits >= 0.9 * 5 * 160
 
 
-def test_search_recall_in_tight_clusters_and_copies(spark):
-    """Clusters far tighter than a code, among wide rows, and copies: codes alone don't tell their rows apart."""
+def test_search_recall_where_codes_are_coarse(spark):
+    """Wide vectors, sixteen entries to a code, and copies: codes alone don't tell the nearest from the next hundreds."""
     rng = np.random.default_rng(16)
-    tight = np.repeat(rng.normal(size=(6, 16)), 400, 0) + 1e-3 * rng.normal(size=(2400, 16))
-    x = np.concatenate([tight, rng.normal(size=(1200, 16)), np.repeat(rng.normal(size=(2, 16)), 200, 0)])[rng.permutation(4000)]
+    x = np.concatenate([rng.normal(size=(7600, 256)), np.repeat(rng.normal(size=(2, 256)), 200, 0)])[rng.permutation(8000)].astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
     for r in ivfpq.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     hits = 0
-    for q in range(0, 4000, 50):
+    for q in range(0, 8000, 50):
         s = np.round(unit @ unit[q], 12)
         s[q] = -2
         hits += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & set(got[q]))
-    assert hits >= 0.95 * 5 * 80
+    assert hits >= 0.9 * 5 * 160
 
 
 def test_word_count_is_the_pattern(spark):
