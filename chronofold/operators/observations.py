@@ -21,7 +21,11 @@ def json_text(raw: Column) -> Column:
 
 def parse_status(raw: Column) -> Column:
     """`ok`, `no_json` or `malformed`."""
-    text = json_text(raw)
+    return text_status(json_text(raw))
+
+
+def text_status(text: Column) -> Column:
+    """parse_status() of an answer of which json_text() made text."""
     return F.when(text.isNull(), "no_json").when(F.try_parse_json(text).isNull(), "malformed").otherwise("ok")
 
 
