@@ -160,3 +160,14 @@ def test_duplicate_groups(spark):
     for g in group.values():
         size[g] += 1
     assert got == {i: (group[i], size[group[i]], len(links[i])) for i in links}
+
+
+def test_partners_of_large_groups_are_dealt(spark):
+    """All pairs of groups of many sizes; a large group and many pairs get more tasks than the session's shuffles."""
+    rows = [(g, i) for g, n in ((0, 1), (1, 2), (2, 40), (3, 7)) for i in range(n)] + [(None, 1), (None, 2), (4, None), (4, 5)]
+    found = tracking.partners(spark.createDataFrame(rows, "g int, m long"), ["g"], "m", block=8, most=100)
+    want = [(g, a, b) for g, a in rows for h, b in rows if g == h and None not in (g, a, b) and a != b]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert found.rdd.getNumPartitions() == 17  # ceil(1658 / 100) for 1, 4, 1600, 49 and 4 pairs
+    by_task = found.where("g = 2").groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 1
