@@ -138,3 +138,20 @@ def test_each_branch(spark):
 def test_no_rows(spark):
     s, w = spark.createDataFrame([], SIGHTINGS), spark.createDataFrame([], WINDOWS)
     assert [d.collect() for d in actions.action_log(s, w)] == [[], []]
+
+
+def test_what_stands_alone_is_not_folded_and_missed_windows_are_not_written(spark, monkeypatch):
+    """Sightings far apart, and a camera that changes in every window, so that no action ever ends."""
+    written = {}
+    stored = actions.stored
+
+    def noted(df, name):
+        written[name] = stored(df, name)
+        return written[name]
+
+    monkeypatch.setattr(actions, "stored", noted)
+    windows = [(0, w, True, w * 2.0) for w in range(200)]
+    sightings = [(0, w, "x", "a", "hold", None, None, w % 20 == 0, float(w), False, 0.5) for w in range(0, 200, 10)]
+    events, final, left = compare(spark, sightings, windows, actions.LifecycleConfig())
+    assert {r[6] for r in final} == {"uncertain"} and len(left) == 10 and len(events) == 10 + sum(199 - w for w in range(0, 200, 20))
+    assert "missed" not in written and written["links"].count() == 0
