@@ -18,6 +18,8 @@ WIDTH, CHANNELS = 64, 3
 SLICE_BYTES = 64 << 20
 ROW = WIDTH * CHANNELS
 LEVEL = 2
+#: Rows that are filtered at once, so that what a long text takes beside its own bytes is bounded.
+FILTER_ROWS = 4096
 #: Most bytes of compressed data in one IDAT chunk.
 IDAT_BYTES = 1 << 16
 #: Side of the picture that is transformed, and of the low-frequency square that is kept.
@@ -34,14 +36,21 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 def filter_rows(rows: np.ndarray, bpp: int) -> np.ndarray:
     """Rows with their filter byte: none, left difference or upper difference, whichever has the least sum of small signed values."""
-    up = rows.copy()
-    up[1:] -= rows[:-1]
-    left = rows.copy()
-    left[:, bpp:] -= rows[:, :-bpp]
-    forms = np.stack([rows, left, up])
-    cost = np.abs(forms.view(np.int8).astype(np.int16)).sum(2)
-    best = cost.argmin(0)
-    return np.concatenate([best[:, None].astype(np.uint8), forms[best, np.arange(len(rows))]], 1)
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    for at in range(0, len(rows), FILTER_ROWS):
+        block = rows[at : at + FILTER_ROWS]
+        up = block.copy()
+        up[1:] -= block[:-1]
+        if at:
+            up[0] -= rows[at - 1]
+        left = block.copy()
+        left[:, bpp:] -= block[:, :-bpp]
+        forms = np.stack([block, left, up])
+        cost = np.abs(forms.view(np.int8).astype(np.int16)).sum(2)
+        best = cost.argmin(0)
+        out[at : at + FILTER_ROWS, 0] = best
+        out[at : at + FILTER_ROWS, 1:] = forms[best, np.arange(len(block))]
+    return out
 
 
 def encode_png(payload: bytes, width: int = WIDTH, channels: int = CHANNELS, level: int = LEVEL) -> bytes:
@@ -63,7 +72,7 @@ def unfilter_rows(raw: np.ndarray, bpp: int) -> np.ndarray:
     if (kind > 4).any():
         raise MediaError("unknown filter")
     left = np.flatnonzero(kind == 1)
-    rows[left] = np.cumsum(rows[left].reshape(len(left), -1, bpp), 1, dtype=np.uint8).reshape(len(left), width)
+    rows[left] = np.cumsum(rows[left].reshape(len(left), width // bpp, bpp), 1, dtype=np.uint8).reshape(len(left), width)
     at = 0
     while at < n:
         if kind[at] < 2:
@@ -125,6 +134,8 @@ def decode_png(media: bytes) -> tuple[int, int, int, bytes]:
             raise MediaError(f"unknown critical chunk {kind!r}")
     if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[4:] != (0, 0, 0):
         raise MediaError("unsupported image kind")
+    if not head[0] or not head[1]:
+        raise MediaError("an image without pixels")
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
     try:
         raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
@@ -147,7 +158,8 @@ def cosine_hash(samples: np.ndarray) -> str:
 
     def shrink(x):
         n = len(x)
-        total = np.concatenate([np.zeros((1, x.shape[1]), np.int64), np.cumsum(x, 0)])
+        total = np.zeros((n + 1, x.shape[1]), np.int64)
+        np.cumsum(x, 0, out=total[1:])
         lo = np.arange(SIDE) * n // SIDE
         hi = np.maximum(lo + 1, (np.arange(SIDE) + 1) * n // SIDE)
         return (total[hi] - total[lo]), (hi - lo)
@@ -164,7 +176,8 @@ def cosine_hash(samples: np.ndarray) -> str:
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes, padded with spaces to whole rows, as a PNG in a binary column.
 
-    Null texts are empty; the least payload is one row.  Repeated rows and null
+    Null texts are empty; the least payload is one row.  Bytes that aren't UTF-8
+    are stored as they are.  Repeated rows and null
     ids are kept; other columns are ignored; empty tables give empty results.
     Images leave a task in slices of 1,000 or of SLICE_BYTES, so that only a
     single one must stay below 2 GB.
@@ -174,7 +187,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             ids, texts, at, sizes, media, held = b.column(0), b.column(1), 0, [], [], 0
             for i in range(b.num_rows):
-                x = (texts[i].as_py() or "").encode()
+                x = texts[i].as_py() or b""
                 sizes.append(len(x))
                 media.append(encode_png(x.ljust(max(1, -(-len(x) // ROW)) * ROW, b" ")))
                 held += len(media[-1])
@@ -182,7 +195,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
                     at, sizes, media, held = i + 1, [], [], 0
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:

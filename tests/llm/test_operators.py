@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -96,6 +97,20 @@ def test_media_wrong_headers(spark):
         assert [r.error is None for r in media.media_features(df).orderBy("doc_id").collect()] == [False, True, False]
 
 
+def test_media_of_every_kind_of_row(spark):
+    """Images in which no row is a left difference, bytes that aren't UTF-8, a text above one block of rows, and headers without pixels."""
+    texts = [b" ~" * 96, (b"\x01" + b"\0" * 5) * 32, b"\xff\xfe a\x80", bytes(range(1, 128)) * 9000, b""]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(texts)], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    got = {r.doc_id: r for r in media.media_features(media.to_media(df)).collect()}
+    for i, x in enumerate(texts):
+        padded = x.ljust(max(1, -(-len(x) // 192)) * 192, b" ")
+        assert got[i].error is None and (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256) == (len(x), len(padded), hashlib.sha256(padded).hexdigest())
+    for width, height in ((0, 1), (64, 0)):
+        head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+        with pytest.raises(media.MediaError):
+            media.decode_png(b"".join([media.SIGNATURE, media._chunk(b"IHDR", head), media._chunk(b"IDAT", zlib.compress(b"\0" * height)), media._chunk(b"IEND", b"")]))
+
+
 def test_media_of_more_rows_than_a_slice(spark):
     texts = [None if i % 7 == 0 else "x" * (i % 300) for i in range(2300)]
     got = {r.doc_id: r for r in media.media_features(media.to_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))).collect()}
