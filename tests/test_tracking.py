@@ -171,3 +171,11 @@ def test_partners_of_large_groups_are_dealt(spark):
     assert found.rdd.getNumPartitions() == 17  # ceil(1658 / 100) for 1, 4, 1600, 49 and 4 pairs
     by_task = found.where("g = 2").groupBy(F.spark_partition_id()).count().collect()
     assert len(by_task) > 1
+
+
+def test_written_partners_are_stored_small(spark, tmp_path):
+    """All members of a task meet one short list before the next, so what is written repeats what lies near."""
+    found = tracking.partners(spark.createDataFrame([(1, i * 7919 % 100_003) for i in range(1500)], "g int, m long"), ["g"], "m", block=2000)
+    found.coalesce(1).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows == 1500 * 1499 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * rows
